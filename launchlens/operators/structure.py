@@ -267,21 +267,79 @@ REFUND_THRESHOLDS = {"region": 0.20, "channel": 0.20, "gender": 0.15, "age": 0.1
 DEMOGRAPHIC = ("gender", "age")
 
 
+def _by_dimension(dims: dict[str, Sequence[str]], values: dict[str, object]) -> Column:
+    """The value configured for the row's dimension."""
+    out = None
+    for name, cols in dims.items():
+        hit = F.col("dimension").isin(list(cols))
+        out = F.when(hit, F.lit(values[name])) if out is None else out.when(hit, F.lit(values[name]))
+    return out
+
+
 def launch_checks(
     sliced: DataFrame, target: str, history: Sequence[str], reference: str, dims: dict[str, Sequence[str]]
 ) -> DataFrame:
-    """Every structure check of a launch in one long table: history, reference launch, refunds, day over day."""
+    """Every structure check of a launch in one long table: history, reference launch, refunds, day over day.
+
+    The orders are counted once per (period, dimension, value); all checks are columns of
+    that small table and leave it as rows.
+    """
+    all_dims = [c for cols in dims.values() for c in cols]
+    wanted = sliced.where(F.col("period").isin([target, *history]))
+    one = F.lit(1).alias("_one")
     own = sliced.where(F.col("period") == target)
-    parts = []
-    for name, cols in dims.items():
-        demographic = name in DEMOGRAPHIC
-        floor, new = (None, False) if demographic else (0.01, True)
-        t = SHIFT_THRESHOLDS[name]
-        parts.append(share_shift(sliced, target, history, cols, t, floor, new, name, "history"))
-        parts.append(share_shift(sliced, target, [reference], cols, t, floor, new, name, "reference"))
-        parts.append(share_shift_refund(own, cols, REFUND_THRESHOLDS[name], floor, new, name))
-        parts.append(refund_dod(own, cols, check=name))
-    return reduce(DataFrame.unionByName, parts)
+    latest = own.agg(F.max(F.to_date("pay_time")).alias("_latest")).select("_latest", one)
+    rows = long_values(wanted, all_dims, ["period", F.to_date("refund_time").alias("_day"), one]).join(latest, "_one")
+    counts = rows.groupBy("period", "dimension", "value").agg(
+        F.count("*").alias("n"),
+        F.count("_day").alias("refunded"),
+        count_if(F.col("_day") == F.col("_latest")).alias("on_day"),
+        count_if(F.col("_day") == F.date_sub("_latest", 1)).alias("day_before"),
+    )
+    launches = counts.where(F.col("period") != target).groupBy("dimension").agg(F.count_distinct("period").alias("_launches"))
+    known = counts.where(F.col("value").isNotNull())
+    w = Window.partitionBy("period", "dimension")
+    shares = known.withColumn("share", ratio(F.col("n"), F.sum("n").over(w))).withColumn(
+        "refunded_share", F.try_divide(F.col("refunded").cast("double"), F.sum("refunded").over(w).cast("double"))
+    )
+    is_t, is_r = F.col("period") == target, F.col("period") == reference
+    count = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    share = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0.0))
+    wide = shares.join(launches, "dimension", "left").groupBy("dimension", "value").agg(
+        count("n", is_t).alias("t_n"), share("share", is_t).alias("t_s"),
+        count("n", ~is_t).alias("h_n"), F.try_divide(share("share", ~is_t), F.max("_launches")).alias("h_s"),
+        count("n", is_r).alias("r_n"), share("share", is_r).alias("r_s"),
+        count("refunded", is_t).alias("f_n"), F.max(F.when(is_t, F.col("refunded_share"))).alias("f_s"),
+        count("on_day", is_t).alias("d_n"), count("day_before", is_t).alias("p_n"),
+    )
+    demographic = {k: k in DEMOGRAPHIC for k in dims}
+    free = _by_dimension(dims, demographic)
+    checks = []
+    for baseline, (tn, tsh, bn, bsh), limits in (
+        ("history", ("t_n", "t_s", "h_n", "h_s"), SHIFT_THRESHOLDS),
+        ("reference", ("t_n", "t_s", "r_n", "r_s"), SHIFT_THRESHOLDS),
+        ("overall", ("f_n", "f_s", "t_n", "t_s"), REFUND_THRESHOLDS),
+    ):
+        change = rel_change(F.col(tsh), F.col(bsh))
+        seen = free | (F.col(tsh) > 0.01)
+        moved = (F.col(bsh) > 0) & seen & (F.abs(change) > _by_dimension(dims, limits))
+        fresh = (F.col(bsh) == 0) & ~free & seen
+        checks.append((baseline, tn, F.col(tsh), bn, F.col(bsh), change, moved, fresh))
+    change = rel_change(F.col("d_n"), F.col("p_n"))
+    moved = (F.col("p_n") > 0) & (F.col("d_n") >= 1) & (F.abs(change) > 0.10)
+    null = F.lit(None).cast("double")
+    checks.append(("previous_day", "d_n", null, "p_n", null, change, moved, (F.col("p_n") == 0) & (F.col("d_n") >= 2)))
+    structs = [
+        F.struct(
+            F.lit(baseline).alias("baseline"), F.col(tn).alias("target_n"), tsh.alias("target_share"), F.col(bn).alias("base_n"),
+            bsh.alias("base_share"), change.alias("change"),
+            F.when(fresh, "new").when(change > 0, "up").otherwise("down").alias("direction"),
+            F.coalesce(moved | fresh, F.lit(False)).alias("_hit"),
+        )
+        for baseline, tn, tsh, bn, bsh, change, moved, fresh in checks
+    ]
+    name = _by_dimension(dims, {k: k for k in dims}).alias("check")
+    return wide.select(name, "dimension", "value", F.inline(F.array(*structs))).where("_hit").select(*ANOMALY_COLUMNS)
 
 
 def anomaly_counts(report: DataFrame) -> DataFrame:

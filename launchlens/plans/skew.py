@@ -119,11 +119,13 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
         F.count("*").alias("_n"),
     )
+    # below this size the pad is less than a few ranks, so the whole (small) group is the bracket
+    small = F.col("_n") <= 10 * accuracy
     brackets = sketch.select(
         *keys,
         "_n",
-        *[(F.col("_min") if lows[i] <= 0 else F.col("_s")[i]).alias(f"_lo{i}") for i in range(k)],
-        *[(F.col("_max") if highs[i] >= 1 else F.col("_s")[k + i]).alias(f"_hi{i}") for i in range(k)],
+        *[F.when(small | F.lit(lows[i] <= 0), F.col("_min")).otherwise(F.col("_s")[i]).alias(f"_lo{i}") for i in range(k)],
+        *[F.when(small | F.lit(highs[i] >= 1), F.col("_max")).otherwise(F.col("_s")[k + i]).alias(f"_hi{i}") for i in range(k)],
     )
     tagged = _join_null_safe(rows, brackets, keys)
     below = tagged.groupBy(*keys).agg(
