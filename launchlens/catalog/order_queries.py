@@ -37,7 +37,7 @@ SPEC = fl.SampleSpec(
     pay=("1996-03-01", "1998-09-30"), lock=("1996-06-01", "1999-12-31"), categories=("range_extender",), regions=("ASIA", "EUROPE", "AFRICA"),
     groups=tuple(GROUPS), attr_classes=("STANDARD", "PROMO"), exclude_refund=True, repeat_only=True, category_tokens=TOKENS,
 )
-ATTR = "at AS (SELECT p_name AS product, min(p_type) AS attr FROM part WHERE p_type <> 'ECONOMY' GROUP BY 1)".replace("at AS", "atr AS")
+ATTR = "atr AS (SELECT p_name AS product, arg_min(p_type, p_partkey) AS attr FROM part GROUP BY 1 HAVING arg_min(p_type, p_partkey) <> 'ECONOMY')"
 
 
 @query("sample_filter", f"""WITH {SQL_FO}, {ATTR}, rb AS (SELECT buyer_id FROM fo WHERE buyer_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1 AND min(invoice_time) < TIMESTAMP '1996-06-01')
