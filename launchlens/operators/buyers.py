@@ -274,6 +274,7 @@ def buyer_history(df: DataFrame, key: str = "id", null_keys: str = "strict") ->
     k = buyer_key(key)
     if null_keys == "shared":
         k = F.coalesce(k, F.lit("nan"))
+    invoice = F.col("invoice_time") if "invoice_time" in df.columns else F.lit(None)
     keyed = df.withColumn("_k", k)
     known = keyed.where(F.col("_k").isNotNull())
     pay = F.col("pay_time").cast("timestamp")
@@ -282,7 +283,7 @@ def buyer_history(df: DataFrame, key: str = "id", null_keys: str = "strict") ->
         ["_k"],
         micros("pay_time"),
         F.to_date(pay),
-        {"_prev_pay": ("max", pay), "_prev_invoice": ("max", F.col("invoice_time").cast("timestamp"))},
+        {"_prev_pay": ("max", pay), "_prev_invoice": ("max", invoice.cast("timestamp"))},
         ties=[F.col("order_id")],
     )
     counts = known.groupBy("_k").agg(F.count("*").alias("orders_of_buyer"))

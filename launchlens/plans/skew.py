@@ -37,20 +37,26 @@ def last_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, out: str = "ordinal"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, out: str = "ordinal", weight: str | None = None
 ) -> DataFrame:
     """1-based position inside each key group, counted piecewise per (key, bucket).
 
     The bucket must be monotone in the order. With no keys this is a whole-table
-    numbering in which no task sees more than one bucket of rows.
+    numbering in which no task sees more than one bucket of rows. With a weight column
+    the result is the sum of the weights of all rows before the row instead.
     """
     keys = list(keys)
     pieces = df.withColumn("_b", bucket)
-    sizes = pieces.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    one = F.count("*") if weight is None else F.sum(weight)
+    sizes = pieces.groupBy(*keys, "_b").agg(one.alias("_n"))
     before = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*[F.col(k) for k in keys], F.col("_b")).orderBy(*order)
-    numbered = pieces.withColumn("_rn", F.row_number().over(inside))
+    if weight is None:
+        local = F.row_number().over(inside)
+    else:
+        local = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = pieces.withColumn("_rn", local)
     return numbered.join(offsets, [*keys, "_b"]).select(*df.columns, (F.col("_off") + F.col("_rn")).alias(out))
 
 
