@@ -25,19 +25,25 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a temporary folder: on a cluster a
     machine-local folder would be lost with its executor.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is not None:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not hasattr(spark.sparkContext, "_launchlens_folder"):
+        spark.sparkContext._launchlens_folder = tempfile.mkdtemp(prefix="launchlens-")
+    return spark.sparkContext._launchlens_folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so a lost executor costs a re-read, not a recompute."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="launchlens-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

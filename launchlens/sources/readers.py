@@ -82,15 +82,21 @@ REGISTRY_SCHEMA = T.StructType(
 )
 
 
-def scan_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Agents from a JSON document {"data": [...]}: trimmed, all three keys present, the last duplicate kept."""
-    raw = spark.read.schema(REGISTRY_SCHEMA).option("multiLine", True).json(path)
-    rows = raw.select(F.posexplode("data").alias("_pos", "a")).select(
-        "_pos", *[F.trim(F.coalesce(F.col("a").getField(k), F.lit(""))).alias(v) for k, v in _REGISTRY_FIELDS.items()]
+def scan_registry(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Agents from JSON documents {"data": [...]}: trimmed, all three keys present, the last duplicate kept.
+
+    One document per file, or one per line (splittable) with multi_line off; files
+    count in the order of their names.
+    """
+    raw = spark.read.schema(REGISTRY_SCHEMA).option("multiLine", multi_line).json(path)
+    placed = raw.select("data", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    rows = placed.select("_file", "_block", "_line", F.posexplode("data").alias("_pos", "a")).select(
+        "_file", "_block", "_line", "_pos", *[F.trim(F.coalesce(F.col("a").getField(k), F.lit(""))).alias(v) for k, v in _REGISTRY_FIELDS.items()]
     )
     keys = ["agent_name", "agent_code", "agent_card"]
     full = rows.where((F.col("agent_name") != "") & (F.col("agent_code") != "") & (F.col("agent_card") != ""))
-    return last_row(full, keys, [F.col("_pos")]).drop("_pos")
+    order = ["_file", "_block", "_line", "_pos"]
+    return last_row(full, keys, [F.col(c) for c in order]).drop(*order)
 
 
 def _definition(spark: SparkSession, path: str) -> DataFrame:
