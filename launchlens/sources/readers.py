@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from launchlens.plans.skew import last_row
@@ -31,6 +32,9 @@ def scan_orders(
 
 # Encodings tried in order.
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030")
+# Charsets Spark's CSV reader takes, and the one that keeps every byte.
+SPARK_CHARSETS = ("utf-8", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32")
+BYTES = "iso-8859-1"
 
 
 def newest_file(spark: SparkSession, glob: str) -> str:
@@ -42,19 +46,32 @@ def newest_file(spark: SparkSession, glob: str) -> str:
     return row["p"]
 
 
+def _charset(encoding: str) -> str:
+    """What Spark's CSV reader is told: bytes are kept as they are for a charset it does not take."""
+    plain = "utf-8" if encoding == "utf-8-sig" else encoding.lower()
+    return plain if plain in SPARK_CHARSETS else BYTES
+
+
 def readable_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, lines: int = 2000) -> str:
     """First encoding under which the leading lines hold no replacement character.
 
     Only the choice of encoding looks at leading lines; the scan itself reads everything.
     """
-    for enc in encodings:
-        charset = "utf-8" if enc == "utf-8-sig" else enc
-        head = spark.read.option("encoding", charset).option("sep", "\u0001").csv(path).limit(lines)
-        if head.where(F.col(head.columns[0]).contains("�")).limit(1).count() == 0:
+    for enc in encodings[:-1]:
+        head = spark.read.option("encoding", _charset(enc)).option("sep", "\u0001").csv(path).limit(lines)
+        if head.where(F.col(head.columns[0]).contains("\ufffd")).limit(1).count() == 0:
             return enc
     return encodings[-1]
 
 
+def _decoder(encoding: str):
+    @F.pandas_udf("string")
+    def decode(text: pd.Series) -> pd.Series:
+        return text.map(lambda v: None if v is None else v.encode("latin-1").decode(encoding, "replace"))
+
+    return decode
+
+
 def scan_csv(
     spark: SparkSession,
     glob: str,
@@ -68,9 +85,17 @@ def scan_csv(
     """
     path = newest_file(spark, glob) if latest else glob
     enc = readable_encoding(spark, path, encodings)
-    reader = spark.read.option("header", True).option("encoding", "utf-8" if enc == "utf-8-sig" else enc)
+    charset = _charset(enc)
+    # a doubled quote is the escape: a backslash may be half of a character
+    reader = spark.read.option("header", True).option("encoding", charset).option("escape", '"')
     df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-    return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
+    if charset == BYTES:
+        decode = _decoder(enc)
+        names = df.columns if schema is not None else [c.encode("latin-1").decode(enc) for c in df.columns]
+        df = df.select(
+            *[(decode(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(n) for f, n in zip(df.schema.fields, names)]
+        )
+    return df.toDF(*[c.replace("\ufeff", "").strip() for c in df.columns])
 
 
 _REGISTRY_FIELDS = {
@@ -134,7 +159,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).option("encoding", "UTF-8").csv(path)
+        writer.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
     elif fmt == "json":
         writer.json(path)
     elif fmt == "parquet":
