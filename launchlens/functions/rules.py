@@ -90,9 +90,13 @@ def id_valid(col: str | Column) -> Column:
     """18 characters: 17 digits and the weighted mod-11 check character. Null or malformed is False."""
     c = F.upper(F.trim(as_col(col).cast("string")))
     well_formed = F.coalesce(c.rlike(r"^[0-9]{17}[0-9X]$"), F.lit(False))
-    total = F.lit(0)
-    for i, w in enumerate(ID_WEIGHTS):
-        total = total + (F.ascii(F.substring(c, i + 1, 1)) - 48) * w
-    # pmod keeps the index in range for the malformed rows the outer when() drops
+
+    def weighted(n: Column) -> Column:
+        place = lambda k: F.call_function("div", n, F.lit(10**k)) % 10
+        return sum((place(16 - i) * w for i, w in enumerate(ID_WEIGHTS)), F.lit(0))
+
+    # the one-element array binds the number once for all seventeen terms
+    number = F.substring(c, 1, 17).try_cast("bigint")
+    total = F.element_at(F.transform(F.array(number), weighted), 1)
     expected = F.element_at(F.array(*[F.lit(x) for x in ID_CHECK_CHARS]), (F.pmod(total, F.lit(11)) + 1).cast("int"))
     return F.when(well_formed, F.substring(c, 18, 1) == expected).otherwise(F.lit(False))

@@ -285,14 +285,13 @@ def buyer_history(df: DataFrame, key: str = "id", null_keys: str = "strict") ->
         F.to_date(pay),
         {"_prev_pay": ("max", pay), "_prev_invoice": ("max", invoice.cast("timestamp"))},
         ties=[F.col("order_id")],
+        count_as="orders_of_buyer",
     )
-    counts = known.groupBy("_k").agg(F.count("*").alias("orders_of_buyer"))
-    full = linked.join(counts, "_k")
     none_t, none_l = F.lit(None).cast("timestamp"), F.lit(1).cast("long")
     unknown = keyed.where(F.col("_k").isNull()).select(
         "*", none_t.alias("_prev_pay"), none_t.alias("_prev_invoice"), none_l.alias("orders_of_buyer")
     )
-    rows = full.unionByName(unknown)
+    rows = linked.unionByName(unknown)
     valid_invoice = F.when(F.col("_prev_invoice") < pay, F.col("_prev_invoice"))
     repeat = F.coalesce(F.col("_prev_pay") < pay, F.lit(False)) | valid_invoice.isNotNull()
     return rows.select(

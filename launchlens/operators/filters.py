@@ -90,10 +90,10 @@ def filter_funnel(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFra
 def id_quality(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Valid, malformed and missing identity numbers with the valid share."""
     blank = F.col(col).isNull() | (F.trim(F.col(col).cast("string")) == "")
-    ok = id_valid(col)
+    state = F.when(blank, "missing").when(id_valid(col), "valid").otherwise("malformed")
+    n = lambda s: count_if(F.col("_state") == s).alias(s)
     return (
-        df.groupBy(*by)
-        .agg(F.count("*").alias("orders"), count_if(ok).alias("valid"), count_if(blank).alias("missing"), count_if(~ok & ~blank).alias("malformed"))
+        df.select(*by, state.alias("_state")).groupBy(*by).agg(F.count("*").alias("orders"), n("valid"), n("missing"), n("malformed"))
         .withColumn("valid_share", ratio(F.col("valid"), F.col("orders")))
     )
 

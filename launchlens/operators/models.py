@@ -91,15 +91,19 @@ class TargetFreqEncoder:
     def fit(self, df: DataFrame, label: str = "purchase") -> TargetFreqModel:
         structs = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias("value")) for c in self.cols]
         y = F.col(label).cast("double").alias("y")
-        counts = df.select(y, F.inline(F.array(*structs))).groupBy("column", "value").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
-        totals = df.agg(F.avg(y).alias("g"), F.count("*").alias("n")).first()
-        g, total = totals["g"] if totals["g"] is not None else 0.5, max(totals["n"], 1)
+        counts = cut_lineage(
+            df.select(y, F.inline(F.array(*structs))).groupBy("column", "value").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+        )
+        # every column's categories add up to all rows
+        totals = counts.where(F.col("column") == self.cols[0]).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+        total = totals["n"] or 1
+        g = totals["s"] / total if totals["s"] is not None else 0.5
         mapping = counts.select(
             "column", "value",
             ((F.col("s") + self.alpha * g) / (F.col("n") + self.alpha)).alias("te"),
             (F.col("n") / F.lit(float(total))).alias("fe"),
         )
-        return TargetFreqModel(list(self.cols), g, cut_lineage(mapping))
+        return TargetFreqModel(list(self.cols), g, mapping)
 
 
 def uniform(key: str, seed: int) -> Column:

@@ -68,21 +68,25 @@ def running_extreme(
     values: dict[str, tuple[str, Column]],
     ties: Sequence[Column] | None = None,
     later: bool = False,
+    count_as: str | None = None,
 ) -> DataFrame:
     """Adds, per output name, the min or max of a column over the rows before each row.
 
     `values` maps output name to ('min' | 'max', column). `later=True` looks at the
     rows after instead. Without `ties` only strictly earlier positions count (`pos`
     numeric); with `ties` rows are ordered by (pos, ties) and all earlier rows count.
+    `count_as` also adds the number of rows of the key.
     """
     keys = list(keys)
     fns = {"min": F.min, "max": F.max}
     pick = {"min": F.least, "max": F.greatest}
     pieces = df.withColumn("_b", bucket).withColumn("_p", as_col(pos) if not later else -as_col(pos))
     side = F.col("_b").desc() if later else F.col("_b").asc()
-    per = pieces.groupBy(*keys, "_b").agg(*[fns[f](c).alias(f"_m_{o}") for o, (f, c) in values.items()])
-    prev = Window.partitionBy(*keys).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(*keys, "_b", *[fns[f](f"_m_{o}").over(prev).alias(f"_c_{o}") for o, (f, _) in values.items()])
+    per = pieces.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), *[fns[f](c).alias(f"_m_{o}") for o, (f, c) in values.items()])
+    whole = Window.partitionBy(*keys)
+    prev = whole.orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.sum("_n").over(whole).alias(count_as)] if count_as else []
+    carry = per.select(*keys, "_b", *totals, *[fns[f](f"_m_{o}").over(prev).alias(f"_c_{o}") for o, (f, _) in values.items()])
     inside = Window.partitionBy(*keys, "_b")
     if ties is None:
         inside = inside.orderBy("_p").rangeBetween(Window.unboundedPreceding, -1)
@@ -91,7 +95,9 @@ def running_extreme(
     local = pieces.select("*", *[fns[f](c).over(inside).alias(f"_w_{o}") for o, (f, c) in values.items()])
     merged = local.join(carry, [*keys, "_b"])
     return merged.select(
-        *df.columns, *[pick[f](F.col(f"_c_{o}"), F.col(f"_w_{o}")).alias(o) for o, (f, _) in values.items()]
+        *df.columns,
+        *([count_as] if count_as else []),
+        *[pick[f](F.col(f"_c_{o}"), F.col(f"_w_{o}")).alias(o) for o, (f, _) in values.items()],
     )
 
 
@@ -103,19 +109,25 @@ def previous_value(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000, small_domain: int = 200_000
 ) -> DataFrame:
     """Linearly interpolated exact quantiles per group as columns q0, q1, ... (one per prob).
 
-    The built-in percentile keeps every distinct value of a group in one buffer. Here a
-    mergeable sketch first brackets each wanted rank (its rank error is bounded by
-    1/accuracy of the group), then only the values inside the brackets are counted and
-    ordered; everything below a bracket is just counted.
+    The built-in percentile keeps every distinct value of a group in one buffer, so it is
+    used, over counted values, only where a sketch finds few distinct values. Otherwise a
+    mergeable sketch brackets each wanted rank (its rank error is bounded by 1/accuracy of
+    the group), and only the values inside the brackets are counted and ordered;
+    everything below a bracket is just counted.
     """
     keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
     key_cols = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
     rows = df.select(*key_cols, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     k = len(probs)
+    domain = rows.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0] or 0
+    if domain <= small_domain:
+        counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+        out = counted.groupBy(*keys).agg(F.percentile("_v", list(probs), F.col("_c")).alias("_q"))
+        return out.select(*[F.col(kk).alias(c) for kk, c in zip(keys, by)], *[F.col("_q")[i].alias(f"q{i}") for i in range(k)])
     pad = 4.0 / accuracy
     lows = [max(0.0, p - pad) for p in probs]
     highs = [min(1.0, p + pad) for p in probs]
