@@ -13,6 +13,7 @@ from launchlens.catalog.mining_queries import config
 from launchlens.catalog.registry import query, r
 from launchlens.operators import causal as ca
 from launchlens.operators import models as mo
+from launchlens.plans.skew import with_row
 from launchlens.session import cut_lineage
 
 RULES = (("BUILD", 5000.0), ("MACH", 2000.0))
@@ -120,8 +121,7 @@ def psm_effect(spark, sf):
     after = ca.smd(ca.matched_rows(rows, pairs), "treated", PSM_SPEC.numeric)
     both = ca.balance(ca.smd(rows, "treated", PSM_SPEC.numeric), after)
     effect = ca.att(ca.paired_outcomes(rows, pairs, "purchase"), "treated_outcome", "control_outcome")
-    one = F.lit(1).alias("_one")
-    return both.select("*", one).join(effect.select("*", one), "_one").drop("_one")
+    return with_row(both, effect)
 
 
 def _sm(f: str) -> str:

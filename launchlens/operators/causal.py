@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from launchlens.operators.models import FeatureSpec, classifiers, fit_classifier
-from launchlens.plans.skew import ordinal
+from launchlens.plans.skew import ordinal, with_row
 from launchlens.session import cut_lineage
 
 # Widths of the score cells tried inside the caliper, finest first.
@@ -94,9 +94,8 @@ def smd(df: DataFrame, treat: str, features: Sequence[str]) -> DataFrame:
 
 def balance(before: DataFrame, after: DataFrame, limit: float = 0.1) -> DataFrame:
     """Largest SMD before and after matching and the share of features below the limit after."""
-    a = before.agg(F.max("smd").alias("max_before"), F.lit(1).alias("_one"))
-    b = after.agg(F.max("smd").alias("max_after"), F.avg((F.col("smd") < limit).cast("double")).alias("share_below"), F.lit(1).alias("_one"))
-    return a.join(b, "_one").drop("_one")
+    a = before.agg(F.max("smd").alias("max_before"))
+    return with_row(a, after.agg(F.max("smd").alias("max_after"), F.avg((F.col("smd") < limit).cast("double")).alias("share_below")))
 
 
 def att(pairs: DataFrame, treated_outcome: str, control_outcome: str) -> DataFrame:

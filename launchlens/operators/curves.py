@@ -15,13 +15,14 @@ from launchlens.functions.semantics import (
     day_index,
     days_from_end,
     in_period,
-    interval_days,
     midnight,
     plus_days,
     ratio,
     rel_change,
 )
-from launchlens.operators.periods import group_period, period_slice, presale
+from launchlens.operators.periods import group_period, period_slice
+from launchlens.plans.skew import with_row
+from launchlens.session import cut_lineage
 
 UP = Window.unboundedPreceding
 
@@ -81,6 +82,8 @@ def period_daily(df: DataFrame, periods: DataFrame) -> DataFrame:
         .groupBy("period", "start_date", "end_date", "date")
         .agg(F.sum("o").alias("orders"), F.sum("r").alias("refunds"))
     )
+    # launches x days rows, read by several comparisons: materialised once
+    days = cut_lineage(days)
     upto = _by("period").orderBy("date").rowsBetween(UP, 0)
     return days.select(
         "period",
@@ -148,9 +151,8 @@ def aligned_cum_anomaly(days: DataFrame, target: str, threshold: float = 1.0) ->
         "day", "date", F.col("cum_orders").alias("target_cum")
     )
     others = days.where(F.col("period") != target)
-    one = F.lit(1).alias("_one")
-    # launches x target days: both sides are rows of the period table's own size
-    wanted = t.select("day", one).join(others.select("period", one).distinct(), "_one")
+    names = others.agg(F.collect_set("period")).scalar()  # one entry per launch
+    wanted = t.select("day", F.explode(names).alias("period"))
     asked = _cum_as_of(others, wanted)
     base = asked.where(F.col("cum_orders") > 0).select("day", F.col("period").alias("base"), F.col("cum_orders").alias("base_cum"))
     return (
@@ -268,8 +270,7 @@ def refund_rate_jump(days: DataFrame, target: str, floor_pct: float = 20.0, fact
         F.count("*").alias("launches"),
         F.avg(F.abs(rel_change(F.col("_now"), F.col("_before")) * 100)).alias("mean_history_change_pct"),
     )
-    one = F.lit(1).alias("_one")
-    row = current.select("*", one).join(previous.select("*", one), "_one").join(history.select("*", one), "_one")
+    row = with_row(with_row(current, previous), history)
     change = ratio(F.col("current_rate_pct") - F.col("previous_rate_pct"), F.col("previous_rate_pct")) * 100
     threshold = F.greatest(F.lit(floor_pct), F.coalesce(F.col("mean_history_change_pct") * factor, F.lit(floor_pct)))
     return row.select(
@@ -307,8 +308,7 @@ def cohort_refund_aligned(df: DataFrame, periods: DataFrame, target: str) -> Dat
     offset = F.datediff(F.to_date("pay_time"), "start_date")
     observed = sliced.where(F.col("period") == target).agg(F.max(offset).alias("_obs"))
     days = (
-        sliced.select("period", "start_date", "refund_time", offset.alias("day_offset"), F.lit(1).alias("_one"))
-        .join(observed.withColumn("_one", F.lit(1)), "_one")
+        sliced.select("period", "start_date", "refund_time", offset.alias("day_offset")).withColumn("_obs", observed.scalar())
         .groupBy("period", "day_offset")
         .agg(
             F.count("*").alias("orders"),
@@ -437,9 +437,9 @@ def post_launch_locks(df: DataFrame, periods: DataFrame, target: str, as_of: str
     """
     n_days = (
         periods.where(F.col("grp") == target)
-        .select((F.datediff(F.lit(as_of).cast("date"), "end_date") - 1).alias("n_days"), F.lit(1).alias("_one"))
+        .select(F.datediff(F.lit(as_of).cast("date"), "end_date") - 1)
     )
-    sliced = period_slice(df, periods).withColumn("_one", F.lit(1)).join(n_days, "_one")
+    sliced = period_slice(df, periods).withColumn("n_days", n_days.scalar())
     lock = F.to_date("lock_time")
     last = F.date_add("end_date", F.col("n_days"))
     on_day, upto = lock == last, (lock >= F.col("end_date")) & (lock <= last)

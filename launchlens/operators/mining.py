@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from launchlens.functions.semantics import ratio
-from launchlens.plans.skew import exact_quantiles
+from launchlens.plans.skew import exact_quantiles, with_row
 from launchlens.session import cut_lineage
 
 ALL = "all"
@@ -175,12 +175,11 @@ def onehot_support(df: DataFrame, columns: Sequence[str], min_support: float = 0
     """Text values that become one-hot features: (column, value, n, share), nulls counted as 'NA'."""
     structs = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("value")) for c in columns]
     counts = df.select(F.inline(F.array(*structs))).groupBy("column", "value").agg(F.count("*").alias("n"))
-    share = ratio(F.col("n"), F.sum("n").over(Window.partitionBy("column")))
+    totals = counts.groupBy("column").agg(F.sum("n").alias("_rows"))
+    # at most 1 / min_support values per column are left to be ranked
+    kept = counts.join(totals, "column").withColumn("share", ratio(F.col("n"), F.col("_rows"))).where(F.col("share") >= min_support)
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
-    return (
-        counts.withColumn("share", share).withColumn("_r", place)
-        .where((F.col("share") >= min_support) & (F.col("_r") <= max_categories)).drop("_r")
-    )
+    return kept.withColumn("_r", place).where(F.col("_r") <= max_categories).select("column", "value", "n", "share")
 
 
 def interactions(
@@ -195,14 +194,13 @@ def interactions(
     order = ranked.agg(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["item"]).alias("_top"))  # at most `top` items
     parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NA"))) for c in columns]
     rows = df.select(F.array(*parts).alias("items")).groupBy("items").agg(F.count("*").alias("n"))
-    one = F.lit(1).alias("_one")
-    placed = rows.select("*", one).join(order.select("*", one), "_one").select(
+    placed = with_row(rows, order).select(
         "n", F.transform(F.filter(F.transform("items", lambda x: F.array_position("_top", x)), lambda p: p > 0), lambda p: p.cast("int")).alias("_p"), "_top"
     )
-    total = df.agg(F.count("*").alias("rows"), F.lit(1).alias("_one"))
+    total = df.agg(F.count("*").alias("rows"))
     pairs = _combinations(F.array_sort("_p"), 2)
     counts = placed.select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
-    named = counts.select("*", one).join(total, "_one").join(order.select("*", one), "_one")
+    named = with_row(with_row(counts, total), order)
     out = named.select(
         F.col("p")[0].alias("rank_a"), F.col("p")[1].alias("rank_b"),
         F.element_at("_top", F.col("p")[0]).alias("a"), F.element_at("_top", F.col("p")[1]).alias("b"),

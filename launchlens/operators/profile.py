@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from launchlens.functions.semantics import count_if, ratio
-from launchlens.plans.skew import exact_quantiles
+from launchlens.plans.skew import exact_quantiles, with_row
 
 _DATE_WORDS = ("time", "date", "时间", "日期")
 
@@ -56,16 +56,13 @@ def quality_grade(completeness_pct: Column) -> Column:
 
 def profile_table(df: DataFrame) -> DataFrame:
     """One row: rows, columns, columns per type class, completeness, duplicates, grade."""
-    per_column = profile_columns(df)
     n_cols = len(df.columns)
     classes = [type_class(f) for f in df.schema.fields]
-    one = F.lit(1).alias("_one")
-    rows = df.agg(F.count("*").alias("rows")).select("rows", one)
-    nulls = per_column.agg(F.sum("nulls").alias("null_cells")).select("null_cells", one)
-    dup = duplicate_rows(df).select("duplicate_rows", one)
+    known = sum((F.count(F.col(f"`{c}`")) for c in df.columns), F.lit(0))
+    rows = df.agg(F.count("*").alias("rows"), (F.count("*") * n_cols - known).alias("null_cells"))
     cells = F.col("rows") * n_cols
     complete = (F.lit(1.0) - ratio(F.col("null_cells"), cells)) * 100
-    return rows.join(nulls, "_one").join(dup, "_one").select(
+    return with_row(rows, duplicate_rows(df)).select(
         "rows", F.lit(n_cols).alias("columns"),
         *[F.lit(classes.count(k)).alias(f"{k}_columns") for k in ("numeric", "datetime", "text")],
         "null_cells", complete.alias("completeness_pct"), "duplicate_rows", quality_grade(complete).alias("grade"),
@@ -106,8 +103,8 @@ def null_profile(df: DataFrame, key: str, col: str, k: int = 10) -> DataFrame:
             )
         )
     )
-    top = counts.where(F.col("v").isNotNull()).orderBy(F.col("n").desc(), "v").limit(k).withColumn("_one", F.lit(1))
-    tops = top.join(head.withColumn("_one", F.lit(1)), "_one").select(
+    top = counts.where(F.col("v").isNotNull()).orderBy(F.col("n").desc(), "v").limit(k)
+    tops = with_row(top, head).select(
         F.lit("top").alias("section"), F.col("v").cast("string").alias("value"), "n", ratio(F.col("n"), F.col("rows")).alias("share")
     )
     return totals.unionByName(tops)

@@ -14,12 +14,11 @@ def _first_known(value: str) -> Column:
     return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct("create_time", "order_id")))
 
 
-def as_of_table(df: DataFrame, as_of: str | None) -> DataFrame:
+def observed_at(df: DataFrame, as_of: str | None) -> Column:
     """The observation time: given, or the last order's."""
-    one = F.lit(1).alias("_one")
     if as_of is None:
-        return df.agg(F.max(F.col("create_time").cast("timestamp")).alias("_as_of")).select("_as_of", one)
-    return df.sparkSession.range(1).select(F.lit(as_of).cast("timestamp").alias("_as_of"), one)
+        return df.agg(F.max(F.col("create_time").cast("timestamp"))).scalar()
+    return F.lit(as_of).cast("timestamp")
 
 
 def store_status(df: DataFrame, as_of: str | None = None, threshold: int = 30) -> DataFrame:
@@ -33,7 +32,7 @@ def store_status(df: DataFrame, as_of: str | None = None, threshold: int = 30) -
         F.count("lock_time").alias("locks"),
         F.max("lock_time").alias("last_lock_time"),
     )
-    rows = stores.withColumn("_one", F.lit(1)).join(as_of_table(df, as_of), "_one").drop("_one")
+    rows = stores.withColumn("_as_of", observed_at(df, as_of))
     since = interval_days("last_order_time", "_as_of")
     opened = F.coalesce(F.col("store_created").cast("timestamp") <= F.col("_as_of"), F.lit(False))
     status = F.when(~opened, "not_open").when(since > threshold, "suspected_closed").otherwise("active")

@@ -6,7 +6,6 @@ All checks return typed long rows; each reads its orders once.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -111,15 +110,11 @@ def refund_dod(
     check: str = "refund_day_over_day",
 ) -> DataFrame:
     """Refunds per value on the latest pay date against the day before, for every dimension."""
-    one = F.lit(1).alias("_one")
-    if as_of is None:
-        latest = orders.agg(F.max(F.to_date("pay_time")).alias("_latest")).select("_latest", one)
-    else:
-        latest = orders.sparkSession.range(1).select(F.lit(as_of).cast("date").alias("_latest"), one)
+    latest = orders.agg(F.max(F.to_date("pay_time"))).scalar() if as_of is None else F.lit(as_of).cast("date")
     day = F.to_date("refund_time")
     rows = long_values(orders.where(F.col("refund_time").isNotNull()), dims, [day.alias("_day")])
     counts = rows.where(F.col("value").isNotNull()).groupBy("dimension", "value", "_day").agg(F.count("*").alias("n"))
-    joined = counts.withColumn("_one", F.lit(1)).join(latest, "_one")
+    joined = counts.withColumn("_latest", latest)
     compared = joined.groupBy("dimension", "value").agg(
         F.coalesce(F.sum(F.when(F.col("_day") == F.col("_latest"), F.col("n"))), F.lit(0)).alias("target_n"),
         F.coalesce(F.sum(F.when(F.col("_day") == F.date_sub("_latest", 1), F.col("n"))), F.lit(0)).alias("base_n"),
@@ -154,11 +149,18 @@ def ab_shift(
 
     `regions` restricts both samples to parent regions and leaves the parent dimension out.
     """
-    both = ab_union(a, b)
     if regions:
-        both = both.where(F.col(region_col).isin(list(regions)))
-        dims = [d for d in dims if d != region_col]
-    rows = long_values(both, dims, ["sample"]).where(F.col("value").isNotNull())
+        inside = F.col(region_col).isin(list(regions))
+        a, b, dims = a.where(inside), b.where(inside), [d for d in dims if d != region_col]
+    return _ab_checks(a, b, {check: (dims, threshold, floor)}, count_threshold)
+
+
+def _ab_checks(
+    a: DataFrame, b: DataFrame, checks: dict[str, tuple[Sequence[str], float, float | None]], count_threshold: float
+) -> DataFrame:
+    """All checks over one counting of both samples; `checks` maps name to (dims, threshold, floor)."""
+    dims = {name: list(c[0]) for name, c in checks.items()}
+    rows = long_values(ab_union(a, b), [x for d in dims.values() for x in d], ["sample"]).where(F.col("value").isNotNull())
     is_a = F.col("sample") == "A"
     counts = rows.groupBy("dimension", "value").agg(count_if(is_a).alias("a_n"), count_if(~is_a).alias("b_n"))
     w = Window.partitionBy("dimension")
@@ -167,8 +169,10 @@ def ab_shift(
         ratio(F.col("a_n"), F.sum("a_n").over(w)).alias("a_share"),
         ratio(F.col("b_n"), F.sum("b_n").over(w)).alias("b_share"),
     )
-    seen = F.col("a_share") > floor if floor is not None else F.lit(True)
-    moved = (F.col("b_share") > 0) & seen & (F.abs(rel_change(F.col("a_share"), F.col("b_share"))) > threshold)
+    floors = _by_dimension(dims, {name: -1.0 if c[2] is None else c[2] for name, c in checks.items()})
+    threshold = _by_dimension(dims, {name: c[1] for name, c in checks.items()})
+    change = rel_change(F.col("a_share"), F.col("b_share"))
+    moved = (F.col("b_share") > 0) & (F.col("a_share") > floors) & (F.abs(change) > threshold)
     count_change = rel_change(F.col("a_n"), F.col("b_n"))
     counted = F.when(F.col("b_n") > 0, F.abs(count_change) > count_threshold).otherwise(F.col("a_n") > 0)
     flagged = shared.withColumn("structure_flag", F.coalesce(moved, F.lit(False))).withColumn("count_flag", counted)
@@ -179,8 +183,8 @@ def ab_shift(
         .otherwise("count")
     )
     return flagged.where(F.col("structure_flag") | F.col("count_flag")).select(
-        F.lit(check).alias("check"), "dimension", "value", kind.alias("kind"), "a_n", "b_n", "a_share", "b_share",
-        (F.col("a_share") - F.col("b_share")).alias("change"), count_change.alias("relative_change"),
+        _by_dimension(dims, {name: name for name in dims}).alias("check"), "dimension", "value", kind.alias("kind"),
+        "a_n", "b_n", "a_share", "b_share", (F.col("a_share") - F.col("b_share")).alias("change"), count_change.alias("relative_change"),
     )
 
 
@@ -250,11 +254,7 @@ AB_THRESHOLDS = {"region": 0.10, "channel": 0.15, "gender": 0.10, "age": 0.15}
 
 def ab_report(a: DataFrame, b: DataFrame, dims: dict[str, Sequence[str]]) -> DataFrame:
     """All A/B shift checks in one table; `dims` maps region / channel / gender / age to columns."""
-    parts = [
-        ab_shift(a, b, cols, AB_THRESHOLDS[name], floor=None if name == "gender" else 0.01, check=name)
-        for name, cols in dims.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return _ab_checks(a, b, {n: (cols, AB_THRESHOLDS[n], None if n == "gender" else 0.01) for n, cols in dims.items()}, 0.5)
 
 
 def counts_by_kind(report: DataFrame, keys: Sequence[str] = ("check", "kind")) -> DataFrame:
@@ -286,10 +286,8 @@ def launch_checks(
     """
     all_dims = [c for cols in dims.values() for c in cols]
     wanted = sliced.where(F.col("period").isin([target, *history]))
-    one = F.lit(1).alias("_one")
-    own = sliced.where(F.col("period") == target)
-    latest = own.agg(F.max(F.to_date("pay_time")).alias("_latest")).select("_latest", one)
-    rows = long_values(wanted, all_dims, ["period", F.to_date("refund_time").alias("_day"), one]).join(latest, "_one")
+    latest = sliced.where(F.col("period") == target).agg(F.max(F.to_date("pay_time"))).scalar()
+    rows = long_values(wanted, all_dims, ["period", F.to_date("refund_time").alias("_day")]).withColumn("_latest", latest)
     counts = rows.groupBy("period", "dimension", "value").agg(
         F.count("*").alias("n"),
         F.count("_day").alias("refunded"),

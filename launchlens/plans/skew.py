@@ -185,6 +185,12 @@ def _join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFram
     return a.join(renamed, cond).drop(*[f"{c}_r" for c in keys])
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table to every row, as a scalar subquery rather than a join."""
+    packed = row.select(F.struct(*row.columns).alias("_r")).scalar()
+    return df.withColumn("_r", packed).select(*df.columns, "_r.*")
+
+
 def count_stats(counts: DataFrame, by: Sequence[str], value: str, n: str = "n") -> DataFrame:
     """Descriptive statistics from (value, count) rows of a small value domain such as whole days.
 
