@@ -136,7 +136,7 @@ def test_identity_numbers(spark):
 
 
 def test_classifiers(spark):
-    df = spark.createDataFrame([(None,), (" ",), ("LS6 52 Max",), ("LS6 Max",)], "c string")
+    df = spark.createDataFrame([(None,), (" ",), ("X1 52 Max",), ("X1 Max",)], "c string")
     assert [r[0] for r in df.select(rules.product_category("c")).collect()] == ["unknown", "unknown", "range_extender", "battery"]
     df = spark.createDataFrame([("线上FAC",), ("FAC一区",), ("华东",), (None,)], "c string")
     assert [r[0] for r in df.select(rules.region_type("c")).collect()] == ["virtual", "fac", "traditional", "unknown"]
