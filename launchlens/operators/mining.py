@@ -22,11 +22,19 @@ def _class_col(by: str | None) -> Column:
     return F.col(by).cast("string") if by else F.lit(ALL)
 
 
-def column_kinds(df: DataFrame, columns: Sequence[str], small_int: int = 10) -> dict[str, str]:
-    """flag, binary, category or binned per column.
+def _numeric_long(df: DataFrame, by: str | None, numeric: Sequence[str]) -> DataFrame:
+    structs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in numeric]
+    return df.select(_class_col(by).alias("cls"), F.inline(F.array(*structs))).where(F.col("v").isNotNull())
+
 
-    Integers need their distinct values counted: (column, value) pairs are made distinct
-    on the cluster and one row per column comes back.
+def column_kinds(
+    df: DataFrame, columns: Sequence[str], by: str | None = None, small_int: int = 10, small_domain: int = 200_000
+) -> tuple[dict[str, str], DataFrame | None]:
+    """flag, binary, category or binned per column, and the tercile edges of the binned ones per class.
+
+    A sketch tells numeric columns with many values, which can only be binned. The values of
+    the others are counted once; both their kind and their edges come from the counts,
+    and one row per column reaches the driver.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     kinds = {}
@@ -37,29 +45,34 @@ def column_kinds(df: DataFrame, columns: Sequence[str], small_int: int = 10) ->
             kinds[c] = "category"
     numeric = [c for c in columns if c not in kinds]
     if not numeric:
-        return kinds
-    structs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in numeric]
-    values = df.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull()).distinct()
-    seen = {
-        row["c"]: row
-        for row in values.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    }
-    for c in numeric:
-        row = seen.get(c)
-        integral = isinstance(types[c], T.IntegralType)
-        if row is None or (row["n"] <= 2 and row["lo"] in (0.0, 1.0) and row["hi"] in (0.0, 1.0)):
-            kinds[c] = "binary"
-        else:
-            kinds[c] = "category" if integral and row["n"] <= small_int else "binned"
-    return kinds
-
-
-def _bin_edges(df: DataFrame, by: str | None, binned: Sequence[str]) -> DataFrame:
-    """One row per class with the two inner tercile edges of every binned column."""
-    structs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in binned]
-    rows = df.select(_class_col(by).alias("cls"), F.inline(F.array(*structs)))
-    q = exact_quantiles(rows, ["cls", "c"], "v", [1 / 3, 2 / 3])
-    return q.groupBy("cls").agg(
+        return kinds, None
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in numeric]).first()
+    many = [c for c in numeric if sizes[c] > small_domain]
+    few = [c for c in numeric if c not in many]
+    kinds.update({c: "binned" for c in many})
+    edges = None
+    if few:
+        counts = cut_lineage(_numeric_long(df, by, few).groupBy("cls", "c", "v").agg(F.count("*").alias("n")))
+        values = counts.select("c", "v").distinct().groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        seen = {row["c"]: row for row in values.collect()}
+        for c in few:
+            row = seen.get(c)
+            if row is None or (row["n"] <= 2 and row["lo"] in (0.0, 1.0) and row["hi"] in (0.0, 1.0)):
+                kinds[c] = "binary"
+            else:
+                kinds[c] = "category" if isinstance(types[c], T.IntegralType) and row["n"] <= small_int else "binned"
+        q = F.percentile("v", [1 / 3, 2 / 3], F.col("n"))
+        binned = counts.where(F.col("c").isin([c for c in few if kinds[c] == "binned"]))
+        edges = binned.groupBy("cls", "c").agg(q.alias("_q")).select("cls", "c", F.col("_q")[0].alias("q0"), F.col("_q")[1].alias("q1"))
+    if many:
+        wide = exact_quantiles(_numeric_long(df, by, many), ["cls", "c"], "v", [1 / 3, 2 / 3], small_domain=small_domain)
+        edges = wide if edges is None else edges.unionByName(wide)
+    return kinds, edges
+
+
+def _edges_per_class(edges: DataFrame, binned: Sequence[str]) -> DataFrame:
+    """One row per class with the two inner edges of every binned column."""
+    return edges.groupBy("cls").agg(
         *[F.max(F.when(F.col("c") == c, F.col(f"q{k}"))).alias(f"_e{k}_{i}") for i, c in enumerate(binned) for k in (0, 1)]
     )
 
@@ -73,11 +86,11 @@ def itemize(
     three quantile bins; nulls are a value of their own. Values below min_support or
     beyond max_categories per column are dropped.
     """
-    kinds = column_kinds(df, columns)
+    kinds, edges = column_kinds(df, columns, by)
     binned = [c for c in columns if kinds[c] == "binned"]
     rows = df.withColumn("cls", _class_col(by)).where(F.col("cls").isNotNull())
     if binned:
-        rows = rows.join(_bin_edges(df, by, binned), "cls", "left")
+        rows = rows.join(_edges_per_class(edges, binned), "cls", "left")
     parts = []
     for c in columns:
         v = F.col(c)

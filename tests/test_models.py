@@ -139,6 +139,18 @@ def test_itemsets_and_rules(spark):
     assert abs(r["lift"] * (r["support"] - r["leverage"]) - r["support"]) < 1e-9
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_bins_from_counts_and_from_brackets(spark, small):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g in "ab" for v in rng.normal(size=500)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    kinds, edges = mi.column_kinds(df, ["g", "v"], "g", small_domain=small)
+    assert kinds == {"g": "category", "v": "binned"}
+    for r in edges.collect():
+        want = np.quantile([v for g, v in rows if g == r["cls"]], [1 / 3, 2 / 3])
+        assert np.allclose([r["q0"], r["q1"]], want)
+
+
 def test_mix_inference(spark):
     rng = np.random.default_rng(9)
     rows = [(int(k), float(a), str(g), int(a < 40)) for k, (a, g) in enumerate(zip(rng.integers(20, 60, 800), rng.choice(["m", "f"], 800)))]
