@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from launchlens.llm import chat, packing, quality_rules, url_filters
+from launchlens.llm import bpe, chat, context_mixing, licenses, packing, quality_model, quality_rules, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ OP2_SQL = chat.oracle(
 )
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
@@ -36,9 +40,24 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    path = tok.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), path, tok.PATTERN, with_ids=False)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_format, op5_url_filter, op6_quality_rules, op10_length_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_format, op4_context_mixing, op5_url_filter, op6_quality_rules, op7_bpe, op8_quality_classifier, op9_license_scan, op10_length_packing)}
 ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_url_filter": url_filters.oracle()}
