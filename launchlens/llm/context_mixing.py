@@ -1,7 +1,7 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A byte is coded as the bits of its place in a code tree, one tree for each byte that can stand before it.
-Each bit is predicted from four contexts: the last two, three and four bytes, and the word so far
+Each bit is predicted from six contexts: the last two to six bytes, and the word so far
 with the byte before it. A predictor is a hashed table of bit counts, summed over all
 training texts. Their log odds are combined by weights that a gate selects, the gate being
 the bit's depth and which predictors have seen their context; a last table corrects the mix by the byte before
@@ -23,11 +23,11 @@ from launchlens.session import cut_lineage
 #: The byte that ends every text; it never occurs in UTF-8.
 END = 255
 #: Slots of each predictor's table as a power of two, and slots that one row of partial counts covers.
-SLOT_BITS, PART_BITS = 21, 14
-N_CONTEXTS = 4
+SLOT_BITS, PART_BITS = 22, 14
+N_CONTEXTS = 6
 MAX_DEPTH = 30
 #: The mixer is fitted on so many training texts of at most so many bytes, the first by a hash of doc_id.
-MIXER_DOCS, MIXER_DOC_BYTES = 400, 20_000
+MIXER_DOCS, MIXER_DOC_BYTES = 250, 10_000
 #: Partial tables that one task adds up; more are added in rounds.
 FAN_IN = 64
 GATES = MAX_DEPTH * 8
@@ -83,12 +83,14 @@ def before(data: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
 
 def contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The byte before each byte, and the N_CONTEXTS hashed contexts (uint32)."""
-    p = [before(data, first, k).astype(np.uint32) for k in (1, 2, 3, 4)]
+    p = [before(data, first, k).astype(np.uint32) for k in range(1, 7)]
     with np.errstate(over="ignore"):
         two = (p[0] | p[1] << np.uint32(8)) * np.uint32(0x2545F491)
-        three = (p[0] | p[1] << np.uint32(8) | p[2] << np.uint32(16)) * np.uint32(0xB5297A4D)
-        four = (p[0] | p[1] << np.uint32(8) | p[2] << np.uint32(16) | p[3] << np.uint32(24)) * np.uint32(0x68E31DA5)
-        four ^= four >> np.uint32(15)
+        orders, h = [], two
+        for k in range(2, 6):
+            h = (h + p[k] + np.uint32(1)) * np.uint32(0xB5297A4D)
+            h ^= h >> np.uint32(15)
+            orders.append(h)
         # the word so far: a sum of byte times a value of its place, taken from running totals
         space = W.byte_classes()[data] == 0
         new = space | (data == END)
@@ -100,7 +102,7 @@ def contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.n
         word = total - np.repeat(total[starts], np.diff(np.concatenate([starts, [len(data)]])))
         word = (word ^ p[0]) * np.uint32(0x1B56C4E9)
         word ^= word >> np.uint32(13)
-    return p[0].astype(np.uint8), [two, three, four, word]
+    return p[0].astype(np.uint8), [two, *orders, word]
 
 
 def bit_levels(data: np.ndarray, prev: np.ndarray, code: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,12 +127,13 @@ def slots(context: np.ndarray, at: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def count_bits(tables: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> None:
-    """Adds the texts' bits to tables[context, 2 * slot + bit]."""
+    """Adds the texts' bits to tables[context, 2 * slot + bit] (uint32)."""
     data, first = byte_stream(texts)
     prev, ctx = contexts(data, first)
+    one = np.uint32(1)
     for _, at, node, bit in bit_levels(data, prev, code, length):
         for m in range(N_CONTEXTS):
-            np.add.at(tables[m], (slots(ctx[m], at, node) << np.uint32(1) | bit).astype(np.int64), 1)
+            np.add.at(tables[m], (slots(ctx[m], at, node) << one | bit).astype(np.int64), one)
 
 
 def shrink(n: np.ndarray) -> np.ndarray:
@@ -151,7 +154,7 @@ def log_odds() -> tuple[np.ndarray, np.ndarray]:
 
 
 def gate_of(depth: int, inputs: Sequence[np.ndarray]) -> np.ndarray:
-    seen = (inputs[1] != 0).astype(np.int64) | (inputs[2] != 0).astype(np.int64) << 1 | (inputs[3] != 0).astype(np.int64) << 2
+    seen = (inputs[2] != 0).astype(np.int64) | (inputs[4] != 0).astype(np.int64) << 1 | (inputs[5] != 0).astype(np.int64) << 2
     return seen + depth * 8
 
 
@@ -159,12 +162,13 @@ def level_of(x: np.ndarray) -> np.ndarray:
     return np.clip((x * 1.5 + LEVELS / 2).astype(np.int64), 0, LEVELS - 1)
 
 
-def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray, rate: float = 0.02, rounds: int = 2, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray, rate: float = 0.002, rounds: int = 2, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Weights by gate and corrections by (byte before, level), learned online over the texts' bits.
 
-    The texts are part of the counts, so each bit's own observation is taken back before it is predicted.
+    The texts are part of the counts, so each bit's own observation is taken back before it is predicted. Steps are
+    scaled by running moments of the gradient; the corrections follow once the weights have seen all bits.
     """
-    weights = np.full((GATES, N_CONTEXTS), 0.35, np.float32)
+    weights = np.full((GATES, N_CONTEXTS), 1.4 / N_CONTEXTS, np.float32)
     correction = np.zeros(256 * LEVELS, np.float32)
     if not texts:
         return weights, correction
@@ -174,30 +178,32 @@ def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length:
     parts = []
     for depth, at, node, bit in bit_levels(data, prev, code, length):
         x = [back[bit.astype(np.int64), counts[m][slots(ctx[m], at, node)]] for m in range(N_CONTEXTS)]
-        parts.append((at, gate_of(depth, x), np.stack(x, 1), bit.astype(np.float32)))
-    order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
+        parts.append((at, gate_of(depth, x).astype(np.int32), np.stack(x, 1), bit.astype(np.float32)))
+    place = np.concatenate([p[0] for p in parts])
+    order = np.argsort(place, kind="stable")
     gate, x, bit = (np.concatenate([p[k] for p in parts])[order] for k in (1, 2, 3))
-    last = prev[np.concatenate([p[0] for p in parts])[order]].astype(np.int64)
+    last = prev[place[order]]
+    first_moment, second_moment = np.zeros((GATES, N_CONTEXTS)), np.zeros((GATES, N_CONTEXTS))
     done = 0
     for r in range(rounds):
         for lo in range(0, len(bit), step):
             g, xx, t = gate[lo : lo + step], x[lo : lo + step], bit[lo : lo + step]
             z = (weights[g] * xx).sum(axis=1)
-            cell = last[lo : lo + step] * LEVELS + level_of(z)
-            err = t - 1 / (1 + np.exp(-np.clip(z + correction[cell], -12, 12)))
+            err = t - 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+            grad = np.stack([np.bincount(g, err * xx[:, m], GATES) for m in range(N_CONTEXTS)], 1)
             done += 1
-            lr = rate / (1 + done / 400)
-            raw = t - 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-            n = np.maximum(np.bincount(g, minlength=GATES), 1)[:, None] ** 0.5
-            grad = np.stack([np.bincount(g, raw * xx[:, m], GATES) for m in range(N_CONTEXTS)], 1)
-            weights += (lr * grad / n).astype(np.float32)
+            first_moment = 0.9 * first_moment + 0.1 * grad
+            second_moment = 0.999 * second_moment + 0.001 * grad * grad
+            weights += (rate * first_moment / (1 - 0.9**done) / (np.sqrt(second_moment / (1 - 0.999**done)) + 1e-6)).astype(np.float32)
             if r:
-                correction += (0.02 * np.bincount(cell, err, len(correction)) / np.maximum(np.bincount(cell, minlength=len(correction)), 1) ** 0.5).astype(np.float32)
+                cell = last[lo : lo + step].astype(np.int64) * LEVELS + level_of(z)
+                rest = t - 1 / (1 + np.exp(-np.clip(z + correction[cell], -12, 12)))
+                correction += (0.02 * np.bincount(cell, rest, len(correction)) / np.maximum(np.bincount(cell, minlength=len(correction)), 1) ** 0.5).astype(np.float32)
     return weights, correction
 
 
 def text_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Bits that the model spends on each text. `odds` holds the log odds of every slot in sixteenths."""
+    """Bits that the model spends on each text. `odds` holds the log odds of every slot in fourteenths."""
     data, first = byte_stream(texts)
     prev, ctx = contexts(data, first)
     cost = np.zeros(len(data), np.float32)
@@ -346,7 +352,8 @@ def score_texts(docs: DataFrame, parts: int = 7, part: int = 2, task_bytes: int
     sample = train.where(F.length("_text") <= MIXER_DOC_BYTES).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "_text").limit(MIXER_DOCS).select("_text").collect()
     weights, correction = fit_mixer(counts, [bytes(r["_text"]) for r in sample], code, length)
     plain, _ = log_odds()
-    odds = np.round(plain * 14)[counts].astype(np.int8)
+    fourteenths = np.round(plain * 14).astype(np.int8)
+    odds = np.stack([fourteenths[c] for c in counts])
     del counts
     shared = spark.sparkContext.broadcast((odds, weights, correction, code, length))
     ranges = 1 << max(2, int(np.ceil(np.log2(max(1, size / (24 << 20))))))
