@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from launchlens.llm import bpe, chat, context_mixing, licenses, packing, quality_model, quality_rules, url_filters
+from launchlens.llm import bpe, chat, context_mixing, jaccard, licenses, packing, quality_model, quality_rules, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ OP2_SQL = chat.oracle(
 )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score_texts(table(spark, sf_dir, "documents"))
 
@@ -59,5 +63,5 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_format, op4_context_mixing, op5_url_filter, op6_quality_rules, op7_bpe, op8_quality_classifier, op9_license_scan, op10_length_packing)}
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_url_filter": url_filters.oracle()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_format, op3_jaccard_join, op4_context_mixing, op5_url_filter, op6_quality_rules, op7_bpe, op8_quality_classifier, op9_license_scan, op10_length_packing)}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_jaccard_join": jaccard.oracle(), "op5_url_filter": url_filters.oracle()}
