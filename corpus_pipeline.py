@@ -4,33 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from launchlens.llm import packing, queries, quality_rules
+from launchlens.llm import jaccard, packing, quality_model, quality_rules, queries
+from launchlens.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The classifier rejects documents that score less; between this and the operator's 0.7 they are in doubt and stay.
+REJECT_BELOW = 0.3
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a learned rule rejects go."""
+    """Documents that the base rule or a learned rule rejects go; null and empty texts are among them."""
     rules = quality_rules.fit(docs, queries.table(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(docs, rules, COLUMNS).where("kept").select(*COLUMNS)
 
 
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score under REJECT_BELOW go; the model learns from the documents at hand."""
+    model = quality_model.fit(docs, queries.table(spark, sf_dir, "labels"))
+    return quality_model.score(docs, model, COLUMNS).where(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id, and of rows that repeat its doc_id one.
+
+    Texts without words are no copies of each other and stay. Rows without doc_id cannot be named, so they stay.
+    """
+    groups = jaccard.jaccard_groups(docs)
+    keep = cut_lineage(groups.where("doc_id = component_id").select("doc_id").distinct())
+    docs = docs.select(*COLUMNS)
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text in pieces, each with its bucket, batch and slot."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", rules_stage), ("packing", packing_stage)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", rules_stage),
+    ("quality_classifier", classifier_stage),
+    ("jaccard_join", join_stage),
+    ("packing", packing_stage),
+]
 #: The learned stages cannot be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`, each kept in the shared folder before the next."""
     docs = queries.table(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = cut_lineage(docs)
     return docs

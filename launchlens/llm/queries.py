@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from launchlens.llm import bpe, chat, context_mixing, jaccard, licenses, packing, quality_model, quality_rules, url_filters
+from launchlens.llm import bpe, chat, context_mixing, jaccard, licenses, near_vectors, packing, quality_model, quality_rules, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.audited(near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))).drop("audit_links")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     shown = "</s>[INST] ok [/INST]"
@@ -63,5 +67,5 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_format, op3_jaccard_join, op4_context_mixing, op5_url_filter, op6_quality_rules, op7_bpe, op8_quality_classifier, op9_license_scan, op10_length_packing)}
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_jaccard_join": jaccard.oracle(), "op5_url_filter": url_filters.oracle()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op2_chat_format, op3_jaccard_join, op4_context_mixing, op5_url_filter, op6_quality_rules, op7_bpe, op8_quality_classifier, op9_license_scan, op10_length_packing)}
+ORACLES: dict[str, str] = {"op1_near_vectors": near_vectors.oracle(), "op2_chat_format": OP2_SQL, "op3_jaccard_join": jaccard.oracle(), "op5_url_filter": url_filters.oracle()}
