@@ -18,13 +18,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a learned rule rejects go; null and empty texts are among them."""
     rules = quality_rules.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return quality_rules.apply_rules(docs, rules, COLUMNS).where("kept").select(*COLUMNS)
+    return quality_rules.apply_rules(docs, rules, COLUMNS).where("kept").select("_keys.*")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score under REJECT_BELOW go; the model learns from the documents at hand."""
     model = quality_model.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, COLUMNS).where(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
+    return quality_model.score(docs, model, COLUMNS).where(F.col("score") >= REJECT_BELOW).select("_keys.*")
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

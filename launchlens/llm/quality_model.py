@@ -161,10 +161,10 @@ class Model:
 
 
 def _features(docs: DataFrame, keys: Sequence[str], vectors: np.ndarray, network: Network | None) -> DataFrame:
-    """`keys` and pooled vectors, or their scores when a network is given. Every row stays; null texts are empty."""
+    """_keys, a struct of the columns `keys`, and pooled vectors, or their scores when a network is given. Every row stays; null texts are empty."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, None if network is None else tuple(vars(network).values())))
-    source = docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source = docs.select(F.struct(*keys).alias("_keys"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
+    types = f"_keys {source.schema['_keys'].dataType.simpleString()}"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -173,11 +173,11 @@ def _features(docs: DataFrame, keys: Sequence[str], vectors: np.ndarray, network
         network = None if numbers is None else Network(*numbers)
         for batch in batches:
             got = []
-            for rows in W.blocks(W.arrow_rows([batch.select([batch.num_columns - 1])], "_text"), 0, W.BLOCK_BYTES // 2):
+            for rows in W.blocks(W.arrow_rows([batch.select([1])], "_text"), 0, W.BLOCK_BYTES // 2):
                 x = pooled([r[0] for r in rows], vectors)
                 got += list(network.probability(x)) if network is not None else x.tolist()
             kind = pa.float64() if network is not None else pa.list_(pa.float32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, kind)], names=[*keys, "_out"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, kind)], names=["_keys", "_out"])
 
     return source.mapInArrow(run, f"{types}, _out {'double' if network is not None else 'array<float>'}")
 
@@ -198,13 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> Model
     chosen = one.where("_q = _q2").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)
     # the sample is at most `limit` rows of 16 bytes
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "_q")), "doc_id")
-    rows = _features(sample, ["doc_id", "_q"], vectors, None).toPandas().sort_values("doc_id", kind="stable")
+    rows = _features(sample, ["doc_id", "_q"], vectors, None).select("_keys.*", "_out").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["_out"].tolist(), float).reshape(-1, DIM + 1)
     return Model(vectors, train(x, (rows["_q"].to_numpy() == 1).astype(float)))
 
 
 def score(docs: DataFrame, model: Model, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """`keys` and score: the probability of label 1."""
+    """_keys (a struct of `keys`) and score: the probability of label 1."""
     return _features(docs, list(keys), model.vectors, model.network).withColumnRenamed("_out", "score")
 
 
@@ -215,5 +215,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROW
     and repeated rows stay as they are. With too few labels the score is the share of label
     1, the same for all. An empty table gives no rows; other columns are ignored.
     """
-    s = score(docs, fit(docs, labels, limit))
+    s = score(docs, fit(docs, labels, limit)).select("_keys.doc_id", "score")
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

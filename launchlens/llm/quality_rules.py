@@ -63,22 +63,20 @@ def block_stats(texts: list[bytes]) -> np.ndarray:
 
 
 def text_stats(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`keys` and the statistics of every whole text; null texts count as empty, every row stays."""
+    """_keys, a struct of the columns `keys`, and the statistics of every whole text; null texts count as empty, every row stays."""
     names = [x.split()[0] for x in STAT_SCHEMA.split(", ")]
-    source = docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source = docs.select(F.struct(*keys).alias("_keys"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
+    types = f"_keys {source.schema['_keys'].dataType.simpleString()}"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
             got = []
-            for rows in W.blocks(W.arrow_rows([batch.select([batch.num_columns - 1])], "_text"), 0):
+            for rows in W.blocks(W.arrow_rows([batch.select([1])], "_text"), 0):
                 got.append(block_stats([r[0] for r in rows]))
             stats = np.concatenate(got) if got else np.zeros((0, len(names)), np.int64)
-            assert len(stats) == len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(stats[:, k]) for k in range(len(names)))], names=[*keys, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[:, k]) for k in range(len(names)))], names=["_keys", *names])
 
     return source.mapInArrow(run, f"{types}, {STAT_SCHEMA}")
 
@@ -205,12 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS, **option
     # the sample is at most `limit` rows of 16 bytes
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "_q")), "doc_id")
     stats = text_stats(joined, ["doc_id", "_q"]).where(~base_failed())
-    rows = stats.select("doc_id", "_q", *[c.alias(n) for n, c in features().items()]).toPandas().sort_values(["doc_id", "words", "word_length"], kind="stable")
+    rows = stats.select("_keys.doc_id", "_keys._q", *[c.alias(n) for n, c in features().items()]).toPandas().sort_values(["doc_id", "words", "word_length"], kind="stable")
     return learn({n: rows[n].to_numpy(float) for n in features()}, rows["_q"].to_numpy() == 0, **options)
 
 
 def apply_rules(docs: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """`keys`, the statistics, base_failed, rule (number of the rejecting rule or null) and kept."""
+    """_keys (a struct of `keys`), the statistics, base_failed, rule (number of the rejecting rule or null) and kept."""
     return text_stats(docs, list(keys)).withColumns({"base_failed": base_failed(), "rule": rejecting(rules)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
@@ -221,4 +219,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options: float) -> DataF
     of their own. Without labels of both kinds the list is empty and only the base rule
     rejects. An empty table gives no rows. Other columns are ignored.
     """
-    return apply_rules(docs, fit(docs, labels, **options))
+    out = apply_rules(docs, fit(docs, labels, **options))
+    return out.select("_keys.*", *[c for c in out.columns if c != "_keys"])
