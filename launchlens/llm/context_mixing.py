@@ -154,12 +154,12 @@ def log_odds() -> tuple[np.ndarray, np.ndarray]:
 
 
 def gate_of(depth: int, inputs: Sequence[np.ndarray]) -> np.ndarray:
-    seen = (inputs[2] != 0).astype(np.int64) | (inputs[4] != 0).astype(np.int64) << 1 | (inputs[5] != 0).astype(np.int64) << 2
-    return seen + depth * 8
+    seen = (inputs[2] != 0).view(np.uint8) | (inputs[4] != 0).view(np.uint8) << np.uint8(1) | (inputs[5] != 0).view(np.uint8) << np.uint8(2)
+    return seen.astype(np.int32) + depth * 8
 
 
 def level_of(x: np.ndarray) -> np.ndarray:
-    return np.clip((x * 1.5 + LEVELS / 2).astype(np.int64), 0, LEVELS - 1)
+    return np.clip(x * np.float32(1.5) + np.float32(LEVELS / 2), 0, LEVELS - 1).astype(np.int32)
 
 
 def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray, rate: float = 0.002, rounds: int = 2, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -207,16 +207,23 @@ def text_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, tex
     data, first = byte_stream(texts)
     prev, ctx = contexts(data, first)
     cost = np.zeros(len(data), np.float32)
+    cells = prev.astype(np.int32) * LEVELS
+    one, two = np.float32(1), np.float32(2)
     for depth, at, node, bit in bit_levels(data, prev, code, length):
-        x = [odds[m][slots(ctx[m], at, node)] for m in range(N_CONTEXTS)]
-        gate = gate_of(depth, x)
+        x = [odds[m].take(slots(ctx[m], at, node)) for m in range(N_CONTEXTS)]
+        seen = gate_of(0, x)
+        own = np.ascontiguousarray(weights[depth * 8 : depth * 8 + 8].T) * np.float32(1 / 14)
         z = np.zeros(len(at), np.float32)
         for m in range(N_CONTEXTS):
-            z += weights[:, m][gate] * x[m]
-        z *= np.float32(1 / 14)
-        z += correction[prev[at].astype(np.int64) * LEVELS + level_of(z)]
-        z = np.clip(z, -12, 12)
-        cost[at] += np.log1p(np.exp(np.where(bit == 1, -z, z)))
+            part = own[m].take(seen)
+            part *= x[m]
+            z += part
+        z += correction.take(level_of(z) + cells.take(at))
+        np.clip(z, -12, 12, out=z)
+        z *= one - two * bit.astype(np.float32)
+        np.exp(z, out=z)
+        np.log1p(z, out=z)
+        cost[at] += z
     return np.add.reduceat(cost.astype(np.float64), first[:-1]) / np.log(2)
 
 

@@ -34,7 +34,7 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links from host to host in the html of pages; relative links stay on their host.
+    """(src, dst, n): links from one host to another in the html of pages; links within a host say nothing about others.
 
     Links are counted per (src, dst) with a map-side combine, so a host with a third of
     the pages sends a few rows per task.
@@ -45,7 +45,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     bare = F.startswith("link", F.lit("//"))
     other = F.regexp_like("link", F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:"))
     dst = F.when(absolute, url_host(F.col("link"))).when(bare, url_host(F.concat(F.lit("http:"), "link"))).when(other, F.lit("")).otherwise(F.col("src"))
-    return links.withColumn("dst", dst).where("src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return links.withColumn("dst", dst).where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
@@ -54,9 +54,9 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     `hosts` has the teleport weights `trusted` and `blocked` of every seed host, each in
     0..1. Trust follows links forward, distrust follows them backwards, to those that link to
     blocked hosts; both walk in the same join. A walk that meets a host without links
-    ends. Scores are not scaled by the number of hosts: 1 means all of a walk's
-    stops are on trusted (blocked) ground. After `rounds` steps what is left of the
-    walks is below damping ** rounds.
+    ends. A score counts the visits of walks that start on each seed with its weight, which is the PageRank
+    divided by 1 - damping, so a host's seed weight alone gives that score, whatever the number of hosts. After
+    `rounds` steps what is left of the walks is below damping ** rounds.
     """
     forward = edges.select("src", "dst", "n", F.lit(0).alias("kind"))
     backward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit(1).alias("kind"))
@@ -67,12 +67,12 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         hosts.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trusted").alias("s")), F.struct(F.lit(1).alias("kind"), F.col("blocked").alias("s")))).alias("x"))
         .select("host", "x.*")
         .where("s > 0")
+        .select("kind", "host", F.col("s").alias("x"))
     )
-    rank = seeds.select("kind", "host", F.col("s").alias("x"))
-    base = seeds.select("kind", "host", (F.col("s") * (1 - damping)).alias("x"))
+    rank = seeds
     for k in range(rounds):
         moved = steps.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("x") * F.col("w") * damping).alias("x"))
-        rank = moved.union(base).groupBy("kind", "host").agg(F.sum("x").alias("x"))
+        rank = moved.union(seeds).groupBy("kind", "host").agg(F.sum("x").alias("x"))
         if k % 4 == 3 or k == rounds - 1:
             rank = cut_lineage(rank)
     return rank.groupBy("host").agg(
@@ -117,7 +117,7 @@ def oracle(rules: Sequence[tuple[str, str, str]] = RULES, damping: float = 0.85,
     for k in range(rounds):
         walk.append(
             f"r{k + 1} as materialized (select kind, host, sum(x) as x from (select s.kind, s.dst as host, r.x * s.w * {damping} as x from steps s join r{k} r on r.kind = s.kind and r.host = s.src "
-            f"union all select kind, host, s * {1 - damping} from seeds) group by 1, 2)"
+            "union all select kind, host, s from seeds) group by 1, 2)"
         )
     return f"""
 with p as materialized (select page_id, url, html, {host('url')} as host, {path} as path from pages),
@@ -125,7 +125,7 @@ j as materialized (select page_id, host, path, {case(1)} as rule, {case(2)} as v
 links as (select host as src, unnest(regexp_extract_all(html, 'href\\s*=\\s*["'']([^"'']*)["'']', 1, 'i')) as link from p),
 ends as (select src, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then {host('link')} when starts_with(link, '//') then {host("('http:' || link)")}
   when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then '' else src end as dst from links),
-edges as materialized (select src, dst, count(*) as n from ends where src != '' and dst != '' group by 1, 2),
+edges as materialized (select src, dst, count(*) as n from ends where src != '' and dst != '' and src != dst group by 1, 2),
 two as (select 0 as kind, src, dst, n from edges union all select 1, dst, src, n from edges),
 steps as materialized (select kind, src, dst, n * 1.0::double / sum(n) over (partition by kind, src) as w from two),
 hosts as (select host, avg(case when verdict = 'allow' then 1.0 else 0.0 end) as t, avg(case when verdict = 'block' then 1.0 else 0.0 end) as b from j where host != '' group by 1),
