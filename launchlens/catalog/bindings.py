@@ -116,29 +116,29 @@ def event_periods(spark: SparkSession) -> DataFrame:
     return periods_table(spark, EVENT_PERIODS)
 
 
-def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ("signup", "purchase", "error", "view")
+def fact_events(spark: SparkSession, sf_dir: str, *want: str) -> DataFrame:
+    """All columns, or only those asked for; later events of the user are looked up only if asked for."""
+    later = {"lock_time": "purchase", "refund_time": "error", "assign_time": "view"}
+    later = {c: k for c, k in later.items() if not want or c in want}
+    kinds = ("signup", *later.values())
     ev = (
         table(spark, sf_dir, "events")
         .where(F.col("event_type").isin(*kinds))
         .select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     )
     at = lambda kind: F.when(F.col("event_type") == kind, F.col("ts"))
-    linked = running_extreme(
-        ev, ["user_id"], micros("ts"), F.to_date("ts"),
-        {"lock_time": ("min", at("purchase")), "refund_time": ("min", at("error")), "assign_time": ("min", at("view"))},
-        later=True,
-    )
-    return linked.where(F.col("event_type") == "signup").select(
+    linked = ev
+    if later:
+        linked = running_extreme(ev, ["user_id"], micros("ts"), F.to_date("ts"), {c: ("min", at(k)) for c, k in later.items()}, later=True)
+    rows = linked.where(F.col("event_type") == "signup").select(
         F.col("event_id").alias("order_id"),
         F.concat(F.lit("G"), (F.col("user_id") % 5).cast("string")).alias("grp"),
         F.col("user_id").alias("buyer_id"),
         F.col("ts").alias("pay_time"),
         F.col("value").alias("amount"),
-        "lock_time",
-        "refund_time",
-        "assign_time",
+        *later,
     )
+    return rows.select(*want) if want else rows
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,15 +99,15 @@ BANDS_SQL = ", ".join(f"({lo}, {hi}, '{b}')" for lo, hi, b in co.LOCK_INTERVAL_B
 
 
 @query("lock_interval_bands", f"""WITH {SQL_FO}, {INTERVALS}, b AS (SELECT * FROM (VALUES {BANDS_SQL}) AS t(lo, hi, band)),
-x AS (SELECT it.grp, b.band, total, locked, (SELECT count(*) FROM iv WHERE iv.grp = it.grp AND dd BETWEEN lo AND hi) AS n FROM it, b WHERE locked > 0)
+x AS (SELECT it.grp, b.band, total, locked, (SELECT count(*) FROM iv WHERE iv.grp = it.grp AND dd BETWEEN lo AND hi) AS n FROM it, b)
 SELECT grp, band, n, {PCT('n', 'locked')} AS pct_of_locked, {PCT('n', 'total')} AS pct_of_total FROM x""")
 def lock_interval_bands(spark, sf):
     return co.lock_interval_bands(*fo(spark, sf, "grp", "pay_time", "lock_time"), N)
 
 
 @query("lock_interval_stats", f"""WITH {SQL_FO}, {INTERVALS}, x AS (SELECT it.grp, total, locked, locked / total * 100 AS lr, avg(dd) AS m, median(dd) AS md,
-  coalesce(stddev_samp(dd), 0) AS sd, min(dd) AS mn, max(dd) AS mx, quantile_cont(dd, 0.25) AS a, quantile_cont(dd, 0.75) AS b
-  FROM iv JOIN it ON it.grp = iv.grp WHERE dd IS NOT NULL GROUP BY it.grp, total, locked)
+  CASE WHEN count(dd) > 0 THEN coalesce(stddev_samp(dd), 0) END AS sd, min(dd) AS mn, max(dd) AS mx, quantile_cont(dd, 0.25) AS a, quantile_cont(dd, 0.75) AS b
+  FROM it LEFT JOIN iv ON it.grp = iv.grp AND dd IS NOT NULL GROUP BY it.grp, total, locked)
 SELECT grp, total, locked, {r('lr')} AS lock_rate_pct, {r('m')} AS mean, {r('md')} AS median, {r('sd')} AS std_samp, {r('mn')} AS min, {r('mx')} AS max, {r('a')} AS q25, {r('b')} AS q75,
 rank() OVER (ORDER BY m DESC) AS rank_by_mean, rank() OVER (ORDER BY lr DESC) AS rank_by_lock_rate FROM x""")
 def lock_interval_stats(spark, sf):

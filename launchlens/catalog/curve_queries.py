@@ -30,8 +30,8 @@ od AS (SELECT * FROM pd WHERE orders > 0)
 """
 
 
-def ev(spark, sf):
-    return fact_events(spark, sf), event_periods(spark)
+def ev(spark, sf, *want):
+    return fact_events(spark, sf, *want), event_periods(spark)
 
 
 def days(spark, sf):
@@ -41,7 +41,7 @@ def days(spark, sf):
 @query("daily_curve", f"""WITH {SQL_EV}, {CURVE}
 SELECT grp, {d('dt')} AS date, day, n AS daily_orders, CAST(cum AS BIGINT) AS cumulative_orders, {r(div('n - prev', 'prev') + ' * 100')} AS change_pct FROM dc""")
 def daily_curve(spark, sf):
-    return cv.daily_curve(*ev(spark, sf))
+    return cv.daily_curve(*ev(spark, sf, "grp", "pay_time"))
 
 
 @query("dod_anomaly", f"""WITH {SQL_EV}, {DAYS}, x AS (SELECT *, lag(orders) OVER (PARTITION BY period ORDER BY dt) AS prev FROM od)
@@ -139,7 +139,7 @@ RATE_CLASS = "CASE WHEN rate = 0 THEN 'none' WHEN rate < 10 THEN 'low' WHEN rate
     count(*) FILTER (refund_time <= s + 8) / count(*) * 100 AS rate FROM gp GROUP BY ALL)
 SELECT grp, day_offset, orders, refunds, {r('rate')} AS refund_rate_pct, {RATE_CLASS} AS rate_class FROM x WHERE day_offset BETWEEN 0 AND 8""")
 def cohort_refund(spark, sf):
-    return cv.cohort_refund(*ev(spark, sf), 8)
+    return cv.cohort_refund(*ev(spark, sf, "grp", "pay_time", "refund_time"), 8)
 
 
 @query("cohort_refund_aligned", f"""WITH {SQL_EV}, ob AS (SELECT max(CAST(pay_time AS DATE) - s) AS k FROM ps WHERE period = 'G1')
@@ -158,7 +158,7 @@ rc AS (SELECT grp, dt, dt - s + 1 AS day, n, sum(n) OVER (PARTITION BY grp ORDER
 @query("refund_curve", f"""WITH {SQL_EV}, {REFUNDS}
 SELECT grp, {d('dt')} AS date, day, n AS daily_refunds, CAST(cum AS BIGINT) AS cumulative_refunds FROM rc""")
 def refund_curve(spark, sf):
-    return cv.refund_curve(*ev(spark, sf), 10)
+    return cv.refund_curve(*ev(spark, sf, "grp", "pay_time", "refund_time"), 10)
 
 
 @query("refund_rate_curve", f"""WITH {SQL_EV}, {CURVE}, {REFUNDS},
@@ -168,7 +168,7 @@ x AS (SELECT g.grp, g.day, coalesce(last_value(dc.cum IGNORE NULLS) OVER w, 0) A
   WINDOW w AS (PARTITION BY g.grp ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT grp, day, CAST(o AS BIGINT) AS cumulative_orders, CAST(rf AS BIGINT) AS cumulative_refunds, {r('coalesce(' + div('rf', 'o') + ', 0) * 100')} AS refund_rate_pct FROM x""")
 def refund_rate_curve(spark, sf):
-    return cv.refund_rate_curve(*ev(spark, sf), 10)
+    return cv.refund_rate_curve(*ev(spark, sf, "grp", "pay_time", "refund_time"), 10)
 
 
 CONVERSION = f"""
@@ -205,13 +205,13 @@ lc AS (SELECT *, CAST(sum(n) OVER (PARTITION BY grp ORDER BY day) AS BIGINT) AS
 
 @query("lock_curve", f"WITH {SQL_EV}, {LOCKS} SELECT grp, {d('dt')} AS date, day, n AS daily_locks, cum AS cumulative_locks FROM lc")
 def lock_curve(spark, sf):
-    return cv.lock_curve(*ev(spark, sf), 12)
+    return cv.lock_curve(*ev(spark, sf, "grp", "pay_time", "lock_time"), 12)
 
 
 @query("lock_change", f"""WITH {SQL_EV}, {LOCKS} SELECT grp, {d('dt')} AS date, day, n AS daily_locks, cum AS cumulative_locks, CAST(prev AS DOUBLE) AS prev_daily_locks,
 {r('coalesce(' + div('n - prev', 'prev') + ' * 100, 0)')} AS change_pct FROM lc""")
 def lock_change(spark, sf):
-    return cv.lock_change(cv.lock_curve(*ev(spark, sf), 12))
+    return cv.lock_change(cv.lock_curve(*ev(spark, sf, "grp", "pay_time", "lock_time"), 12))
 
 
 @query("lock_conversion_curve", f"""WITH {SQL_EV},
@@ -221,7 +221,7 @@ y AS (SELECT *, CAST(sum(n) OVER (PARTITION BY grp ORDER BY dt) AS BIGINT) AS cu
 SELECT y.grp, {d('dt')} AS date, day, n AS daily_locks, cum AS cumulative_locks, {r('coalesce(' + div('cum', 'total') + ', 0) * 100')} AS conversion_pct
 FROM y JOIN t ON t.grp = y.grp WHERE day BETWEEN 0 AND 12""")
 def lock_conversion_curve(spark, sf):
-    return cv.lock_conversion_curve(*ev(spark, sf), 12)
+    return cv.lock_conversion_curve(*ev(spark, sf, "grp", "pay_time", "lock_time"), 12)
 
 
 @query("lock_performance", f"""WITH {SQL_EV}, {LOCKS},
@@ -229,7 +229,7 @@ g AS (SELECT grp, day FROM (SELECT DISTINCT grp FROM gp), generate_series(0, 12)
 SELECT g.grp, g.day, coalesce(n, 0) AS daily_locks, coalesce(rl, 0) AS retained_locks, coalesce(pl, 0) AS post_launch_locks,
 CAST(sum(coalesce(n, 0)) OVER (PARTITION BY g.grp ORDER BY g.day) AS BIGINT) AS cumulative_locks FROM g LEFT JOIN lc ON lc.grp = g.grp AND lc.day = g.day""")
 def lock_performance(spark, sf):
-    return cv.lock_performance(*ev(spark, sf), 12)
+    return cv.lock_performance(*ev(spark, sf, "grp", "pay_time", "lock_time"), 12)
 
 
 def _lock_wide_sql() -> str:
@@ -244,7 +244,7 @@ x AS (SELECT g.grp, g.day, coalesce(n, 0) AS n, CAST(sum(coalesce(n, 0)) OVER (P
   FROM g LEFT JOIN lc ON lc.grp = g.grp AND lc.day = g.day)
 SELECT day, {_lock_wide_sql()} FROM x GROUP BY day""")
 def lock_performance_wide(spark, sf):
-    return cv.wide(cv.lock_performance(*ev(spark, sf), 12), "day", EVENT_GROUPS, ["daily_locks", "cumulative_locks"])
+    return cv.wide(cv.lock_performance(*ev(spark, sf, "grp", "pay_time", "lock_time"), 12), "day", EVENT_GROUPS, ["daily_locks", "cumulative_locks"])
 
 
 @query("post_launch_locks", f"""WITH {SQL_EV}, k AS (SELECT DATE '2024-01-24' - e - 1 AS n FROM p WHERE grp = '{TARGET}')

@@ -41,13 +41,14 @@ def items_sql(cls: str, columns, sup: float) -> str:
 cl AS (SELECT *, {cls} AS cls FROM cfg),
 sz AS (SELECT cls, count(*) AS rows FROM cl GROUP BY 1),
 e AS (SELECT cls, quantile_cont(l_quantity, 1/3) AS l_quantity1, quantile_cont(l_quantity, 2/3) AS l_quantity2, quantile_cont(p_size, 1/3) AS p_size1, quantile_cont(p_size, 2/3) AS p_size2 FROM cl GROUP BY 1),
-it0 AS (SELECT cl.cls, id, unnest([{', '.join(parts)}]) AS item FROM cl JOIN e ON e.cls = cl.cls),
-fi AS (SELECT it0.cls, item, count(*) AS c, count(*) / any_value(rows) AS s FROM it0 JOIN sz ON sz.cls = it0.cls WHERE item IS NOT NULL GROUP BY it0.cls, item HAVING count(*) / any_value(rows) >= {sup}),
-it AS (SELECT it0.* FROM it0 JOIN fi ON fi.cls = it0.cls AND fi.item = it0.item),
-s2 AS (SELECT a.cls, a.item AS i1, b.item AS i2, count(*) AS c FROM it a JOIN it b ON a.id = b.id AND a.item < b.item GROUP BY ALL),
-s3 AS (SELECT a.cls, a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS c FROM it a JOIN it b ON a.id = b.id AND a.item < b.item JOIN it c ON c.id = a.id AND b.item < c.item GROUP BY ALL),
+ro AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT cl.cls, [{', '.join(parts)}] AS items, count(*) AS n FROM cl JOIN e ON e.cls = cl.cls GROUP BY ALL)),
+it0 AS MATERIALIZED (SELECT cls, id, n, unnest(items) AS item FROM ro),
+fi AS MATERIALIZED (SELECT it0.cls, item, CAST(sum(n) AS BIGINT) AS c, sum(n) / any_value(rows) AS s FROM it0 JOIN sz ON sz.cls = it0.cls WHERE item IS NOT NULL GROUP BY it0.cls, item HAVING sum(n) / any_value(rows) >= {sup}),
+it AS MATERIALIZED (SELECT it0.* FROM it0 JOIN fi ON fi.cls = it0.cls AND fi.item = it0.item),
+s2 AS (SELECT a.cls, a.item AS i1, b.item AS i2, CAST(sum(a.n) AS BIGINT) AS c FROM it a JOIN it b ON a.id = b.id AND a.item < b.item GROUP BY ALL),
+s3 AS (SELECT a.cls, a.item AS i1, b.item AS i2, c.item AS i3, CAST(sum(a.n) AS BIGINT) AS c FROM it a JOIN it b ON a.id = b.id AND a.item < b.item JOIN it c ON c.id = a.id AND b.item < c.item GROUP BY ALL),
 fs0 AS (SELECT cls, [item] AS st, c FROM fi UNION ALL SELECT cls, [i1, i2], c FROM s2 UNION ALL SELECT cls, [i1, i2, i3], c FROM s3),
-fs AS (SELECT fs0.cls, st, len(st) AS size, c, c / rows AS s FROM fs0 JOIN sz ON sz.cls = fs0.cls WHERE c / rows >= {sup})
+fs AS MATERIALIZED (SELECT fs0.cls, st, len(st) AS size, c, c / rows AS s FROM fs0 JOIN sz ON sz.cls = fs0.cls WHERE c / rows >= {sup})
 """
 
 
@@ -106,9 +107,9 @@ def onehot_support(spark, sf):
     return mi.onehot_support(config(spark, sf), ONEHOT, 0.04)
 
 
-@query("interactions", f"""WITH {CFG}, {OH}, k AS (SELECT *, col || '=' || val AS item FROM oh WHERE sh >= 0.03), t AS (SELECT *, row_number() OVER (ORDER BY n DESC, item) AS rk FROM k QUALIFY rk <= 20),
+@query("interactions", f"""WITH {CFG}, {OH}, k AS (SELECT *, col || '=' || val AS item FROM oh WHERE sh >= 0.03), t AS (SELECT *, row_number() OVER (ORDER BY n DESC, item) AS rk FROM k),
 x AS (SELECT id, rk, item FROM oh0 JOIN t ON t.col = oh0.col AND t.val = oh0.val),
 y AS (SELECT a.rk AS rank_a, b.rk AS rank_b, a.item AS a, b.item AS b, count(*) AS n FROM x a JOIN x b ON a.id = b.id AND a.rk < b.rk GROUP BY ALL)
-SELECT rank_a, rank_b, a, b, n, {r('n / (SELECT count(*) FROM cfg)')} AS joint_support FROM y WHERE n / (SELECT count(*) FROM cfg) >= 0.01 ORDER BY rank_a, rank_b LIMIT 60""")
+SELECT rank_a, rank_b, a, b, n, {r('n / (SELECT count(*) FROM cfg)')} AS joint_support FROM y WHERE n / (SELECT count(*) FROM cfg) >= 0.01""")
 def interactions(spark, sf):
-    return mi.interactions(config(spark, sf), ONEHOT, 0.03, 0.01, 20, 60)
+    return mi.interactions(config(spark, sf), ONEHOT, 0.03, 0.01)

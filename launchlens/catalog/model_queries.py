@@ -177,12 +177,12 @@ def price_ols(spark, sf):
 
 @query("price_lasso")
 def price_lasso(spark, sf):
-    return _fit(spark, sf, "lasso", alphas=[0.01, 1.0, 10.0], folds=3).table(spark)
+    return _fit(spark, sf, "lasso").table(spark)
 
 
 @query("price_ridge")
 def price_ridge(spark, sf):
-    return _fit(spark, sf, "ridge", alphas=[0.01, 1.0, 10.0], folds=3).table(spark)
+    return _fit(spark, sf, "ridge").table(spark)
 
 
 @query("price_gbt")
@@ -192,4 +192,4 @@ def price_gbt(spark, sf):
 
 @query("importance_perm")
 def importance_perm(spark, sf):
-    return mo.perm_importance(_fit(spark, sf, "ols"), features=["l_quantity", "l_discount", "l_returnflag=A"])
+    return mo.perm_importance(_fit(spark, sf, "ols"))

@@ -159,7 +159,7 @@ def posts_from_pages(spark, sf):
 
 
 def curve(spark, sf):
-    return cv.daily_curve(fact_events(spark, sf), event_periods(spark))
+    return cv.daily_curve(fact_events(spark, sf, "grp", "pay_time"), event_periods(spark))
 
 
 @query("growth_phases", f"""WITH {SQL_EV}, {CURVE}, x AS (SELECT *, day / max(day) OVER (PARTITION BY grp) AS q FROM dc)
@@ -194,12 +194,12 @@ def lag_series(spark, sf):
 
 @query("granger")
 def granger(spark, sf):
-    return se.granger(lag_series(spark, sf), 3)
+    return se.granger(lag_series(spark, sf), 7)
 
 
 @query("best_lag")
 def best_lag(spark, sf):
-    return se.best_lag(se.granger(lag_series(spark, sf), 3))
+    return se.best_lag(se.granger(lag_series(spark, sf), 7))
 
 
 @query("adf")

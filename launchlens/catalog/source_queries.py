@@ -24,6 +24,22 @@ def scan_csv(spark, sf):
     return rd.scan_csv(spark, path, schema, latest=False).select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
 
 
+@query("scan_csv_mixed", f"SELECT c_custkey, '客户' || c_name AS c_name, {r('c_acctbal')} AS c_acctbal FROM customer")
+def scan_csv_mixed(spark, sf):
+    """Files of one folder in two encodings: every third segment in one that Spark's reader does not take."""
+    path = scratch(spark, "customer-mixed")
+    c = table(spark, sf, "customer")
+    rows = c.select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit("客户"), "c_name"), F.col("c_acctbal").cast("string")).alias("value"), "c_mktsegment")
+    wide = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
+    encode = F.pandas_udf(lambda s: s.map(lambda v: v.encode("gb18030")), "binary")
+    # raw bytes as text lines, under a header of their own
+    head = lambda part, name: part.select(F.col("value").cast("string")).write.option("lineSep", "\n").mode("append").text(f"{path}/{name}")
+    head(rows.where(~wide), "a")
+    head(rows.where(wide).select(encode("value").alias("value")), "b")
+    schema = "c_custkey bigint, c_name string, c_acctbal double"
+    return rd.scan_csv(spark, f"{path}/*/part-*", schema, latest=False, header=False)
+
+
 @query("scan_registry", "SELECT c_name AS agent_name, CAST(c_custkey AS VARCHAR) AS agent_code, CAST(c_nationkey AS VARCHAR) AS agent_card, c_mktsegment AS dealer FROM customer WHERE c_custkey % 10 <> 3")
 def scan_registry(spark, sf):
     c = table(spark, sf, "customer")

@@ -172,8 +172,11 @@ def flag_agent_orders(df: DataFrame, registry: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"_{c}") for c in AGENT_KEYS], F.col("dealer").alias("dealer"), F.lit(True).alias("_hit")
     )
     clean = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    # the registry has no blank key, so rows with one are spread under names that no agent has
+    blank = (clean("agent_name") == "") | (clean("agent_id") == "") | (clean("buyer_id") == "")
+    name = F.when(blank, F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(65_536)).cast("string"))).otherwise(clean("agent_name"))
     cond = (
-        (clean("agent_name") == F.col("_agent_name"))
+        (name == F.col("_agent_name"))
         & (clean("agent_id") == F.col("_agent_code"))
         & (clean("buyer_id") == F.col("_agent_card"))
     )

@@ -181,13 +181,13 @@ def _lock_interval_counts(df: DataFrame, periods: DataFrame, lock_days: int) ->
 
 
 def lock_interval_bands(df: DataFrame, periods: DataFrame, lock_days: int = 1) -> DataFrame:
-    """Orders per band of days from payment to lock, as % of locked and of all presale orders."""
+    """Orders per band of days from payment to lock, as % of locked and of all presale orders; launches without locks have zeros."""
     counts, totals = _lock_interval_counts(df, periods, lock_days)
     edges = [b[0] for b in LOCK_INTERVAL_BANDS] + [366]
     labels = [b[2] for b in LOCK_INTERVAL_BANDS]
     banded = counts.groupBy("grp", bucket("days", edges, labels).alias("band")).agg(F.sum("n").alias("n"))
     all_bands = F.explode(F.array(*[F.lit(x) for x in labels])).alias("band")
-    grid = totals.where(F.col("locked") > 0).select("grp", "total", "locked", all_bands)
+    grid = totals.select("grp", "total", "locked", all_bands)
     n = F.coalesce(F.col("n"), F.lit(0))
     return grid.join(banded, ["grp", "band"], "left").select(
         "grp",
@@ -201,14 +201,14 @@ def lock_interval_bands(df: DataFrame, periods: DataFrame, lock_days: int = 1) -
 def lock_interval_stats(df: DataFrame, periods: DataFrame, lock_days: int = 1) -> DataFrame:
     """Descriptive statistics of the same intervals with ranks by mean interval and by lock rate."""
     counts, totals = _lock_interval_counts(df, periods, lock_days)
-    stats = count_stats(counts, ["grp"], "days").join(totals, "grp")
+    stats = totals.join(count_stats(counts, ["grp"], "days"), "grp", "left")
     rate = ratio(F.col("locked"), F.col("total")) * 100
     everything = Window.partitionBy(F.lit(0))  # one row per launch
     return stats.select(
         "grp", "total", "locked", rate.alias("lock_rate_pct"), "mean", "median", "std_samp", "min", "max", "q25", "q75"
     ).select(
         "*",
-        F.rank().over(everything.orderBy(F.col("mean").desc())).alias("rank_by_mean"),
+        F.rank().over(everything.orderBy(F.col("mean").desc_nulls_last())).alias("rank_by_mean"),
         F.rank().over(everything.orderBy(F.col("lock_rate_pct").desc())).alias("rank_by_lock_rate"),
     )
 

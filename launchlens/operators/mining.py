@@ -78,13 +78,13 @@ def _edges_per_class(edges: DataFrame, binned: Sequence[str]) -> DataFrame:
 
 
 def itemize(
-    df: DataFrame, columns: Sequence[str], min_support: float = 0.05, max_categories: int = 50, by: str | None = None
+    df: DataFrame, columns: Sequence[str], min_support: float = 0.05, max_categories: int | None = None, by: str | None = None
 ) -> DataFrame:
     """(cls, items, n): distinct item rows per class with their count.
 
     Items are <column>=<value>; flags and 0/1 columns give one item; other numerics fall into
-    three quantile bins; nulls are a value of their own. Values below min_support or
-    beyond max_categories per column are dropped.
+    three quantile bins; nulls are a value of their own. Values below min_support are
+    dropped, and those beyond max_categories per column if the caller sets it.
     """
     kinds, edges = column_kinds(df, columns, by)
     binned = [c for c in columns if kinds[c] == "binned"]
@@ -110,9 +110,9 @@ def itemize(
     )
     kept = item_support(raw).where(F.col("support") >= min_support)
     place = F.row_number().over(Window.partitionBy("cls", F.substring_index("item", "=", 1)).orderBy(F.col("support").desc(), "item"))
-    frequent = kept.withColumn("_r", place).where(F.col("_r") <= max_categories).groupBy("cls").agg(
-        F.collect_list("item").alias("_kept")  # at most max_categories per column
-    )
+    if max_categories is not None:
+        kept = kept.withColumn("_r", place).where(F.col("_r") <= max_categories)
+    frequent = kept.groupBy("cls").agg(F.collect_list("item").alias("_kept"))  # at most 1 / min_support values per column
     pruned = raw.join(frequent, "cls", "left").withColumn(
         "items", F.array_sort(F.array_intersect("items", F.coalesce("_kept", F.array().cast("array<string>"))))
     )
@@ -184,7 +184,7 @@ def assoc_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence: floa
     return rules.where((F.col("lift") >= min_lift) & (F.col("confidence") >= min_confidence))
 
 
-def onehot_support(df: DataFrame, columns: Sequence[str], min_support: float = 0.03, max_categories: int = 50) -> DataFrame:
+def onehot_support(df: DataFrame, columns: Sequence[str], min_support: float = 0.03, max_categories: int | None = None) -> DataFrame:
     """Text values that become one-hot features: (column, value, n, share), nulls counted as 'NA'."""
     structs = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("value")) for c in columns]
     counts = df.select(F.inline(F.array(*structs))).groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -192,19 +192,23 @@ def onehot_support(df: DataFrame, columns: Sequence[str], min_support: float = 0
     # at most 1 / min_support values per column are left to be ranked
     kept = counts.join(totals, "column").withColumn("share", ratio(F.col("n"), F.col("_rows"))).where(F.col("share") >= min_support)
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
-    return kept.withColumn("_r", place).where(F.col("_r") <= max_categories).select("column", "value", "n", "share")
+    if max_categories is not None:
+        kept = kept.withColumn("_r", place).where(F.col("_r") <= max_categories)
+    return kept.select("column", "value", "n", "share")
 
 
 def interactions(
-    df: DataFrame, columns: Sequence[str], min_support: float = 0.03, min_joint: float = 0.01, top: int = 120, max_pairs: int = 1000
+    df: DataFrame, columns: Sequence[str], min_support: float = 0.03, min_joint: float = 0.01, top: int | None = None, max_pairs: int | None = None
 ) -> DataFrame:
-    """Pairs of one-hot features from different columns by joint support, in order of prevalence."""
+    """Pairs of one-hot features from different columns by joint support, in order of prevalence.
+
+    `top` features and `max_pairs` pairs are kept only if the caller sets them.
+    """
     values = onehot_support(df, columns, min_support)
     item = F.concat("column", F.lit("="), "value")
-    ranked = values.orderBy(F.col("n").desc(), item).limit(top).select(
-        F.struct(-F.col("n"), item.alias("item")).alias("_s")
-    )
-    order = ranked.agg(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["item"]).alias("_top"))  # at most `top` items
+    ranked = values if top is None else values.orderBy(F.col("n").desc(), item).limit(top)
+    ranked = ranked.select(F.struct(-F.col("n"), item.alias("item")).alias("_s"))
+    order = ranked.agg(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["item"]).alias("_top"))  # at most 1 / min_support values per column
     parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NA"))) for c in columns]
     rows = df.select(F.array(*parts).alias("items")).groupBy("items").agg(F.count("*").alias("n"))
     placed = with_row(rows, order).select(
@@ -219,4 +223,4 @@ def interactions(
         F.element_at("_top", F.col("p")[0]).alias("a"), F.element_at("_top", F.col("p")[1]).alias("b"),
         "n", ratio(F.col("n"), F.col("rows")).alias("joint_support"),
     ).where(F.col("joint_support") >= min_joint)
-    return out.orderBy("rank_a", "rank_b").limit(max_pairs)
+    return out if max_pairs is None else out.orderBy("rank_a", "rank_b").limit(max_pairs)

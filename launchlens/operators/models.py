@@ -35,7 +35,8 @@ def training_set(df: DataFrame, periods: DataFrame, deposit_rules: Sequence[tupl
     presale gap before the start is null) and the deposit by group name.
     """
     orders = any_period(df.where(F.col("pay_time").isNotNull()), periods)
-    unique = first_row(orders, ["order_id"], [F.col("pay_time")])
+    # rows of one order and time differ in some other column; the hash over all of them decides
+    unique = first_row(orders, ["order_id"], [F.col("pay_time"), F.xxhash64(*orders.columns)])
     known = buyer_history(unique, key)
     starts = periods.select("grp", F.col("start_date").cast("timestamp").alias("_start"))
     gap = interval_days("_start", "pay_time", whole=False)
@@ -141,11 +142,14 @@ class ConversionModel:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         if self.encoder:
             self.encoder.save(f"{path}/encoder")
+        spark = SparkSession.active()
+        spark.createDataFrame([(list(self.features),)], "features array<string>").write.mode("overwrite").json(f"{path}/features")
 
     @staticmethod
     def load(spark: SparkSession, path: str, with_encoder: bool = True) -> "ConversionModel":
         encoder = TargetFreqModel.load(spark, f"{path}/encoder") if with_encoder else None
-        return ConversionModel(PipelineModel.load(f"{path}/pipeline"), encoder)
+        names = spark.read.schema("features array<string>").json(f"{path}/features").first()["features"]
+        return ConversionModel(PipelineModel.load(f"{path}/pipeline"), encoder, list(names or []))
 
 
 def _usable(df: DataFrame, numeric: Sequence[str]) -> list[str]:

@@ -52,16 +52,29 @@ def _charset(encoding: str) -> str:
     return plain if plain in SPARK_CHARSETS else BYTES
 
 
-def readable_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, lines: int = 2000) -> str:
-    """First encoding under which the leading lines hold no replacement character.
+def file_encodings(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> dict[str, str]:
+    """File -> the first encoding under which all of its lines read cleanly; the last one if none does.
 
-    Only the choice of encoding looks at leading lines; the scan itself reads everything.
+    Every line of every file is looked at, each file by itself. What reaches the driver is a
+    row for each file, as in a file listing.
     """
+    left: set[str] | None = None
+    out: dict[str, str] = {}
     for enc in encodings[:-1]:
-        head = spark.read.option("encoding", _charset(enc)).option("sep", "\u0001").csv(path).limit(lines)
-        if head.where(F.col(head.columns[0]).contains("\ufffd")).limit(1).count() == 0:
-            return enc
-    return encodings[-1]
+        if _charset(enc) == "utf-8":
+            lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.is_valid_utf8("value").alias("ok"))
+        else:
+            lines = spark.read.option("encoding", _charset(enc)).option("sep", "\u0001").schema("line string").csv(path)
+            lines = lines.select(F.col("_metadata.file_path").alias("f"), (~F.coalesce(F.col("line"), F.lit("")).contains("\ufffd")).alias("ok"))
+        seen = {r["f"]: r["ok"] for r in lines.groupBy("f").agg(F.bool_and("ok").alias("ok")).collect()}
+        left = set(seen) if left is None else left
+        for f in sorted(left):
+            if seen.get(f, True):
+                out[f] = enc
+                left = left - {f}
+        if not left:
+            break
+    return out | {f: encodings[-1] for f in left or ()}
 
 
 def _decoder(encoding: str):
@@ -78,17 +91,29 @@ def scan_csv(
     schema: T.StructType | str | None = None,
     encodings: Sequence[str] = ENCODINGS,
     latest: bool = True,
+    header: bool = True,
 ) -> DataFrame:
-    """CSV with header; the newest match of the glob, in the first encoding that reads cleanly.
+    """CSV; the newest match of the glob, or all of them, each file in the first encoding that reads cleanly.
 
-    A byte-order mark is dropped from the first column name; names and text are trimmed.
+    A byte-order mark is dropped from the first column name; names and text are trimmed. Files of one scan
+    have the same columns.
     """
     path = newest_file(spark, glob) if latest else glob
-    enc = readable_encoding(spark, path, encodings)
+    by_encoding: dict[str, list[str]] = {}
+    for file, enc in sorted(file_encodings(spark, path, encodings).items()):
+        by_encoding.setdefault(enc, []).append(file)
+    parts = [_scan_encoded(spark, files, schema, enc, header) for enc, files in by_encoding.items()] or [_scan_encoded(spark, [path], schema, encodings[0], header)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _scan_encoded(spark: SparkSession, files: Sequence[str], schema: T.StructType | str | None, enc: str, header: bool) -> DataFrame:
     charset = _charset(enc)
     # a doubled quote is the escape: a backslash may be half of a character
-    reader = spark.read.option("header", True).option("encoding", charset).option("escape", '"')
-    df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+    reader = spark.read.option("header", header).option("encoding", charset).option("escape", '"')
+    df = reader.schema(schema).csv(list(files)) if schema is not None else reader.csv(list(files))
     if charset == BYTES:
         decode = _decoder(enc)
         names = df.columns if schema is not None else [c.encode("latin-1").decode(enc) for c in df.columns]
@@ -98,6 +123,7 @@ def scan_csv(
     return df.toDF(*[c.replace("\ufeff", "").strip() for c in df.columns])
 
 
+# Field names of the registry's documents.
 _REGISTRY_FIELDS = {
     "Member Name": "agent_name", "Member Code": "agent_code", "Id Card": "agent_card", "Dealer Name Fc": "dealer",
     "Dealer_type": "dealer_type", "Status": "status", "Phone": "phone",

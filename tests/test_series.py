@@ -127,6 +127,27 @@ def test_posts_from_broken_json(spark):
     assert [(r["source"], r["username"], r["interactions"], r["timestamp"]) for r in out] == [("partial_json", "w", {"likes": 4}, "2023-11-14 22:13")]
 
 
+def test_loose_json_only_while_a_page_has_no_post(spark):
+    good = json.dumps({"cheyou_list": [{"content": TEXT + str(k), "display_time": 1700000000} for k in range(6)]}, ensure_ascii=False)
+    loose = f'"content": "{TEXT}", "display_time": 1700000000 '
+    pages = [
+        (1, f"<script>{good}</script><script>x = {loose}</script>"),
+        (2, f"<script>{loose}</script><script>y = {loose}{loose}</script>"),
+        (3, f"<script>{loose}</script><script>{good}</script>"),
+        (4, None),
+    ]
+    out = po.json_posts(spark.createDataFrame(pages, "page_id long, html string")).groupBy("page_id", "source").count().collect()
+    assert {tuple(r) for r in out} == {(1, "json_data", 6), (2, "partial_json", 1), (3, "partial_json", 1), (3, "json_data", 6)}
+
+
+def test_csv_encoding_is_chosen_from_all_lines_of_each_file(spark, tmp_path):
+    lines = "".join(f"n{k},{k}\n" for k in range(2500))
+    (tmp_path / "a.csv").write_bytes(("名,数\n" + lines + "智己,9\n").encode("gb18030"))
+    (tmp_path / "b.csv").write_text("名,数\n智界,7\n", encoding="utf-8")
+    df = rd.scan_csv(spark, str(tmp_path / "*.csv"), latest=False)
+    assert df.count() == 2502 and {r[0] for r in df.where("`数` in (7, 9)").collect()} == {"智己", "智界", "n7", "n9"}
+
+
 def test_post_rules(spark):
     cases = {TEXT: True, "我": False, "登录后查看更多评论内容和分享给朋友我觉得": False, "1" * 30: False, "a" * 40: False, "。！" * 20: False, None: False}
     df = spark.createDataFrame([(k,) for k in cases], "c string")
