@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
+import uuid
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from launchlens.llm import words as W
 
 #: Pre-tokens kept with their ids in a Python worker; those longer than MEMO_BYTES are encoded anew.
-MEMO, MEMO_BYTES = 600_000, 64
+MEMO, MEMO_BYTES = 1_000_000, 64
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -19,15 +22,15 @@ class Merger:
     """Merges of one rank table, with a queue of positions by rank.
 
     The queue has a bucket of linked-list positions for each rank that waits, the leftmost first, and a
-    bitmap of three levels of 64-way words: a set bit in `low` is a rank with a bucket, in
-    `mid` a word of `low` with a bit, in `top` a word of `mid`. Find-first-set on the way down names
-    the next rank. It is empty between calls, so its words are reused.
+    bitmap of two levels, 256 ranks to a word: a set bit in `low` is a rank with a bucket, a set bit in the
+    word above it a word of `low` with a bit. Find-first-set on the way down names the next
+    rank. It is empty between calls, so its words are reused.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.low = [0] * (max(ranks.values(), default=0) // 64 + 1)
-        self.mid = [0] * (len(self.low) // 64 + 1)
+        self.low = [0] * (max(ranks.values(), default=0) // 256 + 1)
+        self.bits = [1 << k for k in range(max(256, len(self.low)))]
 
     def __call__(self, piece: bytes) -> list[int]:
         """Ids of one pre-token.
@@ -37,70 +40,73 @@ class Merger:
         rank is no longer the entry's. Each merge queues at most two new pairs, so the
         work is in proportion to the length.
         """
-        ranks, low, mid = self.ranks, self.low, self.mid
-        whole = ranks.get(piece)
+        ranks, low, bits = self.ranks, self.low, self.bits
+        get = ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        get = ranks.get
         after = list(range(1, n + 2))
         before = list(range(-1, n))
-        pair = [-1 if (r := get(piece[i : i + 2])) is None else r for i in range(n - 1)]
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
         pair.append(-1)
         buckets: dict[int, list[int]] = {}
         top = 0
-        new = [(r, i) for i, r in enumerate(pair) if r >= 0]
-        while True:
-            for r, i in new:
-                bucket = buckets.get(r)
-                if bucket is not None:
-                    heappush(bucket, i)
-                    continue
-                buckets[r] = [i]
-                a = r >> 6
-                b = a >> 6
-                low[a] |= 1 << (r & 63)
-                mid[b] |= 1 << (a & 63)
-                top |= 1 << b
-            if not top:
-                break
-            b = (top & -top).bit_length() - 1
-            word = mid[b]
-            a = (b << 6) + (word & -word).bit_length() - 1
-            word = low[a]
-            rank = (a << 6) + (word & -word).bit_length() - 1
+        for i, r in enumerate(pair):
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    low[r >> 8] |= bits[r & 255]
+                    top |= bits[r >> 8]
+        while top:
+            group = (top & -top).bit_length() - 1
+            word = low[group]
+            rank = (group << 8) + (word & -word).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[rank]
-                low[a] = word = word & (word - 1)
+                low[group] = word = word & (word - 1)
                 if not word:
-                    mid[b] = word = mid[b] & (mid[b] - 1)
-                    if not word:
-                        top &= top - 1
-            new = []
+                    top &= top - 1
             if pair[i] != rank:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            pair[j] = pair[i] = -1
+            pair[j] = -1
             if k < n:
                 before[k] = i
-                if (r := get(piece[i : after[k]])) is not None:
-                    pair[i] = r
-                    new.append((r, i))
+                r = pair[i] = get(piece[i : after[k]], -1)
+                if r >= 0:
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        low[r >> 8] |= bits[r & 255]
+                        top |= bits[r >> 8]
+            else:
+                pair[i] = -1
             h = before[i]
             if h >= 0:
-                r = get(piece[h:k])
-                if r is None:
-                    pair[h] = -1
-                elif pair[h] != r:
+                r = get(piece[h:k], -1)
+                if r != pair[h]:
                     pair[h] = r
-                    new.append((r, h))
+                    if r >= 0:
+                        if r in buckets:
+                            heappush(buckets[r], h)
+                        else:
+                            buckets[r] = [h]
+                            low[r >> 8] |= bits[r & 255]
+                            top |= bits[r >> 8]
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            j = after[i]
+            ids.append(ranks[piece[i:j]])
+            i = j
         return ids
 
 
@@ -141,6 +147,18 @@ class Codec:
         return b"".join(map(self.back.__getitem__, ids.split(","))) if ids else b""
 
 
+def worker_codec(token: str, ranks: dict[bytes, int], pattern: str) -> Codec:
+    """The codec of this Python process for one call of encode_texts, so that its memory of pre-tokens outlives a task.
+
+    The functions of a task are unpickled anew for each, so the holder stands among the loaded modules.
+    """
+    holder = sys.modules.setdefault("launchlens_worker_codec", types.ModuleType("launchlens_worker_codec"))
+    kept = vars(holder).get("kept")
+    if kept is None or kept[0] != token:
+        kept = holder.kept = (token, Codec(ranks, pattern))
+    return kept[1]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Rank file: a base64 token and its rank on each line."""
     import base64
@@ -161,6 +179,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    token = uuid.uuid4().hex
     source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {SCHEMA}" + (", ids array<int>" if with_ids else "")
@@ -168,7 +187,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(shared.value, pattern)
+        codec = worker_codec(token, shared.value, pattern)
         for batch in batches:
             for rows in W.blocks(W.arrow_rows([batch], "doc_id", "_text"), 1, 4 << 20):
                 n, ids_sha, back_sha, lists = [], [], [], []
