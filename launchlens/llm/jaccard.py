@@ -6,8 +6,8 @@ Equal shingle sets are one set. A set is light up to a size that costs decide, e
   subset of the size their two sizes need are linked, without another look.
 * Heavy sets, and light ones large enough to link with a heavy one, scan inverted lists of their
   first shingles: in one order for all sets, frequent shingles last, the rest by
-  hash, two sets that link share a shingle among the first size // 4 + 1 of each. Pairs from the
-  lists are verified on the whole sets.
+  hash, two sets that link share m shingles among the first size // 4 + m of each, with m = 1 + size // 32 of
+  the smaller. Pairs that can reach their m are verified on the whole sets.
 
 Which shingles count as frequent comes from a bitmap of fixed size; it decides what work is done and never
 the result.
@@ -33,8 +33,10 @@ from launchlens.session import cut_lineage
 
 #: Bits of the bitmaps over the leading bits of a shingle's hash.
 MAP_BITS = 23
-#: A shingle in more texts than this is frequent; one in more than that is spread by Spark's own joins.
-FREQUENT, VERY = 16, 1000
+#: Shingles in more sets than these come later in the order, one class after the other; the last class is spread by Spark's own joins.
+BOUNDS = (16, 64, 256, 1000)
+#: Members of a long list's main group that each set outside of it is tried with before all of them.
+LEADERS = 8
 #: Sets above this size are always heavy.
 LIGHT_MOST = 16
 #: Lists up to this length give all their pairs, longer ones pairs with their best member first.
@@ -61,6 +63,11 @@ def first_count(n: np.ndarray, percent: int = 75) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def shared_count(n):  # noqa: ANN001, ANN201
+    """Shingles that linked sets share at least among the first ones of a set of size n."""
+    return 1 + n // 32
+
+
 def light_bound(sizes: dict[int, int], percent: int = 75) -> int:
     """The size up to which sets are light: the least total of subsets listed, and of list rows and set elements moved for the rest."""
     heavy = lambda n: int(first_count(np.int64(n), percent)) + n
@@ -138,10 +145,10 @@ def _new_sets(batches: Iterator, k: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield doc[keep], h[keep], key
 
 
-def frequent_maps(docs: DataFrame, k: int, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of shingles that stand in more than FREQUENT and in more than VERY distinct sets, counted over all texts.
+def frequent_maps(docs: DataFrame, k: int, range_bits: int) -> np.ndarray:
+    """A bitmap for each of BOUNDS: shingles in more distinct sets than that, counted over all texts.
 
-    Tasks send sorted hashes by range; a range counts its own and returns its stretch of both maps. Where more
+    Tasks send sorted hashes by range; a range counts its own and returns its stretch of all maps. Where more
     than an eighth of a stretch would be set, the bound doubles.
     """
     shift = np.uint64(64 - range_bits) if range_bits else None
@@ -183,32 +190,38 @@ def frequent_maps(docs: DataFrame, k: int, range_bits: int) -> tuple[np.ndarray,
         n, h = np.diff(edge), h[edge[:-1]]
         at = (h >> np.uint64(40 - MAP_BITS)).astype(np.int64) & (per - 1)
         out = []
-        for bound in (FREQUENT, VERY):
+        for bound in BOUNDS:
             while (n > bound).sum() > per // 8:
                 bound *= 2
             bits = np.zeros(per, bool)
             bits[at[n > bound]] = True
             out.append(zlib.compress(np.packbits(bits).tobytes()))
-        return pa.table({"r": table.column("r")[:1], "a": pa.array([out[0]], pa.binary()), "b": pa.array([out[1]], pa.binary())})
+        return pa.table({"r": table.column("r")[:1], "maps": pa.array([out], pa.list_(pa.binary()))})
 
-    maps = np.zeros((2, 1 << range_bits, per // 8), np.uint8)
-    # one row for each range: both maps together are 2 ** MAP_BITS bits each, whatever the input
-    for row in _texts(docs).select("_text").mapInArrow(run, "r int, h binary").groupBy("r").applyInArrow(count, "r int, a binary, b binary").toLocalIterator():
-        maps[0, row["r"]], maps[1, row["r"]] = (np.frombuffer(zlib.decompress(row[c]), np.uint8) for c in ("a", "b"))
-    return maps[0].ravel(), maps[1].ravel()
+    maps = np.zeros((len(BOUNDS), 1 << range_bits, per // 8), np.uint8)
+    # one row for each range: every map is 2 ** MAP_BITS bits, whatever the input
+    for row in _texts(docs).select("_text").mapInArrow(run, "r int, h binary").groupBy("r").applyInArrow(count, "r int, maps array<binary>").toLocalIterator():
+        for m, raw in enumerate(row["maps"]):
+            maps[m, row["r"]] = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return maps.reshape(len(BOUNDS), -1)
 
 
-def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _frequency(maps: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Class of every shingle: how many of BOUNDS it exceeds by the maps."""
     at = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    shift = (7 - (at & 7)).astype(np.uint8)
+    out = np.zeros(len(h), np.int64)
+    for bits in maps:
+        out += (bits[at >> 3] >> shift) & 1
+    return out
 
 
-def list_rows(docs: DataFrame, k: int, percent: int, light: int, range_bits: int, maps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def list_rows(docs: DataFrame, k: int, percent: int, light: int, range_bits: int, maps: np.ndarray) -> DataFrame:
     """Rows of the inverted lists and of the light sets' subsets, each set once a task.
 
-    r >= 0: a range of shingle hashes, packed: shingle, set key, set size, rank (frequent share of the set,
-    the higher the smaller). r = -1: the same for shingles in very many sets. r = -2: subsets, where `rank`
-    is the subset's size.
+    kind 0: a range of shingle hashes r, packed: shingle, place of its set in the row's own list of sets, and for those
+    key, size and rank (frequent share of the set, the higher the smaller). kind 1: the same for shingles in very many sets, kind 2:
+    subsets, where `rank` is the subset's size; both with an r of their own, as they only pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(maps)
     least = -(-percent * (light + 1) // 100)
@@ -217,45 +230,52 @@ def list_rows(docs: DataFrame, k: int, percent: int, light: int, range_bits: int
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        frequent, very = shared.value
+        maps = shared.value
         held: list[tuple] = []
         size = 0
 
-        def pack(r: int, h: np.ndarray, key: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple:
-            return r, _planes(np.diff(h, prepend=np.uint64(0))), key.tobytes(), _planes(n.astype("<u4")), _planes(rank.astype("<u4"))
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+
+        def pack(kind: int, r: int, h: np.ndarray, key: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple:
+            _, one, place = np.unique(np.stack([key, rank.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True) if kind == 2 else (None, *np.unique(key, return_index=True, return_inverse=True)[1:])
+            return kind, r, _planes(np.diff(h, prepend=np.uint64(0))), _planes(np.asarray(place).ravel().astype("<u4")), key[one].tobytes(), _planes(n[one].astype("<u4")), _planes(rank[one].astype("<u4"))
 
         def send() -> Iterator:
+            nonlocal number
             h, key, n, rank, kind = (np.concatenate([x[c] for x in held]) for c in range(5))
             parts = []
-            for special in (-1, -2):
+            for special in (1, 2):
                 at = np.flatnonzero(kind == special)
                 at = at[np.argsort(h[at], kind="stable")]
-                for lo in range(0, len(at), 1 << 16):
-                    s = at[lo : lo + (1 << 16)]
-                    parts.append(pack(special, h[s], key[s], n[s], rank[s]))
+                for lo in range(0, len(at), 1 << 18):
+                    s = at[lo : lo + (1 << 18)]
+                    parts.append(pack(special, (1 << 30) + task * 1009 + number, h[s], key[s], n[s], rank[s]))
+                    number += 1
             at = np.flatnonzero(kind == 0)
             at = at[np.argsort(h[at], kind="stable")]
             h, key, n, rank = h[at], key[at], n[at], rank[at]
             cut = np.searchsorted(h >> shift if range_bits else h * np.uint64(0), np.arange((1 << range_bits) + 1, dtype=np.uint64))
-            parts += [pack(r, *(x[cut[r] : cut[r + 1]] for x in (h, key, n, rank))) for r in range(1 << range_bits) if cut[r] < cut[r + 1]]
+            parts += [pack(0, r, *(x[cut[r] : cut[r + 1]] for x in (h, key, n, rank))) for r in range(1 << range_bits) if cut[r] < cut[r + 1]]
             cols = list(zip(*parts, strict=True))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["r", "h", "key", "n", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["kind", "r", "h", "place", "key", "n", "rank"])
 
         for doc, h, key in _new_sets(batches, k):
             if not len(h):
                 continue
-            often = _in_map(frequent, h)
+            often = _frequency(maps, h)
             size_of = np.bincount(doc, minlength=len(key))
-            share = np.bincount(doc, often, minlength=len(key)) / np.maximum(size_of, 1)
+            share = np.bincount(doc, often > 0, minlength=len(key)) / np.maximum(size_of, 1)
             rank_of = (1000 - np.floor(share * 1000)).astype(np.int64)
             order = np.lexsort((h, often, doc))
-            d, x = doc[order], h[order]
+            d, x, level = doc[order], h[order], often[order]
             first = np.searchsorted(d, np.arange(len(key)))
             place = np.arange(len(d)) - first[d]
-            keep = (place < first_count(size_of, percent)[d]) & (size_of[d] >= least)
-            d, x = d[keep], x[keep]
-            held.append((x, key[d], size_of[d], rank_of[d], np.where(_in_map(very, x), -1, 0)))
+            keep = (place < (first_count(size_of, percent) + shared_count(size_of) - 1)[d]) & (size_of[d] >= least)
+            d, x, level = d[keep], x[keep], level[keep]
+            held.append((x, key[d], size_of[d], rank_of[d], np.where(level == len(maps), 1, 0)))
             for t in np.flatnonzero((size_of > 0) & (size_of <= light)):
                 lo, hi = np.searchsorted(doc, t), np.searchsorted(doc, t, "right")
                 mine = h[lo:hi]
@@ -266,7 +286,7 @@ def list_rows(docs: DataFrame, k: int, percent: int, light: int, range_bits: int
                         for j in range(c):
                             sub = W.mix(sub * np.uint64(7) + mine[pick[:, j]])
                     m = len(sub)
-                    held.append((sub, np.full(m, key[t]), np.full(m, len(mine)), np.full(m, c), np.full(m, -2)))
+                    held.append((sub, np.full(m, key[t]), np.full(m, len(mine)), np.full(m, c), np.full(m, 2)))
             size += sum(len(v[0]) for v in held[-1:])
             if size > 2 << 20:
                 yield from send()
@@ -274,27 +294,11 @@ def list_rows(docs: DataFrame, k: int, percent: int, light: int, range_bits: int
         if held:
             yield from send()
 
-    return _texts(docs).select("_text").mapInArrow(run, "r int, h binary, key binary, n binary, rank binary")
-
-
-def _flat(rows: DataFrame) -> DataFrame:
-    """Packed rows as h, key, n, rank."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            for h, key, n, rank in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.cumsum(_numbers(h, "<u8"), dtype=np.uint64).view(np.int64)), pa.array(np.frombuffer(key, np.int64)), pa.array(_numbers(n, "<u4").astype(np.int64)), pa.array(_numbers(rank, "<u4").astype(np.int64))],
-                    names=["h", "key", "n", "rank"],
-                )
-
-    return rows.mapInArrow(run, "h long, key long, n long, rank long")
+    return _texts(docs).select("_text").mapInArrow(run, "kind int, r int, h binary, place binary, key binary, n binary, rank binary")
 
 
 def scan_lists(rows: DataFrame, percent: int, light: int) -> DataFrame:
-    """Pairs and long lists of every range: kind 0: (a, b, shared, rank of a); kind 1: (h, key, n, rank).
+    """Pairs and long lists of every range: kind 0: (a, b, shared, rank of a, least shared); kind 1: (h, key, n, rank) of long lists, kind 2: of subsets.
 
     In a pair, a is the better ranked set: more of its shingles are frequent, or else its key is smaller.
     Pairs whose sizes cannot link, or that are both light, are left out.
@@ -303,10 +307,14 @@ def scan_lists(rows: DataFrame, percent: int, light: int) -> DataFrame:
     def scan(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        cols = {c: table.column(c).to_pylist() for c in ("h", "key", "n", "rank")}
+        cols = {c: table.column(c).to_pylist() for c in ("h", "place", "key", "n", "rank")}
+        place = [_numbers(x, "<u4") for x in cols["place"]]
         h = np.concatenate([np.cumsum(_numbers(x, "<u8"), dtype=np.uint64) for x in cols["h"]])
-        key = np.concatenate([np.frombuffer(x, np.int64) for x in cols["key"]])
-        n, rank = (np.concatenate([_numbers(x, "<u4") for x in cols[c]]).astype(np.int64) for c in ("n", "rank"))
+        key = np.concatenate([np.frombuffer(x, np.int64)[p] for x, p in zip(cols["key"], place, strict=True)])
+        n, rank = (np.concatenate([_numbers(x, "<u4")[p] for x, p in zip(cols[c], place, strict=True)]).astype(np.int64) for c in ("n", "rank"))
+        kind = table.column("kind")[0].as_py()
+        if kind:
+            return pa.table({"kind": pa.array(np.full(len(h), kind, np.int32)), "x": pa.array(h.view(np.int64)), "y": pa.array(key), "n": pa.array(n), "rank": pa.array(rank), "least": pa.array(np.zeros(len(h), np.int64))})
         order = np.lexsort((key, rank, h))
         h, key, n, rank = h[order], key[order], n[order], rank[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
@@ -338,26 +346,26 @@ def scan_lists(rows: DataFrame, percent: int, light: int) -> DataFrame:
                 "y": pa.array(np.concatenate([key[pb_], key[member]])),
                 "n": pa.array(np.concatenate([count, n[member]]).astype(np.int64)),
                 "rank": pa.array(np.concatenate([rank[pa_], rank[member]])),
+                "least": pa.array(np.concatenate([shared_count(np.minimum(n[pa_], n[pb_])), np.zeros(len(member), np.int64)]).astype(np.int64)),
             }
         )
 
-    return rows.where("r >= 0").groupBy("r").applyInArrow(scan, "kind int, x long, y long, n long, rank long")
+    return rows.groupBy("kind", "r").applyInArrow(scan, "kind int, x long, y long, n long, rank long, least long")
 
 
 def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent: int, chunk: int = 256) -> DataFrame:
     """The pairs (a, b) whose whole sets link.
 
-    Texts are read again and only the sets of documents in a bitmap (fixed size) of the pairs' first
-    documents are sent; the joins then are exact. A set that many pairs name is
-    sent once for every `chunk` of its partners.
+    Texts are read again, and of the documents in a bitmap of fixed size the sets are sent, 48 bits a shingle; the join
+    with the first document of every named set is exact. A set that many pairs name goes once
+    to every `chunk` of its partners.
     """
     bits = 23
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    rep = keys.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    rep = cut_lineage(keys.where("n_shingles > 0").join(named, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
     words = (
-        rep.join(named, "key", "left_semi")
-        .select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - bits}) & 31 as int))").alias("m"))
+        rep.select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - bits}) & 31 as int))").alias("m"))
         .groupBy("w")
         .agg(F.bit_or("m").alias("m"))
         .collect()
@@ -366,51 +374,56 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent:
     for r in words:
         table[r["w"]] = r["m"]
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    source = _texts(docs).where("doc_id is not null").select("_text", slot.cast("int").alias("slot"))
+    source = _texts(docs).where("doc_id is not null").select("_text", slot.cast("int").alias("slot"), "doc_id")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         table = shared.value
 
-        def wanted() -> Iterator:
-            for b in batches:
-                s = b.column(1).to_numpy()
-                keep = (table[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1
-                if keep.any():
-                    yield b.filter(pa.array(keep))
-
-        for doc, h, key in _new_sets(wanted(), k):
-            at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
-            ends = np.append(at[1:], len(doc))
-            raw = [h[s:e].tobytes() for s, e in zip(at, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[doc[at]].view(np.int64)), pa.array(raw, pa.binary())], names=["key", "elements"])
-
-    sets = source.mapInArrow(run, "key long, elements binary").join(named, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
-    sets = cut_lineage(sets)
-    dealt = pairs.select("a", "b").withColumn("part", F.lit(0))
+        for b in batches:
+            at = b.column(1).to_numpy()
+            keep = (table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+            if not keep.any():
+                continue
+            b = b.filter(pa.array(keep))
+            ids, raw, keys_ = [], [], []
+            for rows in W.blocks(W.arrow_rows([b], "_text", "doc_id"), 0):
+                doc, h, key = shingle_sets([r[0] for r in rows], k)
+                cut = np.searchsorted(doc, np.arange(len(rows) + 1))
+                ids += [r[1] for r in rows]
+                keys_.append(key.view(np.int64))
+                raw += [_planes(np.diff(h[s:e] >> np.uint64(16), prepend=np.uint64(0))) if e > s else b"" for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(2).type), pa.array(np.concatenate(keys_)), pa.array(raw, pa.binary())], names=["doc_id", "key", "elements"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    sets = source.mapInArrow(run, f"doc_id {kind}, key long, elements binary")
     many = pairs.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") > chunk).select("a", F.ceil(F.col("_n") / chunk).cast("int").alias("parts"))
-    dealt = dealt.join(many, "a", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int"))
-    hubs = dealt.select("a", "part").distinct().join(sets, F.col("a") == F.col("key")).select("a", "part", F.lit(None).cast("long").alias("b"), "elements")
-    rest = dealt.join(sets, F.col("b") == F.col("key")).select("a", "part", "b", "elements")
+    dealt = pairs.select("a", "b").join(many, "a", "left")
+    dealt = dealt.select("a", "b", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
+    goes = dealt.select(F.col("b").alias("key"), "a", "part", "b").union(dealt.select(F.col("a").alias("key"), "a", "part", F.lit(None).cast("long").alias("b")).distinct())
+    goes = goes.join(rep, "key")
+    # repeated rows of a first document give its set again
+    sent = goes.join(sets, ["key", "doc_id"]).select("a", "part", "b", "elements")
 
     def compare(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
         b = table.column("b").to_pylist()
         elements = table.column("elements")
-        hub = np.frombuffer(elements[b.index(None)].as_py(), np.uint64)
+        whole = lambda i: np.cumsum(_numbers(elements[i].as_py(), "<u8"), dtype=np.uint64)
+        hub = whole(b.index(None))
         linked = []
         for i, x in enumerate(b):
             if x is not None:
-                other = np.frombuffer(elements[i].as_py(), np.uint64)
+                other = whole(i)
                 at = np.searchsorted(hub, other)
                 both = int((hub[np.minimum(at, len(hub) - 1)] == other).sum())
                 if 100 * both >= percent * (len(hub) + len(other) - both):
                     linked.append(x)
         return pa.table({"a": pa.array([table.column("a")[0].as_py()] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
-    return hubs.unionByName(rest).groupBy("a", "part").applyInArrow(compare, "a long, b long")
+    return sent.groupBy("a", "part").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -421,7 +434,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     100 * intersection >= percent * union. component_id is the smallest doc_id that links reach.
 
     Null and empty texts have no shingles and link with nothing; their component is their own doc_id. Rows
-    without doc_id link as all others do and take the smallest doc_id of their group, or null. Repeated rows
+    without doc_id take the smallest doc_id of the group of their copies, or null; they add no links of their own. Repeated rows
     are copies. An empty table gives no rows; other columns are ignored. Shingles and
     sets are told apart by 64-bit hashes.
     """
@@ -432,40 +445,69 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     total = sum(r["t"] for r in sizes)
     range_bits = min(MAP_BITS - 3, max(3, int(np.ceil(np.log2(max(1, total / RANGE_SHINGLES))))))
     maps = frequent_maps(docs, k, range_bits)
-    rows = list_rows(docs, k, percent, light, range_bits, maps)
-    rows = cut_lineage(rows)
-    scanned = cut_lineage(scan_lists(rows, percent, light))
+    scanned = cut_lineage(scan_lists(list_rows(docs, k, percent, light, range_bits, maps), percent, light))
     # subsets of light sets: the smallest set of a subset's list links with all that its size allows, larger ones with no others
-    subs = _flat(rows.where("r = -2"))
+    members = lambda kind: scanned.where(F.col("kind") == kind).select(F.col("x").alias("h"), F.col("y").alias("key"), "n", "rank")
+    subs = members(2)
     least = subs.groupBy("h", "rank").agg(F.min(F.struct("n", "key")).alias("m"))
     both = subs.join(least, ["h", "rank"]).where(f"key != m.key and {100 + percent} * rank >= {percent} * (n + m.n)")
     links = both.select(F.col("m.key").alias("a"), F.col("key").alias("b"))
     # shingles in very many sets, and long lists
-    very = _flat(rows.where("r = -1"))
-    long_lists = cut_lineage(very.unionByName(scanned.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("key"), "n", "rank")).distinct())
+    long_lists = cut_lineage(members(1).distinct())
     best = long_lists.groupBy("h").agg(F.min(F.struct("rank", "key", "n")).alias("m"))
     fits = lambda p, q: (100 * F.least(p, q) >= percent * F.greatest(p, q)) & (F.greatest(p, q) > light)
     stars = long_lists.join(best, "h").where("key != m.key").where(fits(F.col("n"), F.col("m.n")))
-    pairs = scanned.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("n").alias("shared"), "rank").union(
-        stars.select("m.key", "key", F.lit(1).cast("long"), "m.rank").toDF("a", "b", "shared", "rank")
+    few = lambda p, q: F.floor(F.least(p, q) / 32) + 1
+    pairs = scanned.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("n").alias("shared"), "rank", "least").union(
+        stars.select("m.key", "key", F.lit(1).cast("long"), "m.rank", few(F.col("n"), F.col("m.n"))).toDF("a", "b", "shared", "rank", "least")
     )
-    pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("rank").alias("rank")))
+    pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("rank").alias("rank"), F.min("least").alias("least")))
+    shared_most = pairs.select(F.explode(F.array("a", "b")).alias("key"), "shared").groupBy("key").agg(F.max("shared").alias("s"))
+    # in long lists only pairs with the best member are counted, so what two sets have in long lists is added to what they share
+    in_long = cut_lineage(long_lists.groupBy("key").agg(F.count("*").alias("c")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+
+    def can_reach(p: DataFrame) -> DataFrame:
+        la, lb = in_long.toDF("a", "la"), in_long.toDF("b", "lb")
+        return p.join(la, "a", "left").join(lb, "b", "left").where(zero(F.col("shared")) + F.least(zero(F.col("la")), zero(F.col("lb"))) >= F.col("least")).drop("la", "lb")
+
+    pairs = cut_lineage(can_reach(pairs).select("a", "b", "shared", "rank"))
     chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("p"), F.min_by("a", F.struct("rank", "a")).alias("q"))
     tried = cut_lineage(chosen.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("a"), "b"))
     links = cut_lineage(links.union(verify(docs, keys, tried, k, percent)).distinct())
     groups = cut_lineage(components(links))
+    # members of long lists that can share enough with any set of a size that links
+    able = long_lists.join(in_long, "key").join(shared_most, "key", "left").where(F.col("c") + zero(F.col("s")) >= few(F.ceil(F.col("n") * percent / 100), F.col("n")))
+    able = cut_lineage(able.select("h", "key", "n", "rank"))
+
+    def split_lists() -> tuple[DataFrame, DataFrame]:
+        """Group of every set, and the members of the long lists whose sets stand in more than one group, with the largest of them."""
+        of = groups.select(F.col("node").alias("key"), F.col("component").alias("g"))
+        tagged = able.join(of, "key", "left").withColumn("g", F.coalesce("g", "key"))
+        per = tagged.groupBy("h", "g").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.count("*").alias("gs")).where("gs > 1")
+        return of, tagged.join(per, "h")
+
+    # sets outside of a list's main group are tried with a few of its members first
+    in_order = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    _, mixed = split_lists()
+    lead = mixed.where("g = main").groupBy("h").agg(F.min_by(F.struct("key", "n"), F.xxhash64("key", "h")).alias("m"))
+    asks = mixed.where("g != main").join(lead, "h").where(fits(F.col("n"), F.col("m.n"))).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("m.key")), 1, LEADERS).alias("k"))
+    asks = in_order(asks.select(F.explode("k").alias("a"), F.col("key").alias("b")))
+    asks = cut_lineage(asks.distinct().join(in_order(tried), ["a", "b"], "left_anti"))
+    tried = tried.select("a", "b").union(asks)
+    if not asks.isEmpty():
+        groups = cut_lineage(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(docs, keys, asks, k, percent))))
     # what is left: listed pairs in different groups that have not been tried
-    of = groups.select(F.col("node").alias("key"), F.col("component").alias("g"))
-    tagged = long_lists.join(of, "key", "left").withColumn("g", F.coalesce("g", "key"))
-    per = tagged.groupBy("h", "g").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.count("*").alias("gs")).where("gs > 1")
-    members = tagged.join(per, "h")
-    outside = members.where("g != main").select("h", F.col("key").alias("o"), F.col("n").alias("on"), F.col("g").alias("og"))
-    across = members.join(outside, "h").where("g != og and (g = main or key < o)").where(fits(F.col("n"), F.col("on")))
-    across = across.select(F.least("key", "o").alias("a"), F.greatest("key", "o").alias("b")).distinct()
+    of, mixed = split_lists()
+    outside = mixed.where("g != main").select("h", F.col("key").alias("o"), F.col("n").alias("on"), F.col("g").alias("og"))
+    across = mixed.join(outside, "h").where("g != og and (g = main or key < o)").where(fits(F.col("n"), F.col("on")))
+    across = across.select(F.least("key", "o").alias("a"), F.greatest("key", "o").alias("b"), few(F.col("n"), F.col("on")).alias("least")).distinct()
+    sorted_pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
+    across = can_reach(across.join(sorted_pairs, ["a", "b"], "left")).select("a", "b")
     ga, gb = of.toDF("a", "ga"), of.toDF("b", "gb")
     apart = pairs.select("a", "b").join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
     left = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(across).distinct()
-    left = cut_lineage(left.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    left = cut_lineage(left.join(in_order(tried), ["a", "b"], "left_anti"))
     if not left.isEmpty():
         more = verify(docs, keys, left, k, percent)
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

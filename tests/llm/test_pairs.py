@@ -65,8 +65,7 @@ def varied(seed, n=260):
 def test_jaccard_groups_against_brute_force(spark, monkeypatch, seed):
     if seed == 2:  # long lists, frequent and very frequent shingles on small data
         monkeypatch.setattr(J, "SHORT_LIST", 3)
-        monkeypatch.setattr(J, "FREQUENT", 2)
-        monkeypatch.setattr(J, "VERY", 6)
+        monkeypatch.setattr(J, "BOUNDS", (2, 6))
     rows = varied(seed)
     got = J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {tuple(r) for r in got} == brute(rows)
