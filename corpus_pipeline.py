@@ -28,14 +28,12 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id, and of rows that repeat its doc_id one.
+    """One document of each group of near copies stays, the one with the smallest doc_id.
 
-    Texts without words are no copies of each other and stay. Rows without doc_id cannot be named, so they stay.
+    Texts without words are no copies of each other and stay, of rows that repeat a doc_id one. A row without
+    doc_id stays only if no document of its group has one, and then one of them.
     """
-    groups = jaccard.jaccard_groups(docs)
-    keep = cut_lineage(groups.where("doc_id = component_id").select("doc_id").distinct())
-    docs = docs.select(*COLUMNS)
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return jaccard.one_per_group(docs, COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ stand in different groups.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import comb
 
@@ -131,6 +131,21 @@ def set_keys(docs: DataFrame, k: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, key long")
 
 
+def _with_keys(rows: DataFrame, k: int) -> DataFrame:
+    """doc_id, _row and the key of the set of _text (0 for none), for every row."""
+    rows = rows.select("doc_id", "_row", "_text")
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "_row"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            keys = [shingle_sets([r[0] for r in part], k)[2].view(np.int64) for part in W.blocks(W.arrow_rows([b.select([2])], "_text"), 0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], names=["doc_id", "_row", "key"])
+
+    return rows.mapInArrow(run, f"{types}, key long")
+
+
 def _new_sets(batches: Iterator, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sets of a task's texts, each key once."""
     seen: set[int] = set()
@@ -357,12 +372,15 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent:
     """The pairs (a, b) whose whole sets link.
 
     Texts are read again, and of the documents in a bitmap of fixed size the sets are sent, 48 bits a shingle; the join
-    with the first document of every named set is exact. A set that many pairs name goes once
-    to every `chunk` of its partners.
+    with the first document of every named set is exact. Sets that only rows without doc_id have are sent by key. A set
+    that many pairs name goes once to every `chunk` of its partners.
     """
     bits = 23
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     rep = cut_lineage(keys.where("n_shingles > 0").join(named, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    # sets that only rows without doc_id have go by their key
+    nameless = rep.where("doc_id is null").select("key")
+    rep = rep.where("doc_id is not null")
     slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
     words = (
         rep.select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - bits}) & 31 as int))").alias("m"))
@@ -374,7 +392,7 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent:
     for r in words:
         table[r["w"]] = r["m"]
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    source = _texts(docs).where("doc_id is not null").select("_text", slot.cast("int").alias("slot"), "doc_id")
+    source = _texts(docs).select("_text", F.when(F.col("doc_id").isNotNull(), slot).otherwise(-1).cast("int").alias("slot"), "doc_id")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -383,7 +401,7 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent:
 
         for b in batches:
             at = b.column(1).to_numpy()
-            keep = (table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+            keep = (at < 0) | ((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
             if not keep.any():
                 continue
             b = b.filter(pa.array(keep))
@@ -397,14 +415,16 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent:
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(2).type), pa.array(np.concatenate(keys_)), pa.array(raw, pa.binary())], names=["doc_id", "key", "elements"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    sets = source.mapInArrow(run, f"doc_id {kind}, key long, elements binary")
+    sets = lambda rows: source.where(rows).mapInArrow(run, f"doc_id {kind}, key long, elements binary")
     many = pairs.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") > chunk).select("a", F.ceil(F.col("_n") / chunk).cast("int").alias("parts"))
     dealt = pairs.select("a", "b").join(many, "a", "left")
     dealt = dealt.select("a", "b", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
     goes = dealt.select(F.col("b").alias("key"), "a", "part", "b").union(dealt.select(F.col("a").alias("key"), "a", "part", F.lit(None).cast("long").alias("b")).distinct())
-    goes = goes.join(rep, "key")
     # repeated rows of a first document give its set again
-    sent = goes.join(sets, ["key", "doc_id"]).select("a", "part", "b", "elements")
+    sent = goes.join(rep, "key").join(sets("doc_id is not null"), ["key", "doc_id"]).select("a", "part", "b", "elements")
+    if not nameless.isEmpty():
+        own = sets("doc_id is null").select("key", "elements").join(nameless, "key", "left_semi").groupBy("key").agg(F.min("elements").alias("elements"))
+        sent = sent.union(goes.join(own, "key").select("a", "part", "b", "elements"))
 
     def compare(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -426,19 +446,8 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent:
     return sent.groupBy("a", "part").applyInArrow(compare, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id.
-
-    A-Z are lower-cased; words are runs other than ASCII white space; the set of a text is its distinct
-    windows of k words, or all its words as one if it has fewer. Texts link when
-    100 * intersection >= percent * union. component_id is the smallest doc_id that links reach.
-
-    Null and empty texts have no shingles and link with nothing; their component is their own doc_id. Rows
-    without doc_id take the smallest doc_id of the group of their copies, or null; they add no links of their own. Repeated rows
-    are copies. An empty table gives no rows; other columns are ignored. Shingles and
-    sets are told apart by 64-bit hashes.
-    """
-    docs = docs.select("doc_id", "text")
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, key of the set and _g, the key of the group's first set, for every row of `docs` (doc_id, text)."""
     keys = cut_lineage(set_keys(docs, k))
     sizes = keys.groupBy(F.least("n_shingles", F.lit(4 * LIGHT_MOST)).alias("n")).agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t")).collect()
     light = light_bound({r["n"]: r["c"] for r in sizes if r["n"]}, percent)
@@ -511,12 +520,46 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     if not left.isEmpty():
         more = verify(docs, keys, left, k, percent)
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    named = keys.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("_g", F.coalesce("component", "key"))
+    return keys.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("_g", F.coalesce("component", "key")).drop("component")
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id.
+
+    A-Z are lower-cased; words are runs other than ASCII white space; the set of a text is its distinct
+    windows of k words, or all its words as one if it has fewer. Texts link when
+    100 * intersection >= percent * union. component_id is the smallest doc_id that links reach.
+
+    Null and empty texts have no shingles and link with nothing; their component is their own doc_id. Rows
+    without doc_id link as all others do and take the smallest doc_id of their group, or null. Repeated rows
+    are copies; rows that share a doc_id but not their shingles are sets of their own. An empty table gives
+    no rows; other columns are ignored. Shingles and sets are told apart by 64-bit hashes.
+    """
+    named = _grouped(docs.select("doc_id", "text"), k, percent)
     first = named.where("n_shingles > 0").groupBy("_g").agg(F.min("doc_id").alias("component_id"))
     out = named.join(first, "_g", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_per_group(docs: DataFrame, columns: Sequence[str], k: int = 5, percent: int = 75) -> DataFrame:
+    """`columns` of one row of each group, that of the smallest doc_id; a row without doc_id only where none has one.
+
+    Texts without shingles are no group: of their rows one stays for each doc_id, and all without doc_id.
+    """
+    named = _grouped(docs.select("doc_id", "text"), k, percent).where("n_shingles > 0")
+    no_id = F.col("doc_id").isNull()
+    first = named.groupBy("_g").agg(F.min(F.struct(no_id.alias("no_id"), "doc_id", "key")).alias("m"))
+    first = cut_lineage(first.select("m.doc_id", "m.key"))
+    # texts get their keys again, after rows of other doc_ids have gone
+    rows = docs.select(F.struct(*columns).alias("_row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
+    some = rows.where(~no_id).join(first.select("doc_id").where(~no_id).distinct(), "doc_id", "left_semi").union(rows.where(no_id).select("doc_id", "_row", "_text"))
+    kept = _with_keys(some, k).where("key != 0").withColumnRenamed("doc_id", "_id")
+    kept = kept.join(first, (kept["key"] == first["key"]) & kept["_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    kept = kept.dropDuplicates(["key"]).select("_row.*")
+    bare = docs.select(*columns).where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z"))
+    return kept.union(bare.where(~no_id).dropDuplicates(["doc_id"])).union(bare.where(no_id))
+
+
 def oracle(k: int = 5, percent: int = 75) -> str:
     """DuckDB SQL of jaccard_groups over `documents`."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -95,6 +95,45 @@ def test_jaccard_on_edge_rows(spark, edge, no_docs):
     assert J.jaccard_groups(no_docs).collect() == []
 
 
+def copies(seed, n=60):
+    """Words of a text, of a near copy, and of a near copy of that which the first does not link with."""
+    rnd = random.Random(seed)
+    a = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    b = [*a[: n - 6], *(f"v{rnd.randrange(10**6)}" for _ in range(6))]
+    c = [*(f"u{rnd.randrange(10**6)}" for _ in range(6)), *b[6:]]
+    return [" ".join(x) for x in (a, b, c)]
+
+
+def test_jaccard_links_rows_without_doc_id(spark):
+    rows = []
+    for s in range(12):
+        a, b, c = copies(s)
+        rows += [(10 * s + 1, a), (None, b), (10 * s + 2, c)]
+    a, b, _ = copies(99)
+    rows += [(None, a), (None, b), (None, b.upper())]
+    a, b, other = copies(100)[0], copies(101)[0], copies(101)[1]
+    rows += [(500, a), (500, b), (501, other)]
+    got = J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == sorted([*((10 * s + d, 10 * s + 1) for s in range(12) for d in (1, 2)), (500, 500), (500, 500), (501, 500)])
+    assert sorted(-1 if r.component_id is None else r.component_id for r in got if r.doc_id is None) == [-1, -1, -1, *(10 * s + 1 for s in range(12))]
+
+
+def test_one_row_stays_of_each_group(spark):
+    rows = []
+    for s in range(4):
+        a, b, c = copies(s)
+        rows += [(10 * s + 1, a, "x"), (None, b, "x"), (10 * s + 2, c, "x"), (None, b, "x")]
+    a, b, _ = copies(99)
+    rows += [(None, a, "x"), (None, b, "x"), (None, b, "x")]
+    a, b, other = copies(100)[0], copies(101)[0], copies(101)[1]
+    rows += [(500, a, "x"), (500, b, "x"), (500, b, "x"), (501, other, "x"), (7, " ", "x"), (7, " ", "x"), (None, "", "x"), (None, None, "x")]
+    got = J.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id", "text", "lang"]).collect()
+    named = sorted((r.doc_id, r.text) for r in got if r.doc_id)
+    assert named == sorted([*((10 * s + 1, copies(s)[0]) for s in range(4)), (7, " "), (500, a), (500, b)])
+    rest = [r.text for r in got if r.doc_id is None]
+    assert len(rest) == 3 and len([t for t in rest if t in copies(99)]) == 1
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(120)] + [(2000, 2000 + i) for i in range(50)]
