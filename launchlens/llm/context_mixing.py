@@ -5,7 +5,8 @@ Each bit is predicted from six contexts: the last two to six bytes, and the word
 with the byte before it. A predictor is a hashed table of bit counts, summed over all
 training texts. Their log odds are combined by weights that a gate selects, the gate being
 the bit's depth and which predictors have seen their context; a last table corrects the mix by the byte before
-and the size of the log odds. Weights and corrections are learned online, bit block by bit block.
+and the size of the log odds. Weights and corrections are learned online, bit block by bit block, in shares of all
+training texts, and are then fixed: scoring a text changes nothing.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ END = 255
 SLOT_BITS, PART_BITS = 22, 14
 N_CONTEXTS = 6
 MAX_DEPTH = 30
-#: The mixer is fitted on so many training texts of at most so many bytes, the first by a hash of doc_id.
-MIXER_DOCS, MIXER_DOC_BYTES = 250, 10_000
+#: Training text of a share that one task fits a mixer on, about, and bytes that it takes at a time.
+SHARE_BYTES, PIECE_BYTES = 32 << 20, 64 << 10
+#: Bits of a step of the mixer at first, and at most, once it has taken STEPS steps of a size.
+STEP_LEAST, STEP_MOST, STEPS = 4096, 65536, 512
+#: Weights and corrections are added up as multiples of this share of one, so that sums do not depend on their order.
+UNIT = 1 << 16
 #: Partial tables that one task adds up; more are added in rounds.
 FAN_IN = 64
 GATES = MAX_DEPTH * 8
@@ -162,44 +167,69 @@ def level_of(x: np.ndarray) -> np.ndarray:
     return np.clip(x * np.float32(1.5) + np.float32(LEVELS / 2), 0, LEVELS - 1).astype(np.int32)
 
 
-def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray, rate: float = 0.002, rounds: int = 2, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by gate and corrections by (byte before, level), learned online over the texts' bits.
+class Mixer:
+    """Weights by gate and corrections by (byte before, level), learned online over the bits of a share of texts.
 
     The texts are part of the counts, so each bit's own observation is taken back before it is predicted. Steps are
-    scaled by running moments of the gradient; the corrections follow once the weights have seen all bits.
+    scaled by running moments of the gradient and grow with the bits seen; the corrections follow in a second round. Texts of any
+    size are taken in pieces, with the contexts of the whole text.
     """
-    weights = np.full((GATES, N_CONTEXTS), 1.4 / N_CONTEXTS, np.float32)
-    correction = np.zeros(256 * LEVELS, np.float32)
-    if not texts:
-        return weights, correction
+
+    def __init__(self, weights: np.ndarray | None = None, rate: float = 0.002):
+        self.weights = np.full((GATES, N_CONTEXTS), 1.4 / N_CONTEXTS, np.float32) if weights is None else weights.copy()
+        self.correction = np.zeros(256 * LEVELS, np.float32)
+        self.follows, self.rate, self.steps, self.seen = weights is not None, rate, 0, 0
+        self.moments = np.zeros((2, GATES, N_CONTEXTS))
+        #: Bits that each weight row and each correction was learned from.
+        self.gate_bits, self.cell_bits = np.zeros(GATES, np.int64), np.zeros(256 * LEVELS, np.int64)
+
+    def learn(self, counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
+        data, first = byte_stream(texts)
+        prev, ctx = contexts(data, first)
+        for lo in range(0, len(data), PIECE_BYTES):
+            cut = slice(lo, lo + PIECE_BYTES)
+            parts = []
+            for depth, at, node, bit in bit_levels(data[cut], prev[cut], code, length):
+                x = [back[bit.astype(np.int64), counts[m][slots(ctx[m][cut], at, node)]] for m in range(N_CONTEXTS)]
+                parts.append((at, gate_of(depth, x), np.stack(x, 1), bit.astype(np.float32)))
+            order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
+            at, gate, x, bit = (np.concatenate([p[k] for p in parts])[order] for k in range(4))
+            last = prev[cut][at].astype(np.int64) * LEVELS
+            begin = 0
+            while begin < len(bit):
+                step = min(STEP_MOST, max(STEP_LEAST, self.seen // STEPS))
+                end = min(begin + step, len(bit))
+                self._step(gate[begin:end], x[begin:end], bit[begin:end], last[begin:end])
+                begin = end
+
+    def _step(self, g: np.ndarray, x: np.ndarray, t: np.ndarray, last: np.ndarray) -> None:
+        z = np.einsum("ij,ij->i", self.weights[g], x)
+        err = t - 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+        grad = np.stack([np.bincount(g, err * x[:, m], GATES) for m in range(N_CONTEXTS)], 1)
+        self.steps += 1
+        self.seen += len(t)
+        self.gate_bits += np.bincount(g, minlength=GATES)
+        one, two = self.moments
+        one += 0.1 * (grad - one)
+        two += 0.001 * (grad * grad - two)
+        self.weights += (self.rate * one / (1 - 0.9**self.steps) / (np.sqrt(two / (1 - 0.999**self.steps)) + 1e-6)).astype(np.float32)
+        if self.follows:
+            cell = last + level_of(z)
+            rest = t - 1 / (1 + np.exp(-np.clip(z + self.correction[cell], -12, 12)))
+            n = np.bincount(cell, minlength=len(self.correction))
+            self.cell_bits += n
+            self.correction += (0.02 * np.bincount(cell, rest, len(n)) / np.maximum(n, 1) ** 0.5).astype(np.float32)
+
+
+def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and corrections of one share: two rounds over its texts."""
     _, back = log_odds()
-    data, first = byte_stream(texts)
-    prev, ctx = contexts(data, first)
-    parts = []
-    for depth, at, node, bit in bit_levels(data, prev, code, length):
-        x = [back[bit.astype(np.int64), counts[m][slots(ctx[m], at, node)]] for m in range(N_CONTEXTS)]
-        parts.append((at, gate_of(depth, x).astype(np.int32), np.stack(x, 1), bit.astype(np.float32)))
-    place = np.concatenate([p[0] for p in parts])
-    order = np.argsort(place, kind="stable")
-    gate, x, bit = (np.concatenate([p[k] for p in parts])[order] for k in (1, 2, 3))
-    last = prev[place[order]]
-    first_moment, second_moment = np.zeros((GATES, N_CONTEXTS)), np.zeros((GATES, N_CONTEXTS))
-    done = 0
-    for r in range(rounds):
-        for lo in range(0, len(bit), step):
-            g, xx, t = gate[lo : lo + step], x[lo : lo + step], bit[lo : lo + step]
-            z = (weights[g] * xx).sum(axis=1)
-            err = t - 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-            grad = np.stack([np.bincount(g, err * xx[:, m], GATES) for m in range(N_CONTEXTS)], 1)
-            done += 1
-            first_moment = 0.9 * first_moment + 0.1 * grad
-            second_moment = 0.999 * second_moment + 0.001 * grad * grad
-            weights += (rate * first_moment / (1 - 0.9**done) / (np.sqrt(second_moment / (1 - 0.999**done)) + 1e-6)).astype(np.float32)
-            if r:
-                cell = last[lo : lo + step].astype(np.int64) * LEVELS + level_of(z)
-                rest = t - 1 / (1 + np.exp(-np.clip(z + correction[cell], -12, 12)))
-                correction += (0.02 * np.bincount(cell, rest, len(correction)) / np.maximum(np.bincount(cell, minlength=len(correction)), 1) ** 0.5).astype(np.float32)
-    return weights, correction
+    mixer = Mixer()
+    for _ in range(2):
+        mixer = Mixer(mixer.weights) if mixer.steps else mixer
+        if texts:
+            mixer.learn(counts, texts, code, length, back)
+    return mixer.weights, mixer.correction
 
 
 def text_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -332,6 +362,46 @@ def bit_tables(train: DataFrame, code: np.ndarray, length: np.ndarray, tasks: in
     return counts.reshape(N_CONTEXTS, 1 << SLOT_BITS)
 
 
+def fit_shares(train: DataFrame, counts: np.ndarray, code: np.ndarray, length: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and corrections from all training texts, in two rounds.
+
+    In a round each of about `tasks` tasks runs a mixer over its share, from the weights of the round before. A weight row or
+    a correction of the result is the mean over tasks, by the bits that each learned it from; the sums are Spark's.
+    """
+    spark = train.sparkSession
+    source = train.select("_text").coalesce(tasks)
+    shared = spark.sparkContext.broadcast((counts, code, length))
+    n_weights = GATES * N_CONTEXTS
+
+    def round_from(weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            counts, code, length = shared.value
+            _, back = log_odds()
+            mixer = Mixer(weights)
+            for rows in W.blocks(W.arrow_rows(batches, "_text"), 0):
+                mixer.learn(counts, [r[0] for r in rows], code, length, back)
+            bits = np.concatenate([np.repeat(mixer.gate_bits, N_CONTEXTS), mixer.cell_bits])
+            learned = np.concatenate([mixer.weights.ravel(), mixer.correction]).astype(np.float64)
+            at = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at]), pa.array(np.round(learned[at] * UNIT).astype(np.int64))], names=["k", "bits", "units"])
+
+        first = Mixer(weights)
+        out = np.concatenate([first.weights.ravel(), first.correction])
+        parts = source.mapInArrow(run, "k int, bits long, units long")
+        # one row for each weight and correction, whatever the input
+        total = F.sum(F.col("units").cast("decimal(38,0)") * F.col("bits").cast("decimal(20,0)")).cast("double")
+        for r in parts.groupBy("k").agg((total / F.sum("bits") / UNIT).alias("v")).collect():
+            out[r["k"]] = r["v"]
+        return out[:n_weights].reshape(GATES, N_CONTEXTS), out[n_weights:]
+
+    weights, _ = round_from(None)
+    result = round_from(weights)
+    shared.destroy()
+    return result
+
+
 def _words_of(texts: list[bytes]) -> W.Words:
     return W.split(texts, lower=True)
 
@@ -356,8 +426,7 @@ def score_texts(docs: DataFrame, parts: int = 7, part: int = 2, task_bytes: int
     pairs, size = pair_counts(train)
     code, length = code_trees(pairs)
     counts = bit_tables(train, code, length, max(1, -(-size // task_bytes)))
-    sample = train.where(F.length("_text") <= MIXER_DOC_BYTES).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "_text").limit(MIXER_DOCS).select("_text").collect()
-    weights, correction = fit_mixer(counts, [bytes(r["_text"]) for r in sample], code, length)
+    weights, correction = fit_shares(train, counts, code, length, max(1, -(-size // SHARE_BYTES)))
     plain, _ = log_odds()
     fourteenths = np.round(plain * 14).astype(np.int8)
     odds = np.stack([fourteenths[c] for c in counts])

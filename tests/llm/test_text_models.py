@@ -102,6 +102,28 @@ def test_partial_tables_add_up(spark, monkeypatch):
     assert (M.bit_tables(train, code, length, 7) == want).all()
 
 
+def test_long_texts_teach_the_mixer(spark, monkeypatch):
+    docs = [(i, "a plain line of text " * 3 + f"number {i}") for i in range(300)]
+    longer = [*docs, (1001, " ".join(f"{i * 7919 % 10007:x}" for i in range(9000)))]
+    train = lambda rows, n: M._training(spark.createDataFrame(rows, "doc_id long, text string"), 7, 2).where("not held_out").repartition(n)
+    pairs, size = M.pair_counts(train(longer, 2))
+    code, length = M.code_trees(pairs)
+    counts = M.bit_tables(train(longer, 2), code, length, 2)
+    texts = [bytes(r._text) for r in train(longer, 1).collect()]
+    assert len(max(texts, key=len)) > 10_000 and len(texts) > 250
+    weights, correction = M.fit_shares(train(longer, 1), counts, code, length, 1)
+    short, _ = M.fit_shares(train(docs, 1), counts, code, length, 1)
+    assert np.abs(weights - short).max() > 0.01
+    monkeypatch.setattr(M, "PIECE_BYTES", 4096)
+    alone = M.Mixer()
+    alone.learn(counts, texts, code, length, M.log_odds()[1])
+    assert alone.gate_bits.sum() == alone.seen == sum(int(length[p, b]) for t in texts for p, b in zip(b"\0" + t.lower(), t.lower() + b"\xff", strict=True))
+    # shares are combined by the bits that they learned from
+    halves, also = M.fit_shares(train(longer, 3), counts, code, length, 3)
+    again, _ = M.fit_shares(train(longer, 3), counts, code, length, 3)
+    assert halves.shape == weights.shape and also.shape == correction.shape and (halves == again).all() and np.isfinite(halves).all()
+
+
 def test_base_scores_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
