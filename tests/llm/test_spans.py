@@ -66,6 +66,24 @@ def test_scan_reports_spans_and_coverage(spark):
     assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_siblings_and_half_licenses_are_told_apart(spark):
+    of = dict(L.TEMPLATES)
+    whole = [n for n in of if len(of[n].split()) > 60]
+    assert {"mit-whole", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "isc", "gpl-3.0-or-later", "lgpl-3.0-or-later", "agpl-3.0-or-later", "unlicense"} <= set(whole)
+    rows = [(n, f"Some text before. {of[n]} And some after.") for n in whole]
+    rows += [(f"half of {n}", " ".join(of[n].split()[: len(of[n].split()) // 2])) for n in whole if n not in ("mit", "mit-whole")]
+    got = {}
+    for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for n in whole:
+        assert [(r.license, r.coverage) for r in got[n]] == [(n, 1.0)], n
+        span = dict(rows)[n].encode()[got[n][0].start_char : got[n][0].end_char].decode()
+        assert of[n].startswith(span) and len(of[n]) - len(span) <= 3
+    assert not [r for d in got if d.startswith("half") for r in got[d] if not r.license.endswith("-notice")]
+    cut = of["mit-whole"][: of["mit-whole"].index(" IN NO EVENT")]
+    assert [r.license for r in L.scan_licenses(spark.createDataFrame([("x", cut)], "doc_id string, text string")).collect()] == ["mit"]
+
+
 def padding(bounds, lengths, counts):
     return sum(c * (min(b for b in bounds if b >= n) - n) for n, c in zip(lengths, counts))
 
