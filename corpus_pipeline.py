@@ -10,8 +10,6 @@ from launchlens.llm import jaccard, packing, quality_model, quality_rules, queri
 from launchlens.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The classifier rejects documents that score less; between this and the operator's 0.7 they are in doubt and stay.
-REJECT_BELOW = 0.3
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -22,9 +20,9 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score under REJECT_BELOW go; the model learns from the documents at hand."""
+    """Documents that the classifier rejects, by the decision of its operator, go; the model learns from the documents at hand."""
     model = quality_model.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, COLUMNS).where(F.col("score") >= REJECT_BELOW).select("_keys.*")
+    return quality_model.score(docs, model, COLUMNS).where(F.col("score") >= quality_model.ACCEPT_FROM).select("_keys.*")
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

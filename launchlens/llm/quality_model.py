@@ -14,6 +14,8 @@ from launchlens.llm import words as W
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 64, 4, 2
 #: Bound of the labelled rows that the network is fitted on.
 LABELLED_ROWS = 20_000
+#: Documents that score less are rejected.
+ACCEPT_FROM = 0.7
 HIDDEN = 32
 
 
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: Model, keys: Sequence[str] = ("doc_id",)) -> D
     return _features(docs, list(keys), model.vectors, model.network).withColumnRenamed("_out", "score")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS, threshold: float = 0.7) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS, threshold: float = ACCEPT_FROM) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted.
 
     Scores depend on the text only. Null texts are empty and get the score of no words; null ids

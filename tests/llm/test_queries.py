@@ -39,3 +39,10 @@ def test_pipeline_stages_take_edge_rows(spark, edge, no_docs):
     for docs in (edge, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF).collect()
+
+
+def test_classifier_stage_takes_the_operators_decision(spark):
+    docs = queries.table(spark, SF, "documents")
+    decided = {r.doc_id for r in queries.QUERIES["op8_quality_classifier"](spark, SF).where("predicted = 1").collect()}
+    stays = {r.doc_id for r in corpus_pipeline.classifier_stage(spark, docs, SF).collect()}
+    assert stays == decided and 0 < len(stays) < docs.count()
