@@ -1,7 +1,7 @@
 """Filters, buyers, agents, stores, breakdowns and shifts on hand-made orders."""
 
 import pytest
-from conftest import orders, rows_of
+from frames import orders, rows_of
 from pyspark.sql import functions as F
 
 from launchlens.operators import breakdowns as bd, buyers as by, filters as fl, periods as pr, profile as pf, stores as so, structure as st

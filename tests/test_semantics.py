@@ -1,6 +1,6 @@
 """Boundary rules: whole-day floor, period ends, windows, bands, identity numbers."""
 
-from conftest import orders, rows_of
+from frames import orders, rows_of
 from pyspark.sql import functions as F
 
 from launchlens.functions import rules, semantics as sm

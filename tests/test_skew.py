@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from frames import rows_of
 from pyspark.sql import functions as F
 
 from launchlens.plans import skew as sk
