@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from launchlens.llm import bpe, chat, context_mixing, jaccard, licenses, near_vectors, packing, quality_model, quality_rules, url_filters
+from launchlens.llm import bpe, chat, context_mixing, hard_negatives, jaccard, licenses, near_vectors, packing, quality_model, quality_rules, runs, secret_scan, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,5 +67,20 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op2_chat_format, op3_jaccard_join, op4_context_mixing, op5_url_filter, op6_quality_rules, op7_bpe, op8_quality_classifier, op9_license_scan, op10_length_packing)}
-ORACLES: dict[str, str] = {"op1_near_vectors": near_vectors.oracle(), "op2_chat_format": OP2_SQL, "op3_jaccard_join": jaccard.oracle(), "op5_url_filter": url_filters.oracle()}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7 the label is first made wrong, as the contract says."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(table(spark, sf_dir, "documents"), make_tail=True, digest=True))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op2_chat_format, op3_jaccard_join, op4_context_mixing, op5_url_filter, op6_quality_rules, op7_bpe, op8_quality_classifier, op9_license_scan, op10_length_packing, op11_hard_negatives, op12_secret_scan, op13_periodic_runs)}
+ORACLES: dict[str, str] = {"op1_near_vectors": near_vectors.oracle(), "op2_chat_format": OP2_SQL, "op3_jaccard_join": jaccard.oracle(), "op5_url_filter": url_filters.oracle(), "op11_hard_negatives": hard_negatives.oracle()}
