@@ -90,8 +90,8 @@ def read_block(texts: list[bytes]) -> Block:
 def trigram_codes(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the tokens, and for each byte of one the code of (two characters before, it) with 0 before the token."""
     lo, hi = edges(cls > 0)
-    before = np.concatenate([[0], cls[:-1]])
-    before2 = np.concatenate([[0, 0], cls[:-2]])[: len(cls)]
+    before = np.concatenate([[0], cls])[: len(cls)]
+    before2 = np.concatenate([[0, 0], cls])[: len(cls)]
     # the character before the first one of a token has class 0; the one before that may belong to another token
     before2[before == 0] = 0
     return lo, hi, (before2 * N_CLASSES + before) * N_CLASSES + cls
