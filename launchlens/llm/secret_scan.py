@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import import_module
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,7 +26,7 @@ TOKEN_MARKS = b"+/_-"
 #: Shortest token that the models learn from, and the shortest one they judge.
 LEARN_LEAST, JUDGE_LEAST = 4, 16
 #: Odds by which a token must more likely be random than ordinary, on top of how much rarer secrets are among the samples.
-ODDS = 1000.0
+ODDS = 1e6
 
 
 def token_classes() -> np.ndarray:
@@ -108,6 +110,20 @@ def count_tokens(cls: np.ndarray) -> tuple[np.ndarray, int]:
     return np.bincount(codes[inside], minlength=N_CLASSES**3), int((hi - lo >= JUDGE_LEAST).sum())
 
 
+def judged_tokens(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens long enough to be judged, the places of their bytes, where each begins among those, and their codes."""
+    lo, hi, codes = trigram_codes(cls)
+    long = hi - lo >= JUDGE_LEAST
+    lo, hi = lo[long], hi[long]
+    size = hi - lo
+    starts = np.concatenate([[0], np.cumsum(size)])[:-1]
+    place = np.repeat(lo - starts, size) + np.arange(size.sum())
+    return lo, hi, place, starts, codes[place]
+
+
+#: Log-likelihood ratio of the fixed models per character from which a token is no sample of ordinary ones.
+UNLABELLED = 1.5
+
 SAMPLES = "secret boolean, code int, n long"
 #: Code under which the number of tokens is counted.
 TOKENS = -1
@@ -116,9 +132,11 @@ TOKENS = -1
 def labelled_counts(docs: DataFrame) -> DataFrame:
     """(secret, code, n): trigram counts of the labelled samples of every whole text, summed in Spark.
 
-    The values of base matches are labelled secret, all other tokens ordinary. A task sends one row per code it
-    met, N_CLASSES ** 3 at most. Null texts are empty.
+    The values of base matches are labelled secret, all other tokens ordinary, but for long ones that the two fixed
+    models find random by UNLABELLED a character: those would teach the ordinary model themselves. A task sends one row
+    per code it met, N_CLASSES ** 3 at most. Null texts are empty.
     """
+    drawn, named = fixed_models()
     source = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
@@ -131,6 +149,10 @@ def labelled_counts(docs: DataFrame) -> DataFrame:
             b = read_block([t for (t,) in block])
             values = [t[v:e] for (t,), spans in zip(block, b.base, strict=True) for _, _, e, v in spans]
             known = table[np.frombuffer(b"\n".join(values), np.uint8)]
+            lo, hi, place, starts, codes = judged_tokens(b.cls)
+            if len(lo):
+                doubtful = np.add.reduceat(drawn[codes] - named[codes], starts) > UNLABELLED * (hi - lo)
+                b.cls[place[np.repeat(doubtful, hi - lo)]] = 0
             for secret, cls in ((0, b.cls), (1, known)):
                 n, k = count_tokens(cls)
                 totals[secret] += n
@@ -162,22 +184,107 @@ def sample_counts(samples: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, SAMPLES).groupBy("secret", "code").agg(F.sum("n").alias("n"))
 
 
+#: Alphabets of the random strings that are labelled secret in every fit, strings drawn from each, and their length.
+ALPHABETS = (
+    "0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits,
+    string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_",
+)
+DRAWN, DRAWN_LENGTH = 500, 32
+
+
+#: Modules of Python's library whose public names are labelled ordinary in every fit.
+NAMED = ("argparse", "asyncio", "calendar", "collections", "configparser", "datetime", "decimal", "difflib", "email.message", "http.client", "inspect", "json", "locale", "logging", "os", "pathlib", "shutil", "signal", "socket", "statistics", "subprocess", "tarfile", "threading", "traceback", "unittest", "urllib.request", "xml.dom.minidom", "zipfile")
+
+
+def random_strings() -> list[str]:
+    """Strings drawn from each alphabet, the same in every run."""
+    rng = np.random.default_rng(11)
+    return ["".join(row) for a in ALPHABETS for row in rng.choice(list(a), size=(DRAWN, DRAWN_LENGTH))]
+
+
+def ordinary_names() -> list[str]:
+    """Names of the library as they are, in capitals, in pairs and as paths, and plain numbers and dates."""
+    names = set()
+    for module in map(import_module, NAMED):
+        for name, value in vars(module).items():
+            names |= {name, *(vars(value) if isinstance(value, type) else ())}
+    plain = sorted(n for n in names if len(n) >= LEARN_LEAST and not n.startswith("_"))
+    rng = np.random.default_rng(12)
+    a, b = (rng.choice(plain, len(plain)) for _ in range(2))
+    out = plain + [n.upper() for n in plain]
+    for sep in ("_", "/", "-", ""):
+        out += [f"{x}{sep}{y[:1].upper() + y[1:] if not sep else y}" for x, y in zip(a.tolist(), b.tolist())]
+    days = [f"{y}-{m:02}-{d:02}T{h:02}-{m * 4:02}-{d:02}" for y in range(1995, 2030) for m, d, h in ((1, 9, 7), (6, 15, 12), (11, 28, 23))]
+    return out + days + ["".join(row) for row in rng.choice(list("0123456789"), size=(DRAWN, 16))]
+
+
+def sample_trigrams(samples: list[str]) -> np.ndarray:
+    return count_tokens(token_classes()[np.frombuffer("\n".join(samples).encode(), np.uint8)])[0]
+
+
+def _level(seen: np.ndarray, above: np.ndarray, weight: float) -> np.ndarray:
+    """Shares of the counts, drawn towards those of the level above, which weigh as much as `weight` observations."""
+    return (seen + weight * above) / (seen.sum(axis=-1, keepdims=True) + weight)
+
+
+def _uniform() -> np.ndarray:
+    out = np.full(N_CLASSES, 1 / (N_CLASSES - 1))
+    out[0] = 0.0
+    return out
+
+
+def _logs(p: np.ndarray) -> np.ndarray:
+    # no token holds class 0, so its codes never count
+    return np.log(np.where(p > 0, p, 1.0)).reshape(-1)
+
+
+def random_model(seen: np.ndarray) -> np.ndarray:
+    """Log-probabilities by trigram code: order 1 over the uniform distribution, which weighs N_CLASSES observations."""
+    k = N_CLASSES
+    order1 = _level(seen.sum(axis=0), np.broadcast_to(_uniform(), (k, k)), float(k))
+    return _logs(np.broadcast_to(order1, (k, k, k)))
+
+
+def ordinary_model(seen: np.ndarray) -> np.ndarray:
+    """Log-probabilities by trigram code: order 2 over order 1 over order 0 over the uniform one, each weighing N_CLASSES / 4 observations."""
+    k = N_CLASSES
+    p = _level(seen.sum(axis=(0, 1)), _uniform(), k / 4)
+    p = _level(seen.sum(axis=0), np.broadcast_to(p, (k, k)), k / 4)
+    return _logs(_level(seen, np.broadcast_to(p, (k, k, k)), k / 4))
+
+
+def fixed_models() -> tuple[np.ndarray, np.ndarray]:
+    """The models of the drawn strings and of the ordinary names."""
+    drawn, named = (sample_trigrams(x).reshape((N_CLASSES,) * 3) for x in (random_strings(), ordinary_names()))
+    return random_model(drawn), ordinary_model(named)
+
+
 @dataclass(frozen=True)
 class Models:
-    """Log-likelihood ratio (random over ordinary) of a character after two others, by trigram code, and the sum a token needs."""
+    """Log-probabilities of a character after two others, by trigram code, and the ratio a token needs.
 
-    ratio: np.ndarray
+    Two models of random strings, of the labelled ones and of drawn ones, and two of ordinary
+    tokens, of the labelled ones and of library names.
+    """
+
+    random: tuple[np.ndarray, np.ndarray]
+    ordinary: tuple[np.ndarray, np.ndarray]
     needed: float
 
+    def score(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of tokens, the two models of a side being equally likely."""
+        r, o = (np.logaddexp(*(np.add.reduceat(m[codes], starts) for m in side)) for side in (self.random, self.ordinary))
+        return r - o
+
 
 def fit(counts: DataFrame, odds: float = ODDS) -> Models:
-    """Both models from the trigram counts; what reaches the driver is at most 2 * N_CLASSES ** 3 rows of counts.
+    """All models from the trigram counts; what reaches the driver is at most 2 * N_CLASSES ** 3 rows of counts.
 
-    Random strings: order 1 over the uniform distribution, which weighs as much as N_CLASSES observations, so an alphabet
-    the samples lack is not ruled out. Ordinary identifiers: order 2 over order 1 over order 0 over the uniform
-    one, each weighing N_CLASSES / 4 observations.
-    A token is random if its ratio exceeds log(odds * ordinary tokens / random tokens), both counted
-    among the samples that are long enough to be judged. Without samples of either kind nothing is.
+    Random strings have one model of the labelled secrets and one of strings drawn from the usual alphabets, since secrets of one
+    alphabet may be all that is labelled; ordinary tokens one of the labelled ones and one of the names, numbers
+    and dates of `ordinary_names`.
+    A token is random if its ratio exceeds log(odds * ordinary tokens / secret tokens), both counted, and one added,
+    among the samples that are long enough to be judged.
     """
     k = N_CLASSES
     n = np.zeros((2, k, k, k))
@@ -187,37 +294,18 @@ def fit(counts: DataFrame, odds: float = ODDS) -> Models:
             tokens[row["secret"]] = row["n"]
         else:
             n[int(row["secret"])].reshape(-1)[row["code"]] = row["n"]
-    uniform = np.zeros(k)
-    uniform[1:] = 1 / (k - 1)
-
-    def level(seen: np.ndarray, above: np.ndarray, weight: float) -> np.ndarray:
-        return (seen + weight * above) / (seen.sum(axis=-1, keepdims=True) + weight)
-
-    chance = level(n[1].sum(axis=0), np.broadcast_to(uniform, (k, k)), float(k))
-    plain = level(n[0].sum(axis=(0, 1)), uniform, k / 4)
-    plain = level(n[0].sum(axis=0), np.broadcast_to(plain, (k, k)), k / 4)
-    plain = level(n[0], np.broadcast_to(plain, (k, k, k)), k / 4)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.log(chance)[None] - np.log(plain)
-    ratio[:, :, 0] = 0
-    if not tokens[0] or not tokens[1]:
-        return Models(np.zeros(k**3), np.inf)
-    return Models(ratio.reshape(-1), float(np.log(odds) + max(np.log(tokens[0] / tokens[1]), 0.0)))
+    drawn, named = fixed_models()
+    needed = float(np.log(odds) + max(np.log((tokens[0] + 1) / (tokens[1] + 1)), 0.0))
+    return Models((random_model(n[1]), drawn), (ordinary_model(n[0]), named), needed)
 
 
 def block_spans(texts: list[bytes], models: Models) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text the base spans and the ones that the models add, as (start, kind, end) in bytes."""
     b = read_block(texts)
-    lo, hi, codes = trigram_codes(b.cls)
-    long = hi - lo >= JUDGE_LEAST
-    lo, hi = lo[long], hi[long]
+    lo, hi, _, starts, codes = judged_tokens(b.cls)
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if len(lo):
-        # only the long tokens are added up
-        size = hi - lo
-        place = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        score = np.add.reduceat(models.ratio[codes[place]], np.concatenate([[0], np.cumsum(size)[:-1]]))
-        hit = score > models.needed
+        hit = models.score(codes, starts) > models.needed
         lo, hi = lo[hit], hi[hit]
         for a, e, d in zip(lo.tolist(), hi.tolist(), (np.searchsorted(b.first, lo, "right") - 1).tolist(), strict=True):
             added[d].append((a - int(b.first[d]), len(KINDS), e - int(b.first[d])))
