@@ -107,23 +107,34 @@ PSM_SPEC = mo.FeatureSpec(numeric=["amount", "hour", "orders_of_buyer"])
 
 def _pairs(spark, sf):
     rows = _event_rows(spark, sf)
-    return rows, ca.psm_match(ca.propensity(rows, "treated", PSM_SPEC), "treated")
+    scores = ca.propensity(rows, "treated", PSM_SPEC)
+    return rows, scores, cut_lineage(ca.psm_match(scores.scores, "treated"))
 
 
 @query("psm_match")
 def psm_match(spark, sf):
-    return _pairs(spark, sf)[1]
+    return _pairs(spark, sf)[2]
 
 
 @query("psm_effect")
 def psm_effect(spark, sf):
-    rows, pairs = _pairs(spark, sf)
-    after = ca.smd(ca.matched_rows(rows, pairs), "treated", PSM_SPEC.numeric)
-    both = ca.balance(ca.smd(rows, "treated", PSM_SPEC.numeric), after)
+    rows, scores, pairs = _pairs(spark, sf)
+    kept = pairs.select(F.explode(F.array("treated_key", "control_key")))
+    both = ca.balance(scores.smd(), scores.smd(kept))
     effect = ca.att(ca.paired_outcomes(rows, pairs, "purchase"), "treated_outcome", "control_outcome")
     return with_row(both, effect)
 
 
+@query("psm_check", f"""WITH {SQL_FO}, x AS (SELECT grp IN ('AUTOMOBILE', 'BUILDING') AS t, CAST(age % 23 AS DOUBLE) / 100 + CAST(age AS DOUBLE) / 1000000 AS s FROM fo WHERE grp <> 'MACHINERY' AND (grp <> 'HOUSEHOLD' OR age % 2 = 0)),
+c AS (SELECT s, count(*) FILTER (t) AS a, count(*) FILTER (NOT t) AS b FROM x GROUP BY 1)
+SELECT CAST(sum(least(a, b)) AS BIGINT) AS same_score, CAST(0 AS BIGINT) AS reused, CAST(0 AS BIGINT) AS beyond_caliper, CAST(0 AS BIGINT) AS still_possible FROM c""")
+def psm_check(spark, sf):
+    """The rules of the match over a fixed score column: all equal scores paired, no reuse, none beyond the caliper, no possible pair left."""
+    o = fact_orders(spark, sf, "order_id", "grp", "age").where("grp <> 'MACHINERY' and (grp <> 'HOUSEHOLD' or age % 2 = 0)")
+    rows = cut_lineage(o.select("order_id", F.col("grp").isin("AUTOMOBILE", "BUILDING").cast("int").alias("t"), ((F.col("age") % 23).cast("double") / 100 + F.col("age").cast("double") / 1000000).alias("score")))
+    return ca.match_check(rows, cut_lineage(ca.psm_match(rows, "t", caliper=0.03)), "t", 0.03)
+
+
 def _sm(f: str) -> str:
     t, c = f"CASE WHEN grp IN ('AUTOMOBILE', 'BUILDING') THEN {f} END", f"CASE WHEN grp NOT IN ('AUTOMOBILE', 'BUILDING') THEN {f} END"
     return f"SELECT '{f}' AS feature, {r(f'abs((avg({t}) - avg({c})) / sqrt((var_samp({t}) + var_samp({c})) / 2))')} AS smd FROM fo"
@@ -157,39 +168,3 @@ AGE_SEG = "CASE WHEN age > 0 AND age <= 25 THEN '<25' WHEN age > 25 AND age <= 3
 SELECT segment, value, {r('avg(pr)')} AS mean_probability, count(pr) AS orders FROM x WHERE value IS NOT NULL GROUP BY 1, 2 HAVING segment <> 'region' OR count(pr) >= 50""")
 def mix_segments(spark, sf):
     return mo.mix_segments(fact_orders(spark, sf, "gender", "region", "age", "invoice_price").withColumn("probability", F.col("invoice_price") / 200000))
-
-
-def _price_rows(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_extendedprice")
-    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_retailprice")
-    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.withColumn("id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
-
-
-def _fit(spark, sf, kind, **kw):
-    return mo.price_fit(_price_rows(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "p_retailprice"], ["l_returnflag", "p_type"], kind, **kw)
-
-
-@query("price_ols")
-def price_ols(spark, sf):
-    return _fit(spark, sf, "ols").table(spark)
-
-
-@query("price_lasso")
-def price_lasso(spark, sf):
-    return _fit(spark, sf, "lasso").table(spark)
-
-
-@query("price_ridge")
-def price_ridge(spark, sf):
-    return _fit(spark, sf, "ridge").table(spark)
-
-
-@query("price_gbt")
-def price_gbt(spark, sf):
-    return _fit(spark, sf, "gbt", trees=8, depth=4).table(spark)
-
-
-@query("importance_perm")
-def importance_perm(spark, sf):
-    return mo.perm_importance(_fit(spark, sf, "ols"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from launchlens.catalog.bindings import SQL_EV, event_periods, fact_events, table
-from launchlens.catalog.curve_queries import CURVE, pair_series
+from launchlens.catalog.curve_queries import CURVE, PAIRS, pair_series
 from launchlens.catalog.registry import query, r
+from launchlens.catalog.solve_sql import products, steps
 from launchlens.operators import curves as cv
 from launchlens.operators import growth as gr
 from launchlens.operators import posts as po
@@ -179,6 +180,28 @@ def growth_fit(spark, sf):
     return gr.growth_fit(curve(spark, sf))
 
 
+def poly_sql() -> str:
+    """Quadratic of the plateau and cubic of the final phase by their normal equations."""
+    parts, ctes = [], []
+    for model, degree, inside in (("plateau", 2, "day >= floor(q * 0.179) AND day <= floor(q * 0.714)"), ("final", 3, "day >= floor(q * 0.714)")):
+        xs = [f"x{k}" for k in range(1, degree + 1)]
+        ctes.append(f"d_{model} AS (SELECT grp, {', '.join(f'pow(day, {k}) AS x{k}' for k in range(1, degree + 1))}, CAST(cum AS DOUBLE) AS y FROM dq WHERE {inside})")
+        means = ", ".join(f"avg({x}) AS m{x}" for x in xs)
+        ctes.append(f"s_{model} AS (SELECT grp, count(*) AS n, avg(y) AS my, {means}, {products([*xs, 'y'])} AS m FROM d_{model} GROUP BY 1 HAVING count(*) > {degree})")
+        ctes.append(steps(f"g_{model}", f"s_{model}", "grp", degree))
+        c = [f"g.m[{k}][{degree + 1}]" for k in range(1, degree + 1)]
+        c0 = "my - (" + " + ".join(f"{c[k]} * mx{k + 1}" for k in range(degree)) + ")"
+        coefs = [c0, *c, *["0"] * (3 - degree)]
+        parts.append(f"SELECT grp, '{model}' AS model, n AS points, {', '.join(f'{r(e)} AS c{k}' for k, e in enumerate(coefs))}, {r(f'sqrt(greatest(g.m[{degree + 1}][{degree + 1}], 0) / n)')} AS rmse FROM g_{model} g JOIN s_{model} USING (grp) WHERE k = {degree + 1}")
+    return f"WITH RECURSIVE {SQL_EV}, {CURVE}, dq AS (SELECT *, max(day) OVER (PARTITION BY grp) AS q FROM dc), {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query("growth_poly", poly_sql())
+def growth_poly(spark, sf):
+    fits = gr.growth_fit(curve(spark, sf))
+    return fits.where("(model = 'plateau' and points > 2) or (model = 'final' and points > 3)")
+
+
 @query("growth_forecast")
 def growth_forecast(spark, sf):
     c = curve(spark, sf)
@@ -197,6 +220,37 @@ def granger(spark, sf):
     return se.granger(lag_series(spark, sf), 7)
 
 
+def granger_sql(max_lag: int = 3) -> str:
+    """F statistics of the first lags: one elimination per lag, own lags first."""
+    ctes, parts = [], []
+    for k in range(1, max_lag + 1):
+        cols = [*(f"y{j}" for j in range(1, k + 1)), *(f"x{j}" for j in range(1, k + 1))]
+        lags = ", ".join(f"lag({c[0]}, {c[1:]}) OVER w AS {c}" for c in cols)
+        ctes.append(f"l{k} AS (SELECT * FROM (SELECT grp, y, row_number() OVER w AS t, {lags} FROM sx WINDOW w AS (PARTITION BY grp ORDER BY dt)) WHERE t > {k})")
+        ctes.append(f"a{k} AS (SELECT grp, count(*) AS n, {products([*cols, 'y'])} AS m FROM l{k} GROUP BY 1)")
+        ctes.append(steps(f"g{k}", f"a{k}", "grp", 2 * k))
+        end = f"m[{2 * k + 1}][{2 * k + 1}]"
+        f = f"(o.{end} - e.{end}) / e.{end} / {k} * (n - {2 * k + 1})"
+        parts.append(f"SELECT o.grp, CAST({k} AS BIGINT) AS lag, n, {r(f)} AS f_stat FROM g{k} o JOIN g{k} e ON e.grp = o.grp AND o.k = {k + 1} AND e.k = {2 * k + 1} JOIN a{k} ON a{k}.grp = o.grp")
+    return f"WITH RECURSIVE {SQL_EV}, {PAIRS}, sx AS (SELECT grp, dt, CAST(pays AS DOUBLE) AS x, CAST(locks AS DOUBLE) AS y FROM dp WHERE pays <> 0 OR locks <> 0), {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query("granger_stats", granger_sql())
+def granger_stats(spark, sf):
+    return se.granger(lag_series(spark, sf), 3).select("grp", "lag", "n", "f_stat")
+
+
+def _unit_root_sql(col: str) -> str:
+    return f"""SELECT grp, '{col}' AS series, {r('b / sqrt((syy - b * sxy) / (n - 2) / sxx)')} AS stat, CAST(0 AS BIGINT) AS lags FROM (
+  SELECT grp, count(*) AS n, regr_sxx(d, v) AS sxx, regr_sxy(d, v) AS sxy, regr_syy(d, v) AS syy, regr_slope(d, v) AS b
+  FROM (SELECT grp, {col} - lag({col}) OVER w AS d, lag({col}) OVER w AS v FROM sx WINDOW w AS (PARTITION BY grp ORDER BY dt)) WHERE d IS NOT NULL GROUP BY 1)"""
+
+
+@query("adf_lag0", f"WITH {SQL_EV}, {PAIRS}, sx AS (SELECT grp, dt, CAST(pays AS DOUBLE) AS x, CAST(locks AS DOUBLE) AS y FROM dp) {_unit_root_sql('x')} UNION ALL {_unit_root_sql('y')}")
+def adf_lag0(spark, sf):
+    return se.adf(lag_series(spark, sf), lags=0).select("grp", "series", "stat", "lags")
+
+
 @query("best_lag")
 def best_lag(spark, sf):
     return se.best_lag(se.granger(lag_series(spark, sf), 7))

@@ -14,7 +14,9 @@ from launchlens.operators.buyers import buyer_key
 from launchlens.operators.curves import rate_class
 from launchlens.operators.filters import price_lookup
 from launchlens.operators.periods import group_period
-from launchlens.plans.skew import count_stats, first_row
+from launchlens.plans.selection import count_stats, exact_quantiles
+from launchlens.plans.skew import first_row
+from launchlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -130,14 +132,12 @@ def refund_by_dim(
 def robust_stats(df: DataFrame, col: str, by: Sequence[str], lo: float = 15, hi: float = 85) -> DataFrame:
     """Mean, median, sample std, n and removed n after clamping to [lo, hi] and 1.5 IQR.
 
-    Values are counted first: the column is a small whole-number domain such as age.
+    Values are counted in one read; quartiles are selected from the counts, however many values there are.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = cut_lineage(df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
     raw = counts.groupBy(*by).agg(F.sum("n").alias("raw_n"))
     clamped = counts.where(F.col("v").between(lo, hi))
-    q = clamped.groupBy(*by).agg(
-        F.percentile("v", 0.25, F.col("n")).alias("_q1"), F.percentile("v", 0.75, F.col("n")).alias("_q3")
-    )
+    q = exact_quantiles(clamped, by, "v", [0.25, 0.75], weight="n").toDF(*by, "_q1", "_q3")
     iqr = F.col("_q3") - F.col("_q1")
     inside = clamped.join(q, list(by)).where(
         (F.col("v") >= F.col("_q1") - 1.5 * iqr) & (F.col("v") <= F.col("_q3") + 1.5 * iqr)

@@ -174,7 +174,8 @@ def flag_agent_orders(df: DataFrame, registry: DataFrame) -> DataFrame:
     clean = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     # the registry has no blank key, so rows with one are spread under names that no agent has
     blank = (clean("agent_name") == "") | (clean("agent_id") == "") | (clean("buyer_id") == "")
-    name = F.when(blank, F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(65_536)).cast("string"))).otherwise(clean("agent_name"))
+    varied = [c for c in ("agent_id", "buyer_id", "pay_time") if c in df.columns]
+    name = F.when(blank, F.concat(F.lit("\0"), F.xxhash64(*varied).cast("string"))).otherwise(clean("agent_name"))
     cond = (
         (name == F.col("_agent_name"))
         & (clean("agent_id") == F.col("_agent_code"))

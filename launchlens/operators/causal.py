@@ -3,22 +3,198 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from launchlens.operators.models import FeatureSpec, classifiers, fit_classifier
-from launchlens.plans.skew import ordinal, with_row
+from launchlens.operators.logistic import Many, Member, fit, group_moments, keyed_scores, prepare
+from launchlens.operators.models import FeatureSpec
+from launchlens.plans.selection import ordered_bits
+from launchlens.plans.skew import ordinal, running_extreme, with_row
 from launchlens.session import cut_lineage
 
 # Widths of the score cells tried inside the caliper, finest first.
 CELL_SHARES = (1 / 64, 1 / 8, 1)
 
 
-def propensity(df: DataFrame, treat: str, spec: FeatureSpec, key: str = "order_id") -> DataFrame:
-    """(key, treat, score): balanced logistic probability of being treated."""
-    rows = cut_lineage(df.select(key, treat, *spec.numeric, *spec.categorical, *spec.encoded))
-    model = fit_classifier(rows, treat, spec, classifiers(rows.count())["logistic"])
-    return model.transform(rows).select(key, treat, F.col("probability").alias("score"))
+@dataclass(frozen=True)
+class Propensity:
+    """Scores of being treated, (key, treat, score), and the encoded covariates they come from."""
+
+    scores: DataFrame
+    many: Many
+    key: str
+
+    def smd(self, kept: DataFrame | None = None) -> DataFrame:
+        """(feature, smd) over every encoded covariate, of all rows or of those whose key is in the one-column table `kept`."""
+        rows = self.many.rows if kept is None else self.many.rows.join(kept.toDF(self.key), self.key, "left_semi")
+        c, t = group_moments(self.many, rows.withColumn("_g", F.col("_y").cast("int")), "_g", 2)
+        p = len(self.many.names)
+        n = [max(g[0], 1.0) for g in (c, t)]
+        mean = [g[1 : 1 + p] / k for g, k in zip((c, t), n)]
+        var = [np.maximum(g[1 + p :] - k * m * m, 0.0) / max(k - 1, 1.0) for g, k, m in zip((c, t), n, mean)]
+        pooled = np.sqrt((var[0] + var[1]) / 2)
+        out = np.abs(mean[1] - mean[0]) / np.where(pooled > 1e-12, pooled, 1e-8)
+        rows = [(f, float(x)) for f, x in zip(self.many.names, out)]
+        return self.many.rows.sparkSession.createDataFrame(rows, "feature string, smd double")
+
+
+def propensity(df: DataFrame, treat: str, spec: FeatureSpec, key: str = "order_id") -> Propensity:
+    """Balanced logistic probability of being treated, from median-filled, encoded and scaled covariates."""
+    rows = df.select(key, F.col(treat), *spec.numeric, *spec.categorical, *spec.encoded).withColumns({"_fold": F.lit(1), "_tier": F.lit(0)})
+    many = fit(prepare(rows, treat, spec.numeric, spec.categorical, spec.encoded, [Member(0, 0)], keep=[key, treat]))
+    return Propensity(cut_lineage(keyed_scores(many, [key, treat]).withColumnRenamed("probability", "score")), many, key)
+
+
+def _ranked_by_score(df: DataFrame, cell: Column, width: float, descending: bool) -> DataFrame:
+    """Position inside the cell in score order.
+
+    Rows of one score are numbered apart in 64 hash pieces; distinct scores are then
+    ordered slice by slice, so neither a hot score nor a hot cell lands in one task.
+    """
+    placed = df.withColumn("cell", cell).where(F.col("cell").isNotNull()).withColumn("_h", F.xxhash64("key"))
+    inner = ordinal(placed, ["cell", "score"], [F.col("_h"), F.col("key")], F.shiftright("_h", 58), "_in")
+    scores = placed.groupBy("cell", "score").agg(F.count("*").alias("n"))
+    sign = F.lit(-1.0 if descending else 1.0)
+    slice_ = F.floor(F.col("score") * sign / F.lit(width / 1024))
+    before = ordinal(scores, ["cell"], [F.col("score") * sign], slice_, "_before", weight="n")
+    return inner.join(before.select("cell", "score", "_before"), ["cell", "score"]).select(
+        "cell", (F.col("_before") + F.col("_in")).alias("pos"), "key", "score"
+    )
+
+
+def _pass(left: DataFrame, cell_t: Column, cell_c: Column, width: float, caliper: float, t_desc: bool, c_desc: bool) -> DataFrame:
+    """Pairs the i-th treated with the i-th control of each cell when they lie inside the caliper."""
+    t = _ranked_by_score(left.where(F.col("treated") == 1), cell_t, width, t_desc)
+    c = _ranked_by_score(left.where(F.col("treated") == 0), cell_c, width, c_desc)
+    c = c.select("cell", "pos", F.col("key").alias("control"), F.col("score").alias("control_score"))
+    pairs = t.join(c, ["cell", "pos"])
+    return pairs.where(F.abs(F.col("score") - F.col("control_score")) <= caliper).select(
+        F.col("key").alias("treated_key"), F.col("control").alias("control_key"), "score", "control_score"
+    )
+
+
+def _same_scores(rows: DataFrame) -> DataFrame:
+    """Pairs of rows with equal scores, as many as there can be; rows of a score are numbered apart in hash pieces."""
+    hashed = rows.withColumn("_h", F.xxhash64("key"))
+    placed = ordinal(hashed, ["score", "treated"], [F.col("_h"), F.col("key")], F.shiftright("_h", 58), "pos")
+    t, c = placed.where("treated = 1"), placed.where("treated = 0")
+    both = t.select("score", "pos", F.col("key").alias("treated_key")).join(c.select("score", "pos", F.col("key").alias("control_key")), ["score", "pos"])
+    return both.select("treated_key", "control_key", "score", F.col("score").alias("control_score"))
+
+
+def _mutual(stacks: DataFrame, caliper: float) -> DataFrame:
+    """Pairs of stacks (score, treated, n, used) that are each other's nearest on the other side, inside the caliper.
+
+    The last stack below and the first one above are carried through score ranges by two levels of windows; of two
+    equally near the lower one is taken.
+    """
+    side = lambda k: F.when(F.col("treated") == k, F.col("score"))
+    ranges = F.shiftright(ordered_bits(F.col("score")), 42)
+    seen = running_extreme(stacks, [], "score", ranges, {"_t_lo": ("max", side(1)), "_c_lo": ("max", side(0))}, ties=[F.lit(0)])
+    seen = running_extreme(seen, [], "score", ranges, {"_t_hi": ("min", side(1)), "_c_hi": ("min", side(0))}, ties=[F.lit(0)], later=True)
+    other = lambda end: F.when(F.col("treated") == 1, F.col(f"_c_{end}")).otherwise(F.col(f"_t_{end}"))
+    low, high = other("lo"), other("hi")
+    nearer = F.when(high.isNull() | (F.col("score") - low <= high - F.col("score")), low).otherwise(high)
+    chosen = seen.withColumn("_to", nearer).where(F.abs(F.col("_to") - F.col("score")) <= caliper)
+    t = chosen.where("treated = 1").select(F.col("score").alias("t_score"), F.col("_to").alias("c_score"), F.col("n").alias("t_n"), F.col("used").alias("t_used"))
+    c = chosen.where("treated = 0").select(F.col("_to").alias("t_score"), F.col("score").alias("c_score"), F.col("n").alias("c_n"), F.col("used").alias("c_used"))
+    return t.join(c, ["t_score", "c_score"]).select("t_score", "c_score", "t_used", "c_used", F.least("t_n", "c_n").alias("m"))
+
+
+def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.01) -> DataFrame:
+    """Pairs from rounds of mutual nearest neighbours among rows whose scores have one side each.
+
+    Rows of a score are a stack; a round pairs stacks and takes as many rows of each as the smaller has. Rounds go on while
+    one pairs at least the share `worth` of what they have paired so far. Only stacks move; at the end
+    the pairs are written out by places inside the stacks.
+    """
+    stacks = cut_lineage(left.groupBy("score", "treated").agg(F.count("*").alias("n")).withColumn("used", F.lit(0).cast("long")))
+    segments, total = None, 0
+    while True:
+        found = cut_lineage(_mutual(stacks, caliper))
+        made = found.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        if made:
+            segments = found if segments is None else segments.union(found)
+            taken = found.select(F.inline(F.array(F.struct(F.col("t_score").alias("score"), "m"), F.struct(F.col("c_score").alias("score"), "m"))))
+            stacks = stacks.join(taken, "score", "left").select(
+                "score", "treated", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), (F.col("used") + F.coalesce("m", F.lit(0))).alias("used")
+            )
+            stacks = cut_lineage(stacks.where("n > 0"))
+        total += made
+        if made <= worth * total:
+            break
+    if segments is None:
+        return left.limit(0).select(F.col("key").alias("treated_key"), F.col("key").alias("control_key"), "score", F.col("score").alias("control_score"))
+    hashed = left.withColumn("_h", F.xxhash64("key"))
+    placed = ordinal(hashed, ["score"], [F.col("_h"), F.col("key")], F.shiftright("_h", 58), "pos")
+    each = segments.select("t_score", "c_score", "t_used", "c_used", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("_i"))
+    each = each.select("t_score", "c_score", (F.col("t_used") + F.col("_i")).alias("t_pos"), (F.col("c_used") + F.col("_i")).alias("c_pos"))
+    named = lambda side: placed.select(F.col("score").alias(f"{side}_score"), F.col("pos").alias(f"{side}_pos"), F.col("key").alias(f"{side}_key"))
+    both = each.join(named("t"), ["t_score", "t_pos"]).join(named("c"), ["c_score", "c_pos"])
+    return both.select(F.col("t_key").alias("treated_key"), F.col("c_key").alias("control_key"), F.col("t_score").alias("score"), F.col("c_score").alias("control_score"))
+
+
+def psm_match(scores: DataFrame, treat: str, key: str = "order_id", caliper: float = 0.05) -> DataFrame:
+    """1:1 matches on the score without reuse, none farther apart than the caliper, none left possible.
+
+    First rows of equal scores are paired, then mutual nearest neighbours in rounds. Where a long run of one side meets
+    one of the other, a round pairs little; what is left then goes through passes that pair equal ranks
+    inside score cells, from cells far finer than the caliper to cells as wide as it, and edge to
+    edge across their borders (highest treated with lowest control and the reverse). Two rows inside the
+    caliper sit in the same or in neighbouring cells, so no possible pair remains.
+    Rows without a score, key or treatment take no part.
+    """
+    rows = scores.select(F.col(key).alias("key"), F.col(treat).cast("int").alias("treated"), F.col("score").cast("double").alias("score"))
+    left = cut_lineage(rows.where("key is not null and treated is not null and score is not null and not isnan(score)"))
+    found = cut_lineage(_same_scores(left))
+
+    def rest(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("treated_key", "control_key")).alias("key"))
+        return cut_lineage(left.join(used, "key", "left_anti"))
+
+    left = rest(found)
+    pairs = cut_lineage(_mutual_rounds(left, caliper))
+    found, left = found.unionByName(pairs), rest(pairs)
+    plans = [(caliper * s, None, None) for s in CELL_SHARES]
+    plans += [(caliper, parity, up) for parity in (0, 1) for up in (True, False)]
+    for width, parity, up in plans:
+        sides = {r["treated"] for r in left.select("treated").distinct().collect()}
+        if len(sides) < 2:
+            break
+        cell = F.floor(F.col("score") / F.lit(width))
+        if parity is None:
+            pairs = _pass(left, cell, cell, width, caliper, False, False)
+        else:
+            # border b joins cell b (below) with cell b + 1 (above); up: treated below, control above
+            below, above = F.when(F.pmod(cell, F.lit(2)) == parity, cell), F.when(F.pmod(cell - 1, F.lit(2)) == parity, cell - 1)
+            t_cell, c_cell = (below, above) if up else (above, below)
+            pairs = _pass(left, t_cell, c_cell, width, caliper, up, not up)
+        pairs = cut_lineage(pairs)
+        found, left = found.unionByName(pairs), rest(pairs)
+    return found
+
+
+def smd(self, kept: DataFrame | None = None) -> DataFrame:
+        """(feature, smd) over every encoded covariate, of all rows or of those whose key is in the one-column table `kept`."""
+        rows = self.many.rows if kept is None else self.many.rows.join(kept.toDF(self.key), self.key, "left_semi")
+        c, t = group_moments(self.many, rows.withColumn("_g", F.col("_y").cast("int")), "_g", 2)
+        p = len(self.many.names)
+        n = [max(g[0], 1.0) for g in (c, t)]
+        mean = [g[1 : 1 + p] / k for g, k in zip((c, t), n)]
+        var = [np.maximum(g[1 + p :] - k * m * m, 0.0) / max(k - 1, 1.0) for g, k, m in zip((c, t), n, mean)]
+        pooled = np.sqrt((var[0] + var[1]) / 2)
+        out = np.abs(mean[1] - mean[0]) / np.where(pooled > 1e-12, pooled, 1e-8)
+        rows = [(f, float(x)) for f, x in zip(self.many.names, out)]
+        return self.many.rows.sparkSession.createDataFrame(rows, "feature string, smd double")
+
+
+def propensity(df: DataFrame, treat: str, spec: FeatureSpec, key: str = "order_id") -> Propensity:
+    """Balanced logistic probability of being treated, from median-filled, encoded and scaled covariates."""
+    rows = df.select(key, F.col(treat), *spec.numeric, *spec.categorical, *spec.encoded).withColumns({"_fold": F.lit(1), "_tier": F.lit(0)})
+    many = fit(prepare(rows, treat, spec.numeric, spec.categorical, spec.encoded, [Member(0, 0)], keep=[key, treat]))
+    return Propensity(cut_lineage(keyed_scores(many, [key, treat]).withColumnRenamed("probability", "score")), many, key)
 
 
 def _ranked_by_score(df: DataFrame, cell: Column, width: float, descending: bool) -> DataFrame:
@@ -79,6 +255,23 @@ def psm_match(scores: DataFrame, treat: str, key: str = "order_id", caliper: flo
     return found
 
 
+def match_check(scores: DataFrame, pairs: DataFrame, treat: str, caliper: float, key: str = "order_id") -> DataFrame:
+    """One row: pairs of equal scores, keys used twice, pairs beyond the caliper, and unmatched treated rows that have an unmatched control inside it."""
+    used = pairs.select(F.explode(F.array("treated_key", "control_key")).alias(key))
+    twice = used.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("reused"))
+    gap = F.abs(F.col("score") - F.col("control_score"))
+    seen = pairs.agg(F.count_if(gap == 0).alias("same_score"), F.count_if(gap > caliper).alias("beyond_caliper"))
+    left = scores.join(used.distinct(), key, "left_anti").where(F.col("score").isNotNull())
+    stacks = left.groupBy("score").agg(F.count_if(F.col(treat) == 1).alias("t"), F.count_if(F.col(treat) == 0).alias("c"))
+    ranges = F.shiftright(ordered_bits(F.col("score")), 42)
+    control = F.when(F.col("c") > 0, F.col("score"))
+    near = running_extreme(stacks, [], "score", ranges, {"_lo": ("max", control)}, ties=[F.lit(0)])
+    near = running_extreme(near, [], "score", ranges, {"_hi": ("min", control)}, ties=[F.lit(0)], later=True)
+    close = (F.col("c") > 0) | (F.col("score") - F.col("_lo") <= caliper) | (F.col("_hi") - F.col("score") <= caliper)
+    possible = near.agg(F.coalesce(F.sum(F.when(close, F.col("t"))), F.lit(0)).alias("still_possible"))
+    return with_row(with_row(seen, twice), possible).select("same_score", "reused", "beyond_caliper", "still_possible")
+
+
 def smd(df: DataFrame, treat: str, features: Sequence[str]) -> DataFrame:
     """Absolute standardised mean difference per feature (pooled sample variance, 0 counted as 1e-8)."""
     structs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]

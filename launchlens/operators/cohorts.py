@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from launchlens.functions.semantics import bucket, count_if, in_period, interval_days, midnight, plus_days, ratio
 from launchlens.operators.periods import exclude_groups, group_period, lock_window_filter, period_slice, presale
-from launchlens.plans.skew import count_stats, exact_quantiles, range_join
+from launchlens.plans.selection import count_stats, counted_moments, exact_quantiles, value_counts
+from launchlens.plans.skew import range_join
 
 
 def _every_period(periods: DataFrame, agg: DataFrame, counts: Sequence[str]) -> DataFrame:
@@ -246,24 +247,25 @@ def lock_depth_rows(df: DataFrame, periods: DataFrame, n: int = 30, exclude: Seq
 
 
 def lock_depth(df: DataFrame, periods: DataFrame, n: int = 30, exclude: Sequence[str] = ()) -> DataFrame:
-    rows = lock_depth_rows(df, periods, n, exclude)
-    stats = rows.groupBy("grp", "metric").agg(
-        F.count("*").alias("locks"), F.count("days").alias("n"), F.avg("days").alias("mean"), F.stddev_samp("days").alias("std")
-    )
-    med = exact_quantiles(rows, ["grp", "metric"], "days", [0.5]).withColumnRenamed("q0", "median")
-    return stats.join(med, ["grp", "metric"], "left")
+    """Locks, mean, std and exact median of the days before the lock, from one read of the orders."""
+    by = ["grp", "metric"]
+    counts = value_counts(lock_depth_rows(df, periods, n, exclude), by, "days")
+    stats = counted_moments(counts, by).select(*by, F.col("rows").alias("locks"), F.col("count").alias("n"), "mean", F.col("std_samp").alias("std"))
+    med = exact_quantiles(counts, by, "v", [0.5], weight="n").withColumnRenamed("q0", "median")
+    return stats.join(med, by, "left")
 
 
 def box_stats(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers at the last value inside 1.5 IQR, and what lies beyond."""
-    q = exact_quantiles(rows, by, value, [0.25, 0.5, 0.75]).toDF(*by, "q1", "median", "q3")
+    counts = value_counts(rows, by, value)
+    q = exact_quantiles(counts, by, "v", [0.25, 0.5, 0.75], weight="n").toDF(*by, "q1", "median", "q3")
     iqr = F.col("q3") - F.col("q1")
-    fenced = rows.where(F.col(value).isNotNull()).join(q, list(by))
-    inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)
+    fenced = counts.where(F.col("v").isNotNull()).join(q, list(by))
+    inside = (F.col("v") >= F.col("q1") - 1.5 * iqr) & (F.col("v") <= F.col("q3") + 1.5 * iqr)
     return fenced.groupBy(*by, "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        count_if(~inside).alias("outliers"),
+        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
     )
 
 

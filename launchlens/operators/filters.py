@@ -72,8 +72,8 @@ def sample_filter(df: DataFrame, spec: SampleSpec, attr_map: DataFrame | None =
         ref = (spec.lock or spec.pay or (None, None))[0]
         keys = repeat_buyers(df, ref).select(F.col("buyer_key").alias("_k"))
         how = "left_semi" if spec.repeat_only else "left_anti"
-        # rows without a buyer match no key; they are spread instead of meeting on null
-        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*out.columns), F.lit(65_536)).cast("string"))
+        # rows without a buyer match no key; they are spread over their payment times instead of meeting on null
+        spread = F.concat(F.lit("\0"), F.xxhash64("pay_time").cast("string"))
         out = out.withColumn("_k", F.coalesce(buyer_key().cast("string"), spread)).join(keys.select(F.col("_k").cast("string")), "_k", how).drop("_k")
     return out
 

@@ -1,18 +1,20 @@
 """Association mining over configuration rows.
 
-A row's items are an array built in one projection, so itemsets are enumerated inside
-the row without a self-join; identical rows are counted first, and every emitted
-itemset is combined map-side.
+A row's items are an array built in one projection and identical rows are counted first. Itemsets grow level
+by level: the rows of a block give one bitmap per item, and a set's support is the weight of the
+rows in all its bitmaps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from launchlens.functions.semantics import ratio
-from launchlens.plans.skew import exact_quantiles, with_row
+from launchlens.plans.selection import exact_quantiles
 from launchlens.session import cut_lineage
 
 ALL = "all"
@@ -27,14 +29,11 @@ def _numeric_long(df: DataFrame, by: str | None, numeric: Sequence[str]) -> Data
     return df.select(_class_col(by).alias("cls"), F.inline(F.array(*structs))).where(F.col("v").isNotNull())
 
 
-def column_kinds(
-    df: DataFrame, columns: Sequence[str], by: str | None = None, small_int: int = 10, small_domain: int = 200_000
-) -> tuple[dict[str, str], DataFrame | None]:
+def column_kinds(df: DataFrame, columns: Sequence[str], by: str | None = None, small_int: int = 10) -> tuple[dict[str, str], DataFrame | None]:
     """flag, binary, category or binned per column, and the tercile edges of the binned ones per class.
 
-    A sketch tells numeric columns with many values, which can only be binned. The values of
-    the others are counted once; both their kind and their edges come from the counts,
-    and one row per column reaches the driver.
+    The values of the numeric columns are counted once; both their kind and their edges come from
+    the counts, and one row per column reaches the driver.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     kinds = {}
@@ -46,28 +45,17 @@ def column_kinds(
     numeric = [c for c in columns if c not in kinds]
     if not numeric:
         return kinds, None
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in numeric]).first()
-    many = [c for c in numeric if sizes[c] > small_domain]
-    few = [c for c in numeric if c not in many]
-    kinds.update({c: "binned" for c in many})
-    edges = None
-    if few:
-        counts = cut_lineage(_numeric_long(df, by, few).groupBy("cls", "c", "v").agg(F.count("*").alias("n")))
-        values = counts.select("c", "v").distinct().groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        seen = {row["c"]: row for row in values.collect()}
-        for c in few:
-            row = seen.get(c)
-            if row is None or (row["n"] <= 2 and row["lo"] in (0.0, 1.0) and row["hi"] in (0.0, 1.0)):
-                kinds[c] = "binary"
-            else:
-                kinds[c] = "category" if isinstance(types[c], T.IntegralType) and row["n"] <= small_int else "binned"
-        q = F.percentile("v", [1 / 3, 2 / 3], F.col("n"))
-        binned = counts.where(F.col("c").isin([c for c in few if kinds[c] == "binned"]))
-        edges = binned.groupBy("cls", "c").agg(q.alias("_q")).select("cls", "c", F.col("_q")[0].alias("q0"), F.col("_q")[1].alias("q1"))
-    if many:
-        wide = exact_quantiles(_numeric_long(df, by, many), ["cls", "c"], "v", [1 / 3, 2 / 3], small_domain=small_domain)
-        edges = wide if edges is None else edges.unionByName(wide)
-    return kinds, edges
+    counts = cut_lineage(_numeric_long(df, by, numeric).groupBy("cls", "c", "v").agg(F.count("*").alias("n")))
+    values = counts.groupBy("c", "v").agg(F.lit(1).alias("_one")).groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    seen = {row["c"]: row for row in values.collect()}
+    for c in numeric:
+        row = seen.get(c)
+        if row is None or (row["n"] <= 2 and row["lo"] in (0.0, 1.0) and row["hi"] in (0.0, 1.0)):
+            kinds[c] = "binary"
+        else:
+            kinds[c] = "category" if isinstance(types[c], T.IntegralType) and row["n"] <= small_int else "binned"
+    binned = counts.where(F.col("c").isin([c for c in numeric if kinds[c] == "binned"]))
+    return kinds, exact_quantiles(binned, ["cls", "c"], "v", [1 / 3, 2 / 3], weight="n")
 
 
 def _edges_per_class(edges: DataFrame, binned: Sequence[str]) -> DataFrame:
@@ -129,26 +117,93 @@ def item_support(items: DataFrame) -> DataFrame:
     return single.join(class_sizes(items), "cls").withColumn("support", ratio(F.col("count"), F.col("rows"))).drop("rows")
 
 
-def _combinations(items: Column, size: int) -> Column:
-    """All sorted subsets of the given size of a sorted array, as an array of arrays."""
-    if size == 1:
-        return F.transform(items, lambda x: F.array(x))
-    shorter = _combinations(items, size - 1)
-    grow = lambda s: F.transform(F.filter(items, lambda y: y > F.element_at(s, -1)), lambda y: F.concat(s, F.array(y)))
-    return F.flatten(F.transform(shorter, grow))
+#: Candidate sets whose bitmaps are taken together at once inside a task.
+CANDIDATE_BLOCK = 2048
+
+
+def _next_candidates(frequent: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Sets of one more item all of whose subsets are frequent: two sets that differ in their last item, joined."""
+    known, out = set(frequent), []
+    for _, group in itertools.groupby(sorted(frequent), key=lambda t: t[:-1]):
+        for a, b in itertools.combinations(list(group), 2):
+            joined = (*a, b[-1])
+            if len(joined) == 2 or all(joined[:k] + joined[k + 1 :] in known for k in range(len(joined) - 2)):
+                out.append(joined)
+    return out
+
+
+def _candidate_counts(items: DataFrame, names: dict[str, list[str]], candidates: dict[str, list[tuple[int, ...]]]) -> dict[str, np.ndarray]:
+    """Rows that hold each candidate set, per class, in one pass over the distinct item rows.
+
+    A task turns a block of rows into one bitmap per item and takes the bitmaps of a set together; what it
+    sends is one number per class and candidate.
+    """
+    place = {cls: {item: i for i, item in enumerate(listed)} for cls, listed in names.items()}
+    sets = {cls: np.array(c, np.int64) for cls, c in candidates.items() if c}
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        totals = {cls: np.zeros(len(c), np.int64) for cls, c in sets.items()}
+        for batch in batches:
+            classes, rows, weights = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            for cls in set(classes) & set(sets):
+                mine = [k for k, c in enumerate(classes) if c == cls]
+                holds = np.zeros((len(place[cls]), len(mine)), bool)
+                for at, k in enumerate(mine):
+                    holds[[place[cls][x] for x in rows[k] if x in place[cls]], at] = True
+                bits, n = np.packbits(holds, axis=1), weights[mine].astype(np.int64)
+                for lo in range(0, len(sets[cls]), CANDIDATE_BLOCK):
+                    part = sets[cls][lo : lo + CANDIDATE_BLOCK]
+                    both = bits[part[:, 0]]
+                    for k in range(1, part.shape[1]):
+                        both &= bits[part[:, k]]
+                    totals[cls][lo : lo + CANDIDATE_BLOCK] += np.unpackbits(both, axis=1, count=len(mine)).astype(np.int64) @ n
+        for cls, total in totals.items():
+            hit = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([cls] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["cls", "i", "n"])
+
+    out = {cls: np.zeros(len(c), np.int64) for cls, c in candidates.items()}
+    summed = items.select("cls", "items", F.col("n").cast("long").alias("n")).mapInArrow(run, "cls string, i int, n long").groupBy("cls", "i").agg(F.sum("n").alias("n"))
+    for row in summed.collect():
+        out[row["cls"]][row["i"]] = row["n"]
+    return out
+
+
+def frequent_sets(items: DataFrame, supports: Sequence[float]) -> list[tuple[str, tuple[str, ...], int, int]]:
+    """(class, sorted items, rows that hold them, rows of the class) of the sets of size k with a support of supports[k - 1] or more.
+
+    Level by level: the candidates of a size come from the frequent sets one smaller, and one pass counts all of them. The
+    number of frequent sets is bounded by the columns and the support, not by the rows: a row of m items adds to C(m, k)
+    sets, so at most C(m, k) / support sets of size k are frequent in a class.
+    """
+    items = cut_lineage(items)
+    rows = {r["cls"]: r["rows"] for r in class_sizes(items).collect()}
+    single = items.select("cls", F.explode("items").alias("item"), "n").groupBy("cls", "item").agg(F.sum("n").alias("count"))
+    listed = single.join(class_sizes(items), "cls").where(ratio(F.col("count"), F.col("rows")) >= supports[0]).orderBy("cls", "item").collect()
+    names: dict[str, list[str]] = {}
+    out, level = [], {}
+    for r in listed:
+        names.setdefault(r["cls"], []).append(r["item"])
+        level.setdefault(r["cls"], []).append((len(names[r["cls"]]) - 1,))
+        out.append((r["cls"], (r["item"],), r["count"], rows[r["cls"]]))
+    for least in supports[1:]:
+        candidates = {cls: _next_candidates(sets) for cls, sets in level.items()}
+        if not any(candidates.values()):
+            break
+        counts = _candidate_counts(items, names, candidates)
+        level = {}
+        for cls, found in candidates.items():
+            for k in np.flatnonzero(counts[cls] / rows[cls] >= least).tolist():
+                level.setdefault(cls, []).append(found[k])
+                out.append((cls, tuple(names[cls][i] for i in found[k]), int(counts[cls][k]), rows[cls]))
+    return out
 
 
 def freq_itemsets(items: DataFrame, min_support: float = 0.05, max_len: int = 3) -> DataFrame:
     """(cls, itemset, size, count, support) of all itemsets up to max_len items."""
-    sizes = class_sizes(items)
-    sets = F.concat(*[_combinations(F.col("items"), k) for k in range(1, max_len + 1)])
-    counts = items.select("cls", F.explode(sets).alias("itemset"), "n").groupBy("cls", "itemset").agg(F.sum("n").alias("count"))
-    return (
-        counts.join(sizes, "cls")
-        .withColumn("support", ratio(F.col("count"), F.col("rows")))
-        .where(F.col("support") >= min_support)
-        .select("cls", "itemset", F.size("itemset").alias("size"), "count", "support")
-    )
+    found = [(cls, list(names), len(names), n, n / rows) for cls, names, n, rows in frequent_sets(items, [min_support] * max_len)]
+    return items.sparkSession.createDataFrame(found, "cls string, itemset array<string>, size int, count long, support double")
 
 
 def assoc_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence: float = 0.6) -> DataFrame:
@@ -205,22 +260,18 @@ def interactions(
     `top` features and `max_pairs` pairs are kept only if the caller sets them.
     """
     values = onehot_support(df, columns, min_support)
-    item = F.concat("column", F.lit("="), "value")
-    ranked = values if top is None else values.orderBy(F.col("n").desc(), item).limit(top)
-    ranked = ranked.select(F.struct(-F.col("n"), item.alias("item")).alias("_s"))
-    order = ranked.agg(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["item"]).alias("_top"))  # at most 1 / min_support values per column
+    ranked = values.orderBy(F.col("n").desc(), F.concat("column", F.lit("="), "value")).collect()  # at most 1 / min_support values per column
+    if top is not None:
+        ranked = ranked[:top]
+    rank = {f"{r['column']}={r['value']}": k for k, r in enumerate(ranked, 1)}
     parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NA"))) for c in columns]
-    rows = df.select(F.array(*parts).alias("items")).groupBy("items").agg(F.count("*").alias("n"))
-    placed = with_row(rows, order).select(
-        "n", F.transform(F.filter(F.transform("items", lambda x: F.array_position("_top", x)), lambda p: p > 0), lambda p: p.cast("int")).alias("_p"), "_top"
-    )
-    total = df.agg(F.count("*").alias("rows"))
-    pairs = _combinations(F.array_sort("_p"), 2)
-    counts = placed.select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
-    named = with_row(with_row(counts, total), order)
-    out = named.select(
-        F.col("p")[0].alias("rank_a"), F.col("p")[1].alias("rank_b"),
-        F.element_at("_top", F.col("p")[0]).alias("a"), F.element_at("_top", F.col("p")[1]).alias("b"),
-        "n", ratio(F.col("n"), F.col("rows")).alias("joint_support"),
-    ).where(F.col("joint_support") >= min_joint)
-    return out if max_pairs is None else out.orderBy("rank_a", "rank_b").limit(max_pairs)
+    kept = F.array_intersect(F.array(*parts), F.array(*[F.lit(name) for name in rank]).cast("array<string>"))
+    rows = df.select(F.lit(ALL).alias("cls"), kept.alias("items")).groupBy("cls", "items").agg(F.count("*").alias("n"))
+    pairs = []
+    for _, names, n, total in frequent_sets(rows, [0.0, min_joint]):
+        if len(names) == 2:
+            a, b = sorted(names, key=rank.get)
+            pairs.append((rank[a], rank[b], a, b, n, n / total))
+    pairs.sort()
+    schema = "rank_a int, rank_b int, a string, b string, n long, joint_support double"
+    return df.sparkSession.createDataFrame(pairs if max_pairs is None else pairs[:max_pairs], schema)

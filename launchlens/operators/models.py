@@ -5,28 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+    OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from launchlens.functions.rules import DEPOSIT_RULES, map_contains
 from launchlens.functions.semantics import age_band, count_if, interval_days, ratio
 from launchlens.operators.buyers import buyer_history
-from launchlens.operators.mining import onehot_support
+from launchlens.operators.encoding import TargetFreqEncoder
+from launchlens.operators.evaluation import auc, class_report
+from launchlens.operators.linear import Gram, LinearFit, cross_validated, design, grams, kept_rows, least_squares
+from launchlens.operators.logistic import Member, aucs, fit as fit_many, prepare
 from launchlens.operators.periods import any_period
-from launchlens.plans.skew import first_row, ordinal
+from launchlens.operators.splits import in_share, numbered, stratified_split
+from launchlens.plans.selection import exact_medians
+from launchlens.plans.skew import first_row, ordinal, with_row
 from launchlens.session import cut_lineage
 
-UNKNOWN = "<UNK>"
-
 
 def training_set(df: DataFrame, periods: DataFrame, deposit_rules: Sequence[tuple[str, float]] = DEPOSIT_RULES, key: str = "id") -> DataFrame:
     """Orders paid in any period, once each, with label and features.
@@ -35,8 +37,9 @@ def training_set(df: DataFrame, periods: DataFrame, deposit_rules: Sequence[tupl
     presale gap before the start is null) and the deposit by group name.
     """
     orders = any_period(df.where(F.col("pay_time").isNotNull()), periods)
-    # rows of one order and time differ in some other column; the hash over all of them decides
-    unique = first_row(orders, ["order_id"], [F.col("pay_time"), F.xxhash64(*orders.columns)])
+    # of the rows of one order and time the first by these decides
+    ties = [F.col(c) for c in ("lock_time", "invoice_time", "refund_time", "grp", "buyer_id", "buyer_phone") if c in orders.columns]
+    unique = first_row(orders, ["order_id"], [F.col("pay_time"), *ties])
     known = buyer_history(unique, key)
     starts = periods.select("grp", F.col("start_date").cast("timestamp").alias("_start"))
     gap = interval_days("_start", "pay_time", whole=False)
@@ -53,70 +56,11 @@ def training_set(df: DataFrame, periods: DataFrame, deposit_rules: Sequence[tupl
     return out.drop("_start")
 
 
-@dataclass
-class TargetFreqModel:
-    """Fitted encoder: (column, value, te, fe) plus the global mean."""
-
-    cols: Sequence[str]
-    global_mean: float
-    mapping: DataFrame
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds <col>_te and <col>_fe; unseen values get the global mean and 0."""
-        out = df
-        for c in self.cols:
-            m = self.mapping.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("te").alias("_te"), F.col("fe").alias("_fe"))
-            out = out.join(m, F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) == F.col("_v"), "left")
-            out = out.withColumns(
-                {f"{c}_te": F.coalesce("_te", F.lit(self.global_mean)), f"{c}_fe": F.coalesce("_fe", F.lit(0.0))}
-            ).drop("_v", "_te", "_fe")
-        return out
-
-    def save(self, path: str) -> None:
-        self.mapping.withColumn("global_mean", F.lit(self.global_mean)).write.mode("overwrite").parquet(path)
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> "TargetFreqModel":
-        m = spark.read.parquet(path)
-        cols = [row[0] for row in m.select("column").distinct().orderBy("column").collect()]
-        return TargetFreqModel(cols, m.agg(F.max("global_mean")).first()[0], m.drop("global_mean"))
-
-
-@dataclass(frozen=True)
-class TargetFreqEncoder:
-    """Smoothed target mean (n*m + alpha*g) / (n + alpha) and frequency n / N per category."""
-
-    cols: Sequence[str]
-    alpha: float = 10.0
-
-    def fit(self, df: DataFrame, label: str = "purchase") -> TargetFreqModel:
-        structs = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias("value")) for c in self.cols]
-        y = F.col(label).cast("double").alias("y")
-        counts = cut_lineage(
-            df.select(y, F.inline(F.array(*structs))).groupBy("column", "value").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
-        )
-        # every column's categories add up to all rows
-        totals = counts.where(F.col("column") == self.cols[0]).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
-        total = totals["n"] or 1
-        g = totals["s"] / total if totals["s"] is not None else 0.5
-        mapping = counts.select(
-            "column", "value",
-            ((F.col("s") + self.alpha * g) / (F.col("n") + self.alpha)).alias("te"),
-            (F.col("n") / F.lit(float(total))).alias("fe"),
-        )
-        return TargetFreqModel(list(self.cols), g, mapping)
-
-
 def uniform(key: str, seed: int) -> Column:
     """A reproducible number in [0, 1) per row key, the same on every run and cluster."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
-def hash_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    u = uniform(key, seed)
-    return df.where(u >= test_share), df.where(u < test_share)
-
-
 @dataclass
 class FeatureSpec:
     numeric: Sequence[str] = ()
@@ -126,47 +70,42 @@ class FeatureSpec:
 
 @dataclass
 class ConversionModel:
-    """Target encoder (if any) followed by an MLlib pipeline."""
+    """An ML pipeline, target encoder included, with the names of its features."""
 
     pipeline: PipelineModel
-    encoder: TargetFreqModel | None = None
     features: list[str] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds probability (of the positive class) and prediction."""
-        ready = self.encoder.transform(df) if self.encoder else df
-        scored = self.pipeline.transform(ready).drop("_num", "_num_scaled", "features", "rawPrediction", "_w")
+        scored = self.pipeline.transform(df).drop("_num", "_num_scaled", "features", "rawPrediction", "_w")
         return scored.withColumn("probability", vector_to_array("probability")[1])
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        if self.encoder:
-            self.encoder.save(f"{path}/encoder")
         spark = SparkSession.active()
         spark.createDataFrame([(list(self.features),)], "features array<string>").write.mode("overwrite").json(f"{path}/features")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, with_encoder: bool = True) -> "ConversionModel":
-        encoder = TargetFreqModel.load(spark, f"{path}/encoder") if with_encoder else None
+    def load(spark: SparkSession, path: str) -> "ConversionModel":
         names = spark.read.schema("features array<string>").json(f"{path}/features").first()["features"]
-        return ConversionModel(PipelineModel.load(f"{path}/pipeline"), encoder, list(names or []))
+        return ConversionModel(PipelineModel.load(f"{path}/pipeline"), list(names or []))
 
 
-def _usable(df: DataFrame, numeric: Sequence[str]) -> list[str]:
-    """Numeric columns with at least one value; the imputer cannot take the others."""
-    if not numeric:
-        return []
-    row = df.agg(*[F.count(c).alias(c) for c in numeric]).first()
-    return [c for c in numeric if row[c] > 0]
+def filled(medians: dict[str, float], more: Sequence[str] = ()) -> SQLTransformer:
+    """Adds _x_<column>: the column as a double, its median where it is missing. Columns without any value are left out."""
+    number = "CAST(`{c}` AS DOUBLE)"
+    fills = [f"CASE WHEN {x} IS NULL OR isnan({x}) THEN CAST('{m!r}' AS DOUBLE) ELSE {x} END AS `_x_{c}`" for c, m in medians.items() for x in [number.format(c=c)]]
+    return SQLTransformer(statement=f"SELECT {', '.join(['*', *fills, *more])} FROM __THIS__")
 
 
 def fit_classifier(train: DataFrame, label: str, spec: FeatureSpec, classifier, weighted: bool = True) -> ConversionModel:
-    """Target encoding, median imputation, scaling, one-hot, then the classifier with balanced weights."""
-    encoder = TargetFreqEncoder(spec.encoded).fit(train, label) if spec.encoded else None
+    """Target encoding, median imputation, scaling, one-hot, then the classifier with balanced weights, all stages of one pipeline."""
+    encoder = TargetFreqEncoder(inputCols=list(spec.encoded), labelCol=label).fit(train) if spec.encoded else None
     made = [f"{c}_{s}" for s in ("te", "fe") for c in spec.encoded]
     ready = (encoder.transform(train) if encoder else train).select(label, *spec.numeric, *made, *spec.categorical)
     ready = cut_lineage(ready)  # every stage of the pipeline reads it again
-    numeric = _usable(ready, [*spec.numeric, *made])
+    medians = exact_medians(ready, [*spec.numeric, *made])
+    numeric = list(medians)
     n = ready.groupBy(label).agg(F.count("*").alias("n")).collect()
     total = sum(r["n"] for r in n)
     weight = F.lit(1.0)
@@ -174,12 +113,9 @@ def fit_classifier(train: DataFrame, label: str, spec: FeatureSpec, classifier,
         weight = F.coalesce(*[F.when(F.col(label) == r[label], F.lit(total / (len(n) * r["n"]))) for r in n])
     stages = []
     if numeric:
-        xs = [f"_x_{c}" for c in numeric]
-        casts = ", ".join(f"CAST(`{c}` AS DOUBLE) AS `_x_{c}`" for c in numeric)
         stages += [
-            SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"),
-            Imputer(strategy="median", inputCols=xs, outputCols=[f"{x}_i" for x in xs]),
-            VectorAssembler(inputCols=[f"{x}_i" for x in xs], outputCol="_num"),
+            filled(medians),
+            VectorAssembler(inputCols=[f"_x_{c}" for c in numeric], outputCol="_num"),
             StandardScaler(inputCol="_num", outputCol="_num_scaled", withMean=True, withStd=True),
         ]
     for c in spec.categorical:
@@ -197,7 +133,7 @@ def fit_classifier(train: DataFrame, label: str, spec: FeatureSpec, classifier,
     indexers = [x for x in model.stages if isinstance(x, StringIndexerModel)]
     for c, ix in zip(spec.categorical, indexers):
         names += [f"{c}={v}" for v in [*ix.labels, "unseen"]]
-    return ConversionModel(model, encoder, names)
+    return ConversionModel(PipelineModel([encoder, *model.stages]) if encoder else model, names)
 
 
 def feature_weights(model: ConversionModel) -> list[tuple[str, float]]:
@@ -207,24 +143,6 @@ def feature_weights(model: ConversionModel) -> list[tuple[str, float]]:
     return sorted(zip(model.features, [float(v) for v in values.toArray()]), key=lambda t: (-abs(t[1]), t[0]))
 
 
-def auc(scored: DataFrame, label: str) -> float:
-    """Area under the ROC curve of the probability column."""
-    rows = scored.select(F.col(label).cast("double").alias("_y"), "probability")
-    return BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="_y").evaluate(rows)
-
-
-def class_report(scored: DataFrame, label: str, cut: float = 0.5) -> DataFrame:
-    """Confusion counts with precision, recall and F1 per class, one row per class."""
-    y, hit = F.col(label) == 1, F.col("probability") >= cut
-    c = scored.agg(
-        count_if(y & hit).alias("tp"), count_if(~y & hit).alias("fp"), count_if(y & ~hit).alias("fn"), count_if(~y & ~hit).alias("tn")
-    )
-    per = lambda k, tp, fp, fn: F.struct(F.lit(k).alias("label"), F.col(tp).alias("hits"), F.col(fp).alias("false_hits"), F.col(fn).alias("missed"))
-    rows = c.select(F.inline(F.array(per(1, "tp", "fp", "fn"), per(0, "tn", "fn", "fp"))))
-    precision, recall = ratio(F.col("hits"), F.col("hits") + F.col("false_hits")), ratio(F.col("hits"), F.col("hits") + F.col("missed"))
-    return rows.withColumns({"precision": precision, "recall": recall, "f1": ratio(precision * recall * 2, precision + recall)})
-
-
 def classifiers(n_rows: int, trees: int = 300, boost: int = 100, depth: int = 6, seed: int = 42) -> dict:
     """The candidate models. regParam 1/n is the usual unit ridge penalty on the summed loss."""
     return {
@@ -243,7 +161,7 @@ class Trained:
     label: str
 
     def report(self) -> DataFrame:
-        """One row per model and class, with the AUC and whether the model is the best."""
+        """Per model its classification report, with the exact AUC and whether the model is the best."""
         out = None
         for name, scored in self.scored.items():
             part = class_report(scored, self.label).select(
@@ -260,9 +178,9 @@ class Trained:
 def train_conversion(
     df: DataFrame, spec: FeatureSpec, label: str = "purchase", key: str = "order_id", candidates: dict | None = None
 ) -> Trained:
-    """Logistic, forest and boosted trees on a fixed split; the best by AUC on the held-out part."""
+    """Logistic, forest and boosted trees on an exactly stratified 80/20 split; the best by AUC on the held-out part."""
     rows = cut_lineage(df.select(key, label, *spec.numeric, *spec.categorical, *spec.encoded))
-    train, test = hash_split(rows, key)
+    train, test = (cut_lineage(part) for part in stratified_split(rows, key, label))
     candidates = candidates or classifiers(train.count())
     models, aucs, scored = {}, {}, {}
     for name, c in candidates.items():
@@ -273,21 +191,21 @@ def train_conversion(
 
 
 def ablation(df: DataFrame, feature: str, spec: FeatureSpec, label: str = "purchase", key: str = "order_id", top: int = 15) -> DataFrame:
-    """Held-out AUC without, only with and including one feature, and the largest coefficients of the full model."""
-    spark = df.sparkSession
-    rows = cut_lineage(df.select(key, label, feature, *spec.numeric, *spec.categorical, *spec.encoded))
-    train, test = hash_split(rows, key)
-    n = train.count()
-    full = FeatureSpec([*spec.numeric, feature], spec.categorical, spec.encoded)
-    out = []
-    for name, s in (("base", spec), ("feature_only", FeatureSpec([feature])), ("full", full)):
-        model = fit_classifier(train, label, s, classifiers(n)["logistic"])
-        out.append(("auc", name, auc(model.transform(test), label)))
-        if name == "full":
-            weights = feature_weights(model)
-            out += [("coefficient", f, w) for f, w in weights[:top]]
-            out += [("feature_coefficient", f, w) for f, w in weights if f == feature]
-    return spark.createDataFrame(out, "section string, name string, value double")
+    """Held-out AUC without, only with and including one feature, and the largest coefficients of the full model.
+
+    The three logistic models are fitted together over one exactly stratified split.
+    """
+    rows = numbered(df.select(key, label, feature, *spec.numeric, *spec.categorical, *spec.encoded), key, label)
+    rows = rows.withColumns({"_fold": F.when(in_share(0.2), 0).otherwise(1), "_tier": F.lit(0)})
+    made = [f"{c}_{s}" for c in spec.encoded for s in ("te", "fe")]
+    base = (*spec.numeric, *spec.categorical, *made)
+    models = {"base": base, "feature_only": (feature,), "full": None}
+    many = prepare(rows, label, [*spec.numeric, feature], spec.categorical, spec.encoded, [Member(0, 0, uses) for uses in models.values()])
+    found = aucs(fit_many(many))
+    out = [("auc", name, float(found[(k, "valid")])) for k, name in enumerate(models)]
+    weights = sorted(zip(many.names, many.weights[2][:-1].tolist()), key=lambda t: (-abs(t[1]), t[0]))
+    out += [("coefficient", f, w) for f, w in weights[:top]] + [("feature_coefficient", f, w) for f, w in weights if f == feature]
+    return df.sparkSession.createDataFrame(out, "section string, name string, value double")
 
 
 def score_batch(model: ConversionModel, df: DataFrame, date: str, group: str) -> DataFrame:
@@ -304,116 +222,131 @@ def learning_curve(
     df: DataFrame, spec: FeatureSpec, label: str = "purchase", key: str = "order_id",
     sizes: Sequence[float] = tuple(0.1 + 0.9 * i / 7 for i in range(8)), folds: int = 3,
 ) -> DataFrame:
-    """Train and validation AUC (mean, population std) per training share over hash folds."""
-    rows = cut_lineage(df.select(key, label, *spec.numeric, *spec.categorical, *spec.encoded))
-    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col(key)), F.lit(folds))
-    measured = []
-    for k in range(folds):
-        valid, rest = rows.where(fold == k), rows.where(fold != k)
-        for share in sizes:
-            train = rest.where(uniform(key, 7) < share)
-            n = train.count()
-            model = fit_classifier(train, label, spec, classifiers(n)["logistic"])
-            measured.append((float(share), n, auc(model.transform(train), label), auc(model.transform(valid), label)))
-    raw = df.sparkSession.createDataFrame(measured, "train_share double, n long, train_auc double, val_auc double")
-    stats = raw.groupBy("train_share").agg(
-        F.avg("n").alias("train_size"),
-        *[f(f"{s}_auc").alias(f"{s}_auc_{n}") for s in ("train", "val") for n, f in (("mean", F.avg), ("std", F.stddev_pop))],
-    )
-    return stats.withColumns({"train_error": 1 - F.col("train_auc_mean"), "val_error": 1 - F.col("val_auc_mean")})
+    """Train and validation AUC (mean, population std) per training share.
 
-
-# ---- price
+    Folds and the nested training parts are exactly stratified by the label. The logistic models of all sizes
+    and folds are fitted together, one pass a step.
+    """
+    sizes = sorted(float(x) for x in sizes)
+    rows = numbered(df.select(key, label, *spec.numeric, *spec.categorical, *spec.encoded), key, label)
+    fold = (F.col("_place") % folds).cast("int")
+    # rows of the same label and fold, and the place among them
+    mates, place = F.ceil((F.col("_of") - fold) / F.lit(folds)), F.floor(F.col("_place") / folds)
+    left_out = [F.when(place >= F.round(mates * F.lit(share)), 1).otherwise(0) for share in sizes]
+    tier = left_out[0]
+    for more in left_out[1:]:
+        tier = tier + more
+    members = [Member(k, s) for s in range(len(sizes)) for k in range(folds)]
+    many = fit_many(prepare(rows.withColumns({"_fold": fold, "_tier": tier}), label, spec.numeric, spec.categorical, spec.encoded, members))
+    found = aucs(many)
+    out = []
+    for s, share in enumerate(sizes):
+        mine = [s * folds + k for k in range(folds)]
+        parts = [np.array([found[(k, part)] for k in mine], float) for part in ("train", "valid")]
+        stats = [float(f(x)) for x in parts for f in (np.mean, np.std)]
+        out.append((share, float(many.sizes[mine].mean()), *stats, 1 - stats[0], 1 - stats[2]))
+    names = "train_share double, train_size double, train_auc_mean double, train_auc_std double, val_auc_mean double, val_auc_std double, train_error double, val_error double"
+    return df.sparkSession.createDataFrame(out, names)
 
 
-def price_features(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], min_support: float = 0.03) -> tuple[DataFrame, list[str]]:
-    """Vector of median-imputed numerics and one-hot columns of the values with enough support."""
-    kept = onehot_support(df, categorical, min_support).orderBy("column", F.col("n").desc(), "value").collect() if categorical else []
-    # at most 1/min_support values per column come back
-    flags = {f"{r['column']}={r['value']}": (F.coalesce(F.col(r["column"]).cast("string"), F.lit("NA")) == r["value"]).cast("double") for r in kept}
-    base = df.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double")).withColumns(
-        {**{f"_n_{c}": F.col(c).cast("double") for c in numeric}, **{f"_oh{i}": e for i, e in enumerate(flags.values())}}
-    )
-    inputs = [f"_oh{i}" for i in range(len(flags))]
-    out = base
-    if numeric:
-        ins = [f"_n_{c}" for c in numeric]
-        out = Imputer(strategy="median", inputCols=ins, outputCols=[f"{c}_i" for c in ins]).fit(base).transform(base)
-        inputs = [f"{c}_i" for c in ins] + inputs
-    vec = VectorAssembler(inputCols=inputs, outputCol="features").transform(out)
-    return vec, [*numeric, *flags]
+# ---- price
 
 
 @dataclass
 class PriceFit:
+    """A fitted price model, its held-out rows (_key, label, features as an array) and errors on them."""
+
     model: object
     names: list[str]
     test: DataFrame
     metrics: dict[str, float]
+    held: Gram | None = None
 
     def table(self, spark: SparkSession) -> DataFrame:
-        values = self.model.coefficients if hasattr(self.model, "coefficients") else self.model.featureImportances
+        values = self.model.coefficients if isinstance(self.model, LinearFit) else self.model.featureImportances.toArray()
         rows = [("metric", k, float(v)) for k, v in self.metrics.items()]
-        pairs = sorted(zip(self.names, [float(v) for v in values.toArray()]), key=lambda t: (-abs(t[1]), t[0]))
+        pairs = sorted(zip(self.names, [float(v) for v in values]), key=lambda t: (-abs(t[1]), t[0]))
         return spark.createDataFrame(rows + [("feature", n, v) for n, v in pairs], "section string, name string, value double")
 
+    def predicted(self, rows: DataFrame) -> DataFrame:
+        """Adds prediction to rows with an array of features."""
+        if isinstance(self.model, LinearFit):
+            return rows.withColumn("prediction", self.model.predict("features"))
+        return self.model.transform(rows.withColumn("features", array_to_vector("features")))
+
 
 def price_fit(
     df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], kind: str = "ols", key: str = "id",
     min_support: float = 0.03, alphas: Sequence[float] | None = None, folds: int = 5, trees: int = 400, depth: int = 6,
+    pairs: DataFrame | None = None, held_out: Column | None = None,
 ) -> PriceFit:
-    """ols, lasso, ridge (k-fold over a log grid of penalties) or gbt on a fixed 80/20 split."""
-    vec, names = price_features(df, target, numeric, categorical, min_support)
-    rows = cut_lineage(vec.select(key, "label", "features"))
-    train, test = hash_split(rows, key)
-    n = max(train.count(), 1)
-    if kind == "ols":
-        model = LinearRegression(regParam=0.0, standardization=False).fit(train)
-    elif kind in ("lasso", "ridge"):
-        lasso = kind == "lasso"
-        grid = alphas or ([10 ** (-4 + 5 * i / 19) for i in range(20)] if lasso else [10 ** (-4 + 7 * i / 29) for i in range(30)])
-        # a ridge penalty on the summed squares is n times one on their mean
-        penalties = [a if lasso else a / n for a in grid]
-        lr = LinearRegression(elasticNetParam=1.0 if lasso else 0.0, standardization=False)
-        cv = CrossValidator(
-            estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, penalties).build(),
-            evaluator=RegressionEvaluator(metricName="mse"), numFolds=folds, seed=42, parallelism=4,
-        )
-        model = cv.fit(train).bestModel
-    elif kind == "gbt":
+    """ols, lasso, ridge (k-fold over a grid of penalties) or gbt, and its errors on held-out rows.
+
+    Features are median-filled numerics, the one-hot values with enough support and, with `pairs` (from
+    `interactions`), products of two of those. `held_out` marks the rows that measure the model; by default
+    one in five by a hash of the key. Linear models come from one pass over the encoded rows that sums
+    a Gram per fold; penalties are on the summed squares (ridge) or, for half the mean squared
+    error, on the summed sizes (lasso).
+    """
+    if kind not in ("ols", "lasso", "ridge", "gbt"):
+        raise ValueError(f"unknown kind {kind!r}")
+    shape = design(df, target, numeric, categorical, min_support, pairs)
+    held = held_out if held_out is not None else uniform(key, 42) < 0.2
+    rows = kept_rows(df, shape, target, key, held, folds)
+    test = rows.where("_fold = 0").select("_key", "label", shape.features().alias("features"))
+    if kind == "gbt":
+        train = rows.where("_fold > 0").select("label", array_to_vector(shape.features()).alias("features"))
         model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=42).fit(train)
+        fit, found = PriceFit(model, shape.names, test, {}), None
     else:
-        raise ValueError(f"unknown kind {kind!r}")
-    scored = model.transform(test)
-    metrics = {m: RegressionEvaluator(metricName=m).evaluate(scored) for m in ("r2", "mae", "rmse")}
-    if kind in ("lasso", "ridge"):
-        metrics["penalty"] = model.getRegParam() if lasso else model.getRegParam() * n
-    return PriceFit(model, names, test, metrics)
-
-
-def perm_importance(fit: PriceFit, key: str = "id", metric: str = "rmse", features: Sequence[str] | None = None) -> DataFrame:
-    """Rise of the error on the held-out rows when one feature's values are dealt to other rows.
-
-    Rows are numbered twice by independent hashes and joined on the number, a
-    permutation that no single task has to hold.
+        test_gram, *parts = grams(rows, shape, F.col("_fold"), folds + 1)
+        total = parts[0]
+        for part in parts[1:]:
+            total = total + part
+        if kind == "ols":
+            w, found = least_squares(total), None
+        else:
+            grid = alphas or ([10 ** (-4 + 5 * i / 19) for i in range(20)] if kind == "lasso" else [10 ** (-4 + 7 * i / 29) for i in range(30)])
+            w, found = cross_validated(total, parts, kind, grid)
+        fit = PriceFit(LinearFit(w, total.intercept(w)), shape.names, test, {}, test_gram)
+    error = F.col("prediction") - F.col("label")
+    seen = fit.predicted(test).agg(F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"), F.var_pop("label").alias("var")).first()
+    mse = seen["mse"] if seen["mse"] is not None else float("nan")
+    fit.metrics |= {"r2": 1 - mse / seen["var"] if seen["var"] else 0.0, "mae": seen["mae"] if seen["mae"] is not None else float("nan"), "rmse": mse**0.5}
+    if found is not None:
+        fit.metrics["penalty"] = found
+    return fit
+
+
+def perm_importance(fit: PriceFit, features: Sequence[str] | None = None, piece_rows: int = 100_000) -> DataFrame:
+    """Rise of the root mean squared error on the held-out rows when one feature's values are dealt to other rows.
+
+    A linear model needs no scoring: the expected error over all permutations follows from its Gram. For
+    others the rows are numbered in the order of a keyed hash, in pieces of about `piece_rows`, and each takes
+    its values from the row half a round further; one job scores every row once per feature.
     """
     spark = fit.test.sparkSession
-    test = fit.test.select(key, "label", vector_to_array("features").alias("_a"))
-    place = lambda seed, out: ordinal(
-        test.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))), [], [F.col("_h"), F.col(key)], F.shiftright("_h", 54), out
-    ).drop("_h")
-    evaluator = RegressionEvaluator(metricName=metric)
-    base = evaluator.evaluate(fit.model.transform(fit.test))
-    rows, donors = cut_lineage(place(1, "_pos")), cut_lineage(place(2, "_pos").select("_pos", F.col("_a").alias("_d")))
-    dealt = rows.join(donors, "_pos")
-    out = []
-    for i, name in enumerate(fit.names):
-        if features is not None and name not in features:
-            continue
-        swapped = F.transform("_a", lambda x, k: F.when(k == i, F.col("_d")[i]).otherwise(x))
-        scored = fit.model.transform(dealt.select("label", array_to_vector(swapped).alias("features")))
-        out.append((name, evaluator.evaluate(scored) - base))
-    return spark.createDataFrame(out, "feature string, rise double")
+    chosen = [i for i, name in enumerate(fit.names) if features is None or name in features]
+    schema = "feature string, rise double"
+    if fit.held is not None:
+        rises = np.sqrt(np.maximum(fit.model.permuted_mse(fit.held), 0.0)) - fit.model.mse(fit.held) ** 0.5
+        return spark.createDataFrame([(fit.names[i], float(rises[i])) for i in chosen], schema)
+    n = fit.test.count()
+    if not n or not chosen:
+        return spark.createDataFrame([], schema)
+    h = F.xxhash64(F.lit("deal"), "_key")
+    piece = F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.lit(-(-n // piece_rows)))
+    numbered = cut_lineage(ordinal(fit.test.withColumn("_h", h), [], [F.col("_h"), F.col("_key")], piece, "_pos"))
+    donors = numbered.select(((F.col("_pos") + max(n // 2, 1)) % n).alias("_at"), F.col("features").alias("_d"))
+    dealt = numbered.withColumn("_at", F.col("_pos") % n).join(donors, "_at")
+    each = dealt.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in [-1, *chosen]])))
+    swapped = F.transform("features", lambda x, k: F.when(k == F.col("_i"), F.get("_d", k)).otherwise(x))
+    scored = fit.predicted(each.select("_i", "label", swapped.alias("features")))
+    error = F.col("prediction") - F.col("label")
+    rmse = scored.groupBy("_i").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    base = rmse.where("_i < 0").select(F.col("rmse").alias("base"))
+    named = F.get(F.array(*[F.lit(name) for name in fit.names]), F.col("_i"))
+    return with_row(rmse.where("_i >= 0"), base).select(named.alias("feature"), (F.col("rmse") - F.col("base")).alias("rise"))
 
 
 # ---- mix inference
@@ -430,18 +363,16 @@ def mix_inference(
     """
     keep = [*numeric, *categorical]
     both = labeled.select(*keep).unionByName(everything.select(*keep))
-    num = [f"_x_{c}" for c in numeric]
-    casts = ", ".join([f"CAST(`{c}` AS DOUBLE) AS `_x_{c}`" for c in numeric] + [f"coalesce(CAST(`{c}` AS STRING), 'Unknown') AS `_s_{c}`" for c in categorical])
-    stages = [SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__")]
-    if num:
-        stages.append(Imputer(strategy="median", inputCols=num, outputCols=[f"{c}_i" for c in num]))
+    medians = exact_medians(both, numeric)
+    num = [f"_x_{c}" for c in medians]
+    stages = [filled(medians, [f"coalesce(CAST(`{c}` AS STRING), 'Unknown') AS `_s_{c}`" for c in categorical])]
     for c in categorical:
         stages.append(StringIndexer(inputCol=f"_s_{c}", outputCol=f"_ix_{c}", stringOrderType="alphabetAsc", handleInvalid="keep"))
-    inputs = [f"{c}_i" for c in num] + [f"_ix_{c}" for c in categorical]
+    inputs = num + [f"_ix_{c}" for c in categorical]
     # scaling leaves plain numbers, so the forest splits the codes by order
     stages += [VectorAssembler(inputCols=inputs, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]
     prep = Pipeline(stages=stages).fit(both)
-    tmp = ["_raw", *num, *[f"{c}_i" for c in num], *[f"_s_{c}" for c in categorical], *[f"_ix_{c}" for c in categorical]]
+    tmp = ["_raw", *num, *[f"_s_{c}" for c in categorical], *[f"_ix_{c}" for c in categorical]]
     lab = cut_lineage(prep.transform(labeled).drop(*tmp))
     rest = prep.transform(everything).drop(*tmp)
     forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=42).fit(lab)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from launchlens.functions.semantics import count_if, ratio
-from launchlens.plans.skew import exact_quantiles, with_row
+from launchlens.plans.selection import counted_moments, exact_quantiles, value_counts
+from launchlens.plans.skew import with_row
 
 _DATE_WORDS = ("time", "date", "时间", "日期")
 
@@ -70,13 +71,11 @@ def profile_table(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max per numeric column; quartiles exact."""
+    """count, mean, sample std, min, quartiles, max per numeric column; quartiles exact, the table read once."""
     structs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
-    rows = df.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull())
-    stats = rows.groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
-    )
-    q = exact_quantiles(rows, ["column"], "v", [0.25, 0.5, 0.75]).toDF("column", "q25", "median", "q75")
+    counts = value_counts(df.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull()), ["column"], "v")
+    stats = counted_moments(counts, ["column"]).select("column", "count", "mean", F.col("std_samp").alias("std"), "min", "max")
+    q = exact_quantiles(counts, ["column"], "v", [0.25, 0.5, 0.75], weight="n").toDF("column", "q25", "median", "q75")
     return stats.join(q, "column")
 
 

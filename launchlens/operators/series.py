@@ -1,4 +1,4 @@
-"""Lag tests on daily series: one small regression per group, run where the group's days are."""
+"""Lag tests on daily series: regressions from sums of lagged products, and unit-root tests per group."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def beta_tail(a: float, b: float, x: float) -> float:
@@ -75,44 +75,76 @@ def _ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
     return beta, float(resid @ resid)
 
 
-def _lags(v: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Columns v[t-1] .. v[t-k] for the last n positions."""
-    return np.column_stack([v[len(v) - n - j : len(v) - j] for j in range(1, k + 1)])
+def _eliminated(a: Column, size: Column, first: Column, last: Column, diagonal: Column) -> Column:
+    """A flattened square matrix of sums of products after elimination of the variables first..last.
 
+    What is left of the last variable's own sum is the squared error of its regression on those before. A variable that
+    the ones before it determine is passed over.
+    """
+
+    def step(acc: Column, p: Column) -> Column:
+        pivot = F.get(acc, p * size + p)
+        solid = pivot > F.get(diagonal, p * size + p) * F.lit(1e-10)
+
+        def cell(v: Column, at: Column) -> Column:
+            row, column = F.floor(at / size).cast("int"), (at % size).cast("int")
+            return F.when(solid, v - F.get(acc, row * size + p) * F.get(acc, p * size + column) / pivot).otherwise(v)
+
+        return F.transform(acc, cell)
+
+    return F.aggregate(F.sequence(first, last), a, step)
 
-GRANGER_SCHEMA = "grp string, lag int, n int, f_stat double, p_f double, p_chi2 double"
+
+@F.pandas_udf("p_f double, p_chi2 double")
+def _tails(f: pd.Series, chi: pd.Series, lag: pd.Series, dof: pd.Series) -> pd.DataFrame:
+    rows = [(f_tail(a, k, d), chi2_tail(b, k)) if a == a and a is not None else (None, None) for a, b, k, d in zip(f, chi, lag, dof)]
+    return pd.DataFrame(rows, columns=["p_f", "p_chi2"])
 
 
 def granger(series: DataFrame, max_lag: int = 7, drop_joint_zeros: bool = True) -> DataFrame:
     """Does x help predict y? F and chi-square tests per group and lag 1..max_lag.
 
-    series: (grp, date, x, y). Lags without enough days give null tests. Dropping days
+    series: (grp, date, x, y). Lags without enough days, or fitted without error, give null tests. Dropping days
     where both are 0 shortens calendar gaps; switch it off to keep true calendar lags.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        if drop_joint_zeros:
-            keep = (x != 0) | (y != 0)
-            x, y = x[keep], y[keep]
-        out = []
-        for k in range(1, max_lag + 1):
-            n = len(y) - k
-            dof = n - 2 * k - 1
-            row = [pdf["grp"].iloc[0], k, max(n, 0), None, None, None]
-            if dof > 0:
-                target, const = y[k:], np.ones((n, 1))
-                own = np.hstack([const, _lags(y, k, n)])
-                _, ssr_own = _ols(target, own)
-                _, ssr_all = _ols(target, np.hstack([own, _lags(x, k, n)]))
-                if ssr_all > 1e-12 * max(float(target @ target), 1.0):
-                    f = max((ssr_own - ssr_all) / ssr_all / k * dof, 0.0)
-                    row[3:] = [f, f_tail(f, k, dof), chi2_tail(n * max(ssr_own - ssr_all, 0.0) / ssr_all, k)]
-            out.append(row)
-        return pd.DataFrame(out, columns=["grp", "lag", "n", "f_stat", "p_f", "p_chi2"])
-
-    return series.select("grp", "date", "x", "y").groupBy("grp").applyInPandas(run, GRANGER_SCHEMA)
+    Each day gives the products of the lagged values, which are summed per (group, lag); the two regressions of a
+    lag are one elimination of its sums, own lags first. No series is held as a whole.
+    """
+    days = series.select("grp", "date", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if drop_joint_zeros:
+        days = days.where((F.col("x") != 0) | (F.col("y") != 0))
+    group = Window.partitionBy("grp")
+    order = group.orderBy("date")
+    # distances from the mean change no test and keep the digits
+    days = days.select("grp", "date", *[(F.col(c) - F.avg(c).over(group)).alias(c) for c in ("x", "y")])
+    lagged = days.select(
+        "grp",
+        (F.row_number().over(order) - 1).alias("_t"),
+        F.array(*[F.lag("y", k).over(order) for k in range(max_lag + 1)]).alias("_y"),
+        F.array(*[F.lag("x", k).over(order) for k in range(1, max_lag + 1)]).alias("_x"),
+    )
+    lags = F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")
+    each = lagged.select("*", lags).where(F.col("_t") >= F.col("lag"))
+    z = F.concat(F.array(F.lit(1.0)), F.slice("_y", F.lit(2), F.col("lag")), F.slice("_x", F.lit(1), F.col("lag")), F.slice("_y", 1, 1))
+    products = F.flatten(F.transform("_z", lambda a: F.transform("_z", lambda b: a * b)))
+    cells = each.select("grp", "lag", z.alias("_z")).select("grp", "lag", F.posexplode(products).alias("_at", "_p"))
+    sums = cells.groupBy("grp", "lag", "_at").agg(F.sum("_p").alias("_s")).groupBy("grp", "lag").agg(F.array_sort(F.collect_list(F.struct("_at", "_s"))).alias("_m"))
+    lag, size = F.col("lag"), F.col("lag") * 2 + 2
+    own = _eliminated(F.col("_a"), size, F.lit(0), lag, F.col("_a"))
+    both = _eliminated(F.col("_own"), size, lag + 1, lag * 2, F.col("_a"))
+    end = size * size - 1
+    fitted = sums.select("grp", "lag", F.transform("_m", lambda c: c["_s"]).alias("_a")).withColumn("_own", own).withColumn("_all", both)
+    # an empty group of a lag has no sums but is in the result
+    counts = days.groupBy("grp").agg(F.count("*").alias("_days")).select("grp", "_days", lags)
+    errors = fitted.select("grp", "lag", F.get("_a", F.lit(0)).alias("_n"), F.get("_a", end).alias("_total"), F.get("_own", end).alias("_so"), F.get("_all", end).alias("_sa"))
+    rows = counts.join(errors, ["grp", "lag"], "left")
+    dof = F.col("_n") - lag * 2 - 1
+    gain = F.greatest(F.col("_so") - F.col("_sa"), F.lit(0.0))
+    valid = (dof > 0) & (F.col("_sa") > F.greatest(F.col("_total"), F.lit(1.0)) * F.lit(1e-12))
+    f = F.when(valid, gain / F.col("_sa") / lag * dof)
+    chi = F.when(valid, F.col("_n") * gain / F.col("_sa"))
+    tested = rows.select("grp", "lag", F.greatest(F.col("_days") - lag, F.lit(0)).cast("int").alias("n"), f.alias("f_stat"), _tails(f, chi, lag, dof).alias("_p"))
+    return tested.select("grp", "lag", "n", "f_stat", "_p.p_f", "_p.p_chi2")
 
 
 def best_lag(tests: DataFrame, lo: int = 1, hi: int = 3) -> DataFrame:
@@ -139,8 +171,8 @@ def unit_root_p(tau: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def unit_root(v: np.ndarray) -> tuple[float | None, float | None, int | None]:
-    """Augmented unit-root regression with a constant, lag order by AIC."""
+def unit_root(v: np.ndarray, lags: int | None = None) -> tuple[float | None, float | None, int | None]:
+    """Augmented unit-root regression with a constant; the lag order is chosen by AIC unless given."""
     if len(v) < 3 or len(np.unique(v)) <= 1:
         return None, None, None
     n = len(v)
@@ -156,7 +188,7 @@ def unit_root(v: np.ndarray) -> tuple[float | None, float | None, int | None]:
 
     y_all, x_all = design(max_lag)
     best, order = None, 0
-    for k in range(max_lag + 1):
+    for k in range(max_lag + 1) if lags is None else ():
         x = np.hstack([np.ones((len(y_all), 1)), x_all[:, : k + 1]])
         _, ssr = _ols(y_all, x)
         m = len(y_all)
@@ -165,6 +197,7 @@ def unit_root(v: np.ndarray) -> tuple[float | None, float | None, int | None]:
         aic = m * (math.log(2 * math.pi) + math.log(ssr / m) + 1) + 2 * (k + 2)
         if best is None or aic < best:
             best, order = aic, k
+    order = order if lags is None else min(lags, max_lag)
     y, x = design(order)
     x = np.hstack([x, np.ones((len(y), 1))])
     dof = len(y) - x.shape[1]
@@ -178,12 +211,12 @@ def unit_root(v: np.ndarray) -> tuple[float | None, float | None, int | None]:
     return tau, unit_root_p(tau), order
 
 
-def adf(series: DataFrame, cols: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """Unit-root statistic and p per group and series column."""
+def adf(series: DataFrame, cols: tuple[str, ...] = ("x", "y"), lags: int | None = None) -> DataFrame:
+    """Unit-root statistic and p per group and series column, with the lag order chosen by AIC or as given."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        rows = [(pdf["grp"].iloc[0], c, *unit_root(pdf[c].to_numpy(float))) for c in cols]
+        rows = [(pdf["grp"].iloc[0], c, *unit_root(pdf[c].to_numpy(float), lags)) for c in cols]
         return pd.DataFrame(rows, columns=["grp", "series", "stat", "p", "lags"])
 
     return series.groupBy("grp").applyInPandas(run, "grp string, series string, stat double, p double, lags int")

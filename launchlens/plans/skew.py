@@ -108,75 +108,7 @@ def previous_value(
     return running_extreme(df, keys, F.lit(0), bucket, {out: ("max", F.col(value))}, ties=[F.col(value)])
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000, small_domain: int = 200_000
-) -> DataFrame:
-    """Linearly interpolated exact quantiles per group as columns q0, q1, ... (one per prob).
-
-    The built-in percentile keeps every distinct value of a group in one buffer, so it is
-    used, over counted values, only where a sketch finds few distinct values. Otherwise a
-    mergeable sketch brackets each wanted rank (its rank error is bounded by 1/accuracy of
-    the group), and only the values inside the brackets are counted and ordered;
-    everything below a bracket is just counted.
-    """
-    keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
-    key_cols = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
-    rows = df.select(*key_cols, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    k = len(probs)
-    domain = rows.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0] or 0
-    if domain <= small_domain:
-        counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-        out = counted.groupBy(*keys).agg(F.percentile("_v", list(probs), F.col("_c")).alias("_q"))
-        return out.select(*[F.col(kk).alias(c) for kk, c in zip(keys, by)], *[F.col("_q")[i].alias(f"q{i}") for i in range(k)])
-    pad = 4.0 / accuracy
-    lows = [max(0.0, p - pad) for p in probs]
-    highs = [min(1.0, p + pad) for p in probs]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", lows + highs, accuracy).alias("_s"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.count("*").alias("_n"),
-    )
-    # below this size the pad is less than a few ranks, so the whole (small) group is the bracket
-    small = F.col("_n") <= 10 * accuracy
-    brackets = sketch.select(
-        *keys,
-        "_n",
-        *[F.when(small | F.lit(lows[i] <= 0), F.col("_min")).otherwise(F.col("_s")[i]).alias(f"_lo{i}") for i in range(k)],
-        *[F.when(small | F.lit(highs[i] >= 1), F.col("_max")).otherwise(F.col("_s")[k + i]).alias(f"_hi{i}") for i in range(k)],
-    )
-    tagged = _join_null_safe(rows, brackets, keys)
-    below = tagged.groupBy(*keys).agg(
-        F.max("_n").alias("_n"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(k)]
-    )
-    inside = [F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i)) for i in range(k)]
-    counted = (
-        tagged.select(*keys, "_v", F.explode(F.array_compact(F.array(*inside))).alias("_i"))
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _join_null_safe(counted.withColumn("_cum", F.sum("_c").over(upto)), below, keys)
-    aggs = []
-    for i, p in enumerate(probs):
-        # the wanted rank falls between the sorted values at floor(h) and ceil(h)
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        end = F.col(f"_below{i}") + F.col("_cum")
-        start = end - F.col("_c")
-        mine = F.col("_i") == i
-        v_lo = F.max(F.when(mine & (start <= F.floor(h)) & (F.floor(h) < end), F.col("_v")))
-        v_hi = F.max(F.when(mine & (start <= F.ceil(h)) & (F.ceil(h) < end), F.col("_v")))
-        exact = v_lo + (v_hi - v_lo) * F.max(h - F.floor(h))
-        aggs.append(
-            F.when(v_lo.isNotNull() & v_hi.isNotNull(), exact)
-            .otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-            .alias(f"q{i}")
-        )
-    out = ranked.groupBy(*keys).agg(*aggs)
-    return out.select(*[F.col(kk).alias(c) for kk, c in zip(keys, by)], *[f"q{i}" for i in range(k)])
-
-
-def _join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys where null meets null; b's key copies are dropped."""
     renamed = b.select(*[F.col(c).alias(f"{c}_r") if c in keys else F.col(c) for c in b.columns])
     cond = F.lit(True)
@@ -191,29 +123,6 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_r", packed).select(*df.columns, "_r.*")
 
 
-def count_stats(counts: DataFrame, by: Sequence[str], value: str, n: str = "n") -> DataFrame:
-    """Descriptive statistics from (value, count) rows of a small value domain such as whole days.
-
-    The caller has counted the values already, so what a group sends is one row per
-    distinct value. std is the population form, std_samp the sample form (0 for one row).
-    """
-    v, c = F.col(value).cast("double"), F.col(n)
-    total, s1, s2 = F.sum(c), F.sum(v * c), F.sum(v * v * c)
-    ss = F.greatest(s2 - s1 * s1 / total, F.lit(0.0))
-    q = lambda p: F.percentile(v, p, c)
-    return counts.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        total.alias("count"),
-        (s1 / total).alias("mean"),
-        q(0.5).alias("median"),
-        F.sqrt(ss / total).alias("std"),
-        F.coalesce(F.sqrt(F.try_divide(ss, (total - 1).cast("double"))), F.lit(0.0)).alias("std_samp"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        q(0.25).alias("q25"),
-        q(0.75).alias("q75"),
-    )
-
-
 def range_join(rows: DataFrame, ts: str, ranges: DataFrame, start: str, end: str) -> DataFrame:
     """Rows joined to every [start, end] range that holds ts, as an equi-join on months.
 

@@ -75,7 +75,7 @@ def test_training_picks_best_and_survives_saving(spark, learnable, tmp_path):
     assert first.best == "logistic" and first.aucs["logistic"] > 0.9
     assert first.aucs == second.aucs
     report = {(r["model"], r["label"]): r for r in first.report().collect()}
-    pos, neg = report[("logistic", 1)], report[("logistic", 0)]
+    pos, neg = report[("logistic", "1")], report[("logistic", "0")]
     assert pos["false_hits"] == neg["missed"] and pos["missed"] == neg["false_hits"]
     model = first.models["logistic"]
     model.save(str(tmp_path / "m"))
@@ -139,15 +139,14 @@ def test_itemsets_and_rules(spark):
     assert abs(r["lift"] * (r["support"] - r["leverage"]) - r["support"]) < 1e-9
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
-def test_bins_from_counts_and_from_brackets(spark, small):
+def test_kinds_and_bins_from_counts(spark):
     rng = np.random.default_rng(3)
-    rows = [(g, float(v)) for g in "ab" for v in rng.normal(size=500)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    kinds, edges = mi.column_kinds(df, ["g", "v"], "g", small_domain=small)
-    assert kinds == {"g": "category", "v": "binned"}
+    rows = [(g, float(v), k % 2, k % 7) for g in "ab" for k, v in enumerate(rng.normal(size=500))]
+    df = spark.createDataFrame(rows, "g string, v double, z int, i int")
+    kinds, edges = mi.column_kinds(df, ["g", "v", "z", "i"], "g")
+    assert kinds == {"g": "category", "v": "binned", "z": "binary", "i": "category"}
     for r in edges.collect():
-        want = np.quantile([v for g, v in rows if g == r["cls"]], [1 / 3, 2 / 3])
+        want = np.quantile([x[1] for x in rows if x[0] == r["cls"]], [1 / 3, 2 / 3])
         assert np.allclose([r["q0"], r["q1"]], want)
 
 

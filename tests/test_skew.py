@@ -73,34 +73,6 @@ def test_first_and_last_row(table):
         assert (first[key], last[key]) == (mine[0][1], mine[-1][1])
 
 
-PROBS = [0.0, 0.1, 1 / 3, 0.5, 0.75, 1.0]
-
-
-@pytest.mark.parametrize("accuracy, small", [(20, 0), (10_000, 0), (10_000, 200_000)])
-def test_exact_quantiles(spark, accuracy, small):
-    """A low accuracy makes the brackets work on a small table; a small domain is counted."""
-    rng = np.random.default_rng(1)
-    data = {"a": rng.exponential(size=5000), "b": np.round(rng.normal(size=3000), 1), "c": np.array([4.0]), "d": np.repeat([1.0, 9.0], 500)}
-    rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None), (None, 2.0), (None, 4.0)]
-    out = sk.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", PROBS, accuracy, small)
-    got = {r["g"]: [r[f"q{i}"] for i in range(len(PROBS))] for r in out.collect()}
-    for g, vs in data.items():
-        assert np.allclose(got[g], np.quantile(vs, PROBS))
-    assert np.allclose(got[None], np.quantile([2.0, 4.0], PROBS))
-    whole = sk.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), [], "v", [0.5], accuracy, small).first()["q0"]
-    assert np.isclose(whole, np.quantile([v for _, v in rows if v is not None], 0.5))
-
-
-def test_count_stats(spark):
-    rng = np.random.default_rng(2)
-    v = rng.integers(-3, 20, size=400)
-    counts = spark.createDataFrame([(int(x),) for x in v], "d int").groupBy("d").agg(F.count("*").alias("n"))
-    row = sk.count_stats(counts, [], "d").first()
-    want = (len(v), v.mean(), np.median(v), v.std(), v.std(ddof=1), v.min(), v.max(), np.quantile(v, 0.25), np.quantile(v, 0.75))
-    got = tuple(row[c] for c in ("count", "mean", "median", "std", "std_samp", "min", "max", "q25", "q75"))
-    assert np.allclose(got, want)
-
-
 def test_range_join(spark):
     from datetime import date, datetime, timedelta
 
