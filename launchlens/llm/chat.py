@@ -119,11 +119,17 @@ def read_back(formatted: Column) -> Column:
     )
 
 
-def digests(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """What a reader of the output gets: turns, the text under the loss mask and their hashes."""
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """The unescaped text of all spans of a loss mask, cut out of the formatted conversation in their order."""
+    cut = F.transform(mask, lambda m: unescape(F.substr(formatted, (m["start"] + 1).cast("int"), m["chars"].cast("int"))))
+    return F.array_join(cut, "")
+
+
+def digests(chats: DataFrame) -> DataFrame:
+    """What a reader of the output gets: turns, the text under the loss mask, their hashes, and the attachments' tokens."""
     t = chats.withColumn("_t", read_back(F.col("formatted")))
     every = F.array_join(F.transform("_t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("_t", lambda x: x["role"] == loss_role), lambda x: x["text"]), "")
+    loss = masked_text(F.col("formatted"), F.col("loss_mask"))
     return t.select(
         "conv_id",
         F.size("_t").cast("long").alias("n_turns"),
@@ -131,6 +137,8 @@ def digests(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
         F.char_length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -145,5 +153,5 @@ select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  sum({len(OPEN) + len(MID) + len(END)} + length({esc.format('role')}) + length({esc.format('text')}))::bigint as formatted_chars
+  sum({len(OPEN) + len(MID) + len(END)} + length({esc.format('role')}) + length({esc.format('text')}))::bigint as formatted_chars, 0::bigint as n_attachments, 0::bigint as expanded_tokens
 from t group by conv_id"""

@@ -40,6 +40,22 @@ def test_mask_covers_assistant_texts(spark):
     assert d.turns_sha256 == hashlib.sha256("user\nq\nassistant\n\nassistant\nyés\nassistant\n</s>\n".encode()).hexdigest()
 
 
+def test_digest_comes_from_the_mask(spark):
+    rows = [(1, 0, "user", "asked <|", 0, ""), (1, 1, "assistant", "sa\\id é", 0, ""), (1, 2, "user", "more", 0, ""), (1, 3, "assistant", "[INST]", 0, "")]
+    chats = chat.format_chat(turns(spark, rows))
+    whole = chat.digests(chats).first()
+    assert whole.loss_sha256 == hashlib.sha256("sa\\id é[INST]".encode()).hexdigest()
+    wrong = {
+        "shifted": F.transform("loss_mask", lambda m: F.struct((m["start"] + 1).alias("start"), m["chars"].alias("chars"))),
+        "one span only": F.slice("loss_mask", 1, 1),
+        "none": F.slice("loss_mask", 1, 0),
+        "all": F.array(F.struct(F.lit(0).cast("long").alias("start"), F.char_length("formatted").cast("long").alias("chars"))),
+    }
+    for mask in wrong.values():
+        row = chat.digests(chats.withColumn("loss_mask", mask)).first()
+        assert row.loss_sha256 != whole.loss_sha256 and row.turns_sha256 == whole.turns_sha256
+
+
 def test_typed_parts(spark):
     part = lambda **x: {n: x.get(n) for n in ("type", "text", "ref", "width", "height", "seconds", "pages")}
     parts = [part(type="text", text="see <|"), part(type="image", ref="a.png", width=600, height=512), part(type="audio", ref="b.wav", seconds=2.1), part(text="x"), part(type="document", ref="c", pages=3), part(type="video")]
@@ -48,6 +64,8 @@ def test_typed_parts(spark):
     assert r.formatted.startswith("<|user|>\nsee <\\|<|image:1.1|><|audio:1.2|>x<|document:1.4|><|video:1.5|><|end|>\n<|user|>\nplain<|end|>")
     assert [(a.turn, a.part, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, 1, "image", "a.png", 425), (1, 2, "audio", "b.wav", 53), (1, 4, "document", "c", 1536), (1, 5, "video", None, 0)]
     assert r.expanded_tokens == 425 + 53 + 1536 and "empty list" in r.formatted
+    d = chat.digests(chat.format_chat(df)).first()
+    assert (d.n_attachments, d.expanded_tokens) == (4, r.expanded_tokens)
 
 
 def test_edge_rows(spark):
