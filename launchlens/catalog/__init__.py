@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("curve_queries", "cohort_queries", "structure_queries", "order_queries", "mining_queries", "model_queries", "post_queries", "source_queries")
+MODULES = ("curve_queries", "cohort_queries", "structure_queries", "order_queries", "mining_queries", "model_queries", "price_queries", "post_queries", "source_queries")
 
 
 def load() -> None:

@@ -12,7 +12,9 @@ from launchlens.catalog.bindings import SQL_EV, SQL_FO, event_periods, fact_even
 from launchlens.catalog.mining_queries import config
 from launchlens.catalog.registry import query, r
 from launchlens.operators import causal as ca
+from launchlens.operators import evaluation as ev
 from launchlens.operators import models as mo
+from launchlens.operators.encoding import TargetFreqEncoder
 from launchlens.plans.skew import with_row
 from launchlens.session import cut_lineage
 
@@ -56,7 +58,7 @@ def training_set(spark, sf):
 @query("target_freq_encode", f"""WITH {SQL_FO}, {TRAIN}, x AS (SELECT purchase AS y, unnest(['region', 'city']) AS col, unnest([region, city]) AS val FROM tr),
 g AS (SELECT avg(purchase) AS g, count(*) AS n FROM tr) SELECT col AS "column", val AS value, {r('(sum(y) + 10 * any_value(g)) / (count(*) + 10)')} AS te, {r('count(*) / any_value(g.n)')} AS fe FROM x, g GROUP BY 1, 2""")
 def target_freq_encode(spark, sf):
-    return mo.TargetFreqEncoder(["region", "city"], 10.0).fit(training(spark, sf)).mapping
+    return TargetFreqEncoder(inputCols=["region", "city"], alpha=10.0).fit(training(spark, sf)).mapping
 
 
 @query("target_freq_transform", f"""WITH {SQL_FO}, {TRAIN}, g AS (SELECT avg(purchase) AS g, count(*) AS n FROM tr WHERE region <> 'ASIA'),
@@ -64,10 +66,49 @@ m AS (SELECT region, (sum(purchase) + 10 * any_value(g)) / (count(*) + 10) AS te
 SELECT order_id, {r('coalesce(te, g)')} AS region_te, {r('coalesce(fe, 0)')} AS region_fe FROM tr JOIN g ON true LEFT JOIN m ON m.region = tr.region""")
 def target_freq_transform(spark, sf):
     t = cut_lineage(training(spark, sf))
-    enc = mo.TargetFreqEncoder(["region"]).fit(t.where("region <> 'ASIA'"))
+    enc = TargetFreqEncoder(inputCols=["region"]).fit(t.where("region <> 'ASIA'"))
     return enc.transform(t).select("order_id", "region_te", "region_fe")
 
 
+#: A fixed score column with many ties, and the label it is held against.
+SCORED = "SELECT grp, CAST(lock_time IS NOT NULL AS INT) AS y, CAST(age % 17 AS DOUBLE) / 17 AS s FROM fo"
+
+
+def _scored(spark, sf):
+    o = fact_orders(spark, sf, "grp", "age", "lock_time")
+    return o.select("grp", F.col("lock_time").isNotNull().cast("int").alias("y"), ((F.col("age") % 17).cast("double") / 17).alias("probability"))
+
+
+@query("auc_exact", f"""WITH {SQL_FO}, x AS ({SCORED}), c AS (SELECT grp, s, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM x GROUP BY 1, 2)
+SELECT a.grp, CAST(any_value(t.pos) AS BIGINT) AS pos, CAST(any_value(t.neg) AS BIGINT) AS neg,
+  {r('sum(a.pos * CASE WHEN b.s < a.s THEN b.neg WHEN b.s = a.s THEN b.neg / 2.0 ELSE 0 END) / (any_value(t.pos) * any_value(t.neg))')} AS auc
+FROM c a JOIN c b ON a.grp = b.grp JOIN (SELECT grp, sum(pos) AS pos, sum(neg) AS neg FROM c GROUP BY 1) t ON t.grp = a.grp GROUP BY a.grp""")
+def auc_exact(spark, sf):
+    return ev.auc_by(_scored(spark, sf), "y", ["grp"])
+
+
+def _report_sql() -> str:
+    z = lambda a, b: f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0)"
+    parts = {}
+    for k, (tp, fp, fn) in {"0": ("tn", "fn", "fp"), "1": ("tp", "fp", "fn")}.items():
+        p, q = z(tp, f"{tp} + {fp}"), z(tp, f"{tp} + {fn}")
+        parts[k] = (tp, fp, fn, [p, q, z(f"2 * {p} * {q}", f"{p} + {q}")], f"({tp} + {fn})")
+    n = "(tp + fp + fn + tn)"
+    acc = z("tp + tn", n)
+    lines = [(k, a, b, c, m, s) for k, (a, b, c, m, s) in parts.items()]
+    lines.append(("accuracy", *["NULL"] * 3, [acc] * 3, n))
+    lines.append(("macro avg", *["NULL"] * 3, [f"({parts['0'][3][i]} + {parts['1'][3][i]}) / 2" for i in range(3)], n))
+    lines.append(("weighted avg", *["NULL"] * 3, [z(f"{parts['0'][3][i]} * {parts['0'][4]} + {parts['1'][3][i]} * {parts['1'][4]}", n) for i in range(3)], n))
+    one = lambda k, a, b, c, m, s: f"SELECT grp, '{k}' AS label, CAST({a} AS BIGINT) AS hits, CAST({b} AS BIGINT) AS false_hits, CAST({c} AS BIGINT) AS missed, {r(m[0])} AS precision, {r(m[1])} AS recall, {r(m[2])} AS f1, CAST({s} AS BIGINT) AS support FROM c"
+    cells = {"tp": "y = 1 AND s >= 0.5", "fp": "y = 0 AND s >= 0.5", "fn": "y = 1 AND s < 0.5", "tn": "y = 0 AND s < 0.5"}
+    return f"WITH {SQL_FO}, x AS ({SCORED}), c AS (SELECT grp, {', '.join(f'count(*) FILTER ({e}) AS {k}' for k, e in cells.items())} FROM x GROUP BY 1) " + " UNION ALL ".join(one(*x) for x in lines)
+
+
+@query("class_report", _report_sql())
+def class_report(spark, sf):
+    return ev.class_report(_scored(spark, sf), "y", by=["grp"])
+
+
 @query("train_conversion")
 def train_conversion(spark, sf):
     return mo.train_conversion(training(spark, sf), SPEC, candidates=small_candidates()).report()
@@ -93,8 +134,7 @@ def score_batch(spark, sf):
 
 @query("learning_curve")
 def learning_curve(spark, sf):
-    spec = mo.FeatureSpec(numeric=["age", "presale_gap_days"], categorical=["gender"])
-    return mo.learning_curve(training(spark, sf), spec, sizes=(0.3, 1.0))
+    return mo.learning_curve(training(spark, sf), SPEC)
 
 
 def _event_rows(spark, sf):
@@ -154,11 +194,28 @@ def att(spark, sf):
     return ca.att(ca.paired_outcomes(o, pairs, "locked"), "treated_outcome", "control_outcome")
 
 
-@query("mix_inference")
-def mix_inference(spark, sf):
+def _mix(spark, sf):
     o = fact_orders(spark, sf, "order_id", "age", "gender", "city", "region", "lock_time")
     labeled = o.where(F.col("lock_time").isNotNull()).withColumn("label", (F.col("age") < 40).cast("int"))
-    return mo.mix_inference(labeled, o, "label", ["age"], ["gender", "city", "region"], trees=20, depth=4)[0]
+    return mo.mix_inference(labeled, o, "label", ["age"], ["gender", "city", "region"])
+
+
+@query("mix_inference")
+def mix_inference(spark, sf):
+    return _mix(spark, sf).result
+
+
+@query("mix_report")
+def mix_report(spark, sf):
+    """Held-out report lines and importances of the forest behind the mix."""
+    mix = _mix(spark, sf)
+    lines = mix.report.select(F.lit("report").alias("section"), F.col("label").alias("name"), "precision", "recall", "f1", "support", "auc")
+    none = F.lit(None)
+    gains = mix.importances.select(
+        F.lit("importance").alias("section"), F.col("feature").alias("name"), none.cast("double").alias("precision"), none.cast("double").alias("recall"),
+        F.col("importance").alias("f1"), none.cast("long").alias("support"), none.cast("double").alias("auc"),
+    )
+    return lines.unionByName(gains.withColumnRenamed("f1", "importance"), allowMissingColumns=True)
 
 
 AGE_SEG = "CASE WHEN age > 0 AND age <= 25 THEN '<25' WHEN age > 25 AND age <= 35 THEN '25-35' WHEN age > 35 AND age <= 45 THEN '35-45' WHEN age > 45 AND age <= 55 THEN '45-55' WHEN age > 55 AND age <= 100 THEN '55+' END"

@@ -56,39 +56,45 @@ def scan_registry(spark, sf):
     return rd.scan_registry(spark, path, multi_line=False).select("agent_name", "agent_code", "agent_card", "dealer")
 
 
+#: Names in one document of a written definition.
+NAMES_PER_DOCUMENT = 500
+
+
 def _definition(spark, sf) -> str:
-    """A business definition derived from the tables: one launch per segment, product names per type."""
+    """A business definition derived from the tables, as JSON lines: launches by segment, and product names in slices by a hash.
+
+    No document grows with the tables: a segment's launch, or some hundred names of one type.
+    """
+    path = scratch(spark, "definition")
     span = F.struct(
         F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("start"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("end")
     )
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     spans = o.groupBy("c_mktsegment").agg(span.alias("w"))
-    # segments, types and product names are dimensions of fixed size
-    periods = spans.agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "w"))).alias("time_periods"), F.lit(1).alias("k"))
+    rd.write_table(spans.select(F.create_map("c_mktsegment", "w").alias("time_periods")), f"{path}/periods", "json")
     part = table(spark, sf, "part")
-    names = part.groupBy("p_type").agg(F.sort_array(F.collect_set("p_name")).alias("n"))
-    types = names.agg(F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("battery_types"), F.lit(1).alias("k"))
-    price = part.groupBy("p_name").agg(F.floor(F.min("p_retailprice")).alias("p"))
-    prices = price.agg(F.map_from_entries(F.collect_list(F.struct("p_name", "p"))).alias("vehicle_prices"), F.lit(1).alias("k"))
-    doc = periods.join(types, "k").join(prices, "k").drop("k")
-    path = scratch(spark, "definition")
-    rd.write_table(doc, path, "json")
-    return f"{path}/part-*"
+    slices = max(-(-part.count() // NAMES_PER_DOCUMENT), 1)
+    slice_ = F.pmod(F.xxhash64("p_name"), F.lit(slices)).alias("_s")
+    names = part.groupBy("p_type", slice_).agg(F.sort_array(F.collect_set("p_name")).alias("n"))
+    rd.write_table(names.select(F.create_map("p_type", "n").alias("battery_types")), f"{path}/types", "json")
+    price = part.groupBy("p_name").agg(F.floor(F.min("p_retailprice")).alias("p")).groupBy(slice_).agg(F.collect_list(F.struct("p_name", "p")).alias("all"))
+    rd.write_table(price.select(F.map_from_entries("all").alias("vehicle_prices")), f"{path}/prices", "json")
+    return f"{path}/*/part-*"
 
 
 @query("load_periods", f"SELECT c_mktsegment AS grp, {d('min(o_orderdate)')} AS start_date, {d('max(o_orderdate)')} AS end_date FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def load_periods(spark, sf):
-    return rd.load_periods(spark, _definition(spark, sf))
+    return rd.load_periods(spark, _definition(spark, sf), lines=True)
 
 
 @query("load_attr_map", "SELECT DISTINCT p_name AS product, p_type AS attr FROM part")
 def load_attr_map(spark, sf):
-    return rd.load_attr_map(spark, _definition(spark, sf), "battery_types")
+    return rd.load_attr_map(spark, _definition(spark, sf), "battery_types", lines=True)
 
 
 @query("load_prices", "SELECT p_name AS product, CAST(floor(min(p_retailprice)) AS BIGINT) AS price FROM part GROUP BY 1")
 def load_prices(spark, sf):
-    return rd.load_attr_map(spark, _definition(spark, sf), "vehicle_prices")
+    return rd.load_attr_map(spark, _definition(spark, sf), "vehicle_prices", lines=True)
 
 
 @query("sink_table", "SELECT f AS format, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders, (SELECT unnest(['csv', 'json', 'parquet']) AS f) GROUP BY 1")

@@ -16,6 +16,7 @@ from launchlens.functions.semantics import count_if, interval_days, micros, rati
 from launchlens.operators.periods import period_slice
 from launchlens.operators.structure import long_values
 from launchlens.plans.skew import previous_value, running_extreme
+from launchlens.session import cut_lineage
 
 AGENT_KEYS = ("agent_name", "agent_code", "agent_card")
 
@@ -279,11 +280,12 @@ def buyer_history(df: DataFrame, key: str = "id", null_keys: str = "strict") ->
     if null_keys == "shared":
         k = F.coalesce(k, F.lit("nan"))
     invoice = F.col("invoice_time") if "invoice_time" in df.columns else F.lit(None)
-    keyed = df.withColumn("_k", k)
-    known = keyed.where(F.col("_k").isNotNull())
+    # the one read of the orders; a row without a buyer gets a key of its own, so they meet nowhere
+    own = F.concat(F.lit("\0"), F.col("order_id").cast("string"))
+    keyed = cut_lineage(df.withColumns({"_k": F.coalesce(k, own, F.lit("\0")), "_known": k.isNotNull()}))
     pay = F.col("pay_time").cast("timestamp")
     linked = running_extreme(
-        known,
+        keyed,
         ["_k"],
         micros("pay_time"),
         F.to_date(pay),
@@ -291,11 +293,8 @@ def buyer_history(df: DataFrame, key: str = "id", null_keys: str = "strict") ->
         ties=[F.col("order_id")],
         count_as="orders_of_buyer",
     )
-    none_t, none_l = F.lit(None).cast("timestamp"), F.lit(1).cast("long")
-    unknown = keyed.where(F.col("_k").isNull()).select(
-        "*", none_t.alias("_prev_pay"), none_t.alias("_prev_invoice"), none_l.alias("orders_of_buyer")
-    )
-    rows = linked.unionByName(unknown)
+    known = lambda c: F.when(F.col("_known"), F.col(c))
+    rows = linked.withColumns({"_prev_pay": known("_prev_pay"), "_prev_invoice": known("_prev_invoice"), "orders_of_buyer": F.coalesce(known("orders_of_buyer"), F.lit(1))})
     valid_invoice = F.when(F.col("_prev_invoice") < pay, F.col("_prev_invoice"))
     repeat = F.coalesce(F.col("_prev_pay") < pay, F.lit(False)) | valid_invoice.isNotNull()
     return rows.select(

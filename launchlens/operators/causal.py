@@ -103,11 +103,11 @@ def _mutual(stacks: DataFrame, caliper: float) -> DataFrame:
     return t.join(c, ["t_score", "c_score"]).select("t_score", "c_score", "t_used", "c_used", F.least("t_n", "c_n").alias("m"))
 
 
-def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.01) -> DataFrame:
+def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.05) -> DataFrame:
     """Pairs from rounds of mutual nearest neighbours among rows whose scores have one side each.
 
     Rows of a score are a stack; a round pairs stacks and takes as many rows of each as the smaller has. Rounds go on while
-    one pairs at least the share `worth` of what they have paired so far. Only stacks move; at the end
+    one pairs more than the share `worth` of what they have paired so far and of the smaller side that is left. Only stacks move; at the end
     the pairs are written out by places inside the stacks.
     """
     stacks = cut_lineage(left.groupBy("score", "treated").agg(F.count("*").alias("n")).withColumn("used", F.lit(0).cast("long")))
@@ -123,7 +123,8 @@ def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.01) -> Data
             )
             stacks = cut_lineage(stacks.where("n > 0"))
         total += made
-        if made <= worth * total:
+        left_over = stacks.groupBy("treated").agg(F.sum("n").alias("n")).collect() if made else []
+        if len(left_over) < 2 or made <= worth * max(total, min(r["n"] for r in left_over)):
             break
     if segments is None:
         return left.limit(0).select(F.col("key").alias("treated_key"), F.col("key").alias("control_key"), "score", F.col("score").alias("control_score"))
@@ -176,85 +177,6 @@ def psm_match(scores: DataFrame, treat: str, key: str = "order_id", caliper: flo
     return found
 
 
-def smd(self, kept: DataFrame | None = None) -> DataFrame:
-        """(feature, smd) over every encoded covariate, of all rows or of those whose key is in the one-column table `kept`."""
-        rows = self.many.rows if kept is None else self.many.rows.join(kept.toDF(self.key), self.key, "left_semi")
-        c, t = group_moments(self.many, rows.withColumn("_g", F.col("_y").cast("int")), "_g", 2)
-        p = len(self.many.names)
-        n = [max(g[0], 1.0) for g in (c, t)]
-        mean = [g[1 : 1 + p] / k for g, k in zip((c, t), n)]
-        var = [np.maximum(g[1 + p :] - k * m * m, 0.0) / max(k - 1, 1.0) for g, k, m in zip((c, t), n, mean)]
-        pooled = np.sqrt((var[0] + var[1]) / 2)
-        out = np.abs(mean[1] - mean[0]) / np.where(pooled > 1e-12, pooled, 1e-8)
-        rows = [(f, float(x)) for f, x in zip(self.many.names, out)]
-        return self.many.rows.sparkSession.createDataFrame(rows, "feature string, smd double")
-
-
-def propensity(df: DataFrame, treat: str, spec: FeatureSpec, key: str = "order_id") -> Propensity:
-    """Balanced logistic probability of being treated, from median-filled, encoded and scaled covariates."""
-    rows = df.select(key, F.col(treat), *spec.numeric, *spec.categorical, *spec.encoded).withColumns({"_fold": F.lit(1), "_tier": F.lit(0)})
-    many = fit(prepare(rows, treat, spec.numeric, spec.categorical, spec.encoded, [Member(0, 0)], keep=[key, treat]))
-    return Propensity(cut_lineage(keyed_scores(many, [key, treat]).withColumnRenamed("probability", "score")), many, key)
-
-
-def _ranked_by_score(df: DataFrame, cell: Column, width: float, descending: bool) -> DataFrame:
-    """Position inside the cell in score order.
-
-    Rows of one score are numbered apart in 64 hash pieces; distinct scores are then
-    ordered slice by slice, so neither a hot score nor a hot cell lands in one task.
-    """
-    placed = df.withColumn("cell", cell).where(F.col("cell").isNotNull()).withColumn("_h", F.xxhash64("key"))
-    inner = ordinal(placed, ["cell", "score"], [F.col("_h"), F.col("key")], F.shiftright("_h", 58), "_in")
-    scores = placed.groupBy("cell", "score").agg(F.count("*").alias("n"))
-    sign = F.lit(-1.0 if descending else 1.0)
-    slice_ = F.floor(F.col("score") * sign / F.lit(width / 1024))
-    before = ordinal(scores, ["cell"], [F.col("score") * sign], slice_, "_before", weight="n")
-    return inner.join(before.select("cell", "score", "_before"), ["cell", "score"]).select(
-        "cell", (F.col("_before") + F.col("_in")).alias("pos"), "key", "score"
-    )
-
-
-def _pass(left: DataFrame, cell_t: Column, cell_c: Column, width: float, caliper: float, t_desc: bool, c_desc: bool) -> DataFrame:
-    """Pairs the i-th treated with the i-th control of each cell when they lie inside the caliper."""
-    t = _ranked_by_score(left.where(F.col("treated") == 1), cell_t, width, t_desc)
-    c = _ranked_by_score(left.where(F.col("treated") == 0), cell_c, width, c_desc)
-    c = c.select("cell", "pos", F.col("key").alias("control"), F.col("score").alias("control_score"))
-    pairs = t.join(c, ["cell", "pos"])
-    return pairs.where(F.abs(F.col("score") - F.col("control_score")) <= caliper).select(
-        F.col("key").alias("treated_key"), F.col("control").alias("control_key"), "score", "control_score"
-    )
-
-
-def psm_match(scores: DataFrame, treat: str, key: str = "order_id", caliper: float = 0.05) -> DataFrame:
-    """1:1 matches on the score without reuse, none farther apart than the caliper, none left possible.
-
-    Each pass pairs equal ranks inside score cells, from cells far finer than the
-    caliper to cells as wide as it, so near pairs are made first and a cell of any size
-    is a rank join, never all pairs. After the last such pass a cell holds one side
-    only; neighbouring cells are then matched edge to edge (highest treated with lowest
-    control and the reverse, even and odd borders in turn). Two rows inside the caliper
-    sit in the same or in neighbouring cells, so no possible pair remains.
-    """
-    left = cut_lineage(scores.select(F.col(key).alias("key"), F.col(treat).cast("int").alias("treated"), "score"))
-    found = None
-    plans = [(caliper * s, None, None) for s in CELL_SHARES]
-    plans += [(caliper, parity, up) for parity in (0, 1) for up in (True, False)]
-    for width, parity, up in plans:
-        cell = F.floor(F.col("score") / F.lit(width))
-        if parity is None:
-            pairs = _pass(left, cell, cell, width, caliper, False, False)
-        else:
-            # border b joins cell b (below) with cell b + 1 (above); up: treated below, control above
-            below, above = F.when(F.pmod(cell, F.lit(2)) == parity, cell), F.when(F.pmod(cell - 1, F.lit(2)) == parity, cell - 1)
-            t_cell, c_cell = (below, above) if up else (above, below)
-            pairs = _pass(left, t_cell, c_cell, width, caliper, up, not up)
-        pairs = cut_lineage(pairs)
-        used = pairs.select(F.explode(F.array("treated_key", "control_key")).alias("key"))
-        left = cut_lineage(left.join(used, "key", "left_anti"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
-
-
 def match_check(scores: DataFrame, pairs: DataFrame, treat: str, caliper: float, key: str = "order_id") -> DataFrame:
     """One row: pairs of equal scores, keys used twice, pairs beyond the caliper, and unmatched treated rows that have an unmatched control inside it."""
     used = pairs.select(F.explode(F.array("treated_key", "control_key")).alias(key))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from launchlens.functions.semantics import (
+    micros,
     count_if,
     day_index,
     days_from_end,
@@ -304,17 +305,15 @@ def cohort_refund(df: DataFrame, periods: DataFrame, n: int = 30) -> DataFrame:
 
 def cohort_refund_aligned(df: DataFrame, periods: DataFrame, target: str) -> DataFrame:
     """The same per period slice, all launches observed up to the target's latest relative pay day."""
-    sliced = period_slice(df, periods)
+    # days, rounded up, after which a refund is seen: the observed day is known from the counts only
+    start = F.col("start_date").cast("timestamp")
+    seen_after = F.ceil((micros("refund_time") - micros(start)) / F.lit(86_400_000_000.0))
     offset = F.datediff(F.to_date("pay_time"), "start_date")
-    observed = sliced.where(F.col("period") == target).agg(F.max(offset).alias("_obs"))
-    days = (
-        sliced.select("period", "start_date", "refund_time", offset.alias("day_offset")).withColumn("_obs", observed.scalar())
-        .groupBy("period", "day_offset")
-        .agg(
-            F.count("*").alias("orders"),
-            count_if(F.col("refund_time") <= F.date_add("start_date", F.col("_obs")).cast("timestamp")).alias("refunds"),
-        )
-    )
+    by = ["period", "day_offset", "_after"]
+    daily = cut_lineage(period_slice(df, periods).select("period", offset.alias("day_offset"), seen_after.alias("_after")).groupBy(*by).agg(F.count("*").alias("n")))
+    observed = daily.where(F.col("period") == target).agg(F.max("day_offset").alias("_obs"))
+    refunds = F.coalesce(F.sum(F.when(F.col("_after") <= F.col("_obs"), F.col("n"))), F.lit(0))
+    days = daily.withColumn("_obs", observed.scalar()).groupBy("period", "day_offset").agg(F.sum("n").alias("orders"), refunds.alias("refunds"))
     return days.select(
         "period", "day_offset", "orders", "refunds", (ratio(F.col("refunds"), F.col("orders")) * 100).alias("refund_rate_pct")
     )

@@ -5,6 +5,8 @@ Input curves have one row per group and day (grp, day, daily_orders, cumulative_
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -21,6 +23,30 @@ T_INITIAL, T_PLATEAU, T_ACCEL, T_SURGE = 0.536, 0.750, 0.786, 0.929
 REFERENCE_DAYS = 28
 
 
+@dataclass(frozen=True)
+class ForecastRule:
+    """Fixed values of the forecast: how the end of a presale speeds up, and how each target day past REFERENCE_DAYS adds to it."""
+
+    #: daily orders where neither a fit nor a recent gain speaks for a day: in the last phase, and before it
+    late_pace: float = 800.0
+    early_pace: float = 500.0
+    #: pace from T_SURGE on: base, rise per share of the target, and what a day past the reference adds to the rise
+    surge_base: float = 2.0
+    surge_rise: float = 12.0
+    surge_per_day: float = 0.1
+    #: pace from T_ACCEL on: its rise, lowered per day past the reference down to a least value
+    ramp_drop: float = 0.02
+    ramp_least: float = 0.5
+    #: factor of the recent pace, and what a day past the reference adds to it and to the early pace
+    pace_factor: float = 1.2
+    pace_per_day: float = 0.05
+    #: height of the S-curve per day past the reference
+    height_per_day: float = 0.1
+    #: growth of the recent gain per day ahead, and per day past the reference
+    gain_per_day: float = 0.05
+    gain_rise: float = 0.03
+
+
 def growth_phases(curve: DataFrame) -> DataFrame:
     """Phase of each day by day / last day; the gap between surge and plateau counts as final."""
     last = F.max("day").over(Window.partitionBy("grp"))
@@ -114,7 +140,7 @@ def growth_fit(curve: DataFrame) -> DataFrame:
     return curve.select("grp", "day", "cumulative_orders").groupBy("grp").applyInPandas(run, FIT_SCHEMA)
 
 
-def growth_forecast(curve: DataFrame, fit: DataFrame, target: int, recent: int = 6) -> DataFrame:
+def growth_forecast(curve: DataFrame, fit: DataFrame, target: int, recent: int = 6, rule: ForecastRule = ForecastRule()) -> DataFrame:
     """Running orders of every group for the days after its last one up to `target`.
 
     Which model speaks for a day depends on its share of the target; past the
@@ -141,14 +167,14 @@ def growth_forecast(curve: DataFrame, fit: DataFrame, target: int, recent: int =
     over = target - REFERENCE_DAYS
     initial_end, plateau_end, accel = int(target * T_INITIAL), int(target * T_PLATEAU), int(target * T_ACCEL)
     share = x / target
-    surge = 2.0 + (share - T_SURGE) * 12.0 * (1.0 + over * 0.1)
-    ramp = 1.0 + (share - T_ACCEL) / (T_SURGE - T_ACCEL) * max(0.5, 1.0 - over * 0.02)
+    surge = rule.surge_base + (share - T_SURGE) * rule.surge_rise * (1.0 + over * rule.surge_per_day)
+    ramp = 1.0 + (share - T_ACCEL) / (T_SURGE - T_ACCEL) * max(rule.ramp_least, 1.0 - over * rule.ramp_drop)
     factor = F.when(share >= T_SURGE, surge).when(share >= T_ACCEL, ramp).otherwise(1.0)
     beyond = x - F.col("last_day")
-    scaled = F.col("last_actual") + F.col("pace") * beyond * factor * (1.2 * (1.0 + over * 0.05))
-    curve_value = F.col("s_curve_0") * (1.0 + over * 0.1) / (1 + F.exp(-F.col("s_curve_1") * (x - F.col("s_curve_2")))) + F.col("s_curve_3")
-    trend = F.col("last_actual") + beyond * F.coalesce("last_gain", F.lit(800.0)) * (1.0 + beyond * 0.05 * (1.0 + over * 0.03))
-    flat = F.col("last_actual") + beyond * (500 * (1.0 + over * 0.05))
+    scaled = F.col("last_actual") + F.col("pace") * beyond * factor * (rule.pace_factor * (1.0 + over * rule.pace_per_day))
+    curve_value = F.col("s_curve_0") * (1.0 + over * rule.height_per_day) / (1 + F.exp(-F.col("s_curve_1") * (x - F.col("s_curve_2")))) + F.col("s_curve_3")
+    trend = F.col("last_actual") + beyond * F.coalesce("last_gain", F.lit(rule.late_pace)) * (1.0 + beyond * rule.gain_per_day * (1.0 + over * rule.gain_rise))
+    flat = F.col("last_actual") + beyond * (rule.early_pace * (1.0 + over * rule.pace_per_day))
     has = lambda m: F.col(f"{m}_0").isNotNull()
     d = F.col("day")
     predicted = (

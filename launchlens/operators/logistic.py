@@ -47,6 +47,10 @@ class Many:
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     steps: int = 0
 
+    def __getstate__(self) -> dict:
+        """What tasks need; a table cannot be sent to them."""
+        return {**self.__dict__, "rows": None}
+
     @property
     def names(self) -> list[str]:
         return [*self.numeric, *[f"{c}={v}" for c, v in self.flags]]
@@ -85,7 +89,7 @@ def prepare(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequ
         n = [float(totals[k][0]) if k in totals else 1.0 for k in range(m)]
         at = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("_model"))
         te, fe = (F.col("s") + alpha * at(g)) / (F.col("n") + alpha), F.col("n") / at(n)
-        pairs = per.groupBy("column", "value").agg(F.map_from_entries(F.collect_list(F.struct("_model", te.alias("te"), fe.alias("fe")))).alias("_by"))
+        pairs = per.groupBy("column", "value").agg(F.map_from_entries(F.collect_list(F.struct("_model", F.struct(te.alias("te"), fe.alias("fe")).alias("p")))).alias("_by"))
         # a model that has not seen a value gives it the overall mean and 0
         listed = lambda part, rest: F.array(*[F.coalesce(F.col("_by")[F.lit(k)][part], F.lit(rest[k])) for k in range(m)])
         table = cut_lineage(pairs.select("column", "value", listed("te", g).alias("te"), listed("fe", [0.0] * m).alias("fe")))
@@ -96,8 +100,9 @@ def prepare(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequ
         flags = sorted((r["column"], r["value"]) for r in seen.collect())
     codes = []
     for c in categorical:
-        place = F.map_from_arrays(F.array(*[F.lit(v) for x, v in flags if x == c]), F.array(*[F.lit(i) for i, (x, _) in enumerate(flags) if x == c]))
-        codes.append(F.coalesce(place[category(c)], F.lit(-1)))
+        at = [i for i, (x, _) in enumerate(flags) if x == c]
+        place = F.array_position(F.array(*[F.lit(flags[i][1]) for i in at]).cast("array<string>"), category(c))
+        codes.append(F.coalesce(F.get(F.array(*[F.lit(i) for i in at]).cast("array<int>"), (place - 1).cast("int")), F.lit(-1)))
     numbers = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in numeric]
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     rows = cut_lineage(

@@ -17,10 +17,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from launchlens.functions.rules import DEPOSIT_RULES, map_contains
-from launchlens.functions.semantics import age_band, count_if, interval_days, ratio
+from launchlens.functions.semantics import age_band, interval_days
 from launchlens.operators.buyers import buyer_history
 from launchlens.operators.encoding import TargetFreqEncoder
-from launchlens.operators.evaluation import auc, class_report
+from launchlens.operators.evaluation import auc, auc_by, class_report
 from launchlens.operators.linear import Gram, LinearFit, cross_validated, design, grams, kept_rows, least_squares
 from launchlens.operators.logistic import Member, aucs, fit as fit_many, prepare
 from launchlens.operators.periods import any_period
@@ -352,15 +352,28 @@ def perm_importance(fit: PriceFit, features: Sequence[str] | None = None, piece_
 # ---- mix inference
 
 
+@dataclass
+class Mix:
+    """Shares among unlabeled orders, the scored orders, and how the forest did on held-out labeled ones."""
+
+    result: DataFrame
+    scored: DataFrame
+    report: DataFrame
+    importances: DataFrame
+
+
 def mix_inference(
-    labeled: DataFrame, everything: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], trees: int = 100, depth: int = 8
-) -> tuple[DataFrame, DataFrame]:
+    labeled: DataFrame, everything: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], key: str = "order_id",
+    trees: int = 100, depth: int = 30, test_share: float = 0.3,
+) -> Mix:
     """Type shares among unlabeled orders from a labeled subset.
 
-    Returns (one-row result, scored orders). Probabilities are pulled towards the labeled
-    mean by a factor max(0.5, 1 - 0.1 d), d being the distance of the standardised
-    feature means of all and labeled orders.
+    The forest learns from an exactly stratified part of the labeled orders and is measured on the rest: `report` is its
+    classification report with the exact AUC, `importances` has one row per feature. `result` has one row:
+    probabilities are pulled towards the labeled mean by a factor max(0.5, 1 - 0.1 d), d being the distance of the
+    standardised feature means of all and labeled orders. Every order is scored once.
     """
+    spark = labeled.sparkSession
     keep = [*numeric, *categorical]
     both = labeled.select(*keep).unionByName(everything.select(*keep))
     medians = exact_medians(both, numeric)
@@ -373,10 +386,16 @@ def mix_inference(
     stages += [VectorAssembler(inputCols=inputs, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]
     prep = Pipeline(stages=stages).fit(both)
     tmp = ["_raw", *num, *[f"_s_{c}" for c in categorical], *[f"_ix_{c}" for c in categorical]]
-    lab = cut_lineage(prep.transform(labeled).drop(*tmp))
-    rest = prep.transform(everything).drop(*tmp)
-    forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=42).fit(lab)
-    scored = forest.transform(rest).withColumn("probability", vector_to_array("probability")[1]).drop("rawPrediction")
+    lab = cut_lineage(numbered(prep.transform(labeled).drop(*tmp), key, label))
+    train, test = (lab.where(cond).drop("_place", "_of") for cond in (~in_share(test_share), in_share(test_share)))
+    # deep trees pass their nodes by id over the rows
+    forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, maxBins=128, cacheNodeIds=True, seed=42).fit(train)
+    chance = lambda rows: forest.transform(rows).withColumn("probability", vector_to_array("probability")[1]).drop("rawPrediction")
+    held = cut_lineage(chance(test).select(F.col(label), "probability"))
+    report = with_row(class_report(held, label), auc_by(held, label).select("auc"))
+    gains = [(c, float(v)) for c, v in zip([*medians, *categorical], forest.featureImportances.toArray())]
+    importances = spark.createDataFrame(sorted(gains, key=lambda t: (-t[1], t[0])), "feature string, importance double")
+    scored = cut_lineage(chance(prep.transform(everything).drop(*tmp)))
     m_all = scored.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
     m_lab = lab.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
     distance = float(m_all.squared_distance(m_lab)) ** 0.5
@@ -389,7 +408,7 @@ def mix_inference(
         F.floor((1 - F.col("share")) * F.col("orders")).alias("estimated_other_orders"),
         F.lit(factor).alias("calibration_factor"), (F.lit(float(known["n"])) / F.col("orders")).alias("labeled_ratio"),
     )
-    return result, scored.drop("features")
+    return Mix(result, scored.drop("features"), report, importances)
 
 
 def mix_segments(scored: DataFrame, min_region: int = 50) -> DataFrame:

@@ -41,7 +41,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Rows are compared by a 128-bit digest pair, so the shuffle carries 16 bytes a row
     instead of the whole row.
     """
-    cols = [F.col(f"`{c}`") for c in df.columns]
+    # a map has no hash of its own
+    cols = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
     keyed = df.select(F.xxhash64(*cols).alias("_h1"), F.xxhash64(F.lit("second"), *cols, *[c.isNull() for c in cols]).alias("_h2"))
     return keyed.groupBy("_h1", "_h2").agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows")

@@ -95,7 +95,6 @@ def _eliminated(a: Column, size: Column, first: Column, last: Column, diagonal:
     return F.aggregate(F.sequence(first, last), a, step)
 
 
-@F.pandas_udf("p_f double, p_chi2 double")
 def _tails(f: pd.Series, chi: pd.Series, lag: pd.Series, dof: pd.Series) -> pd.DataFrame:
     rows = [(f_tail(a, k, d), chi2_tail(b, k)) if a == a and a is not None else (None, None) for a, b, k, d in zip(f, chi, lag, dof)]
     return pd.DataFrame(rows, columns=["p_f", "p_chi2"])
@@ -143,7 +142,7 @@ def granger(series: DataFrame, max_lag: int = 7, drop_joint_zeros: bool = True)
     valid = (dof > 0) & (F.col("_sa") > F.greatest(F.col("_total"), F.lit(1.0)) * F.lit(1e-12))
     f = F.when(valid, gain / F.col("_sa") / lag * dof)
     chi = F.when(valid, F.col("_n") * gain / F.col("_sa"))
-    tested = rows.select("grp", "lag", F.greatest(F.col("_days") - lag, F.lit(0)).cast("int").alias("n"), f.alias("f_stat"), _tails(f, chi, lag, dof).alias("_p"))
+    tested = rows.select("grp", "lag", F.greatest(F.col("_days") - lag, F.lit(0)).cast("int").alias("n"), f.alias("f_stat"), F.pandas_udf(_tails, "p_f double, p_chi2 double")(f, chi, lag, dof).alias("_p"))
     return tested.select("grp", "lag", "n", "f_stat", "_p.p_f", "_p.p_chi2")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from launchlens.functions.semantics import bucket, count_if, interval_days, ratio
+from launchlens.session import cut_lineage
 
 STATUSES = ("active", "suspected_closed", "not_open")
 
@@ -14,16 +15,12 @@ def _first_known(value: str) -> Column:
     return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct("create_time", "order_id")))
 
 
-def observed_at(df: DataFrame, as_of: str | None) -> Column:
-    """The observation time: given, or the last order's."""
-    if as_of is None:
-        return df.agg(F.max(F.col("create_time").cast("timestamp"))).scalar()
-    return F.lit(as_of).cast("timestamp")
-
-
 def store_status(df: DataFrame, as_of: str | None = None, threshold: int = 30) -> DataFrame:
-    """Per store: attributes, orders, locks, last order and lock, days since, days open, status."""
-    stores = df.where(F.col("store").isNotNull()).groupBy("store").agg(
+    """Per store: attributes, orders, locks, last order and lock, days since, days open, status.
+
+    The observation time is given, or the last order's, which is taken from the rows per store.
+    """
+    stores = df.groupBy("store").agg(
         _first_known("store_city").alias("store_city"),
         _first_known("region").alias("region"),
         _first_known("store_created").alias("store_created"),
@@ -32,7 +29,12 @@ def store_status(df: DataFrame, as_of: str | None = None, threshold: int = 30) -
         F.count("lock_time").alias("locks"),
         F.max("lock_time").alias("last_lock_time"),
     )
-    rows = stores.withColumn("_as_of", observed_at(df, as_of))
+    if as_of is None:
+        stores = cut_lineage(stores)
+        observed = stores.agg(F.max(F.col("last_order_time").cast("timestamp"))).scalar()
+    else:
+        observed = F.lit(as_of).cast("timestamp")
+    rows = stores.where(F.col("store").isNotNull()).withColumn("_as_of", observed)
     since = interval_days("last_order_time", "_as_of")
     opened = F.coalesce(F.col("store_created").cast("timestamp") <= F.col("_as_of"), F.lit(False))
     status = F.when(~opened, "not_open").when(since > threshold, "suspected_closed").otherwise("active")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from launchlens.functions.semantics import count_if, ratio, rel_change
 from launchlens.operators.cohorts import interval_stats_by
+from launchlens.session import cut_lineage
 
 ANOMALY_COLUMNS = (
     "check", "baseline", "dimension", "value", "target_n", "target_share", "base_n", "base_share", "change", "direction",
@@ -109,12 +110,21 @@ def refund_dod(
     orders: DataFrame, dims: Sequence[str], as_of: str | None = None, threshold: float = 0.10, new_min: int = 2,
     check: str = "refund_day_over_day",
 ) -> DataFrame:
-    """Refunds per value on the latest pay date against the day before, for every dimension."""
-    latest = orders.agg(F.max(F.to_date("pay_time"))).scalar() if as_of is None else F.lit(as_of).cast("date")
+    """Refunds per value on the latest pay date against the day before, for every dimension; the orders are read once.
+
+    With `as_of` only the refunds of that day and the day before are counted. Without, the latest pay date comes
+    from the same counts per value and refund day.
+    """
     day = F.to_date("refund_time")
-    rows = long_values(orders.where(F.col("refund_time").isNotNull()), dims, [day.alias("_day")])
-    counts = rows.where(F.col("value").isNotNull()).groupBy("dimension", "value", "_day").agg(F.count("*").alias("n"))
-    joined = counts.withColumn("_latest", latest)
+    if as_of is not None:
+        latest = F.lit(as_of).cast("date")
+        orders = orders.where(day.between(F.date_sub(latest, 1), latest))
+    rows = long_values(orders, dims, [day.alias("_day"), F.to_date("pay_time").alias("_pay")])
+    counts = rows.groupBy("dimension", "value", "_day").agg(F.count("*").alias("n"), F.max("_pay").alias("_pay"))
+    if as_of is None:
+        counts = cut_lineage(counts)
+        latest = counts.agg(F.max("_pay")).scalar()
+    joined = counts.where("value is not null and _day is not null").withColumn("_latest", latest)
     compared = joined.groupBy("dimension", "value").agg(
         F.coalesce(F.sum(F.when(F.col("_day") == F.col("_latest"), F.col("n"))), F.lit(0)).alias("target_n"),
         F.coalesce(F.sum(F.when(F.col("_day") == F.date_sub("_latest", 1), F.col("n"))), F.lit(0)).alias("base_n"),
@@ -286,13 +296,18 @@ def launch_checks(
     """
     all_dims = [c for cols in dims.values() for c in cols]
     wanted = sliced.where(F.col("period").isin([target, *history]))
-    latest = sliced.where(F.col("period") == target).agg(F.max(F.to_date("pay_time"))).scalar()
-    rows = long_values(wanted, all_dims, ["period", F.to_date("refund_time").alias("_day")]).withColumn("_latest", latest)
-    counts = rows.groupBy("period", "dimension", "value").agg(
-        F.count("*").alias("n"),
-        F.count("_day").alias("refunded"),
-        count_if(F.col("_day") == F.col("_latest")).alias("on_day"),
-        count_if(F.col("_day") == F.date_sub("_latest", 1)).alias("day_before"),
+    # refund days of the target, since its latest pay date is known from the counts only
+    refunded = F.col("refund_time").isNotNull()
+    day = F.when(F.col("period") == target, F.to_date("refund_time"))
+    rows = long_values(wanted, all_dims, ["period", day.alias("_day"), refunded.alias("_refunded"), F.to_date("pay_time").alias("_pay")])
+    daily = cut_lineage(rows.groupBy("period", "dimension", "value", "_day", "_refunded").agg(F.count("*").alias("n"), F.max("_pay").alias("_pay")))
+    latest = daily.where(F.col("period") == target).agg(F.max("_pay")).scalar()
+    some = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    counts = daily.withColumn("_latest", latest).groupBy("period", "dimension", "value").agg(
+        F.sum("n").alias("n"),
+        some(F.col("_refunded")).alias("refunded"),
+        some(F.col("_day") == F.col("_latest")).alias("on_day"),
+        some(F.col("_day") == F.date_sub("_latest", 1)).alias("day_before"),
     )
     launches = counts.where(F.col("period") != target).groupBy("dimension").agg(F.count_distinct("period").alias("_launches"))
     known = counts.where(F.col("value").isNotNull())

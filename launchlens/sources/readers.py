@@ -150,23 +150,29 @@ def scan_registry(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return last_row(full, keys, [F.col(c) for c in order]).drop(*order)
 
 
-def _definition(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+def _definition(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    return spark.read.text(path, wholetext=not lines)
 
 
-def load_periods(spark: SparkSession, path: str) -> DataFrame:
-    """(grp, start_date, end_date) from the `time_periods` object; rows with an unreadable date are dropped."""
+def load_periods(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(grp, start_date, end_date) from the `time_periods` objects; rows with an unreadable date are dropped.
+
+    One document per file, or with `lines` one per line, which is read by many tasks.
+    """
     kind = "map<string,struct<start:string,end:string>>"
     body = F.from_json(F.get_json_object("value", "$.time_periods"), kind)
-    rows = _definition(spark, path).select(F.explode(body).alias("grp", "w"))
+    rows = _definition(spark, path, lines).select(F.explode(body).alias("grp", "w"))
     day = lambda c: F.to_date(F.try_to_timestamp(F.col(c)))
     return rows.select("grp", day("w.start").alias("start_date"), day("w.end").alias("end_date")).dropna()
 
 
-def load_attr_map(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(product, attr) from an object of lists such as battery_types, or (product, price) from vehicle_prices."""
+def load_attr_map(spark: SparkSession, path: str, key: str, lines: bool = False) -> DataFrame:
+    """(product, attr) from objects of lists such as battery_types, or (product, price) from vehicle_prices.
+
+    One document per file, or with `lines` one per line, which is read by many tasks.
+    """
     text = F.get_json_object("value", f"$.{key}")
-    doc = _definition(spark, path)
+    doc = _definition(spark, path, lines)
     if key == "vehicle_prices":
         return doc.select(F.explode(F.from_json(text, "map<string,bigint>")).alias("product", "price"))
     lists = doc.select(F.explode(F.from_json(text, "map<string,array<string>>")).alias("attr", "names"))

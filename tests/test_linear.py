@@ -84,7 +84,9 @@ def test_lasso_path_meets_the_optimality_conditions(prepared):
             slope = (square[:-1, -1] - square[:-1, :-1] @ w) / g.n
             on = w != 0
             assert np.allclose(slope[on], a * np.sign(w[on]), atol=1e-5) and (np.abs(slope[~on]) <= a + 1e-5).all()
-    assert not path.any() or penalties[-1] < 50
+    square, _ = parts[0].centred()
+    top = np.abs(square[:-1, -1] / parts[0].n).max()
+    assert not li.lasso_path(parts[:1], [1.001 * top]).any() and li.lasso_path(parts[:1], [0.9 * top]).any()
 
 
 def test_cross_validation_takes_the_least_error(prepared):
@@ -134,13 +136,13 @@ def test_importance_of_trees_scores_once(spark):
     table = fixture(spark, 500, 4)
     fit = mo.price_fit(table, "y", ["a", "b"], ["c"], "gbt", trees=10, depth=3)
     got = {r["feature"]: r["rise"] for r in mo.perm_importance(fit, piece_rows=17).collect()}
-    assert set(got) == set(fit.names) and got["a"] > 5 * max(got["b"], 0.01)
+    assert set(got) == set(fit.names) and got["a"] > got["b"] > 0
     assert [r["feature"] for r in mo.perm_importance(fit, ["b"]).collect()] == ["b"]
 
 
 def test_missing_columns_and_empty_tables(spark):
     df = fixture(spark, 60, 5).withColumn("z", F.lit(None).cast("double"))
     fit = mo.price_fit(df, "y", ["a", "z"], ["c"], "ridge", alphas=[0.1])
-    assert dict(zip(fit.names, fit.model.coefficients))["z"] == 0.0
+    assert dict(zip(fit.names, fit.model.coefficients))["z"] == pytest.approx(0.0, abs=1e-9)
     none = mo.price_fit(df.where("id < 0"), "y", ["a"], [], "ols")
     assert none.model.coefficients.tolist() == [0.0] and mo.perm_importance(none).count() == 1

@@ -5,10 +5,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from launchlens.operators import causal as ca, mining as mi, models as mo
+from launchlens.operators.encoding import TargetFreqEncoder, TargetFreqModel
 
 
 def maximal(t, c, pairs, caliper):
@@ -49,10 +52,12 @@ def test_att_of_one_pair(spark):
 
 def test_encoder_unseen_and_null(spark, tmp_path):
     train = spark.createDataFrame([("a", 1), ("a", 0), (None, 1), ("b", 1)], "c string, purchase int")
-    enc = mo.TargetFreqEncoder(["c"], 10.0).fit(train)
+    enc = TargetFreqEncoder(inputCols=["c"], alpha=10.0).fit(train)
     enc.save(str(tmp_path / "enc"))
-    back = mo.TargetFreqModel.load(spark, str(tmp_path / "enc"))
-    for m in (enc, back):
+    back = TargetFreqModel.load(str(tmp_path / "enc"))
+    chain = Pipeline(stages=[TargetFreqEncoder(inputCols=["c"]), VectorAssembler(inputCols=["c_te", "c_fe"], outputCol="v")]).fit(train)
+    chain.write().save(str(tmp_path / "chain"))
+    for m in (enc, back, PipelineModel.load(str(tmp_path / "chain"))):
         got = {r["c"]: (round(r["c_te"], 6), r["c_fe"]) for r in m.transform(spark.createDataFrame([("a",), (None,), ("new",)], "c string")).collect()}
         assert got == {"a": (round((1 + 7.5) / 12, 6), 0.5), None: (round((1 + 7.5) / 11, 6), 0.25), "new": (0.75, 0.0)}
 
@@ -79,7 +84,7 @@ def test_training_picks_best_and_survives_saving(spark, learnable, tmp_path):
     assert pos["false_hits"] == neg["missed"] and pos["missed"] == neg["false_hits"]
     model = first.models["logistic"]
     model.save(str(tmp_path / "m"))
-    back = mo.ConversionModel.load(spark, str(tmp_path / "m"), with_encoder=False)
+    back = mo.ConversionModel.load(spark, str(tmp_path / "m"))
     key = lambda d: {r["order_id"]: r["probability"] for r in d.select("order_id", "probability").collect()}
     assert key(model.transform(learnable)) == key(back.transform(learnable))
 
@@ -154,7 +159,59 @@ def test_mix_inference(spark):
     rng = np.random.default_rng(9)
     rows = [(int(k), float(a), str(g), int(a < 40)) for k, (a, g) in enumerate(zip(rng.integers(20, 60, 800), rng.choice(["m", "f"], 800)))]
     every = spark.createDataFrame(rows, "id long, age double, gender string, label int")
-    result, scored = mo.mix_inference(every.where("id % 4 = 0"), every.drop("label"), "label", ["age"], ["gender"], trees=10, depth=3)
-    row = result.first()
+    mix = mo.mix_inference(every.where("id % 4 = 0"), every.drop("label"), "label", ["age"], ["gender"], key="id", trees=10, depth=3)
+    row, scored = mix.result.first(), mix.scored
+    report = {r["label"]: r for r in mix.report.collect()}
+    # 30 % of each label, to the row
+    labels = [r[3] for r in rows if r[0] % 4 == 0]
+    assert (report["1"]["support"], report["0"]["support"]) == tuple(round(0.3 * labels.count(y)) for y in (1, 0))
+    assert report["accuracy"]["f1"] > 0.9 and report["1"]["auc"] > 0.95
+    gains = {r["feature"]: r["importance"] for r in mix.importances.collect()}
+    assert set(gains) == {"age", "gender"} and gains["age"] > 0.9
     assert row["orders"] == 800 and abs(row["share"] + row["other_share"] - 1) < 1e-9 and 0.5 <= row["calibration_factor"] <= 1
     assert abs(row["share"] - np.mean([r[3] for r in rows])) < 0.1 and scored.count() == 800
+
+
+def greedy(t, c, caliper):
+    """A walk over both sides in score order: each treated takes the nearer of the controls around it, if free and inside the caliper."""
+    ts, cs = sorted((s, k) for k, s in t.items()), sorted((s, k) for k, s in c.items())
+    j, used, gaps = 0, set(), []
+    for s, _ in ts:
+        while j < len(cs) - 1 and cs[j][0] < s:
+            j += 1
+        near = [(abs(cs[i][0] - s), i) for i in (j, j - 1) if 0 <= i < len(cs) and i not in used]
+        near = [x for x in near if x[0] <= caliper]
+        if near:
+            d, i = min(near)
+            used.add(i)
+            gaps.append(d)
+    return gaps
+
+
+def test_mutual_matches_are_no_farther_than_a_sequential_walk(spark):
+    rng = random.Random(21)
+    rows = [(k, int(rng.random() < 0.35), round(rng.betavariate(2, 5), 4)) for k in range(600)]
+    df = spark.createDataFrame(rows, "order_id long, treat int, score double")
+    pairs = ca.psm_match(df, "treat", caliper=0.05)
+    got = [abs(r["score"] - r["control_score"]) for r in pairs.collect()]
+    want = greedy({k: s for k, w, s in rows if w}, {k: s for k, w, s in rows if not w}, 0.05)
+    assert len(got) >= len(want) and np.mean(sorted(got)[: len(want)]) <= np.mean(want) + 1e-12
+    check = ca.match_check(df, pairs, "treat", 0.05).first()
+    t, c = (sorted(s for _, w, s in rows if w == side) for side in (1, 0))
+    assert check["same_score"] == sum(min(t.count(s), c.count(s)) for s in set(t)) and tuple(check)[1:] == (0, 0, 0)
+
+
+def test_balance_over_all_encoded_covariates(spark):
+    rng = np.random.default_rng(6)
+    n = 600
+    x, g, e = rng.normal(size=n), rng.choice(["u", "v"], size=n), rng.choice(list("abcd"), size=n)
+    t = (x + (g == "u") + rng.normal(size=n) > 0.8).astype(int)
+    df = spark.createDataFrame([(int(k), float(a), str(b), str(c), int(w)) for k, (a, b, c, w) in enumerate(zip(x, g, e, t))], "order_id long, x double, g string, e string, t int")
+    scores = ca.propensity(df, "t", mo.FeatureSpec(["x"], ["g"], ["e"]))
+    before = {r["feature"]: r["smd"] for r in scores.smd().collect()}
+    assert set(before) == {"x", "e_te", "e_fe", "g=u", "g=v"}
+    want = abs(x[t == 1].mean() - x[t == 0].mean()) / np.sqrt((x[t == 1].var(ddof=1) + x[t == 0].var(ddof=1)) / 2)
+    assert before["x"] == pytest.approx(want)
+    pairs = ca.psm_match(scores.scores, "t", caliper=0.02)
+    after = {r["feature"]: r["smd"] for r in scores.smd(pairs.select(F.explode(F.array("treated_key", "control_key")))).collect()}
+    assert after["x"] < 0.3 * before["x"]
