@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from launchlens.operators.logistic import Many, Member, fit, group_moments, keyed_scores, prepare
 from launchlens.operators.models import FeatureSpec
-from launchlens.plans.selection import ordered_bits
-from launchlens.plans.skew import ordinal, running_extreme, with_row
+from launchlens.plans.selection import digit
+from launchlens.plans.skew import ordinal, with_row
 from launchlens.session import cut_lineage
 
 # Widths of the score cells tried inside the caliper, finest first.
@@ -84,17 +84,32 @@ def _same_scores(rows: DataFrame) -> DataFrame:
     return both.select("treated_key", "control_key", "score", F.col("score").alias("control_score"))
 
 
+def _neighbours(stacks: DataFrame, sides: dict[str, Column]) -> DataFrame:
+    """Adds, per name, <name>_lo and <name>_hi: the nearest score below and above among the stacks whose column of `sides` is not null.
+
+    Scores are cut into ranges; the last one of the ranges below and the first one of those above are carried in, so
+    no task orders more than one range, or one row per range.
+    """
+    pieces = stacks.withColumn("_b", digit(F.col("score")))
+    per = pieces.groupBy("_b").agg(*[f(c).alias(f"_{f.__name__}_{n}") for n, c in sides.items() for f in (F.max, F.min)])
+    up, down = Window.orderBy("_b"), Window.orderBy(F.desc("_b"))
+    before = (Window.unboundedPreceding, -1)
+    carry = per.select("_b", *[f(f"_{f.__name__}_{n}").over(w.rowsBetween(*before)).alias(f"_c{e}_{n}") for n in sides for f, w, e in ((F.max, up, "lo"), (F.min, down, "hi"))])
+    inside = Window.partitionBy("_b")
+    low, high = inside.orderBy("score").rowsBetween(*before), inside.orderBy(F.desc("score")).rowsBetween(*before)
+    local = pieces.select("*", *[f(c).over(w).alias(f"_w{e}_{n}") for n, c in sides.items() for f, w, e in ((F.max, low, "lo"), (F.min, high, "hi"))])
+    pick = [F.coalesce(F.col(f"_w{e}_{n}"), F.col(f"_c{e}_{n}")).alias(f"{n}_{e}") for n in sides for e in ("lo", "hi")]
+    return local.join(carry, "_b").select(*stacks.columns, *pick)
+
+
 def _mutual(stacks: DataFrame, caliper: float) -> DataFrame:
     """Pairs of stacks (score, treated, n, used) that are each other's nearest on the other side, inside the caliper.
 
-    The last stack below and the first one above are carried through score ranges by two levels of windows; of two
-    equally near the lower one is taken.
+    Of two equally near the lower one is taken.
     """
     side = lambda k: F.when(F.col("treated") == k, F.col("score"))
-    ranges = F.shiftright(ordered_bits(F.col("score")), 42)
-    seen = running_extreme(stacks, [], "score", ranges, {"_t_lo": ("max", side(1)), "_c_lo": ("max", side(0))}, ties=[F.lit(0)])
-    seen = running_extreme(seen, [], "score", ranges, {"_t_hi": ("min", side(1)), "_c_hi": ("min", side(0))}, ties=[F.lit(0)], later=True)
-    other = lambda end: F.when(F.col("treated") == 1, F.col(f"_c_{end}")).otherwise(F.col(f"_t_{end}"))
+    seen = _neighbours(stacks, {"t": side(1), "c": side(0)})
+    other = lambda end: F.when(F.col("treated") == 1, F.col(f"c_{end}")).otherwise(F.col(f"t_{end}"))
     low, high = other("lo"), other("hi")
     nearer = F.when(high.isNull() | (F.col("score") - low <= high - F.col("score")), low).otherwise(high)
     chosen = seen.withColumn("_to", nearer).where(F.abs(F.col("_to") - F.col("score")) <= caliper)
@@ -103,15 +118,16 @@ def _mutual(stacks: DataFrame, caliper: float) -> DataFrame:
     return t.join(c, ["t_score", "c_score"]).select("t_score", "c_score", "t_used", "c_used", F.least("t_n", "c_n").alias("m"))
 
 
-def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.05) -> DataFrame:
+def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.02) -> tuple[DataFrame, bool]:
     """Pairs from rounds of mutual nearest neighbours among rows whose scores have one side each.
 
     Rows of a score are a stack; a round pairs stacks and takes as many rows of each as the smaller has. Rounds go on while
-    one pairs more than the share `worth` of what they have paired so far and of the smaller side that is left. Only stacks move; at the end
-    the pairs are written out by places inside the stacks.
+    one pairs more than the share `worth` of the smaller side that is left. Only stacks move; at the end the pairs are
+    written out by places inside the stacks. The second result tells whether no possible pair is left: the
+    closest of all possible ones is mutual, so a round without any shows it.
     """
     stacks = cut_lineage(left.groupBy("score", "treated").agg(F.count("*").alias("n")).withColumn("used", F.lit(0).cast("long")))
-    segments, total = None, 0
+    segments, settled = None, False
     while True:
         found = cut_lineage(_mutual(stacks, caliper))
         made = found.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
@@ -122,19 +138,19 @@ def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.05) -> Data
                 "score", "treated", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), (F.col("used") + F.coalesce("m", F.lit(0))).alias("used")
             )
             stacks = cut_lineage(stacks.where("n > 0"))
-        total += made
         left_over = stacks.groupBy("treated").agg(F.sum("n").alias("n")).collect() if made else []
-        if len(left_over) < 2 or made <= worth * max(total, min(r["n"] for r in left_over)):
+        settled = len(left_over) < 2
+        if settled or made <= worth * min(r["n"] for r in left_over):
             break
     if segments is None:
-        return left.limit(0).select(F.col("key").alias("treated_key"), F.col("key").alias("control_key"), "score", F.col("score").alias("control_score"))
+        return left.limit(0).select(F.col("key").alias("treated_key"), F.col("key").alias("control_key"), "score", F.col("score").alias("control_score")), settled
     hashed = left.withColumn("_h", F.xxhash64("key"))
     placed = ordinal(hashed, ["score"], [F.col("_h"), F.col("key")], F.shiftright("_h", 58), "pos")
     each = segments.select("t_score", "c_score", "t_used", "c_used", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("_i"))
     each = each.select("t_score", "c_score", (F.col("t_used") + F.col("_i")).alias("t_pos"), (F.col("c_used") + F.col("_i")).alias("c_pos"))
     named = lambda side: placed.select(F.col("score").alias(f"{side}_score"), F.col("pos").alias(f"{side}_pos"), F.col("key").alias(f"{side}_key"))
     both = each.join(named("t"), ["t_score", "t_pos"]).join(named("c"), ["c_score", "c_pos"])
-    return both.select(F.col("t_key").alias("treated_key"), F.col("c_key").alias("control_key"), F.col("t_score").alias("score"), F.col("c_score").alias("control_score"))
+    return both.select(F.col("t_key").alias("treated_key"), F.col("c_key").alias("control_key"), F.col("t_score").alias("score"), F.col("c_score").alias("control_score")), settled
 
 
 def psm_match(scores: DataFrame, treat: str, key: str = "order_id", caliper: float = 0.05) -> DataFrame:
@@ -156,8 +172,12 @@ def psm_match(scores: DataFrame, treat: str, key: str = "order_id", caliper: flo
         return cut_lineage(left.join(used, "key", "left_anti"))
 
     left = rest(found)
-    pairs = cut_lineage(_mutual_rounds(left, caliper))
-    found, left = found.unionByName(pairs), rest(pairs)
+    pairs, settled = _mutual_rounds(left, caliper)
+    pairs = cut_lineage(pairs)
+    found = found.unionByName(pairs)
+    if settled:
+        return found
+    left = rest(pairs)
     plans = [(caliper * s, None, None) for s in CELL_SHARES]
     plans += [(caliper, parity, up) for parity in (0, 1) for up in (True, False)]
     for width, parity, up in plans:
@@ -185,11 +205,8 @@ def match_check(scores: DataFrame, pairs: DataFrame, treat: str, caliper: float,
     seen = pairs.agg(F.count_if(gap == 0).alias("same_score"), F.count_if(gap > caliper).alias("beyond_caliper"))
     left = scores.join(used.distinct(), key, "left_anti").where(F.col("score").isNotNull())
     stacks = left.groupBy("score").agg(F.count_if(F.col(treat) == 1).alias("t"), F.count_if(F.col(treat) == 0).alias("c"))
-    ranges = F.shiftright(ordered_bits(F.col("score")), 42)
-    control = F.when(F.col("c") > 0, F.col("score"))
-    near = running_extreme(stacks, [], "score", ranges, {"_lo": ("max", control)}, ties=[F.lit(0)])
-    near = running_extreme(near, [], "score", ranges, {"_hi": ("min", control)}, ties=[F.lit(0)], later=True)
-    close = (F.col("c") > 0) | (F.col("score") - F.col("_lo") <= caliper) | (F.col("_hi") - F.col("score") <= caliper)
+    near = _neighbours(stacks, {"_k": F.when(F.col("c") > 0, F.col("score"))})
+    close = (F.col("c") > 0) | (F.col("score") - F.col("_k_lo") <= caliper) | (F.col("_k_hi") - F.col("score") <= caliper)
     possible = near.agg(F.coalesce(F.sum(F.when(close, F.col("t"))), F.lit(0)).alias("still_possible"))
     return with_row(with_row(seen, twice), possible).select("same_score", "reused", "beyond_caliper", "still_possible")
 

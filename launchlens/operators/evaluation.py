@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from launchlens.functions.semantics import ratio
-from launchlens.plans.selection import ordered_bits
-
-#: Bits of a score's order that stay inside a range; 22 bits name the range.
-RANGE_BITS = 42
+from launchlens.plans.selection import digit
 
 
 def score_counts(scored: DataFrame, label: str, by: Sequence[str] = (), score: str = "probability") -> DataFrame:
@@ -24,13 +21,13 @@ def auc_by(scored: DataFrame, label: str, by: Sequence[str] = (), score: str = "
     """(by..., pos, neg, auc) with the exact area under the ROC curve, null where a group has one kind of label.
 
     The area is the share of (positive, negative) pairs in the right order, ties counting one half: a rank sum over counted
-    scores. Scores are cut into ranges by their leading bits; the negatives below a score are those of the
+    scores. Scores are cut into ranges by the leading bits of their logarithm; the negatives below a score are those of the
     ranges below, and those below it in its own range, so no task orders all the scores of a group.
     """
     keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     key_cols = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
     counts = score_counts(scored, label, by, score).select(*key_cols, "score", "pos", "neg")
-    placed = counts.withColumn("_range", F.shiftright(ordered_bits(F.col("score")), RANGE_BITS))
+    placed = counts.withColumn("_range", digit(F.col("score")))
     inside = Window.partitionBy(*keys, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     half = F.col("neg") / F.lit(2.0)
     local = placed.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))

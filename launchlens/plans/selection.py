@@ -1,13 +1,15 @@
 """Exact order statistics by radix selection over counted values.
 
 A group's values are counted once. The wanted ranks are then found digit by digit: count the rows
-per (group, leading bits of the value), find the bucket that holds a rank by prefix
+per (group, leading bits of the value's logarithm), find the bucket that holds a rank by prefix
 sums, and descend into that bucket only. What one task orders is the digits of one
-level, at most 2 ** 22 rows, however many values a group has.
+level, a few million rows at most, however many values a group has.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,29 +17,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from launchlens.plans.skew import join_null_safe
 from launchlens.session import cut_lineage
 
-#: Bits of the second and of the third digit; the first has the 22 bits above them.
-DIGIT_BITS = 21
+#: Bits after the point of a value's logarithm that the first and the second digit have.
+FIRST, SECOND = 10, 31
 
 
-def ordered_bits(value: Column) -> Column:
-    """A long that orders doubles as their values do, one for each value: NaN is greatest, -0.0 equals 0.0.
+def digit(value: Column, bits: int = FIRST) -> Column:
+    """A long that does not fall as doubles rise: the sign, and the logarithm to `bits` bits after the point.
 
-    The exponent comes from a logarithm, put right by one where the scaled value is not in [1, 2);
-    scaling by a power of two is exact, and so are the 52 bits after the point.
+    It has fewer than 2 ** (bits + 12) different values, and a digit of more bits refines one of fewer. Infinite
+    values share the digit of the largest ones; NaN is greatest.
     """
     v = value.cast("double")
-    size = F.abs(v)
-    least = F.lit(2.0**-1022)
-    # the logarithm of the largest values rounds up to 1024
-    e0 = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int")
-    scaled = size / F.pow(F.lit(2.0), e0)
-    e = F.when(scaled >= 2, e0 + 1).when(scaled < 1, e0 - 1).otherwise(e0)
-    m = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
-    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((m - 1) * F.lit(2.0**52)).cast("long")
-    # in two steps, since 2 ** 1074 is no double
-    small = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
-    bits = F.when(size == F.lit(float("inf")), F.lit(2047 << 52)).when(size < least, small).otherwise(normal)
-    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -bits).otherwise(bits)
+    size = F.least(F.abs(v), F.lit(sys.float_info.max))
+    # above 0 for the smallest double; the logarithm of 0 is null
+    place = F.signum(v) * F.coalesce(F.ln(size) * F.lit(1 / math.log(2)) + F.lit(1100.0), F.lit(0.0))
+    return F.floor(F.when(F.isnan(v), F.lit(4000.0)).otherwise(place) * F.lit(2.0**bits))
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str | Column) -> DataFrame:
@@ -56,25 +50,23 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
         df, value, weight = value_counts(df, by, value), "v", "n"
     keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
     key_cols = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
-    bits = ordered_bits(F.col("_v"))
     rows = df.select(*key_cols, F.col(value).cast("double").alias("_v"), F.col(weight).cast("long").alias("_c")).where(F.col("_v").isNotNull())
-    second = F.shiftright(bits, DIGIT_BITS).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
-    rows = rows.withColumns({"_d0": F.shiftright(bits, 2 * DIGIT_BITS), "_d1": second})
+    rows = rows.withColumns({"_d0": digit(F.col("_v")), "_d1": digit(F.col("_v"), SECOND)})
     # each quantile lies between the values at two ranks
     h = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array(*[F.struct(F.lit(2 * i + up).alias("i"), (F.ceil(x) if up else F.floor(x)).alias("r")) for i, x in enumerate(h) for up in (0, 1)])
-    digit = rows.groupBy(*keys, "_d0").agg(F.sum("_c").alias("_c"))
+    counted = rows.groupBy(*keys, "_d0").agg(F.sum("_c").alias("_c"))
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_d0").rowsBetween(Window.unboundedPreceding, 0)
-    placed = digit.withColumns({"_to": F.sum("_c").over(upto), "_n": F.sum("_c").over(group)}).withColumn("_t", F.explode(ranks))
+    placed = counted.withColumns({"_to": F.sum("_c").over(upto), "_n": F.sum("_c").over(group)}).withColumn("_t", F.explode(ranks))
     found = _hit(placed.select(*keys, "_d0", "_n", F.col("_t.i").alias("_i"), F.col("_t.r").alias("_r"), "_c", "_to"), [*keys, "_d0", "_n"])
     path = [*keys, "_d0"]
     # values that share two digits are told apart by themselves
     for step in ("_d1", "_v"):
         inside = join_null_safe(rows.select(*path, step, "_c"), found.select(*path, "_n", "_i", "_r"), path)
-        digit = inside.groupBy(*path, "_n", "_i", "_r", step).agg(F.sum("_c").alias("_c"))
+        counted = inside.groupBy(*path, "_n", "_i", "_r", step).agg(F.sum("_c").alias("_c"))
         upto = Window.partitionBy(*keys, "_i").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-        found = _hit(digit.withColumn("_to", F.sum("_c").over(upto)), [*path, step, "_n"])
+        found = _hit(counted.withColumn("_to", F.sum("_c").over(upto)), [*path, step, "_n"])
         path.append(step)
     out = found.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"_r{i}") for i in range(2 * len(probs))])
     part = [x - F.floor(x) for x in h]

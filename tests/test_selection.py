@@ -12,17 +12,18 @@ from launchlens.plans import selection as se
 PROBS = [0.0, 0.1, 1 / 3, 0.5, 0.75, 1.0]
 
 
-def test_bits_order_as_values_do(spark):
+def test_digits_do_not_fall_as_values_rise(spark):
     rng = random.Random(4)
     values = [2.0**e for e in range(-1074, 1024)] + [math.nextafter(2.0**e, s) for e in range(-1073, 1024) for s in (0.0, math.inf)]
     values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-320, 308) for _ in range(2000)] + [0.0, math.inf, 5e-324, 1.7976931348623157e308, 0.1, 0.3, 7.0, 1e15 + 0.5]
     values = sorted({s * v for v in values for s in (1, -1)})
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = {r["v"]: r["b"] for r in df.select("v", se.ordered_bits(F.col("v")).alias("b")).collect()}
-    bits = [got[v] for v in values]
-    assert all(a < b for a, b in zip(bits, bits[1:]))
-    odd = spark.createDataFrame([(-0.0,), (float("nan"),)], "v double").select(se.ordered_bits(F.col("v"))).collect()
-    assert odd[0][0] == 0 and odd[1][0] > max(bits)
+    got = {r["v"]: (r["a"], r["b"]) for r in df.select("v", se.digit(F.col("v")).alias("a"), se.digit(F.col("v"), se.SECOND).alias("b")).collect()}
+    digits = [got[v] for v in values]
+    assert all(x[0] <= y[0] and x[1] <= y[1] for x, y in zip(digits, digits[1:]))
+    assert all(b >> (se.SECOND - se.FIRST) == a for a, b in digits) and max(abs(a) for a, _ in digits) < 2 ** (se.FIRST + 12)
+    odd = spark.createDataFrame([(-0.0,), (float("nan"),)], "v double").select(se.digit(F.col("v"))).collect()
+    assert odd[0][0] == 0 and odd[1][0] > max(digits)[0]
 
 
 def test_exact_quantiles(spark):
