@@ -118,7 +118,7 @@ def _mutual(stacks: DataFrame, caliper: float) -> DataFrame:
     return t.join(c, ["t_score", "c_score"]).select("t_score", "c_score", "t_used", "c_used", F.least("t_n", "c_n").alias("m"))
 
 
-def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.02) -> tuple[DataFrame, bool]:
+def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.1) -> tuple[DataFrame, bool]:
     """Pairs from rounds of mutual nearest neighbours among rows whose scores have one side each.
 
     Rows of a score are a stack; a round pairs stacks and takes as many rows of each as the smaller has. Rounds go on while
