@@ -230,8 +230,10 @@ def granger_sql(max_lag: int = 3) -> str:
         ctes.append(f"a{k} AS (SELECT grp, count(*) AS n, {products([*cols, 'y'])} AS m FROM l{k} GROUP BY 1)")
         ctes.append(steps(f"g{k}", f"a{k}", "grp", 2 * k))
         end = f"m[{2 * k + 1}][{2 * k + 1}]"
-        f = f"(o.{end} - e.{end}) / e.{end} / {k} * (n - {2 * k + 1})"
-        parts.append(f"SELECT o.grp, CAST({k} AS BIGINT) AS lag, n, {r(f)} AS f_stat FROM g{k} o JOIN g{k} e ON e.grp = o.grp AND o.k = {k + 1} AND e.k = {2 * k + 1} JOIN a{k} ON a{k}.grp = o.grp")
+        dof = f"(a{k}.n - {2 * k + 1})"
+        f = f"CASE WHEN {dof} > 0 AND e.{end} > 1e-12 * greatest(e.o[{2 * k + 1}][{2 * k + 1}], 1) THEN greatest(o.{end} - e.{end}, 0) / e.{end} / {k} * {dof} END"
+        parts.append(f"""SELECT d.grp, CAST({k} AS BIGINT) AS lag, CAST(greatest(d.days - {k}, 0) AS BIGINT) AS n, {r(f)} AS f_stat FROM (SELECT grp, count(*) AS days FROM sx GROUP BY 1) d
+  LEFT JOIN a{k} ON a{k}.grp = d.grp LEFT JOIN g{k} o ON o.grp = d.grp AND o.k = {k + 1} LEFT JOIN g{k} e ON e.grp = d.grp AND e.k = {2 * k + 1}""")
     return f"WITH RECURSIVE {SQL_EV}, {PAIRS}, sx AS (SELECT grp, dt, CAST(pays AS DOUBLE) AS x, CAST(locks AS DOUBLE) AS y FROM dp WHERE pays <> 0 OR locks <> 0), {', '.join(ctes)} {' UNION ALL '.join(parts)}"
 
 

@@ -11,11 +11,12 @@ def products(columns: Sequence[str]) -> str:
 
 
 def steps(name: str, source: str, keys: str, p: int) -> str:
-    """Recursive CTE (keys, k, m): in step k + 1 the first k of p variables are eliminated from the matrix of `source`.
+    """Recursive CTE (keys, k, m, o): in step k + 1 the first k of p variables are eliminated from the matrix o of `source`.
 
-    Cells (i, p + 1) of step p + 1 are the coefficients, cell (p + 1, p + 1) of any step is the squared error so far.
+    Cells (i, p + 1) of step p + 1 are the coefficients, cell (p + 1, p + 1) of any step is the squared error so far. A
+    variable that the ones before it determine is passed over.
     """
-    cell = "CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END"
+    cell = "CASE WHEN NOT m[k][k] > 1e-10 * o[k][k] THEN m[i][j] WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END"
     size = f"range(1, {p + 2})"
-    return f"""{name}({keys}, k, m) AS (SELECT {keys}, 1, m FROM {source} UNION ALL
-  SELECT {keys}, k + 1, list_transform({size}, lambda i: list_transform({size}, lambda j: {cell})) FROM {name} WHERE k <= {p})"""
+    return f"""{name}({keys}, k, m, o) AS (SELECT {keys}, 1, m, m FROM {source} UNION ALL
+  SELECT {keys}, k + 1, list_transform({size}, lambda i: list_transform({size}, lambda j: {cell})), o FROM {name} WHERE k <= {p})"""

@@ -36,7 +36,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 # the other rows-only queries are exercised with their own checks in test_models and test_series
-@pytest.mark.parametrize("name", ["posts_from_pages", "growth_forecast", "price_ols"])
+@pytest.mark.parametrize("name", ["posts_from_pages", "growth_forecast", "price_lasso", "learning_curve"])
 def test_rows_only_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
