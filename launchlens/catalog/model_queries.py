@@ -146,7 +146,7 @@ PSM_SPEC = mo.FeatureSpec(numeric=["amount", "hour", "orders_of_buyer"])
 
 
 def _pairs(spark, sf):
-    rows = _event_rows(spark, sf)
+    rows = cut_lineage(_event_rows(spark, sf).select("order_id", "treated", "purchase", *PSM_SPEC.numeric))
     scores = ca.propensity(rows, "treated", PSM_SPEC)
     return rows, scores, cut_lineage(ca.psm_match(scores.scores, "treated"))
 
