@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -75,15 +76,6 @@ def _pass(left: DataFrame, cell_t: Column, cell_c: Column, width: float, caliper
     )
 
 
-def _same_scores(rows: DataFrame) -> DataFrame:
-    """Pairs of rows with equal scores, as many as there can be; rows of a score are numbered apart in hash pieces."""
-    hashed = rows.withColumn("_h", F.xxhash64("key"))
-    placed = ordinal(hashed, ["score", "treated"], [F.col("_h"), F.col("key")], F.shiftright("_h", 58), "pos")
-    t, c = placed.where("treated = 1"), placed.where("treated = 0")
-    both = t.select("score", "pos", F.col("key").alias("treated_key")).join(c.select("score", "pos", F.col("key").alias("control_key")), ["score", "pos"])
-    return both.select("treated_key", "control_key", "score", F.col("score").alias("control_score"))
-
-
 def _neighbours(stacks: DataFrame, sides: dict[str, Column]) -> DataFrame:
     """Adds, per name, <name>_lo and <name>_hi: the nearest score below and above among the stacks whose column of `sides` is not null.
 
@@ -102,82 +94,140 @@ def _neighbours(stacks: DataFrame, sides: dict[str, Column]) -> DataFrame:
     return local.join(carry, "_b").select(*stacks.columns, *pick)
 
 
-def _mutual(stacks: DataFrame, caliper: float) -> DataFrame:
-    """Pairs of stacks (score, treated, n, used) that are each other's nearest on the other side, inside the caliper.
+def _nearest_first(piece, caliper: float, open_low: bool, open_high: bool) -> tuple[list, list]:
+    """(pairs, rows left) of one run of stacks in score order; pairs are (lower, upper, their used rows, rows paired).
 
-    Of two equally near the lower one is taken.
+    The closest two neighbours of different sides are paired first, of equally close ones the lower, as many rows as
+    the smaller stack has. Beyond an open end there may be any stack: two stacks are paired only if that end
+    is farther from them than they are from each other. Otherwise both wait, and become the end themselves.
     """
-    side = lambda k: F.when(F.col("treated") == k, F.col("score"))
-    seen = _neighbours(stacks, {"t": side(1), "c": side(0)})
-    other = lambda end: F.when(F.col("treated") == 1, F.col(f"c_{end}")).otherwise(F.col(f"t_{end}"))
-    low, high = other("lo"), other("hi")
-    nearer = F.when(high.isNull() | (F.col("score") - low <= high - F.col("score")), low).otherwise(high)
-    chosen = seen.withColumn("_to", nearer).where(F.abs(F.col("_to") - F.col("score")) <= caliper)
-    t = chosen.where("treated = 1").select(F.col("score").alias("t_score"), F.col("_to").alias("c_score"), F.col("n").alias("t_n"), F.col("used").alias("t_used"))
-    c = chosen.where("treated = 0").select(F.col("_to").alias("t_score"), F.col("score").alias("c_score"), F.col("n").alias("c_n"), F.col("used").alias("c_used"))
-    return t.join(c, ["t_score", "c_score"]).select("t_score", "c_score", "t_used", "c_used", F.least("t_n", "c_n").alias("m"))
-
-
-def _mutual_rounds(left: DataFrame, caliper: float, worth: float = 0.1) -> tuple[DataFrame, bool]:
-    """Pairs from rounds of mutual nearest neighbours among rows whose scores have one side each.
-
-    Rows of a score are a stack; a round pairs stacks and takes as many rows of each as the smaller has. Rounds go on while
-    one pairs more than the share `worth` of the smaller side that is left. Only stacks move; at the end the pairs are
-    written out by places inside the stacks. The second result tells whether no possible pair is left: the
-    closest of all possible ones is mutual, so a round without any shows it.
+    s, side, n, used = (piece[c].tolist() for c in ("score", "treated", "n", "used"))
+    before, after = list(range(-1, len(s) - 1)), [*range(1, len(s)), -1]
+    low, high = s[0] if open_low else -np.inf, s[-1] if open_high else np.inf
+    heap = [(s[i + 1] - s[i], i, i + 1) for i in range(len(s) - 1) if side[i] != side[i + 1] and s[i + 1] - s[i] <= caliper]
+    heapify(heap)
+    pairs = []
+    while heap:
+        d, i, j = heappop(heap)
+        if not n[i] or not n[j] or after[i] != j:
+            continue
+        if not s[i] - low > d or not high - s[j] >= d:
+            if not s[i] - low > d:
+                low = max(low, s[j])
+            if not high - s[j] >= d:
+                high = min(high, s[i])
+            continue
+        m = min(n[i], n[j])
+        pairs.append((i, j, used[i], used[j], m))
+        for k in (i, j):
+            n[k] -= m
+            used[k] += m
+            if not n[k]:
+                a, b = before[k], after[k]
+                if a >= 0:
+                    after[a] = b
+                if b >= 0:
+                    before[b] = a
+                if a >= 0 and b >= 0 and side[a] != side[b] and s[b] - s[a] <= caliper:
+                    heappush(heap, (s[b] - s[a], a, b))
+    return pairs, [(s[i], side[i], n[i], used[i]) for i in range(len(s)) if n[i]]
+
+
+def _round(stacks: DataFrame, n: int, caliper: float, piece_rows: int, shift: int) -> DataFrame:
+    """(made, score, other, treated, used, other_used, n): pairs of stacks made inside pieces of the score order, with made set, and stacks left."""
+    if n <= piece_rows:
+        cut = stacks.withColumns({"_pos": F.lit(0), "_piece": F.lit(0)})
+    else:
+        placed = ordinal(stacks, [], [F.col("score")], digit(F.col("score")), "_pos")
+        cut = placed.withColumn("_piece", F.floor((F.col("_pos") - 1 + shift) / F.lit(piece_rows)))
+    last = (n - 1 + shift) // piece_rows if n > piece_rows else 0
+
+    def run(piece):
+        import pandas as pd
+
+        piece = piece.sort_values("score")
+        at = piece["_piece"].iloc[0]
+        pairs, rest = _nearest_first(piece, caliper, at > 0, at < last)
+        s, side = piece["score"].to_numpy(), piece["treated"].to_numpy()
+        out = []
+        for i, j, u, v, m in pairs:
+            (t, tu), (c, cu) = ((i, u), (j, v)) if side[i] == 1 else ((j, v), (i, u))
+            out.append((True, s[t], s[c], 1, tu, cu, m))
+        out += [(False, x, None, k, u, None, m) for x, k, m, u in rest]
+        return pd.DataFrame(out, columns=["made", "score", "other", "treated", "used", "other_used", "n"]).astype({"other": "float64", "other_used": "Int64"})
+
+    return cut.groupBy("_piece").applyInPandas(run, "made boolean, score double, other double, treated int, used long, other_used long, n long")
+
+
+def _possible(stacks: DataFrame, caliper: float) -> bool:
+    """Whether two stacks of different sides stand inside the caliper."""
+    seen = _neighbours(stacks, {"c": F.when(F.col("treated") == 0, F.col("score"))}).where("treated = 1")
+    return bool(seen.where((F.col("score") - F.col("c_lo") <= caliper) | (F.col("c_hi") - F.col("score") <= caliper)).limit(1).count())
+
+
+def _nearest_pairs(left: DataFrame, caliper: float, piece_rows: int = 200_000) -> tuple[DataFrame, bool]:
+    """Pairs of rows with equal scores, then of mutual nearest neighbours, until no possible pair is left or a round makes none.
+
+    Rows of a score are a stack. Two stacks that are each other's nearest on the other side stay so whatever else is
+    paired, so all pairs inside a piece of the score order are made in one go, and only those wait that the next
+    piece may change; each round moves the cuts by half a piece. Only stacks move; at the end the pairs are written out
+    by places inside the stacks. The second result tells whether no possible pair is left.
     """
-    stacks = cut_lineage(left.groupBy("score", "treated").agg(F.count("*").alias("n")).withColumn("used", F.lit(0).cast("long")))
-    segments, settled = None, False
+    counts = left.groupBy("score").agg(F.count_if(F.col("treated") == 1).alias("t"), F.count_if(F.col("treated") == 0).alias("c"))
+    equal = F.least("t", "c")
+    two = counts.select(
+        F.col("score").alias("t_score"), F.col("score").alias("c_score"), F.lit(0).cast("long").alias("t_used"), F.lit(0).cast("long").alias("c_used"), equal.alias("m"),
+        (F.col("t") > F.col("c")).cast("int").alias("treated"), F.abs(F.col("t") - F.col("c")).alias("n"),
+    )
+    two = cut_lineage(two)
+    segments = two.where("m > 0").select("t_score", "c_score", "t_used", "c_used", "m")
+    stacks = two.where("n > 0").select(F.col("t_score").alias("score"), "treated", "n", F.col("m").alias("used"))
+    shift = 0
     while True:
-        found = cut_lineage(_mutual(stacks, caliper))
-        made = found.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-        if made:
-            segments = found if segments is None else segments.union(found)
-            taken = found.select(F.inline(F.array(F.struct(F.col("t_score").alias("score"), "m"), F.struct(F.col("c_score").alias("score"), "m"))))
-            stacks = stacks.join(taken, "score", "left").select(
-                "score", "treated", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), (F.col("used") + F.coalesce("m", F.lit(0))).alias("used")
-            )
-            stacks = cut_lineage(stacks.where("n > 0"))
-        left_over = stacks.groupBy("treated").agg(F.sum("n").alias("n")).collect() if made else []
-        settled = len(left_over) < 2
-        if settled or made <= worth * min(r["n"] for r in left_over):
+        sides = stacks.agg(F.count("*").alias("n"), F.count_if(F.col("treated") == 1).alias("t")).first()
+        settled = sides["t"] in (0, sides["n"])
+        if settled:
             break
-    if segments is None:
-        return left.limit(0).select(F.col("key").alias("treated_key"), F.col("key").alias("control_key"), "score", F.col("score").alias("control_score")), settled
+        done = cut_lineage(_round(stacks, sides["n"], caliper, piece_rows, shift))
+        made = done.where("made").agg(F.count("*")).first()[0]
+        pairs = done.where("made").select(F.col("score").alias("t_score"), F.col("other").alias("c_score"), F.col("used").alias("t_used"), F.col("other_used").alias("c_used"), F.col("n").alias("m"))
+        segments = segments.unionByName(pairs)
+        stacks = done.where("not made").select("score", "treated", "n", "used")
+        settled = sides["n"] <= piece_rows or not _possible(stacks, caliper)
+        if settled or (not made and shift):
+            break
+        shift = piece_rows // 2 - shift
     hashed = left.withColumn("_h", F.xxhash64("key"))
-    placed = ordinal(hashed, ["score"], [F.col("_h"), F.col("key")], F.shiftright("_h", 58), "pos")
+    placed = ordinal(hashed, ["score", "treated"], [F.col("_h"), F.col("key")], F.shiftright("_h", 58), "pos")
     each = segments.select("t_score", "c_score", "t_used", "c_used", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("_i"))
     each = each.select("t_score", "c_score", (F.col("t_used") + F.col("_i")).alias("t_pos"), (F.col("c_used") + F.col("_i")).alias("c_pos"))
-    named = lambda side: placed.select(F.col("score").alias(f"{side}_score"), F.col("pos").alias(f"{side}_pos"), F.col("key").alias(f"{side}_key"))
-    both = each.join(named("t"), ["t_score", "t_pos"]).join(named("c"), ["c_score", "c_pos"])
+    named = lambda side, k: placed.where(F.col("treated") == k).select(F.col("score").alias(f"{side}_score"), F.col("pos").alias(f"{side}_pos"), F.col("key").alias(f"{side}_key"))
+    both = each.join(named("t", 1), ["t_score", "t_pos"]).join(named("c", 0), ["c_score", "c_pos"])
     return both.select(F.col("t_key").alias("treated_key"), F.col("c_key").alias("control_key"), F.col("t_score").alias("score"), F.col("c_score").alias("control_score")), settled
 
 
 def psm_match(scores: DataFrame, treat: str, key: str = "order_id", caliper: float = 0.05) -> DataFrame:
     """1:1 matches on the score without reuse, none farther apart than the caliper, none left possible.
 
-    First rows of equal scores are paired, then mutual nearest neighbours in rounds. Where a long run of one side meets
-    one of the other, a round pairs little; what is left then goes through passes that pair equal ranks
+    First rows of equal scores are paired, then mutual nearest neighbours until none is left. Only where a run of one side
+    is longer than a piece of the score order can rows remain; they then go through passes that pair equal ranks
     inside score cells, from cells far finer than the caliper to cells as wide as it, and edge to
     edge across their borders (highest treated with lowest control and the reverse). Two rows inside the
     caliper sit in the same or in neighbouring cells, so no possible pair remains.
     Rows without a score, key or treatment take no part.
     """
     rows = scores.select(F.col(key).alias("key"), F.col(treat).cast("int").alias("treated"), F.col("score").cast("double").alias("score"))
-    left = cut_lineage(rows.where("key is not null and treated is not null and score is not null and not isnan(score)"))
-    found = cut_lineage(_same_scores(left))
+    left = cut_lineage(rows.where("key is not null and treated in (0, 1) and score is not null and not isnan(score)"))
+    found, settled = _nearest_pairs(left, caliper)
+    found = cut_lineage(found)
 
     def rest(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("treated_key", "control_key")).alias("key"))
         return cut_lineage(left.join(used, "key", "left_anti"))
 
-    left = rest(found)
-    pairs, settled = _mutual_rounds(left, caliper)
-    pairs = cut_lineage(pairs)
-    found = found.unionByName(pairs)
     if settled:
         return found
-    left = rest(pairs)
+    left = rest(found)
     plans = [(caliper * s, None, None) for s in CELL_SHARES]
     plans += [(caliper, parity, up) for parity in (0, 1) for up in (True, False)]
     for width, parity, up in plans:

@@ -215,3 +215,38 @@ def test_balance_over_all_encoded_covariates(spark):
     pairs = ca.psm_match(scores.scores, "t", caliper=0.02)
     after = {r["feature"]: r["smd"] for r in scores.smd(pairs.select(F.explode(F.array("treated_key", "control_key")))).collect()}
     assert after["x"] < 0.3 * before["x"]
+
+
+def test_matching_takes_few_jobs(spark):
+    """Each job's plan and classes stay on the driver for a while; rounds of matching took hundreds."""
+    rng = random.Random(3)
+    rows = [(k, int(rng.random() < 0.4), rng.random() ** 3) for k in range(3000)]
+    df = spark.createDataFrame(rows, "order_id long, treat int, score double")
+    sc = spark.sparkContext
+    sc.setJobGroup("few-jobs", "matching")
+    pairs = ca.psm_match(df, "treat", caliper=0.01)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few-jobs"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert pairs.count() and tuple(ca.match_check(df, pairs, "treat", 0.01).first())[1:] == (0, 0, 0)
+    assert jobs < 40
+
+
+@pytest.mark.parametrize("piece", [5, 37])
+def test_matching_in_pieces_is_nearest_first(spark, piece):
+    rng = random.Random(8)
+    rows = [(k, int(rng.random() < 0.45), rng.randrange(4000) / 4000) for k in range(500)]
+    left = spark.createDataFrame(rows, "key long, treated int, score double")
+    pairs, _ = ca._nearest_pairs(left, 0.02, piece_rows=piece)
+    got = sorted((r["score"], r["control_score"]) for r in pairs.collect())
+    whole, settled = ca._nearest_pairs(left, 0.02)
+    want = sorted((r["score"], r["control_score"]) for r in whole.collect())
+    # brute force: the closest possible pair first, of equally close ones the lower
+    t, c = ([s for _, w, s in rows if w == side] for side in (1, 0))
+    brute = []
+    while near := [(abs(a - b), min(a, b), a, b) for a in set(t) for b in set(c) if abs(a - b) <= 0.02]:
+        _, _, a, b = min(near)
+        brute.append((a, b))
+        t.remove(a), c.remove(b)
+    assert settled and want == sorted(brute)
+    # small pieces pair no others
+    assert len(set(got) - set(brute)) == 0 and len(got) > len(brute) // 2
