@@ -250,3 +250,28 @@ def test_matching_in_pieces_is_nearest_first(spark, piece):
     assert settled and want == sorted(brute)
     # small pieces pair no others
     assert len(set(got) - set(brute)) == 0 and len(got) > len(brute) // 2
+
+
+def test_tree_fits_bound_what_a_task_keeps(spark, learnable, monkeypatch):
+    """Partitions cut by shuffle or file size would hold all 1,500 rows; what a fit keeps of a row is many times that."""
+    monkeypatch.setattr(mo, "TASK_BYTES", 20_000, raising=False)
+    seen = {}
+
+    def recording(kind):
+        class Recorder(getattr(mo, kind)):
+            def fit(self, dataset, params=None):
+                seen[kind] = max(r["count"] for r in dataset.groupBy(F.spark_partition_id()).count().collect())
+                return super().fit(dataset, params)
+
+        return Recorder
+
+    for kind in ("RandomForestClassifier", "GBTRegressor"):
+        monkeypatch.setattr(mo, kind, recording(kind))
+    rows = learnable.withColumn("label", F.col("purchase"))
+    mo.mix_inference(rows, rows.drop("label"), "label", ["x"], ["g"], trees=10, depth=3)
+    assert seen.pop("RandomForestClassifier") * (200 + 16 * 2 + 12 * 10) <= 25_000
+    forest = mo.RandomForestClassifier(numTrees=5, maxDepth=2, seed=1)
+    mo.train_conversion(learnable, SPEC, candidates={"forest": forest})
+    assert seen["RandomForestClassifier"] * (200 + 12 * 5) <= 25_000
+    mo.price_fit(learnable, "x", ["purchase"], ["g"], "gbt", key="order_id", trees=2, depth=2)
+    assert seen["GBTRegressor"] * 200 <= 25_000
