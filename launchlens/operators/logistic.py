@@ -10,13 +10,17 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from launchlens.operators.encoding import category, category_rows, lookup
-from launchlens.operators.evaluation import auc_by
 from launchlens.plans.selection import exact_quantiles
 from launchlens.session import cut_lineage
 
+#: Numbers of target encodings, over all values and models, up to which rows carry a code and tasks get the table.
+CODED_NUMBERS = 2_000_000
+#: Scores that a task holds before it sends them, and rows for which ranges of scores get twice as fine.
+HELD_SCORES, RANGE_ROWS = 4 << 20, 1 << 20
+
 
 @dataclass(frozen=True)
 class Member:
@@ -46,6 +50,8 @@ class Many:
     sizes: np.ndarray = field(default_factory=lambda: np.empty(0))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     steps: int = 0
+    #: (model, code, [mean, frequency]) where rows carry codes of encoded values, the last code for values that are not listed.
+    encodings: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         """What tasks need; a table cannot be sent to them."""
@@ -67,12 +73,15 @@ def prepare(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequ
 
     Medians and target encodings of every model come from counts per (value, fold, tier), which are small next to
     the rows; only those are repeated per model. Rows without a label are left out. The values of one-hot
-    columns and the medians reach the driver. `keep` names columns that stay on the rows.
+    columns and the medians reach the driver, and up to CODED_NUMBERS target encodings; rows carry codes of those values, and
+    beyond that the encodings themselves. `keep` names columns that stay on the rows. `df` is read once.
     """
-    df = df.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double"))
+    needed = dict.fromkeys([*numeric, *categorical, *encoded, *keep, "_fold", "_tier"])
+    df = cut_lineage(df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("_y"), *[F.col(f"`{c}`") for c in needed]))
     m = len(members)
     made = [f"{c}_{s}" for s in ("te", "fe") for c in encoded]
     each = F.explode(_in_task(members)).alias("_model")
+    encodings = None
     fill = np.zeros((m, len(numeric) + len(made)))
     if numeric:
         structs = [F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(numeric)]
@@ -93,7 +102,14 @@ def prepare(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequ
         # a model that has not seen a value gives it the overall mean and 0
         listed = lambda part, rest: F.array(*[F.coalesce(F.col("_by")[F.lit(k)][part], F.lit(rest[k])) for k in range(m)])
         table = cut_lineage(pairs.select("column", "value", listed("te", g).alias("te"), listed("fe", [0.0] * m).alias("fe")))
-        df = lookup(df, encoded, table, ["te", "fe"], table.count() * 2 * m)
+        n_values = table.count()
+        if n_values * 2 * m <= CODED_NUMBERS:
+            listed_values = table.orderBy("column", "value").collect()
+            encodings = np.array([*([r["te"], r["fe"]] for r in listed_values), [g, [0.0] * m]]).transpose(2, 0, 1)
+            codes = [(r["column"], r["value"], i) for i, r in enumerate(listed_values)]
+            df = lookup(df, encoded, df.sparkSession.createDataFrame(codes, "column string, value string, code int"), ["code"], n_values)
+        else:
+            df = lookup(df, encoded, table, ["te", "fe"], n_values * 2 * m)
     flags: list[tuple[str, str]] = []
     if categorical:
         seen = category_rows(df, categorical).groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -105,6 +121,10 @@ def prepare(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequ
         codes.append(F.coalesce(F.get(F.array(*[F.lit(i) for i in at]).cast("array<int>"), (place - 1).cast("int")), F.lit(-1)))
     numbers = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in numeric]
     empty = lambda kind: F.array().cast(f"array<{kind}>")
+    if encodings is not None:
+        e = F.array(*[F.coalesce(F.col(f"`{c}_code`"), F.lit(n_values)) for c in encoded])
+    else:
+        e = F.concat(*[F.coalesce(F.col(f"`{x}`"), F.lit(g if x.endswith("_te") else [0.0] * m)) for x in made]) if made else empty("double")
     rows = cut_lineage(
         df.select(
             F.col("_fold").cast("int").alias("_fold"),
@@ -112,11 +132,11 @@ def prepare(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequ
             "_y",
             (F.array(*numbers) if numbers else empty("double")).alias("_x"),
             (F.array(*codes) if codes else empty("int")).alias("_codes"),
-            (F.concat(*[F.coalesce(F.col(f"`{x}`"), F.lit(g if x.endswith("_te") else [0.0] * m)) for x in made]) if made else empty("double")).alias("_e"),
+            e.alias("_e"),
             *keep,
         )
     )
-    out = Many(rows, list(members), [*numeric, *made], flags, fill, np.ones((m, len(numeric) + len(made) + len(flags))))
+    out = Many(rows, list(members), [*numeric, *made], flags, fill, np.ones((m, len(numeric) + len(made) + len(flags))), encodings=encodings)
     for k, member in enumerate(members):
         if member.uses is not None:
             out.uses[k] = [name in member.uses or name.rsplit("=", 1)[0] in member.uses for name in out.names]
@@ -132,15 +152,20 @@ def _feature_rows(many: Many, part) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     k, m = part.num_rows, len(many.members)
     fold, tier, y = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
     flat = [part.column(i).flatten().to_numpy(zero_copy_only=False).reshape(k, -1) for i in (3, 4, 5)]
-    n_encoded = flat[2].shape[1] // m if m else 0
-    encoded = flat[2].reshape(k, n_encoded, m)
+    coded = many.encodings is not None
+    n_encoded = flat[2].shape[1] // m if m and not coded else 0
+    encoded = flat[2] if coded else flat[2].reshape(k, n_encoded, m)
     flags = np.zeros((k, len(many.flags) + 1))
     if flat[1].shape[1]:
         flags[np.arange(k)[:, None], flat[1]] = 1.0
     flags = flags[:, :-1]
 
     def features(model: int, at: np.ndarray) -> np.ndarray:
-        x = np.concatenate([flat[0][at], encoded[at, :, model]], axis=1)
+        if coded:
+            pair = many.encodings[model][encoded[at]]
+            x = np.concatenate([flat[0][at], pair[:, :, 0], pair[:, :, 1]], axis=1)
+        else:
+            x = np.concatenate([flat[0][at], encoded[at, :, model]], axis=1)
         x = np.where(np.isnan(x), many.fill[model], x)
         return np.concatenate([x, flags[at]], axis=1)
 
@@ -239,23 +264,67 @@ def _ready(many: Many, k: int, x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.ones((len(x), 1))], axis=1)
 
 
-def scores(many: Many) -> DataFrame:
-    """(model, part, y, probability): every model's rows to learn from ('train') and to be measured on ('valid')."""
+def _range_of(p: np.ndarray, bits: int) -> np.ndarray:
+    """A whole number that does not fall as probabilities rise: the leading bits of the distance from 0, or from 1 in the upper half."""
+    shift = 52 - bits
+    half = np.float64(0.5).view(np.int64) >> shift
+    lead = np.minimum(p, 1 - p).view(np.int64) >> shift
+    return np.where(p < 0.5, lead - half, half - lead)
+
+
+def _counted(p: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different scores in order, with their positive and negative rows."""
+    order = np.argsort(p)
+    p, pos, neg = p[order], pos[order], neg[order]
+    edge = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    return p[edge], np.add.reduceat(pos, edge), np.add.reduceat(neg, edge)
+
+
+def packed_scores(many: Many, bits: int) -> DataFrame:
+    """(model, part, range, p, pos, neg): every model's scored rows to learn from ('train') and to be measured on ('valid').
+
+    A row holds the counted scores of one range from one task, packed, so that a score costs 16 bytes and no row of its own.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        held: dict[tuple[int, str], list] = {}
+        size = 0
+
+        def send() -> Iterator:
+            for (k, part), pieces in held.items():
+                p, y = (np.concatenate([x[i] for x in pieces]) for i in (0, 1))
+                p, pos, neg = _counted(p, y.astype(np.int64), (~y).astype(np.int64))
+                of = _range_of(p, bits)
+                cut = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
+                columns = [[x[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:], strict=True)] for x in (p, pos.astype("<u4"), neg.astype("<u4"))]
+                n = len(cut) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, k, np.int32)), pa.array([part] * n, pa.string()), pa.array(of[cut[:-1]]), *(pa.array(c, pa.binary()) for c in columns)],
+                    names=["model", "part", "range", "p", "pos", "neg"],
+                )
+
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 fold, tier, y, features = _feature_rows(many, batch.slice(at, 8192))
                 for k, member in enumerate(many.members):
                     valid = fold == member.fold
                     mine = np.flatnonzero(valid | (tier <= member.tier))
+                    if not len(mine):
+                        continue
                     z = _ready(many, k, features(k, mine)) @ many.weights[k]
-                    names = np.where(valid[mine], "valid", "train")
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), k, np.int32)), pa.array(names, pa.string()), pa.array(y[mine]), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["model", "part", "y", "probability"])
+                    p, one, tested = 1 / (1 + np.exp(-np.clip(z, -500, 500))), y[mine] > 0.5, valid[mine]
+                    for part, some in (("train", ~tested), ("valid", tested)):
+                        if some.any():
+                            held.setdefault((k, part), []).append((p[some], one[some]))
+                    size += len(mine)
+                if size > HELD_SCORES:
+                    yield from send()
+                    held, size = {}, 0
+        yield from send()
 
-    return many.rows.select(*PREPARED).mapInArrow(run, "model int, part string, y double, probability double")
+    return many.rows.select(*PREPARED).mapInArrow(run, "model int, part string, range long, p binary, pos binary, neg binary")
 
 
 def keyed_scores(many: Many, keep: Sequence[str], model: int = 0) -> DataFrame:
@@ -300,6 +369,25 @@ def group_moments(many: Many, rows: DataFrame, group: str, n_groups: int, model:
 
 
 def aucs(many: Many) -> dict[tuple[int, str], float]:
-    """Exact area under the ROC curve by (model, part), one half where a part has one kind of label; one scoring job."""
-    found = {(r["model"], r["part"]): r["auc"] for r in auc_by(scores(many), "y", ["model", "part"]).collect()}
+    """Exact area under the ROC curve by (model, part), one half where a part has one kind of label; one scoring job.
+
+    The share of (positive, negative) pairs in the right order, ties counting one half. Packed scores meet by range and are put in
+    order there; negatives of lower ranges are added from one row per range. Ranges get finer as rows get more.
+    """
+    bits = min(20, 4 + max(0, int(np.ceil(np.log2(max(many.sizes.max(initial=0.0), 1.0) / RANGE_ROWS)))))
+
+    def won(table):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        p, pos, neg = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("p", "<f8"), ("pos", "<u4"), ("neg", "<u4")))
+        _, pos, neg = _counted(p, pos.astype(np.int64), neg.astype(np.int64))
+        below = np.cumsum(neg) - neg
+        sums = [pos.sum(), neg.sum(), (pos * (below + neg / 2)).sum()]
+        return pa.table({**{c: table.column(c)[:1] for c in ("model", "part", "range")}, **{c: pa.array([float(v)]) for c, v in zip(("pos", "neg", "won"), sums, strict=True)}})
+
+    ranges = packed_scores(many, bits).groupBy("model", "part", "range").applyInArrow(won, "model int, part string, range long, pos double, neg double, won double")
+    before = Window.partitionBy("model", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    all_won = F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0))
+    total = ranges.withColumn("won", all_won).groupBy("model", "part").agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    found = {(r["model"], r["part"]): r["auc"] for r in total.collect()}
     return {(k, part): found[(k, part)] if found.get((k, part)) is not None else 0.5 for k in range(len(many.members)) for part in ("train", "valid")}

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from launchlens.plans.skew import join_null_safe, ordinal
+from launchlens.session import cut_lineage
 
 
 def numbered(df: DataFrame, key: str, label: str, seed: int = 42, piece_rows: int = 100_000) -> DataFrame:
     """Adds _place, from 0 inside each label in the order of a keyed hash, and _of, the rows of the label.
 
     The numbering is the same on every cluster. It works in hash ranges of about `piece_rows` rows, so no task
-    orders a label. Rows that share a key are numbered in any order.
+    orders a label. Rows that share a key are numbered in any order. `df` is computed once.
     """
+    df = cut_lineage(df)
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_of"))
     n = sizes.agg(F.sum("_of")).first()[0] or 0
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))

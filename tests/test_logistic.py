@@ -98,3 +98,42 @@ def test_steps_are_few_and_read_the_rows_once_each(table):
     rows = table.withColumns({"_fold": F.lit(1), "_tier": F.lit(0)})
     many = lo.fit(lo.prepare(rows, "y", ["x", "z"], ["g"], ["e"], [lo.Member(0, 0)]))
     assert many.steps <= 10
+
+
+def test_prepared_rows_carry_codes_and_come_from_one_read(spark, table, monkeypatch):
+    """A row costs the same however many models there are, and the source is computed once."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    source = table.mapInArrow(count, table.schema).withColumns({"_fold": (F.col("id") % 3).cast("int"), "_tier": (F.col("id") % 4).cast("int")})
+    members = [lo.Member(k % 3, k // 3) for k in range(12)]
+    coded = lo.prepare(source, "y", ["x", "z"], ["g"], ["e"], members)
+    assert reads.value == 700 and coded.rows.select(F.max(F.size("_e"))).first()[0] == 1
+    lo.fit(coded)
+    got = lo.aucs(coded)
+    monkeypatch.setattr(lo, "CODED_NUMBERS", 0)
+    monkeypatch.setattr(lo, "HELD_SCORES", 50)
+    monkeypatch.setattr(lo, "RANGE_ROWS", 1)
+    wide = lo.fit(lo.prepare(source, "y", ["x", "z"], ["g"], ["e"], members))
+    assert np.allclose(wide.weights, coded.weights) and wide.encodings is None and lo.aucs(wide) == pytest.approx(got, abs=1e-12)
+
+
+def test_ranges_of_scores_do_not_fall():
+    p = np.unique(np.concatenate([np.random.default_rng(1).random(5000), [np.exp(-500), 1e-9, 0.25, 0.5, np.nextafter(0.5, 0), np.nextafter(0.5, 1), 1 - 1e-12, 1.0]]))
+    for bits in (0, 4, 20):
+        assert (np.diff(lo._range_of(p, bits)) >= 0).all()
+
+
+def test_numbering_computes_its_input_once(spark, table):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    assert splits.numbered(table.mapInArrow(count, table.schema), "id", "y").count() == 700 and reads.value == 700
