@@ -14,13 +14,14 @@ the result.
 
 Groups, not pairs, are the result, so a pair is only verified while its two sets are not yet
 in one group: first every set with its best two partners, then all listed pairs that still
-stand in different groups.
+stand in different groups. Pairs of long lists are looked at where blocks of a list meet, by sketches that bound
+what two sets can share; only pairs that the bound allows become rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 from math import comb
 
@@ -43,6 +44,8 @@ LIGHT_MOST = 16
 SHORT_LIST = 32
 #: Shingles that one task of the inverted lists takes, about.
 RANGE_SHINGLES = 2 << 20
+#: Bits of a sketch's planes; a list above BLOCK_LIST members is cut into BLOCKS blocks, and lists below share cells of about CELL_ROWS members.
+SKETCH_BITS, BLOCK_LIST, BLOCKS, CELL_ROWS = 2048, 1000, 8, 20_000
 
 
 def need(a: int, b: int, percent: int = 75) -> int:
@@ -368,15 +371,13 @@ def scan_lists(rows: DataFrame, percent: int, light: int) -> DataFrame:
     return rows.groupBy("kind", "r").applyInArrow(scan, "kind int, x long, y long, n long, rank long, least long")
 
 
-def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent: int, chunk: int = 256) -> DataFrame:
-    """The pairs (a, b) whose whole sets link.
+def whole_sets(docs: DataFrame, keys: DataFrame, named: DataFrame, k: int, pack: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(key, elements): `pack` of the sorted shingles of every set in `named` (key), once each.
 
-    Texts are read again, and of the documents in a bitmap of fixed size the sets are sent, 48 bits a shingle; the join
-    with the first document of every named set is exact. Sets that only rows without doc_id have are sent by key. A set
-    that many pairs name goes once to every `chunk` of its partners.
+    Texts are read again, and of the documents in a bitmap of fixed size the sets are sent; the join
+    with the first document of every named set is exact. Sets that only rows without doc_id have are sent by key.
     """
     bits = 23
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     rep = cut_lineage(keys.where("n_shingles > 0").join(named, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     # sets that only rows without doc_id have go by their key
     nameless = rep.where("doc_id is null").select("key")
@@ -411,20 +412,27 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent:
                 cut = np.searchsorted(doc, np.arange(len(rows) + 1))
                 ids += [r[1] for r in rows]
                 keys_.append(key.view(np.int64))
-                raw += [_planes(np.diff(h[s:e] >> np.uint64(16), prepend=np.uint64(0))) if e > s else b"" for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                raw += [pack(h[s:e]) if e > s else b"" for s, e in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(2).type), pa.array(np.concatenate(keys_)), pa.array(raw, pa.binary())], names=["doc_id", "key", "elements"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     sets = lambda rows: source.where(rows).mapInArrow(run, f"doc_id {kind}, key long, elements binary")
+    out = sets("doc_id is not null").join(rep, ["key", "doc_id"], "left_semi").select("key", "elements")
+    if not nameless.isEmpty():
+        out = out.union(sets("doc_id is null").select("key", "elements").join(nameless, "key", "left_semi"))
+    # repeated rows of a first document give its set again
+    return out.groupBy("key").agg(F.min("elements").alias("elements"))
+
+
+def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent: int, chunk: int = 256) -> DataFrame:
+    """The pairs (a, b) whose whole sets link, 48 bits a shingle. A set that many pairs name goes once to every `chunk` of its partners."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    elements = whole_sets(docs, keys, named, k, lambda h: _planes(np.diff(h >> np.uint64(16), prepend=np.uint64(0))))
     many = pairs.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") > chunk).select("a", F.ceil(F.col("_n") / chunk).cast("int").alias("parts"))
     dealt = pairs.select("a", "b").join(many, "a", "left")
     dealt = dealt.select("a", "b", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
     goes = dealt.select(F.col("b").alias("key"), "a", "part", "b").union(dealt.select(F.col("a").alias("key"), "a", "part", F.lit(None).cast("long").alias("b")).distinct())
-    # repeated rows of a first document give its set again
-    sent = goes.join(rep, "key").join(sets("doc_id is not null"), ["key", "doc_id"]).select("a", "part", "b", "elements")
-    if not nameless.isEmpty():
-        own = sets("doc_id is null").select("key", "elements").join(nameless, "key", "left_semi").groupBy("key").agg(F.min("elements").alias("elements"))
-        sent = sent.union(goes.join(own, "key").select("a", "part", "b", "elements"))
+    sent = goes.join(elements, "key").select("a", "part", "b", "elements")
 
     def compare(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -446,6 +454,70 @@ def verify(docs: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, percent:
     return sent.groupBy("a", "part").applyInArrow(compare, "a long, b long")
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """How many shingles fall to each of SKETCH_BITS places: a plane for places with one or more, one for two or more, and the rest of the counts as a number."""
+    n = np.bincount((h >> np.uint64(64 - (SKETCH_BITS.bit_length() - 1))).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits(n > 0).tobytes() + np.packbits(n > 1).tobytes() + np.uint32(np.maximum(n - 2, 0).sum()).tobytes()
+
+
+def most_shared(planes: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bound on the shingles that sets a and b share: the sum over places of the smaller count, and of the rests the smaller one."""
+    out = np.empty(len(a), np.int64)
+    for lo in range(0, len(a), 1 << 15):
+        x, y = a[lo : lo + (1 << 15)], b[lo : lo + (1 << 15)]
+        out[lo : lo + len(x)] = np.bitwise_count(planes[x] & planes[y]).sum(axis=1, dtype=np.int64) + np.minimum(rest[x], rest[y])
+    return out
+
+
+def near_in_lists(members: DataFrame, percent: int, light: int) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of sets of different groups in one list that may link by their sketches.
+
+    `members` has h (the list), key, n, g (the group), c (the length of the list) and elements (a sketch). Every pair of a list meets in one cell:
+    that of the list, or in a longer list that of two of its BLOCKS blocks. So a member goes to at most BLOCKS cells, and
+    pairs that the bound rules out never become rows.
+    """
+    total = members.count()
+    block = F.pmod(F.xxhash64("key", "h"), F.lit(BLOCKS))
+    other = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("o")
+    columns = ("h", "key", "n", "g", "elements")
+    short = members.where(F.col("c") <= BLOCK_LIST).select(F.pmod(F.xxhash64("h"), F.lit(max(1, -(-total // CELL_ROWS)))).alias("cell"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("b"), *columns)
+    long = members.where(F.col("c") > BLOCK_LIST).select(block.cast("int").alias("b"), other, *columns)
+    long = long.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", *columns)
+    cells = short.union(long.select(F.xxhash64("h", "i", "j").alias("cell"), "i", "j", "b", *columns))
+
+    def meet(table):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        h, i, j, side, key, n, g = (table.column(c).to_numpy() for c in ("h", "i", "j", "b", "key", "n", "g"))
+        raw = np.frombuffer(b"".join(table.column("elements").to_pylist()), np.uint8).reshape(len(h), -1)
+        planes = np.ascontiguousarray(raw[:, :-4]).view(np.uint64)
+        rest = np.ascontiguousarray(raw[:, -4:]).view(np.uint32).ravel().astype(np.int64)
+        order = np.lexsort((key, g, side, j, i, h))
+        new = [x[order][1:] != x[order][:-1] for x in (h, i, j)]
+        start = np.flatnonzero(np.concatenate([[True], new[0] | new[1] | new[2]]))
+        found = [np.empty((0, 2), np.int64)]
+        for lo, hi in zip(start, np.append(start[1:], len(order)), strict=True):
+            rows = order[lo:hi]
+            one = i[rows[0]] == j[rows[0]]
+            left, right = (rows, rows) if one else (rows[side[rows] == i[rows[0]]], rows[side[rows] == j[rows[0]]])
+            for at in range(0, len(left), 256):
+                x = left[at : at + 256]
+                small, large = np.minimum.outer(n[x], n[right]), np.maximum.outer(n[x], n[right])
+                ok = np.not_equal.outer(g[x], g[right]) & (100 * small >= percent * large) & (large > light)
+                if one:
+                    ok &= np.less.outer(key[x], key[right])
+                p, q = np.nonzero(ok)
+                p, q = x[p], right[q]
+                shared = most_shared(planes, rest, p, q)
+                some = (100 + percent) * shared >= percent * (n[p] + n[q])
+                p, q = key[p[some]], key[q[some]]
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return cells.groupBy("cell").applyInArrow(meet, "a long, b long").distinct()
+
+
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, key of the set and _g, the key of the group's first set, for every row of `docs` (doc_id, text)."""
     keys = cut_lineage(set_keys(docs, k))
@@ -493,7 +565,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         """Group of every set, and the members of the long lists whose sets stand in more than one group, with the largest of them."""
         of = groups.select(F.col("node").alias("key"), F.col("component").alias("g"))
         tagged = able.join(of, "key", "left").withColumn("g", F.coalesce("g", "key"))
-        per = tagged.groupBy("h", "g").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.count("*").alias("gs")).where("gs > 1")
+        per = tagged.groupBy("h", "g").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("g", F.struct("c", "g")).alias("main"), F.count("*").alias("gs"), F.sum("c").alias("c")).where("gs > 1")
         return of, tagged.join(per, "h")
 
     # sets outside of a list's main group are tried with a few of its members first
@@ -506,13 +578,11 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     tried = tried.select("a", "b").union(asks)
     if not asks.isEmpty():
         groups = cut_lineage(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(docs, keys, asks, k, percent))))
-    # what is left: listed pairs in different groups that have not been tried
+    # what is left: listed pairs in different groups that have not been tried; a set without a long list's sketch has no pair there
     of, mixed = split_lists()
-    outside = mixed.where("g != main").select("h", F.col("key").alias("o"), F.col("n").alias("on"), F.col("g").alias("og"))
-    across = mixed.join(outside, "h").where("g != og and (g = main or key < o)").where(fits(F.col("n"), F.col("on")))
-    across = across.select(F.least("key", "o").alias("a"), F.greatest("key", "o").alias("b"), few(F.col("n"), F.col("on")).alias("least")).distinct()
-    sorted_pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
-    across = can_reach(across.join(sorted_pairs, ["a", "b"], "left")).select("a", "b")
+    mixed = cut_lineage(mixed.select("h", "key", "n", "g", "c"))
+    sketches = whole_sets(docs, keys, mixed.select("key").distinct(), k, sketch)
+    across = near_in_lists(cut_lineage(mixed.join(sketches, "key")), percent, light)
     ga, gb = of.toDF("a", "ga"), of.toDF("b", "gb")
     apart = pairs.select("a", "b").join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
     left = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(across).distinct()
@@ -550,12 +620,12 @@ def one_per_group(docs: DataFrame, columns: Sequence[str], k: int = 5, percent:
     no_id = F.col("doc_id").isNull()
     first = named.groupBy("_g").agg(F.min(F.struct(no_id.alias("no_id"), "doc_id", "key")).alias("m"))
     first = cut_lineage(first.select("m.doc_id", "m.key"))
-    # texts get their keys again, after rows of other doc_ids have gone
+    # texts get their keys again; whole rows are sent once, by key and doc_id, so that neither many copies nor rows without doc_id meet in one task
     rows = docs.select(F.struct(*columns).alias("_row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
-    some = rows.where(~no_id).join(first.select("doc_id").where(~no_id).distinct(), "doc_id", "left_semi").union(rows.where(no_id).select("doc_id", "_row", "_text"))
-    kept = _with_keys(some, k).where("key != 0").withColumnRenamed("doc_id", "_id")
-    kept = kept.join(first, (kept["key"] == first["key"]) & kept["_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    kept = kept.dropDuplicates(["key"]).select("_row.*")
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    by = lambda df: df.select("*", F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", none).alias("_id")).drop("doc_id")
+    kept = by(_with_keys(rows, k).where("key != 0")).dropDuplicates(["key", "_no_id", "_id"])
+    kept = kept.join(by(first), ["key", "_no_id", "_id"], "left_semi").select("_row.*")
     bare = docs.select(*columns).where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z"))
     return kept.union(bare.where(~no_id).dropDuplicates(["doc_id"])).union(bare.where(no_id))
 

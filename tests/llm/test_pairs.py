@@ -134,6 +134,54 @@ def test_one_row_stays_of_each_group(spark):
     assert len(rest) == 3 and len([t for t in rest if t in copies(99)]) == 1
 
 
+def test_a_list_of_sets_that_do_not_link_costs_no_row_a_pair(spark, monkeypatch):
+    """Copies of one passage with four edits each: every pair shares a long list, none links."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for at in rnd.sample(range(2, 20), 1) + rnd.sample(range(27, 45), 1) + rnd.sample(range(52, 70), 1) + rnd.sample(range(77, 95), 1):
+            w[at] = f"v{rnd.randrange(10**9)}"
+        rows.append((d, " ".join(w)))
+    seen, verify = [], J.verify
+    monkeypatch.setattr(J, "verify", lambda docs, keys, pairs, *rest: seen.append(pairs.count()) or verify(docs, keys, pairs, *rest))
+    got = J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == brute(rows) and sum(seen) < 12 * len(rows)
+
+
+def test_jaccard_groups_with_lists_in_blocks(spark, monkeypatch):
+    for name, value in {"SHORT_LIST": 3, "BOUNDS": (2, 6), "LEADERS": 1, "BLOCK_LIST": 5, "BLOCKS": 3, "CELL_ROWS": 40}.items():
+        monkeypatch.setattr(J, name, value)
+    rows = varied(5)
+    got = J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == brute(rows)
+
+
+@pytest.mark.parametrize("least", [10**6, 4])
+def test_pairs_of_lists_against_all_pairs(spark, monkeypatch, least):
+    """Every pair of different groups that shares enough is among the found ones, each once."""
+    monkeypatch.setattr(J, "BLOCK_LIST", least)
+    monkeypatch.setattr(J, "BLOCKS", 3)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.concatenate([rng.choice(np.arange(60), 50, False), rng.integers(100, 9000, rng.integers(0, 12))])) for _ in range(70)]
+    hashed = [np.sort(J.W.mix(s.astype(np.uint64))) for s in sets]
+    lists = [(h, k) for h in range(3) for k in range(len(sets)) if h == 0 or rng.random() < 0.4]
+    length = {h: sum(x == h for x, _ in lists) for h in range(3)}
+    rows = [(h, k, len(sets[k]), k % 9, length[h], bytearray(J.sketch(hashed[k]))) for h, k in lists]
+    got = [tuple(r) for r in J.near_in_lists(spark.createDataFrame(rows, "h long, key long, n long, g long, c long, elements binary"), 75, 0).collect()]
+    link = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    want = {(a, b) for a in range(70) for b in range(a + 1, 70) if a % 9 != b % 9 and link(a, b)}
+    assert want and want <= set(got) and len(got) == len(set(got)) < 3 * len(want) + 50 and all(a < b and a % 9 != b % 9 for a, b in got)
+
+
+def test_one_row_per_group_sends_whole_rows_once(spark):
+    rows = [(d, copies(d)[0], "x" * 10) for d in range(8)]
+    out = J.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id", "text", "lang"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and out.count() == 8
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(120)] + [(2000, 2000 + i) for i in range(50)]
