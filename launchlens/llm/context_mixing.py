@@ -5,15 +5,18 @@ Each bit is predicted from six contexts: the last two to six bytes, and the word
 with the byte before it. A predictor is a hashed table of bit counts, summed over all
 training texts. Their log odds are combined by weights that a gate selects, the gate being
 the bit's depth and which predictors have seen their context; a last table corrects the mix by the byte before
-and the size of the log odds. Weights and corrections are learned online, bit block by bit block, in shares of all
+and the size of the log odds. Weights and corrections are learned online, step by step, in shares of all
 training texts, and are then fixed: scoring a text changes nothing.
+
+All that the model does with a byte follows from its place: the six bytes before it, the word so far and the byte. Equal
+places are looked at once, with how often they occur, when bits are counted, when the mixer learns and when texts are scored.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -27,10 +30,14 @@ END = 255
 SLOT_BITS, PART_BITS = 22, 14
 N_CONTEXTS = 6
 MAX_DEPTH = 30
-#: Training text of a share that one task fits a mixer on, about, and bytes that it takes at a time.
+#: Training text of a share that one task fits a mixer on, about, and places that tables are looked up for at a time.
 SHARE_BYTES, PIECE_BYTES = 32 << 20, 64 << 10
-#: Bits of a step of the mixer at first, and at most, once it has taken STEPS steps of a size.
-STEP_LEAST, STEP_MOST, STEPS = 4096, 65536, 512
+#: Different places that a task gathers before it goes on with them, about, and bytes of text that are scored together.
+PLACES, SCORE_BYTES = 2 << 20, 8 << 20
+#: Places of a step of the mixer at first, and at most, once it has taken STEPS steps of a size.
+STEP_LEAST, STEP_MOST, STEPS = 4096, 32768, 16
+#: What a weight, and a correction, counts at its start, as curvature.
+RIDGE = 16.0
 #: Weights and corrections are added up as multiples of this share of one, so that sums do not depend on their order.
 UNIT = 1 << 16
 #: Partial tables that one task adds up; more are added in rounds.
@@ -86,9 +93,35 @@ def before(data: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The byte before each byte, and the N_CONTEXTS hashed contexts (uint32)."""
-    p = [before(data, first, k).astype(np.uint32) for k in range(1, 7)]
+def windows(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each byte with the six before it in its text, the byte itself last; 0 stands for what is before the text."""
+    out = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        out[k:] |= out[:-k] << np.uint64(8 * k)
+    out &= np.uint64((1 << 56) - 1)
+    for j in range(6):
+        at = first[:-1] + j
+        out[at[at < first[1:]]] &= np.uint64((1 << 8 * (j + 1)) - 1)
+    return out
+
+
+def word_states(data: np.ndarray) -> np.ndarray:
+    """A hash of the word before each byte, as far as it goes: a sum of byte times a value of its place, taken from running totals."""
+    new = (W.byte_classes()[data] == 0) | (data == END)
+    starts = np.flatnonzero(np.concatenate([[True], new[:-1]]))
+    size = np.diff(np.concatenate([starts, [len(data)]]))
+    place = np.arange(len(data), dtype=np.uint32) - np.repeat(starts.astype(np.uint32), size)
+    powers = (W.mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+    with np.errstate(over="ignore"):
+        terms = (data.astype(np.uint32) + np.uint32(1)) * powers.take(np.minimum(place, np.uint32(31))) + place
+        total = np.cumsum(terms, dtype=np.uint32)
+        total -= terms
+        return total - np.repeat(total[starts], size)
+
+
+def context_hashes(window: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The byte before, and the N_CONTEXTS hashed contexts (uint32)."""
+    p = [(window >> np.uint64(8 * k) & np.uint64(255)).astype(np.uint32) for k in range(1, 7)]
     with np.errstate(over="ignore"):
         two = (p[0] | p[1] << np.uint32(8)) * np.uint32(0x2545F491)
         orders, h = [], two
@@ -96,20 +129,66 @@ def contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.n
             h = (h + p[k] + np.uint32(1)) * np.uint32(0xB5297A4D)
             h ^= h >> np.uint32(15)
             orders.append(h)
-        # the word so far: a sum of byte times a value of its place, taken from running totals
-        space = W.byte_classes()[data] == 0
-        new = space | (data == END)
-        starts = np.flatnonzero(np.concatenate([[True], new[:-1]]))
-        place = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(data)]])))
-        powers = (W.mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-        terms = (data.astype(np.uint32) + np.uint32(1)) * powers[np.minimum(place, 31)] + place.astype(np.uint32)
-        total = np.concatenate([[0], np.cumsum(terms, dtype=np.uint32)])[:-1].astype(np.uint32)
-        word = total - np.repeat(total[starts], np.diff(np.concatenate([starts, [len(data)]])))
         word = (word ^ p[0]) * np.uint32(0x1B56C4E9)
         word ^= word >> np.uint32(13)
     return p[0].astype(np.uint8), [two, *orders, word]
 
 
+def contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The byte before each byte, and the N_CONTEXTS hashed contexts (uint32)."""
+    return context_hashes(windows(data, first), word_states(data))
+
+
+def runs_of(window: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the places by a hash of theirs, and where in it a run of equal places starts.
+
+    A number holds the hash's leading bits and the index; runs are told apart by the whole hash of 64 bits. Where leading bits clash a
+    run may come in pieces, which changes nothing but the work.
+    """
+    with np.errstate(over="ignore"):
+        key = (window ^ word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(32)
+        key *= np.uint64(0xC4CEB9FE1A85EC53)
+        key ^= key >> np.uint64(29)
+    mask = np.uint64((1 << len(key).bit_length()) - 1)
+    packed = key & ~mask | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    order = (packed & mask).astype(np.int64)
+    key = key.take(order)
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+
+
+def places(blocks: Iterable[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, word state, how often) of the different places of many blocks of texts, in order of a hash.
+
+    All bytes are in one result each; a result holds PLACES to twice as many places, the last one fewer.
+    """
+    held: list[tuple] = []
+    size = 0
+
+    def merged() -> tuple:
+        window, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, start = runs_of(window, word)
+        one = order[start]
+        return window[one], word[one], np.add.reduceat(n[order], start)
+
+    for texts in blocks:
+        data, first = byte_stream(texts)
+        window, word = windows(data, first), word_states(data)
+        order, start = runs_of(window, word)
+        one = order[start]
+        held.append((window[one], word[one], np.diff(start, append=len(order))))
+        size += len(one)
+        if size > 2 * PLACES:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > PLACES:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield merged()
+
+
 def bit_levels(data: np.ndarray, prev: np.ndarray, code: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(depth, places of the bytes with a bit there, their node hash, their bit)."""
     flat = prev.astype(np.int32) << 8 | data
@@ -131,14 +210,23 @@ def slots(context: np.ndarray, at: np.ndarray, node: np.ndarray) -> np.ndarray:
         return ((context[at] + node) * np.uint32(_MULT)) >> np.uint32(32 - SLOT_BITS)
 
 
+def count_places(tables: np.ndarray, window: np.ndarray, word: np.ndarray, n: np.ndarray, code: np.ndarray, length: np.ndarray) -> None:
+    """Adds the places' bits, as often as they occur, to tables[context, 2 * slot + bit] (uint32)."""
+    one = np.uint32(1)
+    for lo in range(0, len(window), PIECE_BYTES):
+        cut = slice(lo, lo + PIECE_BYTES)
+        prev, ctx = context_hashes(window[cut], word[cut])
+        times = n[cut].astype(np.uint32)
+        for _, at, node, bit in bit_levels(window[cut].astype(np.uint8), prev, code, length):
+            t = times[at]
+            for m in range(N_CONTEXTS):
+                np.add.at(tables[m], (slots(ctx[m], at, node) << one | bit).astype(np.int64), t)
+
+
 def count_bits(tables: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> None:
     """Adds the texts' bits to tables[context, 2 * slot + bit] (uint32)."""
-    data, first = byte_stream(texts)
-    prev, ctx = contexts(data, first)
-    one = np.uint32(1)
-    for _, at, node, bit in bit_levels(data, prev, code, length):
-        for m in range(N_CONTEXTS):
-            np.add.at(tables[m], (slots(ctx[m], at, node) << one | bit).astype(np.int64), one)
+    for found in places([texts]):
+        count_places(tables, *found, code, length)
 
 
 def shrink(n: np.ndarray) -> np.ndarray:
@@ -168,61 +256,74 @@ def level_of(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Weights by gate and corrections by (byte before, level), learned online over the bits of a share of texts.
+    """Weights by gate and, once weights are given, corrections by (byte before, level), learned online over the places of a share of texts.
 
-    The texts are part of the counts, so each bit's own observation is taken back before it is predicted. Steps are
-    scaled by running moments of the gradient and grow with the bits seen; the corrections follow in a second round. Texts of any
-    size are taken in pieces, with the contexts of the whole text.
+    The texts are part of the counts, so each bit's own observation is taken back before it is predicted. A step takes some
+    places of all depths, in order of a hash, each as often as it occurs. It goes by the gradient over the curvature summed up so far, so what
+    was learned counts as much as what is new; steps grow with the places seen. Texts of any size are taken with the contexts of the whole text.
     """
 
-    def __init__(self, weights: np.ndarray | None = None, rate: float = 0.002):
-        self.weights = np.full((GATES, N_CONTEXTS), 1.4 / N_CONTEXTS, np.float32) if weights is None else weights.copy()
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = np.full((GATES, N_CONTEXTS), 1.4 / N_CONTEXTS, np.float32) if weights is None else weights.astype(np.float32)
         self.correction = np.zeros(256 * LEVELS, np.float32)
-        self.follows, self.rate, self.steps, self.seen = weights is not None, rate, 0, 0
-        self.moments = np.zeros((2, GATES, N_CONTEXTS))
+        self.follows, self.steps, self.seen, self.places = weights is not None, 0, 0, 0
+        self.curves, self.cell_curves = np.tile(np.eye(N_CONTEXTS) * RIDGE, (GATES, 1, 1)), np.full(256 * LEVELS, RIDGE)
         #: Bits that each weight row and each correction was learned from.
         self.gate_bits, self.cell_bits = np.zeros(GATES, np.int64), np.zeros(256 * LEVELS, np.int64)
 
     def learn(self, counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
-        data, first = byte_stream(texts)
-        prev, ctx = contexts(data, first)
-        for lo in range(0, len(data), PIECE_BYTES):
-            cut = slice(lo, lo + PIECE_BYTES)
-            parts = []
-            for depth, at, node, bit in bit_levels(data[cut], prev[cut], code, length):
-                x = [back[bit.astype(np.int64), counts[m][slots(ctx[m][cut], at, node)]] for m in range(N_CONTEXTS)]
-                parts.append((at, gate_of(depth, x), np.stack(x, 1), bit.astype(np.float32)))
-            order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
-            at, gate, x, bit = (np.concatenate([p[k] for p in parts])[order] for k in range(4))
-            last = prev[cut][at].astype(np.int64) * LEVELS
-            begin = 0
-            while begin < len(bit):
-                step = min(STEP_MOST, max(STEP_LEAST, self.seen // STEPS))
-                end = min(begin + step, len(bit))
-                self._step(gate[begin:end], x[begin:end], bit[begin:end], last[begin:end])
-                begin = end
-
-    def _step(self, g: np.ndarray, x: np.ndarray, t: np.ndarray, last: np.ndarray) -> None:
-        z = np.einsum("ij,ij->i", self.weights[g], x)
-        err = t - 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-        grad = np.stack([np.bincount(g, err * x[:, m], GATES) for m in range(N_CONTEXTS)], 1)
+        for found in places([texts]):
+            self.learn_places(counts, *found, code, length, back)
+
+    def learn_places(self, counts: np.ndarray, window: np.ndarray, word: np.ndarray, n: np.ndarray, code: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
+        lo = 0
+        while lo < len(window):
+            cut = slice(lo, lo + min(STEP_MOST, max(STEP_LEAST, self.places // STEPS)))
+            self._step(counts, window[cut], word[cut], n[cut], code, length, back.ravel())
+            self.places += len(window[cut])
+            lo = cut.stop
+
+    def _step(self, counts: np.ndarray, window: np.ndarray, word: np.ndarray, n: np.ndarray, code: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
+        prev, ctx = context_hashes(window, word)
+        cells = prev.astype(np.int32) * LEVELS
+        grad, rests = np.zeros((GATES, N_CONTEXTS)), np.zeros(len(self.correction))
+        for depth, at, node, bit in bit_levels(window.astype(np.uint8), prev, code, length):
+            side = bit << np.uint32(16)
+            x = np.stack([back.take(counts[m].take(slots(ctx[m], at, node)) | side) for m in range(N_CONTEXTS)])
+            # bits of a gate stand together, so that each gate takes a product of matrices
+            seen = gate_of(0, x).astype(np.uint8)
+            order = np.argsort(seen, kind="stable")
+            x, times, t = x.take(order, axis=1), n[at].astype(np.float32).take(order), bit.astype(np.float32).take(order)
+            ends = np.cumsum(np.bincount(seen, minlength=8))
+            gates = [(depth * 8 + k, slice(int(ends[k - 1]) if k else 0, int(ends[k]))) for k in range(8) if ends[k] > (ends[k - 1] if k else 0)]
+            z = np.concatenate([self.weights[g] @ x[:, cut] for g, cut in gates])
+            sums = np.add.reduceat(times.astype(np.float64), [cut.start for _, cut in gates])
+            self.gate_bits[[g for g, _ in gates]] += np.round(sums).astype(np.int64)
+            self.seen += int(round(sums.sum()))
+            if self.follows:
+                cell = cells.take(at.take(order)) + level_of(z)
+                z += self.correction.take(cell)
+            p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+            err = t - p
+            curve = (p * (1 - p) + err * err) * (times * np.float32(0.5))
+            err *= times
+            if self.follows:
+                rests += np.bincount(cell, err, len(rests))
+                self.cell_curves += np.bincount(cell, curve, len(rests))
+                self.cell_bits += np.bincount(cell, times, len(rests)).astype(np.int64)
+            else:
+                for g, cut in gates:
+                    grad[g] = x[:, cut] @ err[cut]
+                    self.curves[g] += (x[:, cut] * curve[cut]) @ x[:, cut].T
         self.steps += 1
-        self.seen += len(t)
-        self.gate_bits += np.bincount(g, minlength=GATES)
-        one, two = self.moments
-        one += 0.1 * (grad - one)
-        two += 0.001 * (grad * grad - two)
-        self.weights += (self.rate * one / (1 - 0.9**self.steps) / (np.sqrt(two / (1 - 0.999**self.steps)) + 1e-6)).astype(np.float32)
         if self.follows:
-            cell = last + level_of(z)
-            rest = t - 1 / (1 + np.exp(-np.clip(z + self.correction[cell], -12, 12)))
-            n = np.bincount(cell, minlength=len(self.correction))
-            self.cell_bits += n
-            self.correction += (0.02 * np.bincount(cell, rest, len(n)) / np.maximum(n, 1) ** 0.5).astype(np.float32)
+            self.correction += (rests / self.cell_curves).astype(np.float32)
+        else:
+            self.weights += np.linalg.solve(self.curves, grad[:, :, None])[:, :, 0].astype(np.float32)
 
 
 def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and corrections of one share: two rounds over its texts."""
+    """Weights of one share, and corrections in a second round over its texts."""
     _, back = log_odds()
     mixer = Mixer()
     for _ in range(2):
@@ -232,14 +333,13 @@ def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length:
     return mixer.weights, mixer.correction
 
 
-def text_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Bits that the model spends on each text. `odds` holds the log odds of every slot in fourteenths."""
-    data, first = byte_stream(texts)
-    prev, ctx = contexts(data, first)
-    cost = np.zeros(len(data), np.float32)
+def place_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, window: np.ndarray, word: np.ndarray, code: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Bits that the model spends on the byte of each place. `odds` holds the log odds of every slot in fourteenths."""
+    prev, ctx = context_hashes(window, word)
+    cost = np.zeros(len(window), np.float32)
     cells = prev.astype(np.int32) * LEVELS
     one, two = np.float32(1), np.float32(2)
-    for depth, at, node, bit in bit_levels(data, prev, code, length):
+    for depth, at, node, bit in bit_levels(window.astype(np.uint8), prev, code, length):
         x = [odds[m].take(slots(ctx[m], at, node)) for m in range(N_CONTEXTS)]
         seen = gate_of(0, x)
         own = np.ascontiguousarray(weights[depth * 8 : depth * 8 + 8].T) * np.float32(1 / 14)
@@ -254,7 +354,32 @@ def text_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, tex
         np.exp(z, out=z)
         np.log1p(z, out=z)
         cost[at] += z
-    return np.add.reduceat(cost.astype(np.float64), first[:-1]) / np.log(2)
+    return cost.astype(np.float64) / np.log(2)
+
+
+def text_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Bits that the model spends on each text; equal places of all texts are scored once."""
+    parts = []
+    for rows in W.blocks(((t,) for t in texts), 0):
+        data, first = byte_stream([r[0] for r in rows])
+        window, word = windows(data, first), word_states(data)
+        order, start = runs_of(window, word)
+        one = order[start]
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(first)).take(order)
+        parts.append((window[one], word[one], doc, np.diff(start, append=len(order)), len(rows)))
+    window, word = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order, start = runs_of(window, word)
+    one = order[start]
+    piece = lambda x, lo: x[one[lo : lo + PIECE_BYTES]]
+    found = np.concatenate([place_bits(odds, weights, correction, piece(window, lo), piece(word, lo), code, length) for lo in range(0, len(one), PIECE_BYTES)])
+    cost = np.empty(len(window))
+    cost[order] = np.repeat(found, np.diff(start, append=len(order)))
+    out, at = [], 0
+    for w, _, doc, n, m in parts:
+        # a text's places are added in the order of their hash, whatever stands beside it
+        out.append(np.bincount(doc, np.repeat(cost[at : at + len(w)], n), m))
+        at += len(w)
+    return np.concatenate(out)
 
 
 # ---- over a corpus
@@ -295,8 +420,42 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def place_rows(train: DataFrame) -> DataFrame:
+    """The places of all texts in rows of a few (window, word, n: packed numbers), different ones within a task's PLACES."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for window, word, n in places([r[0] for r in rows] for rows in W.blocks(W.arrow_rows(batches, "_text"), 0)):
+            for lo in range(0, len(window), 1 << 16):
+                cut = slice(lo, lo + (1 << 16))
+                planes = np.ascontiguousarray(window[cut].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T)
+                row = (zlib.compress(planes.tobytes(), 1), word[cut].astype("<u4").tobytes(), _pack(n[cut]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["window", "word", "n"])
+
+    return train.select("_text").mapInArrow(run, "window binary, word binary, n binary")
+
+
+def _places(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the rows of place_rows(), or of texts."""
+    for b in batches:
+        if b.num_columns == 1:
+            yield from places([r[0] for r in rows] for rows in W.blocks(W.arrow_rows([b], "_text"), 0))
+            continue
+        for window, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            planes = np.frombuffer(zlib.decompress(window), np.uint8).reshape(7, -1)
+            wide = np.zeros((planes.shape[1], 8), np.uint8)
+            wide[:, :7] = planes.T
+            yield wide.view("<u8").ravel(), np.frombuffer(word, "<u4"), _unpack(n)
+
+
+def _place_source(train: DataFrame, tasks: int) -> DataFrame:
+    # fewer tasks than files would give, as each sends a table; no shuffle
+    return train.select("_text" if "_text" in train.columns else "*").coalesce(tasks)
+
+
 def bit_tables(train: DataFrame, code: np.ndarray, length: np.ndarray, tasks: int) -> np.ndarray:
-    """Shrunk counts (zeros << 8 | ones) of every slot of every predictor, over all training texts.
+    """Shrunk counts (zeros << 8 | ones) of every slot of every predictor, over all training texts (_text, or their place_rows).
 
     About `tasks` tasks count their share in whole tables and send what is not zero, in parts of 2 ** PART_BITS
     slots; parts are added FAN_IN at a time. The result has a fixed size.
@@ -311,8 +470,8 @@ def bit_tables(train: DataFrame, code: np.ndarray, length: np.ndarray, tasks: in
 
         code, length = shared.value
         tables = np.zeros((N_CONTEXTS, 2 << SLOT_BITS), np.uint32)
-        for rows in W.blocks(W.arrow_rows(batches, "_text"), 0):
-            count_bits(tables, [r[0] for r in rows], code, length)
+        for found in _places(batches):
+            count_places(tables, *found, code, length)
         task = TaskContext.get().partitionId()
         wide = tables.reshape(N_CONTEXTS * per, 2 << PART_BITS)
         for lo in range(0, len(wide), 16):
@@ -336,8 +495,7 @@ def bit_tables(train: DataFrame, code: np.ndarray, length: np.ndarray, tasks: in
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int32()), "at": pa.array([_pack(np.diff(at, prepend=0))], pa.binary()), "n": pa.array([_pack(n)], pa.binary())})
 
     schema = "part int, task int, at binary, n binary"
-    # fewer tasks than files would give, as each sends a table; no shuffle
-    parts = train.select("_text").coalesce(tasks).mapInArrow(run, schema)
+    parts = _place_source(train, tasks).mapInArrow(run, schema)
     while True:
         parts = parts.groupBy("part", F.floor(F.col("task") / FAN_IN)).applyInArrow(add, schema)
         if tasks <= FAN_IN:
@@ -363,13 +521,13 @@ def bit_tables(train: DataFrame, code: np.ndarray, length: np.ndarray, tasks: in
 
 
 def fit_shares(train: DataFrame, counts: np.ndarray, code: np.ndarray, length: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and corrections from all training texts, in two rounds.
+    """Weights from all training texts (_text, or their place_rows) in one round, and corrections in a second one.
 
-    In a round each of about `tasks` tasks runs a mixer over its share, from the weights of the round before. A weight row or
+    In a round each of about `tasks` tasks runs a mixer over its share, in the second one with the weights of the first. A weight row or
     a correction of the result is the mean over tasks, by the bits that each learned it from; the sums are Spark's.
     """
     spark = train.sparkSession
-    source = train.select("_text").coalesce(tasks)
+    source = _place_source(train, tasks)
     shared = spark.sparkContext.broadcast((counts, code, length))
     n_weights = GATES * N_CONTEXTS
 
@@ -380,8 +538,8 @@ def fit_shares(train: DataFrame, counts: np.ndarray, code: np.ndarray, length: n
             counts, code, length = shared.value
             _, back = log_odds()
             mixer = Mixer(weights)
-            for rows in W.blocks(W.arrow_rows(batches, "_text"), 0):
-                mixer.learn(counts, [r[0] for r in rows], code, length, back)
+            for found in _places(batches):
+                mixer.learn_places(counts, *found, code, length, back)
             bits = np.concatenate([np.repeat(mixer.gate_bits, N_CONTEXTS), mixer.cell_bits])
             learned = np.concatenate([mixer.weights.ravel(), mixer.correction]).astype(np.float64)
             at = np.flatnonzero(bits)
@@ -425,8 +583,9 @@ def score_texts(docs: DataFrame, parts: int = 7, part: int = 2, task_bytes: int
     train = source.where("not held_out")
     pairs, size = pair_counts(train)
     code, length = code_trees(pairs)
-    counts = bit_tables(train, code, length, max(1, -(-size // task_bytes)))
-    weights, correction = fit_shares(train, counts, code, length, max(1, -(-size // SHARE_BYTES)))
+    found = cut_lineage(place_rows(train))
+    counts = bit_tables(found, code, length, max(1, -(-size // task_bytes)))
+    weights, correction = fit_shares(found, counts, code, length, max(1, -(-size // SHARE_BYTES)))
     plain, _ = log_odds()
     fourteenths = np.round(plain * 14).astype(np.int8)
     odds = np.stack([fourteenths[c] for c in counts])
@@ -453,10 +612,10 @@ def score_texts(docs: DataFrame, parts: int = 7, part: int = 2, task_bytes: int
         for chunk in W.blocks(W.arrow_rows(checked(batches), "doc_id", "held_out", "_text"), 2, chunk_bytes):
             bits, at, seen, n = [], [], [], []
             docs_before = 0
+            for rows in W.blocks(iter(chunk), 2, SCORE_BYTES):
+                bits.append(text_bits(odds, weights, correction, [r[2] for r in rows], code, length))
             for rows in W.blocks(iter(chunk), 2):
-                texts = [r[2] for r in rows]
-                bits.append(text_bits(odds, weights, correction, texts, code, length))
-                w = _words_of(texts)
+                w = _words_of([r[2] for r in rows])
                 # distinct words of each text with their counts
                 order = np.lexsort((w.hash, w.doc))
                 d, h = w.doc[order], w.hash[order]

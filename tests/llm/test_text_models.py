@@ -124,6 +124,36 @@ def test_long_texts_teach_the_mixer(spark, monkeypatch):
     assert halves.shape == weights.shape and also.shape == correction.shape and (halves == again).all() and np.isfinite(halves).all()
 
 
+def test_equal_places_are_looked_at_once(spark, monkeypatch):
+    text = b"a line that comes again and again, " * 3 + "é\u65e5 ".encode() * 3 + b"x" * 50
+    texts = [text, b"", b"A LINE that differs", text[:7]]
+    data, first = M.byte_stream(texts)
+    word = M.word_states(data)
+    want = Counter()
+    for d, t in enumerate(texts):
+        low = b"\0" * 6 + t.lower() + b"\xff"
+        for i in range(len(t) + 1):
+            want[int.from_bytes(low[i : i + 7], "big"), int(word[first[d] + i])] += 20
+    for most in (M.PLACES, 10):
+        monkeypatch.setattr(M, "PLACES", most)
+        found, rows = Counter(), 0
+        for window, state, n in M.places([texts[:2], texts[2:]] * 20):
+            rows += len(n)
+            for w, s, k in zip(window.tolist(), state.tolist(), n.tolist(), strict=True):
+                found[w, s] += k
+        assert found == want and (rows == len(want) or most == 10)
+    # tables and scores from places are those from every byte by itself
+    code, length, total = tables(texts * 20)
+    alone = np.zeros_like(total)
+    prev, ctx = M.contexts(data, first)
+    for _, at, node, bit in M.bit_levels(data, prev, code, length):
+        for m in range(M.N_CONTEXTS):
+            np.add.at(alone[m], (M.slots(ctx[m], at, node) << np.uint32(1) | bit).astype(np.int64), np.uint32(20))
+    assert (total == alone).all()
+    stored = M.place_rows(spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts * 20)], "doc_id long, _text binary").coalesce(2))
+    assert (M.bit_tables(stored, code, length, 2) == (M.shrink(total[:, 0::2]).astype(np.uint16) << 8 | M.shrink(total[:, 1::2]))).all()
+
+
 def test_base_scores_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
