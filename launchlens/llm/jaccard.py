@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from launchlens.llm import words as W
-from launchlens.llm.graph import components
+from launchlens.llm.graph import PARTS_A_FILE, components
 from launchlens.session import cut_lineage
 
 #: Bits of the bitmaps over the leading bits of a shingle's hash.
@@ -48,6 +48,11 @@ RANGE_SHINGLES = 2 << 20
 SKETCH_BITS, BLOCK_LIST, BLOCKS, CELL_ROWS = 2048, 1000, 8, 20_000
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Checkpoint of rows that are small beside the texts, in files of several partitions."""
+    return cut_lineage(df, PARTS_A_FILE)
+
+
 def need(a: int, b: int, percent: int = 75) -> int:
     """Least overlap of linked sets of sizes a and b: 100 * overlap >= percent * (a + b - overlap)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -217,8 +222,8 @@ def frequent_maps(docs: DataFrame, k: int, range_bits: int) -> np.ndarray:
         return pa.table({"r": table.column("r")[:1], "maps": pa.array([out], pa.list_(pa.binary()))})
 
     maps = np.zeros((len(BOUNDS), 1 << range_bits, per // 8), np.uint8)
-    # one row for each range: every map is 2 ** MAP_BITS bits, whatever the input
-    for row in _texts(docs).select("_text").mapInArrow(run, "r int, h binary").groupBy("r").applyInArrow(count, "r int, maps array<binary>").toLocalIterator():
+    # one row for each range: every map is 2 ** MAP_BITS bits, whatever the input; all in one job, not one for each partition
+    for row in _texts(docs).select("_text").mapInArrow(run, "r int, h binary").groupBy("r").applyInArrow(count, "r int, maps array<binary>").collect():
         for m, raw in enumerate(row["maps"]):
             maps[m, row["r"]] = np.frombuffer(zlib.decompress(raw), np.uint8)
     return maps.reshape(len(BOUNDS), -1)
@@ -378,7 +383,7 @@ def whole_sets(docs: DataFrame, keys: DataFrame, named: DataFrame, k: int, pack:
     with the first document of every named set is exact. Sets that only rows without doc_id have are sent by key.
     """
     bits = 23
-    rep = cut_lineage(keys.where("n_shingles > 0").join(named, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    rep = _kept(keys.where("n_shingles > 0").join(named, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     # sets that only rows without doc_id have go by their key
     nameless = rep.where("doc_id is null").select("key")
     rep = rep.where("doc_id is not null")
@@ -534,7 +539,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     both = subs.join(least, ["h", "rank"]).where(f"key != m.key and {100 + percent} * rank >= {percent} * (n + m.n)")
     links = both.select(F.col("m.key").alias("a"), F.col("key").alias("b"))
     # shingles in very many sets, and long lists
-    long_lists = cut_lineage(members(1).distinct())
+    long_lists = _kept(members(1).distinct())
     best = long_lists.groupBy("h").agg(F.min(F.struct("rank", "key", "n")).alias("m"))
     fits = lambda p, q: (100 * F.least(p, q) >= percent * F.greatest(p, q)) & (F.greatest(p, q) > light)
     stars = long_lists.join(best, "h").where("key != m.key").where(fits(F.col("n"), F.col("m.n")))
@@ -542,24 +547,24 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = scanned.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("n").alias("shared"), "rank", "least").union(
         stars.select("m.key", "key", F.lit(1).cast("long"), "m.rank", few(F.col("n"), F.col("m.n"))).toDF("a", "b", "shared", "rank", "least")
     )
-    pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("rank").alias("rank"), F.min("least").alias("least")))
+    pairs = _kept(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("rank").alias("rank"), F.min("least").alias("least")))
     shared_most = pairs.select(F.explode(F.array("a", "b")).alias("key"), "shared").groupBy("key").agg(F.max("shared").alias("s"))
     # in long lists only pairs with the best member are counted, so what two sets have in long lists is added to what they share
-    in_long = cut_lineage(long_lists.groupBy("key").agg(F.count("*").alias("c")))
+    in_long = _kept(long_lists.groupBy("key").agg(F.count("*").alias("c")))
     zero = lambda c: F.coalesce(c, F.lit(0))
 
     def can_reach(p: DataFrame) -> DataFrame:
         la, lb = in_long.toDF("a", "la"), in_long.toDF("b", "lb")
         return p.join(la, "a", "left").join(lb, "b", "left").where(zero(F.col("shared")) + F.least(zero(F.col("la")), zero(F.col("lb"))) >= F.col("least")).drop("la", "lb")
 
-    pairs = cut_lineage(can_reach(pairs).select("a", "b", "shared", "rank"))
+    pairs = _kept(can_reach(pairs).select("a", "b", "shared", "rank"))
     chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("p"), F.min_by("a", F.struct("rank", "a")).alias("q"))
-    tried = cut_lineage(chosen.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("a"), "b"))
-    links = cut_lineage(links.union(verify(docs, keys, tried, k, percent)).distinct())
-    groups = cut_lineage(components(links))
+    tried = _kept(chosen.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("a"), "b"))
+    links = _kept(links.union(verify(docs, keys, tried, k, percent)).distinct())
+    groups = _kept(components(links))
     # members of long lists that can share enough with any set of a size that links
     able = long_lists.join(in_long, "key").join(shared_most, "key", "left").where(F.col("c") + zero(F.col("s")) >= few(F.ceil(F.col("n") * percent / 100), F.col("n")))
-    able = cut_lineage(able.select("h", "key", "n", "rank"))
+    able = _kept(able.select("h", "key", "n", "rank"))
 
     def split_lists() -> tuple[DataFrame, DataFrame]:
         """Group of every set, and the members of the long lists whose sets stand in more than one group, with the largest of them."""
@@ -574,19 +579,19 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     lead = mixed.where("g = main").groupBy("h").agg(F.min_by(F.struct("key", "n"), F.xxhash64("key", "h")).alias("m"))
     asks = mixed.where("g != main").join(lead, "h").where(fits(F.col("n"), F.col("m.n"))).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("m.key")), 1, LEADERS).alias("k"))
     asks = in_order(asks.select(F.explode("k").alias("a"), F.col("key").alias("b")))
-    asks = cut_lineage(asks.distinct().join(in_order(tried), ["a", "b"], "left_anti"))
+    asks = _kept(asks.distinct().join(in_order(tried), ["a", "b"], "left_anti"))
     tried = tried.select("a", "b").union(asks)
     if not asks.isEmpty():
-        groups = cut_lineage(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(docs, keys, asks, k, percent))))
+        groups = _kept(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(docs, keys, asks, k, percent))))
     # what is left: listed pairs in different groups that have not been tried; a set without a long list's sketch has no pair there
     of, mixed = split_lists()
-    mixed = cut_lineage(mixed.select("h", "key", "n", "g", "c"))
+    mixed = _kept(mixed.select("h", "key", "n", "g", "c"))
     sketches = whole_sets(docs, keys, mixed.select("key").distinct(), k, sketch)
-    across = near_in_lists(cut_lineage(mixed.join(sketches, "key")), percent, light)
+    across = near_in_lists(_kept(mixed.join(sketches, "key")), percent, light)
     ga, gb = of.toDF("a", "ga"), of.toDF("b", "gb")
     apart = pairs.select("a", "b").join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
     left = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(across).distinct()
-    left = cut_lineage(left.join(in_order(tried), ["a", "b"], "left_anti"))
+    left = _kept(left.join(in_order(tried), ["a", "b"], "left_anti"))
     if not left.isEmpty():
         more = verify(docs, keys, left, k, percent)
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -619,7 +624,7 @@ def one_per_group(docs: DataFrame, columns: Sequence[str], k: int = 5, percent:
     named = _grouped(docs.select("doc_id", "text"), k, percent).where("n_shingles > 0")
     no_id = F.col("doc_id").isNull()
     first = named.groupBy("_g").agg(F.min(F.struct(no_id.alias("no_id"), "doc_id", "key")).alias("m"))
-    first = cut_lineage(first.select("m.doc_id", "m.key"))
+    first = _kept(first.select("m.doc_id", "m.key"))
     # texts get their keys again; whole rows are sent once, by key and doc_id, so that neither many copies nor rows without doc_id meet in one task
     rows = docs.select(F.struct(*columns).alias("_row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     none = F.lit(0).cast(docs.schema["doc_id"].dataType)

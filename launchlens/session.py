@@ -43,9 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._launchlens_folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so a lost executor costs a re-read, not a recompute."""
+def cut_lineage(df: DataFrame, parts_a_file: int = 1) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so a lost executor costs a re-read, not a recompute.
+
+    With `parts_a_file` about so many shuffle partitions go to a file, one after the other, but four files a core are written at least.
+    On a local file system without native code each file costs processes that the executor's JVM starts.
+    """
     sc = df.sparkSession.sparkContext
+    if parts_a_file > 1:
+        df = df.coalesce(max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts_a_file))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -182,6 +182,55 @@ def test_one_row_per_group_sends_whole_rows_once(spark):
     assert plan.count("Exchange hashpartitioning") <= 3 and out.count() == 8
 
 
+def jobs_of(spark, name, run):
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(name))
+
+
+def test_frequent_maps_are_fetched_together(spark):
+    docs = spark.createDataFrame([(d, " ".join(f"w{d * 7 + i}" for i in range(60))) for d in range(40)], "doc_id long, text string").cache()
+    docs.count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert jobs_of(spark, "maps", lambda: J.frequent_maps(docs, 5, 3)) <= 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    from launchlens.llm import graph
+
+    kept, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, *a: kept.append(1) or cut(df, *a))
+    stars = spark.createDataFrame([(c, c + i) for c in (0, 100) for i in range(1, 30)], "a long, b long")
+    assert {tuple(r) for r in graph.components(stars).collect()} == {(c + i, c) for c in (0, 100) for i in range(30)} and len(kept) == 1
+
+
+def test_small_rows_are_kept_in_few_files(spark):
+    from launchlens.llm import graph
+    from launchlens.session import cut_lineage
+
+    rows = cut_lineage(spark.range(1000).repartition(300), graph.PARTS_A_FILE)
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and rows.count() == 1000
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        written, cut = [], graph.cut_lineage
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(graph, "cut_lineage", lambda df, *a: written.append(cut(df, *a)) or written[-1])
+            found = {tuple(r) for r in graph.components(links).collect()}
+        assert found == {(i, 0) for i in range(201)} and max(d.rdd.getNumPartitions() for d in written) <= 38
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(120)] + [(2000, 2000 + i) for i in range(50)]
