@@ -146,16 +146,24 @@ def runs_of(window: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarra
     run may come in pieces, which changes nothing but the work.
     """
     with np.errstate(over="ignore"):
-        key = (window ^ word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+        key = word.astype(np.uint64)
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key ^= window
+        key *= np.uint64(0xFF51AFD7ED558CCD)
         key ^= key >> np.uint64(32)
         key *= np.uint64(0xC4CEB9FE1A85EC53)
         key ^= key >> np.uint64(29)
     mask = np.uint64((1 << len(key).bit_length()) - 1)
-    packed = key & ~mask | np.arange(len(key), dtype=np.uint64)
+    packed = key & ~mask
+    packed |= np.arange(len(key), dtype=np.uint64)
     packed.sort()
-    order = (packed & mask).astype(np.int64)
-    key = key.take(order)
-    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    order = (packed & mask).view(np.int64)
+    # what the index took the place of, at most 32 bits
+    low, new = key.astype(np.uint32).take(order), np.ones(len(key), bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    packed &= ~mask
+    new[1:] |= packed[1:] != packed[:-1]
+    return order, np.flatnonzero(new)
 
 
 def places(blocks: Iterable[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -189,25 +197,43 @@ def places(blocks: Iterable[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarr
         yield merged()
 
 
-def bit_levels(data: np.ndarray, prev: np.ndarray, code: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(depth, places of the bytes with a bit there, their node hash, their bit)."""
+def longest_first(window: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """An order of the places by falling length of their codes, then by the bytes before, whose slots are looked up next to each other."""
+    byte, packed = window.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), np.empty(len(window), "<u8")
+    # from the top: length, bytes before, index
+    own = packed.view(np.uint8).reshape(-1, 8)
+    own[:, 7] = 255 - length.ravel().take(window.astype("<u8", copy=False).view("<u2")[::4])
+    for k in (1, 2, 3):
+        own[:, 7 - k] = byte[:, k]
+    packed.view("<u4")[::2] = np.arange(len(window), dtype=np.uint32)
+    packed.sort()
+    return (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def bit_levels(data: np.ndarray, prev: np.ndarray, code: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, slice | np.ndarray, np.ndarray, np.ndarray]]:
+    """(depth, places of the bytes with a bit there, their node hash, their bit). The places are a slice if codes only get shorter."""
     flat = prev.astype(np.int32) << 8 | data
-    c, n = code.ravel()[flat], length.ravel()[flat]
-    at = np.arange(len(data))
+    c, n = code.ravel().take(flat), length.ravel().take(flat)
+    falling = bool((n[1:] <= n[:-1]).all())
+    at = slice(0, len(n)) if falling else np.arange(len(n))
     for depth in range(MAX_DEPTH):
         keep = n > depth
-        if not keep.any():
+        some = np.count_nonzero(keep)
+        if not some:
             break
-        if not keep.all():
-            at, c, n = at[keep], c[keep], n[keep]
+        if some < len(n):
+            at, c, n = (slice(0, some), c[:some], n[:some]) if falling else (at[keep], c[keep], n[keep])
         with np.errstate(over="ignore"):
             node = ((c >> np.uint32(32 - depth) if depth else np.uint32(0)) | np.uint32(1 << depth)) * np.uint32(_NODE)
-        yield depth, at, np.broadcast_to(node, at.shape), (c >> np.uint32(31 - depth)) & np.uint32(1)
+        yield depth, at, np.broadcast_to(node, c.shape), (c >> np.uint32(31 - depth)) & np.uint32(1)
 
 
-def slots(context: np.ndarray, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+def slots(context: np.ndarray, at: slice | np.ndarray, node: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((context[at] + node) * np.uint32(_MULT)) >> np.uint32(32 - SLOT_BITS)
+        slot = context[at] + node
+        slot *= np.uint32(_MULT)
+        slot >>= np.uint32(32 - SLOT_BITS)
+        return slot
 
 
 def count_places(tables: np.ndarray, window: np.ndarray, word: np.ndarray, n: np.ndarray, code: np.ndarray, length: np.ndarray) -> None:
@@ -215,9 +241,11 @@ def count_places(tables: np.ndarray, window: np.ndarray, word: np.ndarray, n: np
     one = np.uint32(1)
     for lo in range(0, len(window), PIECE_BYTES):
         cut = slice(lo, lo + PIECE_BYTES)
-        prev, ctx = context_hashes(window[cut], word[cut])
-        times = n[cut].astype(np.uint32)
-        for _, at, node, bit in bit_levels(window[cut].astype(np.uint8), prev, code, length):
+        order = longest_first(window[cut], length)
+        piece = window[cut].take(order)
+        prev, ctx = context_hashes(piece, word[cut].take(order))
+        times = n[cut].take(order).astype(np.uint32)
+        for _, at, node, bit in bit_levels(piece.astype(np.uint8), prev, code, length):
             t = times[at]
             for m in range(N_CONTEXTS):
                 np.add.at(tables[m], (slots(ctx[m], at, node) << one | bit).astype(np.int64), t)
@@ -284,42 +312,69 @@ class Mixer:
             lo = cut.stop
 
     def _step(self, counts: np.ndarray, window: np.ndarray, word: np.ndarray, n: np.ndarray, code: np.ndarray, length: np.ndarray, back: np.ndarray) -> None:
-        prev, ctx = context_hashes(window, word)
-        cells = prev.astype(np.int32) * LEVELS
-        grad, rests = np.zeros((GATES, N_CONTEXTS)), np.zeros(len(self.correction))
-        for depth, at, node, bit in bit_levels(window.astype(np.uint8), prev, code, length):
-            side = bit << np.uint32(16)
-            x = np.stack([back.take(counts[m].take(slots(ctx[m], at, node)) | side) for m in range(N_CONTEXTS)])
+        order = longest_first(window, length)
+        window, n = window.take(order), n.take(order).astype(np.float32)
+        prev, ctx = context_hashes(window, word.take(order))
+        levels = ((depth, at, node, bit, bit << np.uint32(16)) for depth, at, node, bit in bit_levels(window.astype(np.uint8), prev, code, length))
+        inputs = ((depth, at, bit, [back.take(counts[m].take(slots(ctx[m], at, node), mode="wrap") | side, mode="wrap") for m in range(N_CONTEXTS)]) for depth, at, node, bit, side in levels)
+        if self.follows:
+            self._correct(inputs, prev.astype(np.int32) * LEVELS, n)
+        else:
+            self._weigh(inputs, n)
+        self.steps += 1
+
+    def _weigh(self, inputs: Iterable[tuple], n: np.ndarray) -> None:
+        grad = np.zeros((GATES, N_CONTEXTS))
+        for depth, at, bit, x in inputs:
             # bits of a gate stand together, so that each gate takes a product of matrices
             seen = gate_of(0, x).astype(np.uint8)
             order = np.argsort(seen, kind="stable")
-            x, times, t = x.take(order, axis=1), n[at].astype(np.float32).take(order), bit.astype(np.float32).take(order)
+            x, times, t = np.stack([y.take(order) for y in x]), n[at].take(order), bit.take(order).astype(np.float32)
             ends = np.cumsum(np.bincount(seen, minlength=8))
             gates = [(depth * 8 + k, slice(int(ends[k - 1]) if k else 0, int(ends[k]))) for k in range(8) if ends[k] > (ends[k - 1] if k else 0)]
             z = np.concatenate([self.weights[g] @ x[:, cut] for g, cut in gates])
-            sums = np.add.reduceat(times.astype(np.float64), [cut.start for _, cut in gates])
+            sums = np.add.reduceat(times, [cut.start for _, cut in gates], dtype=np.float64)
             self.gate_bits[[g for g, _ in gates]] += np.round(sums).astype(np.int64)
             self.seen += int(round(sums.sum()))
-            if self.follows:
-                cell = cells.take(at.take(order)) + level_of(z)
-                z += self.correction.take(cell)
-            p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-            err = t - p
-            curve = (p * (1 - p) + err * err) * (times * np.float32(0.5))
-            err *= times
-            if self.follows:
-                rests += np.bincount(cell, err, len(rests))
-                self.cell_curves += np.bincount(cell, curve, len(rests))
-                self.cell_bits += np.bincount(cell, times, len(rests)).astype(np.int64)
-            else:
-                for g, cut in gates:
-                    grad[g] = x[:, cut] @ err[cut]
-                    self.curves[g] += (x[:, cut] * curve[cut]) @ x[:, cut].T
-        self.steps += 1
-        if self.follows:
-            self.correction += (rests / self.cell_curves).astype(np.float32)
-        else:
-            self.weights += np.linalg.solve(self.curves, grad[:, :, None])[:, :, 0].astype(np.float32)
+            err, curve = _slopes(z, t, times)
+            for g, cut in gates:
+                grad[g] = x[:, cut] @ err[cut]
+                self.curves[g] += (x[:, cut] * curve[cut]) @ x[:, cut].T
+        self.weights += np.linalg.solve(self.curves, grad[:, :, None])[:, :, 0].astype(np.float32)
+
+    def _correct(self, inputs: Iterable[tuple], cells: np.ndarray, n: np.ndarray) -> None:
+        rests = np.zeros(len(self.correction))
+        for depth, at, bit, x in inputs:
+            z = mixed(x, self.weights[depth * 8 : depth * 8 + 8])
+            cell = (cells[at] + level_of(z)).astype(np.intp)
+            z += self.correction.take(cell)
+            err, curve = _slopes(z, bit.astype(np.float32), n[at])
+            rests += np.bincount(cell, err, len(rests))
+            self.cell_curves += np.bincount(cell, curve, len(rests))
+            bits = np.bincount(cell, n[at], len(rests)).astype(np.int64)
+            self.cell_bits += bits
+            self.seen += int(bits.sum())
+        self.correction += (rests / self.cell_curves).astype(np.float32)
+
+
+def mixed(x: Sequence[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Log odds added up by the weights of the gates of one depth."""
+    seen = gate_of(0, x).astype(np.intp)
+    z = np.zeros(len(seen), np.float32)
+    for m in range(N_CONTEXTS):
+        part = np.ascontiguousarray(weights[:, m]).take(seen)
+        part *= x[m]
+        z += part
+    return z
+
+
+def _slopes(z: np.ndarray, t: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the cost of bits t at log odds z, as often as they occur."""
+    p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    err = t - p
+    curve = (p * (1 - p) + err * err) * (times * np.float32(0.5))
+    err *= times
+    return err, curve
 
 
 def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,25 +391,17 @@ def fit_mixer(counts: np.ndarray, texts: list[bytes], code: np.ndarray, length:
 def place_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, window: np.ndarray, word: np.ndarray, code: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Bits that the model spends on the byte of each place. `odds` holds the log odds of every slot in fourteenths."""
     prev, ctx = context_hashes(window, word)
-    cost = np.zeros(len(window), np.float32)
+    # one over the probability of the byte, at most 2 ** (18 * MAX_DEPTH); one logarithm a place
+    cost = np.ones(len(window))
     cells = prev.astype(np.int32) * LEVELS
-    one, two = np.float32(1), np.float32(2)
     for depth, at, node, bit in bit_levels(window.astype(np.uint8), prev, code, length):
-        x = [odds[m].take(slots(ctx[m], at, node)) for m in range(N_CONTEXTS)]
-        seen = gate_of(0, x)
-        own = np.ascontiguousarray(weights[depth * 8 : depth * 8 + 8].T) * np.float32(1 / 14)
-        z = np.zeros(len(at), np.float32)
-        for m in range(N_CONTEXTS):
-            part = own[m].take(seen)
-            part *= x[m]
-            z += part
-        z += correction.take(level_of(z) + cells.take(at))
+        z = mixed([odds[m].take(slots(ctx[m], at, node), mode="wrap") for m in range(N_CONTEXTS)], weights[depth * 8 : depth * 8 + 8] * np.float32(1 / 14))
+        z += correction.take(level_of(z) + cells[at])
         np.clip(z, -12, 12, out=z)
-        z *= one - two * bit.astype(np.float32)
+        z *= np.float32(1) - np.float32(2) * bit.astype(np.float32)
         np.exp(z, out=z)
-        np.log1p(z, out=z)
-        cost[at] += z
-    return cost.astype(np.float64) / np.log(2)
+        cost[at] *= z.astype(np.float64) + 1
+    return np.log2(cost)
 
 
 def text_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, texts: list[bytes], code: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -370,9 +417,13 @@ def text_bits(odds: np.ndarray, weights: np.ndarray, correction: np.ndarray, tex
     window, word = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     order, start = runs_of(window, word)
     one = order[start]
-    piece = lambda x, lo: x[one[lo : lo + PIECE_BYTES]]
-    found = np.concatenate([place_bits(odds, weights, correction, piece(window, lo), piece(word, lo), code, length) for lo in range(0, len(one), PIECE_BYTES)])
-    cost = np.empty(len(window))
+    window, word = window.take(one), word.take(one)
+    near = longest_first(window, length)
+    found = np.empty(len(one))
+    for lo in range(0, len(one), PIECE_BYTES):
+        cut = near[lo : lo + PIECE_BYTES]
+        found[cut] = place_bits(odds, weights, correction, window.take(cut), word.take(cut), code, length)
+    cost = np.empty(len(order))
     cost[order] = np.repeat(found, np.diff(start, append=len(order)))
     out, at = [], 0
     for w, _, doc, n, m in parts:

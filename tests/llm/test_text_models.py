@@ -154,6 +154,49 @@ def test_equal_places_are_looked_at_once(spark, monkeypatch):
     assert (M.bit_tables(stored, code, length, 2) == (M.shrink(total[:, 0::2]).astype(np.uint16) << 8 | M.shrink(total[:, 1::2]))).all()
 
 
+def test_slots_are_looked_up_longest_code_first(monkeypatch):
+    texts = [b"a line that comes again and again, " * 3, b"", b"A LINE that differs", "é\u65e5 ".encode() * 3, bytes(range(97, 123)) * 2]
+    code, length, total = tables(texts * 5)
+    counts = M.shrink(total[:, 0::2]).astype(np.uint16) << 8 | M.shrink(total[:, 1::2])
+    odds = np.round(M.log_odds()[0] * 14).astype(np.int8)[counts]
+    rows, plain = [], M.slots
+    monkeypatch.setattr(M, "slots", lambda context, at, node: rows.append(at) or plain(context, at, node))
+    weights, correction = M.fit_mixer(counts, texts, code, length)
+    bits = M.text_bits(odds, weights, correction, texts, code, length)
+    M.count_bits(total, texts, code, length)
+    # no bit's contexts are gathered: those of a depth stand at the front
+    assert rows and all(isinstance(at, slice) for at in rows)
+    # in any other order each place costs the same, and a text the sum over its bytes
+    data, first = M.byte_stream(texts)
+    window, word = M.windows(data, first), M.word_states(data)
+    order = M.longest_first(window, length)
+    steps = length[(window[order] >> np.uint64(8) & np.uint64(255)).astype(int), data[order]].astype(int)
+    assert sorted(order) == list(range(len(data))) and (np.diff(steps) <= 0).all() and len(set(steps)) > 3
+    each = M.place_bits(odds, weights, correction, window, word, code, length)
+    assert not all(isinstance(at, slice) for at in rows)
+    assert (each[order] == M.place_bits(odds, weights, correction, window[order], word[order], code, length)).all()
+    assert np.allclose(np.add.reduceat(each, first[:-1]), bits, rtol=1e-12)
+
+
+def test_runs_are_told_apart_by_whole_hashes():
+    # some hashes differ in leading bits only, some in the last ones only
+    keys = [k << 44 for k in range(40)] + list(range(40)) + [5 << 44 | 7, 1 << 63, (1 << 63) + 1]
+    rng = np.random.default_rng(3)
+    key = rng.permutation(np.array(keys * 9, np.uint64))
+    # the windows that have these hashes where no word has begun
+    window = key ^ key >> np.uint64(29) ^ key >> np.uint64(58)
+    window *= np.uint64(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
+    window ^= window >> np.uint64(32)
+    window *= np.uint64(pow(0xFF51AFD7ED558CCD, -1, 1 << 64))
+    order, start = M.runs_of(window, np.zeros(len(key), np.uint32))
+    assert sorted(order) == list(range(len(key)))
+    runs = np.split(key[order], start[1:])
+    assert all(len(set(r.tolist())) == 1 for r in runs) and len(runs) >= len(set(keys))
+    # hashes whose leading bits are their own come in one run each
+    often = Counter(int(r[0]) for r in runs)
+    assert all(often[k << 44] == 1 for k in range(1, 40) if k != 5)
+
+
 def test_base_scores_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
