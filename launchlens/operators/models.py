@@ -11,13 +11,13 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import (
     OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from launchlens.functions.rules import DEPOSIT_RULES, map_contains
 from launchlens.functions.semantics import age_band, interval_days
+from launchlens.operators.boosting import BoostedModel, GBTRegressor, Layout
 from launchlens.operators.buyers import buyer_history
 from launchlens.operators.encoding import TargetFreqEncoder
 from launchlens.operators.evaluation import auc, auc_by, class_report
@@ -287,7 +287,7 @@ def learning_curve(
 
 @dataclass
 class PriceFit:
-    """A fitted price model, its held-out rows (_key, label, features as an array) and errors on them."""
+    """A fitted price model, its held-out rows (_key, label, features as an array, for trees the words of their cells) and errors on them."""
 
     model: object
     names: list[str]
@@ -305,7 +305,11 @@ class PriceFit:
         """Adds prediction to rows with an array of features."""
         if isinstance(self.model, LinearFit):
             return rows.withColumn("prediction", self.model.predict("features"))
-        return self.model.transform(rows.withColumn("features", array_to_vector("features")))
+        return self.model.transform(rows)
+
+    def scored(self) -> DataFrame:
+        """The held-out rows with prediction."""
+        return self.model.scored(self.test) if isinstance(self.model, BoostedModel) else self.predicted(self.test)
 
 
 def price_fit(
@@ -329,9 +333,11 @@ def price_fit(
     test = rows.where("_fold = 0").select("_key", "label", shape.features().alias("features"))
     if kind == "gbt":
         train = rows.where("_fold > 0")
-        n = train.count()
-        train = dealt(train, n, len(shape.names)).select("label", array_to_vector(shape.features()).alias("features"))
-        model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=42).fit(train)
+        layout = Layout.of(train, shape)
+        cells = cut_lineage(layout.counted(train))
+        cells = dealt(cells, cells.count(), len(shape.names))
+        model = GBTRegressor(layout, maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=42).fit(cells)
+        test = rows.where("_fold = 0").select("_key", "label", shape.features().alias("features"), *layout.cell())
         fit, found = PriceFit(model, shape.names, test, {}), None
     else:
         test_gram, *parts = grams(rows, shape, F.col("_fold"), folds + 1)
@@ -345,7 +351,7 @@ def price_fit(
             w, found = cross_validated(total, parts, kind, grid)
         fit = PriceFit(LinearFit(w, total.intercept(w)), shape.names, test, {}, test_gram)
     error = F.col("prediction") - F.col("label")
-    seen = fit.predicted(test).agg(F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"), F.var_pop("label").alias("var")).first()
+    seen = fit.scored().agg(F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"), F.var_pop("label").alias("var")).first()
     mse = seen["mse"] if seen["mse"] is not None else float("nan")
     fit.metrics |= {"r2": 1 - mse / seen["var"] if seen["var"] else 0.0, "mae": seen["mae"] if seen["mae"] is not None else float("nan"), "rmse": mse**0.5}
     if found is not None:
