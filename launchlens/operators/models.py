@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -363,8 +364,9 @@ def perm_importance(fit: PriceFit, features: Sequence[str] | None = None, piece_
     """Rise of the root mean squared error on the held-out rows when one feature's values are dealt to other rows.
 
     A linear model needs no scoring: the expected error over all permutations follows from its Gram. For
-    others the rows are numbered in the order of a keyed hash, in pieces of about `piece_rows`, and each takes
-    its values from the row half a round further; one job scores every row once per feature.
+    trees the rows are numbered in the order of a keyed hash, in pieces of about `piece_rows`, and each takes
+    its values from the row half a round further. Rows that then agree in all bins and flags are one cell, with a
+    count and sums of the labels per permuted feature, and one job scores every such cell once.
     """
     spark = fit.test.sparkSession
     chosen = [i for i, name in enumerate(fit.names) if features is None or name in features]
@@ -375,16 +377,34 @@ def perm_importance(fit: PriceFit, features: Sequence[str] | None = None, piece_
     n = fit.test.count()
     if not n or not chosen:
         return spark.createDataFrame([], schema)
+    layout = fit.model.layout
+    words, n_numeric, n_values = layout.words, len(layout.cuts), sum(map(len, layout.columns))
     h = F.xxhash64(F.lit("deal"), "_key")
     piece = F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.lit(-(-n // piece_rows)))
-    numbered = cut_lineage(ordinal(fit.test.withColumn("_h", h), [], [F.col("_h"), F.col("_key")], piece, "_pos"))
-    donors = numbered.select(((F.col("_pos") + max(n // 2, 1)) % n).alias("_at"), F.col("features").alias("_d"))
-    dealt = numbered.withColumn("_at", F.col("_pos") % n).join(donors, "_at")
-    each = dealt.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in [-1, *chosen]])))
-    swapped = F.transform("features", lambda x, k: F.when(k == F.col("_i"), F.get("_d", k)).otherwise(x))
-    scored = fit.predicted(each.select("_i", "label", swapped.alias("features")))
-    error = F.col("prediction") - F.col("label")
-    rmse = scored.groupBy("_i").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    cells = fit.test.select("_key", (F.col("label") - F.lit(layout.label_at)).alias("_y"), *words, h.alias("_h"))
+    numbered = cut_lineage(ordinal(cells, [], [F.col("_h"), F.col("_key")], piece, "_pos").select("_y", "_pos", *words))
+    donors = numbered.select(((F.col("_pos") + max(n // 2, 1)) % n).alias("_at"), *[F.col(w).alias(f"_d{w}") for w in words])
+    pairs = numbered.withColumn("_at", F.col("_pos") % n).join(donors, "_at")
+
+    def swapped(i: int) -> Column:
+        """The cell with the donor's value of feature i (-1: none), and the place of a flag that so has turned over, or -1."""
+        cell, turned = {w: F.col(w) for w in words}, F.lit(-1)
+        if 0 <= i < n_numeric:
+            word, size = layout.places[i]
+            cell[words[word]] += (layout.number(i, "_d") - layout.number(i)) * F.lit(size)
+        elif i >= 0:
+            values = layout.pairs[i - n_numeric - n_values] if i >= n_numeric + n_values else (i - n_numeric,)
+            own, theirs = (functools.reduce(Column.__and__, [layout.flag(v, side) for v in values]) for side in ("", "_d"))
+            turned = F.when(own != theirs, F.lit(i)).otherwise(turned)
+        return F.struct(F.lit(i).alias("_i"), turned.alias("_turned"), *[c.alias(w) for w, c in cell.items()])
+
+    each = pairs.select("_y", F.inline(F.array(*[swapped(i) for i in (-1, *chosen)])))
+    sums = each.groupBy("_turned", *words, "_i").agg(F.count("*").alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q"))
+    met = sums.groupBy(*words, "_turned").agg(F.collect_list(F.struct("_i", "n", "s", "q")).alias("_sums"))
+    scored = fit.model.cells(met, toggled="_turned").select((F.col("prediction") - F.lit(layout.label_at)).alias("_p"), F.inline("_sums"))
+    error = F.col("n") * F.col("_p") * F.col("_p") - F.lit(2.0) * F.col("_p") * F.col("s") + F.col("q")
+    rmse = scored.groupBy("_i").agg(F.sqrt(F.greatest(F.sum(error) / F.sum("n"), F.lit(0.0))).alias("rmse"))
+    rmse = cut_lineage(rmse)
     base = rmse.where("_i < 0").select(F.col("rmse").alias("base"))
     named = F.get(F.array(*[F.lit(name) for name in fit.names]), F.col("_i"))
     return with_row(rmse.where("_i >= 0"), base).select(named.alias("feature"), (F.col("rmse") - F.col("base")).alias("rise"))

@@ -77,6 +77,35 @@ def test_a_fit_takes_few_jobs(spark):
     assert fit.metrics["r2"] > 0.5 and jobs < 60
 
 
+@pytest.mark.parametrize("with_pairs", [False, True])
+def test_importance_over_cells_is_that_of_single_rows(spark, with_pairs):
+    table = fixture(spark, 500, 4)
+    pairs = mi.interactions(table, ["c", "d"], 0.03, 0.01) if with_pairs else None
+    fit = mo.price_fit(table, "y", ["a", "b"], ["c", "d"], "gbt", trees=12, depth=3, pairs=pairs, held_out=F.col("id") % 2 == 0)
+    got = {r["feature"]: r["rise"] for r in mo.perm_importance(fit, piece_rows=17).collect()}
+    rows = fit.test.withColumn("_h", F.xxhash64(F.lit("deal"), "_key")).orderBy("_h", "_key").collect()
+    x, y = np.array([r["features"] for r in rows]), np.array([r["label"] for r in rows])
+    rmse = lambda x: np.sqrt(np.mean((fit.model.score(fit.model.layout.bins(x)) - y) ** 2))
+    assert np.isclose(rmse(x), fit.metrics["rmse"])
+    for j, name in enumerate(fit.names):
+        dealt = x.copy()
+        dealt[:, j] = np.roll(x[:, j], len(x) // 2)
+        assert np.isclose(got[name], rmse(dealt) - rmse(x), atol=1e-8)
+
+
+def test_importance_scores_cells_not_rows(spark, monkeypatch):
+    table = fixture(spark, 400, 7)
+    copies = table.unionByName(table.withColumn("id", F.col("id") + 1000)).unionByName(table.withColumn("id", F.col("id") + 2000))
+    seen = []
+    cells = bo.BoostedModel.cells
+    monkeypatch.setattr(bo.BoostedModel, "cells", lambda self, df, *a, **kw: seen.append(df.count()) or cells(self, df, *a, **kw))
+    fit = mo.price_fit(copies, "y", ["b"], ["c", "d"], "gbt", trees=5, depth=3, held_out=F.col("id") % 2 == 0)
+    seen.clear()
+    rises = mo.perm_importance(fit).collect()
+    # 7 bins, 4 and 3 values; each with no flag or one of 7 turned over, where 600 rows with 8 features were 5,400 scores
+    assert len(rises) == len(fit.names) == 8 and len(seen) == 1 and seen[0] <= 7 * 4 * 3 * 8
+
+
 def test_empty_tables_and_no_features(spark):
     table = fixture(spark, 100)
     none = mo.price_fit(table.where("id < 0"), "y", ["a"], [], "gbt", trees=2, depth=2)
