@@ -98,7 +98,7 @@ def price_ridge_pairs(spark, sf):
 
 @query("price_gbt")
 def price_gbt(spark, sf):
-    return fit(spark, sf, "gbt", pairs=True, trees=8, depth=4).table(spark)
+    return fit(spark, sf, "gbt", pairs=True).table(spark)
 
 
 @query("importance_perm")

@@ -1,11 +1,14 @@
 """Boosted trees over counted cells against MLlib's, per-row scoring and brute force."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor as PerRow
 from pyspark.sql import functions as F
 
+from launchlens.catalog import price_queries as pq
 from launchlens.operators import boosting as bo, linear as li, mining as mi, models as mo
 
 
@@ -112,3 +115,13 @@ def test_empty_tables_and_no_features(spark):
     assert none.model.featureImportances.toArray().tolist() == [0.0] and mo.perm_importance(none).count() == 0
     mean = mo.price_fit(table, "y", [], [], "gbt", trees=3, depth=2, held_out=F.col("id") % 2 == 0)
     assert mean.names == [] and mean.metrics["r2"] < 0.1
+
+
+def test_price_gbt_is_registered_in_full(spark, monkeypatch):
+    seen = {}
+    whole = mo.price_fit
+    monkeypatch.setattr(mo, "price_fit", lambda *a, **kw: seen.setdefault("fit", whole(*a, **kw)))
+    assert pq.price_gbt(spark, "/root/testdata/sf0.001").count() > 3
+    settings = {k: v.default for k, v in inspect.signature(whole).parameters.items()}
+    assert (settings["trees"], settings["depth"]) == (400, 6)
+    assert seen["fit"].model.leaves.shape == (400, 64) and np.abs(seen["fit"].model.leaves).max(axis=1).min() > 0
