@@ -103,7 +103,7 @@ def price_gbt(spark, sf):
 
 @query("importance_perm")
 def importance_perm(spark, sf):
-    return mo.perm_importance(fit(spark, sf, "gbt", trees=8, depth=4))
+    return mo.perm_importance(fit(spark, sf, "gbt"))
 
 
 def importance_sql() -> str:

@@ -125,3 +125,11 @@ def test_price_gbt_is_registered_in_full(spark, monkeypatch):
     settings = {k: v.default for k, v in inspect.signature(whole).parameters.items()}
     assert (settings["trees"], settings["depth"]) == (400, 6)
     assert seen["fit"].model.leaves.shape == (400, 64) and np.abs(seen["fit"].model.leaves).max(axis=1).min() > 0
+
+
+def test_importance_perm_is_registered_in_full(spark, monkeypatch):
+    seen = {}
+    whole = mo.price_fit
+    monkeypatch.setattr(mo, "price_fit", lambda *a, **kw: seen.setdefault("fit", whole(*a, **kw)))
+    assert pq.importance_perm(spark, "/root/testdata/sf0.001").count() == len(seen["fit"].names)
+    assert seen["fit"].model.leaves.shape == (400, 64) and np.abs(seen["fit"].model.leaves).max(axis=1).min() > 0
