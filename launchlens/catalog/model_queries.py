@@ -5,7 +5,7 @@ Fitted models have no SQL form; their feature tables, balance and effect sizes d
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from launchlens.catalog.bindings import SQL_EV, SQL_FO, event_periods, fact_events, fact_orders, order_periods, table
@@ -29,14 +29,6 @@ def training(spark, sf):
     return mo.training_set(fact_orders(spark, sf, *COLS), order_periods(spark), RULES)
 
 
-def small_candidates() -> dict:
-    return {
-        "logistic": LogisticRegression(maxIter=50, regParam=1e-4, standardization=False),
-        "forest": RandomForestClassifier(numTrees=20, maxDepth=5, seed=42),
-        "boosted": GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.08, seed=42),
-    }
-
-
 TRAIN = """
 tr0 AS (SELECT fo.* FROM fo WHERE EXISTS (SELECT 1 FROM p WHERE pay_time >= p.s AND pay_time <= p.e)),
 tr1 AS (SELECT *, max(pay_time) OVER w AS pp, max(invoice_time) OVER w AS pi, count(*) OVER (PARTITION BY buyer_id) AS n FROM tr0
@@ -116,7 +108,7 @@ def train_conversion(spark, sf):
 
 @query("conversion_weights")
 def conversion_weights(spark, sf):
-    return mo.train_conversion(training(spark, sf), SPEC, candidates=small_candidates()).weights(spark)
+    return mo.train_conversion(training(spark, sf), SPEC).weights(spark)
 
 
 @query("ablation")
@@ -127,7 +119,7 @@ def ablation(spark, sf):
 @query("score_batch")
 def score_batch(spark, sf):
     t = cut_lineage(training(spark, sf))
-    model = mo.fit_classifier(t, "purchase", SPEC, small_candidates()["logistic"])
+    model = mo.fit_classifier(t, "purchase", SPEC, LogisticRegression(maxIter=50, regParam=1e-4, standardization=False))
     day = t.where(F.col("grp") == "BUILDING").agg(F.min(F.to_date("pay_time")).cast("string")).first()[0]
     return mo.mean_score(mo.score_batch(model, t, day, "BUILDING"))
 

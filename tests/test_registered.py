@@ -38,3 +38,7 @@ def check(found):
 
 def test_train_conversion_is_registered_in_full(spark, monkeypatch):
     check(candidates_of(spark, monkeypatch, mq.train_conversion))
+
+
+def test_conversion_weights_is_registered_in_full(spark, monkeypatch):
+    check(candidates_of(spark, monkeypatch, mq.conversion_weights))
