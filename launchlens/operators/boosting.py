@@ -2,7 +2,7 @@
 
 Trees see bins of numerics and one-hot values only, so rows that agree in those are one cell. Training rows are
 counted once into (cell, group), a group being one of GROUPS parts of all rows by a hash; a tree samples whole groups.
-Bins bound the cells, not the input, and up to HELD_CELLS of them stay in the memory of one task, so that a fit is one job
+Bins bound the cells, not the input, and up to HELD_BYTES of them stay in the memory of one task, so that a fit is one job
 however many trees it has. With many numerics nearly every row is a cell of its own; then they stay in Spark, a job a level.
 Both ways fit the same trees.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from math import prod
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,8 +24,8 @@ from launchlens.session import cut_lineage
 MAX_BINS = 32
 #: Parts of the rows that a tree's sample is dealt from.
 GROUPS = 20
-#: Counted cells that one task holds, some 60 bytes each.
-HELD_CELLS = 6_000_000
+#: What the counted cells that one task holds may take.
+HELD_BYTES = 512 << 20
 #: Rows scored at a time, so that their bins stay in the cache.
 SCORE_ROWS = 4096
 
@@ -94,6 +95,10 @@ class Layout:
     def width(self) -> int:
         return 1 + sum(self.widths)
 
+    def held_bytes(self, n: int) -> int:
+        """What `n` counted cells take in memory, about: a row of each, and codes and bins of each different cell."""
+        return 80 * n + (64 + self.n_features + 8 * len(self.widths)) * min(n, prod(self.bases))
+
     def cell(self) -> list[Column]:
         """The words of an encoded row."""
 
@@ -453,7 +458,7 @@ class GBTRegressor:
             found = grown(layout, Held(layout, np.column_stack(columns[:n_words]), *columns[n_words:]), *settings)
             yield pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array([x.astype(float).tobytes() for x in found], pa.binary())], names=["k", "v"])
 
-        if dataset.count() <= HELD_CELLS:
+        if layout.held_bytes(dataset.count()) <= HELD_BYTES:
             held = dataset.repartition(1).mapInArrow(run, "k int, v binary").collect()
             features, cuts, leaves, gains = (np.frombuffer(r["v"]).reshape(self.maxIter, -1) for r in sorted(held, key=lambda r: r["k"]))
         else:

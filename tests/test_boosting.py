@@ -46,12 +46,18 @@ def test_cells_in_spark_and_in_one_task_give_the_same_trees(encoded, monkeypatch
     shape, rows, layout = encoded
     fit = lambda: bo.GBTRegressor(layout, maxIter=13, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=3).fit(layout.counted(rows).repartition(3))
     held = fit()
-    monkeypatch.setattr(bo, "HELD_CELLS", 0)
+    monkeypatch.setattr(bo, "HELD_BYTES", 0)
     spread = fit()
     x = np.unique(layout.matrix(np.arange(int(np.prod(layout.bases)))[:, None]), axis=0)
     assert np.allclose(held.score(x), spread.score(x)) and np.allclose(held.gains, spread.gains)
 
 
+def test_a_task_holds_what_bins_bound():
+    bins = bo.Layout([[float(k) for k in range(31)]] * 2 + [[float(k) for k in range(10)]], [[0, 1, 2], [3, 4, 5, 6, 7, 8]], [])
+    many = bo.Layout([[float(k) for k in range(31)]] * 20, [], [])
+    assert bins.held_bytes(20 * 32 * 32 * 11 * 18) < bo.HELD_BYTES < many.held_bytes(3_000_000)
+
+
 def test_many_values_are_cut_at_exact_quantiles(spark):
     rows = spark.range(5000).select(F.array(F.col("id").cast("double"), (F.col("id") % 3).cast("double")).alias("_x"))
     many, few = bo.cuts_of(rows, 2)
